@@ -67,9 +67,14 @@ def subscription_end(t: Tables, post_churn: str = "to_max_date",
       revenue to the end of the data); ``post_churn='exclude'`` gives such a
       subscription zero length instead.
     """
+    max_date = max_usage_date(t.feature_usage) if max_date is None else max_date
+    fc = first_churn(t.churn_events).select("account_id", "first_churn_date")
+    return _subscription_end_with(t, fc, post_churn, max_date)
+
+
+def _subscription_end_with(t: Tables, fc_df: DataFrame, post_churn: str, max_date: Column) -> DataFrame:
     if post_churn not in POST_CHURN_MODES:
         raise ValueError(f"post_churn must be one of {POST_CHURN_MODES}")
-    max_date = max_usage_date(t.feature_usage) if max_date is None else max_date
     fc, start, end = F.col("first_churn_date"), F.col("start_date"), F.col("end_date")
     fallback = max_date
     if post_churn == "exclude":
@@ -77,9 +82,7 @@ def subscription_end(t: Tables, post_churn: str = "to_max_date",
     end_sub = (F.when(end.isNotNull() & (fc.isNull() | (end < fc)), end)
                .when(fc.isNotNull() & (start <= fc), fc)
                .otherwise(fallback))
-    return (t.subscriptions
-            .join(first_churn(t.churn_events).select("account_id", "first_churn_date"),
-                  "account_id", "left")
+    return (t.subscriptions.join(fc_df, "account_id", "left")
             .select("subscription_id", "account_id",
                     start.alias("start_date_sub"), end_sub.alias("end_date_sub"),
                     "mrr_amount", "upgrade_flag", "downgrade_flag"))
@@ -200,31 +203,67 @@ SUMMARY_COLUMNS = [
 ]
 
 
+def _churn_per_account(t: Tables, tie_breaker: str = "churn_event_id") -> DataFrame:
+    """One aggregate of churn events per account serving the whole summary:
+    first churn date (for lifetimes and subscription ends) and the first
+    event's details (J11).  Used twice in one plan, it is computed once
+    (identical sub-plans share one exchange)."""
+    d = F.col("churn_date")
+    first = F.min_by(F.struct(F.col("reason_code").alias("r"), F.col("refund_amount_usd").alias("f")),
+                     F.struct(d.isNull(), d, F.col(tie_breaker)))
+    return (t.churn_events.groupBy("account_id")
+            .agg(F.min(d).alias("first_churn_date"), first.alias("first"),
+                 F.sum("refund_amount_usd").alias("total_refund_usd")))
+
+
 def accounts_summary(t: Tables, post_churn: str = "to_max_date") -> DataFrame:
-    """One row per account, 25 columns: four left joins on account_id
-    of co-partitioned per-account aggregates.  Accounts without
-    subscriptions get lifetime 0 (lifetime reaches the summary only through
-    the subscription metrics)."""
+    """One row per account, 25 columns.
+
+    Four left joins on account_id of per-account aggregates, all
+    hash-partitioned on account_id, so the joins add no exchange.  The churn
+    aggregate is shared by the subscription ends, the lifetime and the churn
+    columns.  Lifetime is computed from the account row and reaches the
+    summary only for accounts with subscriptions (0 otherwise), as in the
+    source.  The first churn *date* of J11 equals the earliest non-NULL churn
+    date, which is the date lifetimes use."""
+    max_date = max_usage_date(t.feature_usage)
+    churn = _churn_per_account(t)
+    ends = _subscription_end_with(t, churn.select("account_id", "first_churn_date"),
+                                  post_churn, max_date)
+    months = F.greatest(age_months(F.col("start_date_sub"), F.col("end_date_sub")), F.lit(0))
+    subs = (ends.withColumn("duration_sub_months", months).groupBy("account_id")
+            .agg(F.count(F.lit(1)).alias("subscriptions"), _revenue().alias("approx_revenue_till_churn"),
+                 F.max(_flag("upgrade_flag")).alias("had_upgrade"),
+                 F.max(_flag("downgrade_flag")).alias("had_downgrade")))
     acc = t.accounts.select("account_id", "industry", "country", "signup_date",
                             "referral_source", F.col("plan_tier").alias("initial_plan_tier"),
                             "seats")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     joined = (acc
-              .join(subscription_metrics(t, post_churn), "account_id", "left")
+              .join(subs, "account_id", "left")
               .join(feature_metrics(t), "account_id", "left")
               .join(support_metrics(t, ordered=False), "account_id", "left")
-              .join(churn_metrics(t, ordered=False), "account_id", "left"))
+              .join(churn, "account_id", "left"))
+    life = F.greatest(age_months(F.col("signup_date"),
+                                 F.coalesce(F.col("first_churn_date"), max_date)), F.lit(0))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    churned = F.col("first").isNotNull()
     return joined.select(
         "account_id", "industry", "country", "signup_date", "referral_source",
         "initial_plan_tier", "seats",
         zero("subscriptions"), zero("approx_revenue_till_churn"),
-        zero("lifetime_months_till_churn"), zero("had_upgrade"), zero("had_downgrade"),
+        F.when(F.col("subscriptions").isNotNull(), life).otherwise(F.lit(0)).cast("long")
+        .alias("lifetime_months_till_churn"),
+        zero("had_upgrade"), zero("had_downgrade"),
         zero("unique_features_used"), zero("total_usage_count"), zero("sum_errors"),
         zero("used_beta_feature"), zero("support_tickets"),
         round_float_as_numeric(F.col("avg_resolution_time")).alias("avg_resolution_time"),
         round_float_as_numeric(F.col("avg_satisfaction_score")).alias("avg_satisfaction_score"),
-        zero("escalations"), zero("churn_flag"), "first_churn_date", "reason_code",
-        zero("first_refund_usd"), zero("total_refund_usd"))
+        zero("escalations"),
+        F.when(churned, F.lit(1)).otherwise(F.lit(0)).alias("churn_flag"),
+        F.when(churned, F.col("first_churn_date")).alias("first_churn_date"),
+        F.col("first.r").alias("reason_code"),
+        F.coalesce(F.col("first.f"), F.lit(0).cast("long")).alias("first_refund_usd"),
+        zero("total_refund_usd"))
 
 
 def account_outcomes(t: Tables) -> DataFrame:

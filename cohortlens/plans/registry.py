@@ -37,6 +37,10 @@ def _mau(spark, d):
     return activity.monthly_active_users(_t(spark, d))
 
 
+def _usage_segments(t):
+    return seg.usage_segments(t, acc.account_outcomes(t))
+
+
 def _retention_mean(spark, d):
     from pyspark.sql import functions as F
     t = _t(spark, d)
@@ -76,7 +80,7 @@ QUERIES: dict[str, Query] = {
     "retention_activity": lambda s, d: ret.retention_activity(_t(s, d)),
     "retention_payment_first": lambda s, d: ret.retention_payment_first(_t(s, d)),
     "retention_payment_last": lambda s, d: ret.retention_payment_last(_t(s, d)),
-    "usage_segments": lambda s, d: seg.usage_segments(_t(s, d), acc.account_outcomes(_t(s, d))),
+    "usage_segments": lambda s, d: _usage_segments(_t(s, d)),
     "month_labels": lambda s, d: growth.month_labels(_growth(s, d)),
     "mom_trend": lambda s, d: growth.mom_trend(_growth(s, d)),
     "retention_matrix": lambda s, d: ret.retention_matrix(

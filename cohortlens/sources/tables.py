@@ -13,23 +13,40 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+TABLE_NAMES = ("accounts", "subscriptions", "feature_usage", "support_tickets", "churn_events")
 
-@dataclass(frozen=True)
-class Tables:
-    """The five inputs of every job, already typed (see ``schema.py``)."""
 
-    accounts: DataFrame
-    subscriptions: DataFrame
-    feature_usage: DataFrame
-    support_tickets: DataFrame
-    churn_events: DataFrame
+class Tables:
+    """The five inputs of every job, already typed (see ``schema.py``).
+
+    Each input is a DataFrame or a zero-argument function returning one; a
+    function is called on first use only, so a job that reads two tables
+    never plans the other three."""
+
+    def __init__(self, accounts, subscriptions, feature_usage, support_tickets, churn_events):
+        self._src: dict[str, DataFrame | Callable[[], DataFrame]] = dict(
+            accounts=accounts, subscriptions=subscriptions, feature_usage=feature_usage,
+            support_tickets=support_tickets, churn_events=churn_events)
+        self._built: dict[str, DataFrame] = {}
+
+    def _get(self, name: str) -> DataFrame:
+        if name not in self._built:
+            src = self._src[name]
+            self._built[name] = src if isinstance(src, DataFrame) else src()
+        return self._built[name]
+
+    accounts = property(lambda self: self._get("accounts"))
+    subscriptions = property(lambda self: self._get("subscriptions"))
+    feature_usage = property(lambda self: self._get("feature_usage"))
+    support_tickets = property(lambda self: self._get("support_tickets"))
+    churn_events = property(lambda self: self._get("churn_events"))
 
     def with_(self, **kw) -> "Tables":
-        return replace(self, **kw)
+        return Tables(**{**self._src, **kw})
 
 
 # Fixed values of the mapping (FIXTURES.md section 3).
@@ -128,20 +145,35 @@ def map_support_tickets(events: DataFrame) -> DataFrame:
             ))
 
 
+# Schemas of the driver columns the mapping reads.  Declared, never inferred:
+# inference would open Parquet footers in an extra job on every read.
+DRIVER_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_nationkey INT, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING",
+    "orders": ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+               "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"),
+    "lineitem": ("l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                 "l_shipdate TIMESTAMP_NTZ"),
+    "events": "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE",
+}
+
+
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    reader = spark.read
+    if name in DRIVER_SCHEMAS:
+        reader = reader.schema(DRIVER_SCHEMAS[name])
+    return reader.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def load_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Lazy plans over the driver Parquet files; nothing runs here."""
     read = lambda n: read_driver_table(spark, sf_dir, n)
-    orders = read("orders")
     return Tables(
-        accounts=map_accounts(read("customer"), read("nation"), orders),
-        subscriptions=map_subscriptions(orders),
-        feature_usage=map_feature_usage(read("lineitem")),
-        support_tickets=map_support_tickets(read("events")),
-        churn_events=map_churn_events(orders),
+        accounts=lambda: map_accounts(read("customer"), read("nation"), read("orders")),
+        subscriptions=lambda: map_subscriptions(read("orders")),
+        feature_usage=lambda: map_feature_usage(read("lineitem")),
+        support_tickets=lambda: map_support_tickets(read("events")),
+        churn_events=lambda: map_churn_events(read("orders")),
     )
 
 
