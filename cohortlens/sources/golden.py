@@ -47,13 +47,3 @@ def frame(spark: SparkSession, name: str, rows: list[tuple]) -> DataFrame:
         if "DATE" in part:
             df = df.withColumn(f, F.to_date(F.col(f)))
     return df
-
-
-def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Sink for any job result: Parquet by default, CSV with a header as the
-    source published."""
-    w = df.write.mode(mode)
-    if fmt == "csv":
-        w = w.option("header", True)
-    w.format(fmt).save(path)
-
