@@ -190,7 +190,7 @@ def churn_metrics(t: Tables, tie_breaker: str = "churn_event_id", ordered: bool
                    F.col("first.r").alias("reason_code"),
                    F.col("first.f").alias("first_refund_usd"),
                    "total_refund_usd"))
-    return out.orderBy("account_id") if ordered else out
+    return out.orderBy(F.col("account_id").asc_nulls_last()) if ordered else out
 
 
 SUMMARY_COLUMNS = [

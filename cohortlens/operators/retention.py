@@ -131,7 +131,10 @@ def retention_matrix(retention: DataFrame, rate_col: str, months: list[int] | No
 
     Cells are unique per (cohort, month) by construction; missing cells are
     NULL.  ``months`` fixes the columns; by default they are the month
-    numbers present (a small distinct set, one per calendar month)."""
+    numbers present (a small distinct set, one per calendar month), which
+    Spark finds with one extra pass over ``retention`` - pass a persisted
+    retention table (``sinks.materialize``) when it is expensive to
+    recompute."""
     labelled = retention.select(F.date_format("cohort_month", "yyyy-MM").alias("cohort_m_short"),
                                 "month_number", rate_col)
     return (labelled.groupBy("cohort_m_short").pivot("month_number", months)

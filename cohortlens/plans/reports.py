@@ -32,7 +32,9 @@ def build_reports(t: Tables, persist: bool = True) -> dict[str, DataFrame]:
     segments = churn.churn_by_segment(summary)
     quality_ = act.usage_quality(base)
     growth_ = growth.customer_growth(t.subscriptions)
-    first = ret.retention_payment_first(t)
+    # small (cohorts x months) but read twice by the pivot: once to find the
+    # month columns, once for the cells
+    first = keep(ret.retention_payment_first(t), "retention_first_churn_based")
     return {
         "key_census": quality.key_census(t.subscriptions),
         "null_audit": quality.null_audit(t.subscriptions),
