@@ -52,14 +52,18 @@ def activation_funnel(base: DataFrame) -> DataFrame:
                       .alias("funnel", "conversion", "avg_activation_time_days"))
 
 
-def activation_median(base: DataFrame) -> DataFrame:
+def activation_median(base: DataFrame, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Exact (interpolated) median days from signup to first
     subscription and to first use, over accounts where that step is not
     before the signup.  Spark's exact percentile keeps a value -> count map,
-    bounded by the number of distinct day counts, not by rows."""
+    bounded by the number of distinct day counts, not by rows.
+    ``approx=True`` uses ``percentile_approx`` (no interpolation: returns an
+    observed value)."""
     def med(end: str):
-        days = days_between(F.col("signup_date"), F.col(end))
-        return F.percentile(F.when(F.col(end) >= F.col("signup_date"), days), F.lit(0.5))
+        days = F.when(F.col(end) >= F.col("signup_date"), days_between(F.col("signup_date"), F.col(end)))
+        if approx:
+            return F.percentile_approx(days, 0.5, accuracy).cast("double")
+        return F.percentile(days, F.lit(0.5))
     return base.agg(med("first_subscription").alias("median_subscription_from_signup_time_days"),
                     med("first_usage").alias("median_usage_from_signup_time_days"))
 
