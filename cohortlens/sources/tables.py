@@ -177,6 +177,27 @@ def load_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
+def load_raw_tables(spark: SparkSession, root: str, pattern: str = "{table}.csv",
+                    fmt: str = "csv", options: dict | None = None) -> Tables:
+    """The five source tables as exported text (dates as text, missing
+    subscription end as the empty string), typed once by ``schema.ingest``.
+
+    Every column is read as text - the header names the columns, nothing is
+    inferred - so a malformed value becomes NULL in ``ingest`` and shows up
+    in the null / blank audit instead of failing the read."""
+    from cohortlens.sources.schema import ingest
+
+    opts = {"header": "true", "emptyValue": "", "nullValue": "\\N", **(options or {})}
+
+    def read(table: str) -> DataFrame:
+        path = os.path.join(root, pattern.format(table=table))
+        header = spark.read.options(**opts).format(fmt).load(path).columns
+        text = ", ".join(f"`{c}` STRING" for c in header)
+        return ingest(spark.read.options(**opts).schema(text).format(fmt).load(path), table)
+
+    return Tables(**{n: (lambda n=n: read(n)) for n in TABLE_NAMES})
+
+
 def load_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
     """Read already-typed input tables stored as ``<root>/<table>`` (for
     example written by ``sinks.materialize_tables``)."""

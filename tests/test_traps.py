@@ -234,3 +234,33 @@ def test_median_even_count(spark):
     r = act.activation_median(act.activation_base(t)).collect()[0]
     assert r.median_subscription_from_signup_time_days == 2.5
     assert r.median_usage_from_signup_time_days is None
+
+
+def test_raw_csv_tables_are_typed_on_ingest(spark, tmp_path):
+    from cohortlens.sources.tables import load_raw_tables
+    files = {
+        "accounts": "account_id,industry,country,signup_date,referral_source,plan_tier,seats\n"
+                    "1,DevTools,UK,2024-01-10,partner,Pro,5\n",
+        "subscriptions": "subscription_id,account_id,start_date,end_date,plan_tier,seats,mrr_amount,"
+                         "arr_amount,is_trial,upgrade_flag,downgrade_flag,churn_flag,billing_frequency,"
+                         "auto_renew_flag\n"
+                         "10,1,2024-01-15,,Pro,5,100,1200,False,True,False,False,monthly,True\n",
+        "feature_usage": "usage_id,subscription_id,usage_date,feature_name,usage_count,usage_duration_secs,"
+                         "error_count,is_beta_feature\n"
+                         "u1,10,2024-02-01,reports,7,30,1,False\n",
+        "support_tickets": "ticket_id,account_id,submitted_at,resolution_time_hours,satisfaction_score,"
+                           "escalation_flag\nt1,1,2024-02-02,3.5,,True\n",
+        "churn_events": "churn_event_id,account_id,churn_date,reason_code,refund_amount_usd\n"
+                        "7,1,2024-03-05,pricing,0\n",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    t = load_raw_tables(spark, str(tmp_path))
+    sub = t.subscriptions.collect()[0]
+    assert sub.end_date is None and sub.upgrade_flag is True and sub.start_date == d("2024-01-15")
+    assert "billing_frequency" in t.subscriptions.columns
+    audit = quality.null_audit(t.subscriptions).collect()[0]
+    assert audit["end_date_nulls"] == 1 and audit["arr_amount_nulls"] == 0
+    s = acc.accounts_summary(t).collect()[0]
+    assert (s.subscriptions, s.total_usage_count, s.support_tickets, s.churn_flag) == (1, 7, 1, 1)
+    assert s.avg_satisfaction_score is None and s.lifetime_months_till_churn == 1
