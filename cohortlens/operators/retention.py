@@ -13,10 +13,12 @@ before its signup month is in its cohort's size but in no month.
 
 Scale: payment retention never expands accounts into account-months.  Each
 account is one tenure T (months from cohort to last month); the counts per
-(cohort, T) - a partially aggregated group-by over accounts - are turned into
-"accounts with tenure >= k" by a reverse running sum over the dense
-(cohort, k) grid, whose size is the size of the result.  ``method='explode'``
-keeps the literal month-series expansion for cross-checking.
+(cohort, T) - a partially aggregated group-by over accounts, whose output is
+bounded by the calendar - are turned into "accounts with tenure >= k" by a
+reverse running sum per cohort, and each histogram row emits only the month
+numbers between the previous tenure and its own: work proportional to the
+result, one pass over accounts.  ``method='explode'`` keeps the literal
+month-series expansion for cross-checking.
 """
 
 from __future__ import annotations
@@ -34,12 +36,6 @@ LAST_CHURN_RATE = "payment_retention_rate_till_last_churn_percentage"
 OUTPUT = ["cohort_month", "month_number", "active_accounts", "cohort_size"]
 
 
-def cohort_sizes(accounts: DataFrame) -> DataFrame:
-    """Accounts per signup month (account_id is the key of accounts)."""
-    return (accounts.groupBy(month_of(F.col("signup_date")).alias("cohort_month"))
-            .agg(F.count("account_id").alias("cohort_size")))
-
-
 def _finish(active: DataFrame, sizes: DataFrame, rate_col: str) -> DataFrame:
     return (active.join(sizes, "cohort_month")
             .select("cohort_month", F.col("month_number").cast("long").alias("month_number"),
@@ -61,27 +57,67 @@ def active_account_months(t: Tables) -> DataFrame:
 
 
 def retention_activity(t: Tables) -> DataFrame:
-    """Unbroken-activity retention per signup cohort."""
+    """Unbroken-activity retention per signup cohort.
+
+    One pass over accounts: each account is left-joined to its active months
+    on/after its cohort month (the month condition sits in the join, so an
+    account without such months keeps one row and stays in its cohort's
+    size).  The distinct months and the per-account streak window run where
+    the join left the rows (partitioned by account_id, no exchange); the
+    streak length L per account then goes through the same tenure histogram
+    as payment retention (tenure = L - 1)."""
     cohorts = t.accounts.select("account_id", month_of(F.col("signup_date")).alias("cohort_month"))
-    # The distinct after the join on account_id needs no exchange of its own
-    # (the join output is already partitioned by account_id), and neither
-    # does the per-account window: the streak test runs where the rows are.
-    months = (cohorts.join(active_account_months(t), "account_id")
-              .where(F.col("active_month") >= F.col("cohort_month"))
-              .select("account_id", "cohort_month",
+    active = active_account_months(t)
+    months = (cohorts.join(active, (cohorts["account_id"] == active["account_id"])
+                           & (active["active_month"] >= cohorts["cohort_month"]), "left")
+              .select(cohorts["account_id"], "cohort_month",
                       age_months(F.col("cohort_month"), F.col("active_month")).alias("month_number"))
               .distinct())
     rn = F.row_number().over(Window.partitionBy("account_id").orderBy("month_number"))
-    streak = months.withColumn("rn", rn).where(F.col("month_number") == F.col("rn") - 1)
-    active = streak.groupBy("cohort_month", "month_number") \
-        .agg(F.count(F.lit(1)).alias("active_accounts"))
-    return _finish(active, cohort_sizes(t.accounts), ACTIVITY_RATE)
+    streak = (months.withColumn("rn", rn)
+              .groupBy("account_id", "cohort_month")
+              .agg(F.count_if(F.col("month_number") == F.col("rn") - 1).alias("streak")))
+    return _from_tenure(streak.select("account_id", "cohort_month",
+                                      (F.col("streak") - 1).alias("tenure")), ACTIVITY_RATE)
+
+
+def _from_tenure(per_account: DataFrame, rate_col: str) -> DataFrame:
+    """Retention from one row per account: cohort_month and tenure, the last
+    month number it is counted in (< 0: counted in no month, but in its
+    cohort's size).
+
+    Accounts per (cohort, tenure) - a partially aggregated group-by whose
+    output is bounded by the calendar - become "accounts with tenure >= k" by
+    a reverse running sum per cohort; each histogram row emits only the
+    month numbers between the previous tenure and its own, so the work is
+    proportional to the result."""
+    hist = (per_account.groupBy("cohort_month", "tenure")
+            .agg(F.count("account_id").alias("n")))
+    by_cohort = Window.partitionBy("cohort_month")
+    up = by_cohort.orderBy("tenure")
+    down = by_cohort.orderBy(F.col("tenure").desc()).rowsBetween(Window.unboundedPreceding,
+                                                                 Window.currentRow)
+    h = (hist.withColumn("cohort_size", F.sum("n").over(by_cohort))
+         .where(F.col("tenure") >= 0)
+         .withColumn("prev", F.lag("tenure").over(up))
+         .withColumn("active_accounts", F.sum("n").over(down)))
+    k = F.explode(F.sequence(F.coalesce(F.col("prev") + 1, F.lit(0)), F.col("tenure")))
+    out = h.where(F.col("cohort_month").isNotNull()) \
+        .select("cohort_month", k.alias("month_number"), "active_accounts", "cohort_size")
+    return (out.select("cohort_month", F.col("month_number").cast("long").alias("month_number"),
+                       F.col("active_accounts").cast("long").alias("active_accounts"),
+                       F.col("cohort_size").cast("long").alias("cohort_size"),
+                       pct(F.col("active_accounts"), F.col("cohort_size")).alias(rate_col))
+            .orderBy("cohort_month", "month_number"))
 
 
-def _payment_retention(span: DataFrame, sizes: DataFrame, rate_col: str, method: str) -> DataFrame:
-    """``span``: one row per account with cohort_month and last_month."""
+def _payment_retention(span: DataFrame, rate_col: str, method: str) -> DataFrame:
+    """``span``: one row per account with account_id, cohort_month and
+    last_month.  Cohort sizes come from the same rows, so accounts are read
+    once."""
     cohort, last = F.col("cohort_month"), F.col("last_month")
     if method == "explode":
+        sizes = span.groupBy("cohort_month").agg(F.count("account_id").alias("cohort_size"))
         months = span.where(last >= cohort).select(
             "cohort_month", F.explode(F.sequence(cohort, last, F.expr("interval 1 month"))).alias("m"))
         active = (months.groupBy("cohort_month",
@@ -91,24 +127,13 @@ def _payment_retention(span: DataFrame, sizes: DataFrame, rate_col: str, method:
     if method != "histogram":
         raise ValueError("method must be 'histogram' or 'explode'")
     tenure = age_months(cohort, last)
-    hist = (span.where(tenure >= 0)
-            .groupBy("cohort_month", tenure.alias("month_number"))
-            .agg(F.count(F.lit(1)).alias("n")))
-    grid = (hist.groupBy("cohort_month").agg(F.max("month_number").alias("top"))
-            .select("cohort_month",
-                    F.explode(F.sequence(F.lit(0), F.col("top"))).alias("month_number")))
-    down = (Window.partitionBy("cohort_month").orderBy(F.col("month_number").desc())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    active = (grid.join(hist, ["cohort_month", "month_number"], "left")
-              .select("cohort_month", "month_number",
-                      F.sum(F.coalesce(F.col("n"), F.lit(0))).over(down).alias("active_accounts")))
-    return _finish(active, sizes, rate_col)
+    return _from_tenure(span.select("account_id", "cohort_month", tenure.alias("tenure")), rate_col)
 
 
 def _span(accounts: DataFrame, last_churn: DataFrame, churn_col: str, max_date: Column) -> DataFrame:
     return (accounts.select("account_id", "signup_date")
             .join(last_churn, "account_id", "left")
-            .select(month_of(F.col("signup_date")).alias("cohort_month"),
+            .select("account_id", month_of(F.col("signup_date")).alias("cohort_month"),
                     month_of(F.coalesce(F.col(churn_col), max_date)).alias("last_month")))
 
 
@@ -116,14 +141,14 @@ def retention_payment_first(t: Tables, method: str = "histogram") -> DataFrame:
     """Payment retention until the first churn."""
     span = _span(t.accounts, first_churn(t.churn_events), "first_churn_date",
                  max_usage_date(t.feature_usage))
-    return _payment_retention(span, cohort_sizes(t.accounts), FIRST_CHURN_RATE, method)
+    return _payment_retention(span, FIRST_CHURN_RATE, method)
 
 
 def retention_payment_last(t: Tables, method: str = "histogram") -> DataFrame:
     """Payment retention until the last churn."""
     last = t.churn_events.groupBy("account_id").agg(F.max("churn_date").alias("last_churn_date"))
     span = _span(t.accounts, last, "last_churn_date", max_usage_date(t.feature_usage))
-    return _payment_retention(span, cohort_sizes(t.accounts), LAST_CHURN_RATE, method)
+    return _payment_retention(span, LAST_CHURN_RATE, method)
 
 
 def retention_matrix(retention: DataFrame, rate_col: str, months: list[int] | None = None) -> DataFrame:

@@ -43,16 +43,26 @@ def shape(plan: str) -> dict:
 
 
 def main():
-    args = [a for a in sys.argv[1:] if a != "--show"]
+    args = [a for a in sys.argv[1:] if not a.startswith("--")]
+    markdown = "--markdown" in sys.argv
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     names = args[1:] or list(queries())
     spark = local_session(8, 8, extra=SCALE_CONF)
     for k, v in SCALE_CONF.items():
         spark.conf.set(k, v)
+    if markdown:
+        print("| query | shuffle exchanges | of which single-partition | sort-merge joins | "
+              "broadcasts | nested-loop / cartesian | Python nodes |")
+        print("| --- | --- | --- | --- | --- | --- | --- |")
     for name in names:
         df = queries()[name](spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
-        print(f"{name:28s} {shape(plan)}")
+        sh = shape(plan)
+        if markdown:
+            print(f"| `{name}` | {sh['shuffles']} | {sh['single_partition_exchanges']} | {sh['smj']} | "
+                  f"{sh['bcast']} | {sh['nlj_or_cartesian']} | {sh['python']} |")
+        else:
+            print(f"{name:28s} {sh}")
         if "--show" in sys.argv:
             print(plan)
 
