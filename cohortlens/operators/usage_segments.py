@@ -28,8 +28,12 @@ LOWER_BOUNDS = (None, "signup")
 
 
 def early_usage(t: Tables, window_days: int = DEFAULT_WINDOW_DAYS,
-                lower_bound: str | None = None) -> DataFrame:
-    """account_id, total_usage within the window (accounts with usage only)."""
+                lower_bound: str | None = None, signups: DataFrame | None = None) -> DataFrame:
+    """account_id, total_usage within the window (accounts with usage only).
+
+    ``signups`` (account_id, signup_date) defaults to the accounts table; the
+    segment job passes its per-account outcomes, which are already
+    partitioned by account_id, so accounts are not mapped a second time."""
     if lower_bound not in LOWER_BOUNDS:
         raise ValueError(f"lower_bound must be one of {LOWER_BOUNDS}")
     per_day = (t.feature_usage.groupBy("subscription_id", "usage_date")
@@ -38,8 +42,9 @@ def early_usage(t: Tables, window_days: int = DEFAULT_WINDOW_DAYS,
     cond = F.col("usage_date") <= F.date_add(signup, window_days)
     if lower_bound == "signup":
         cond = cond & (F.col("usage_date") >= signup)
+    signups = t.accounts if signups is None else signups
     subs = (t.subscriptions.select("subscription_id", "account_id")
-            .join(t.accounts.select("account_id", "signup_date"), "account_id"))
+            .join(signups.select("account_id", "signup_date"), "account_id"))
     return (per_day.join(subs, "subscription_id").where(cond)
             .groupBy("account_id").agg(F.sum("uc").alias("total_usage")))
 
@@ -47,14 +52,15 @@ def early_usage(t: Tables, window_days: int = DEFAULT_WINDOW_DAYS,
 def usage_segments(t: Tables, outcomes: DataFrame, limits=DEFAULT_LIMITS,
                    window_days: int = DEFAULT_WINDOW_DAYS,
                    lower_bound: str | None = None) -> DataFrame:
-    """J24.  ``outcomes``: one row per account with churn_flag and
-    lifetime_months_till_churn (``accounts.account_outcomes``)."""
+    """J24.  ``outcomes``: one row per account with signup_date, churn_flag
+    and lifetime_months_till_churn (``accounts.account_outcomes`` or the
+    persisted summary)."""
     low, high = limits
     usage = F.coalesce(F.col("total_usage"), F.lit(0))
     band = (F.when(usage == 0, F.lit(NO_USAGE)).when(usage < low, F.lit(LOW))
             .when(usage < high, F.lit(MEDIUM)).otherwise(F.lit(HIGH)))
     per_band = (outcomes.select("account_id", "churn_flag", "lifetime_months_till_churn")
-                .join(early_usage(t, window_days, lower_bound), "account_id", "left")
+                .join(early_usage(t, window_days, lower_bound, outcomes), "account_id", "left")
                 .groupBy(band.alias("usage_segment"))
                 .agg(F.count(F.lit(1)).alias("accounts"),
                      F.sum("churn_flag").cast("long").alias("churned_accounts"),

@@ -30,13 +30,16 @@ SCALE_CONF = {
 
 
 def shape(plan: str) -> dict:
+    lines = plan.splitlines()
+    own = [ln for ln in lines if "ReusedExchange" not in ln]
+    shuffle = re.compile(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)")
     return {
-        "shuffles": len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|"
-                                   r"Exchange SinglePartition|Exchange RoundRobin", plan)),
+        "shuffles": sum(bool(shuffle.search(ln)) for ln in own),
+        "reused": sum("ReusedExchange" in ln for ln in lines),
         "smj": plan.count("SortMergeJoin"),
-        "bcast": plan.count("BroadcastExchange"),
+        "bcast": sum("BroadcastExchange" in ln for ln in own),
         "nlj_or_cartesian": plan.count("BroadcastNestedLoopJoin") + plan.count("CartesianProduct"),
-        "single_partition_exchanges": plan.count("Exchange SinglePartition"),
+        "single_partition_exchanges": sum("Exchange SinglePartition" in ln for ln in own),
         "python": len(re.findall(r"ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas|MapInPandas",
                                  plan)),
     }
@@ -51,15 +54,16 @@ def main():
     for k, v in SCALE_CONF.items():
         spark.conf.set(k, v)
     if markdown:
-        print("| query | shuffle exchanges | of which single-partition | sort-merge joins | "
-              "broadcasts | nested-loop / cartesian | Python nodes |")
-        print("| --- | --- | --- | --- | --- | --- | --- |")
+        print("| query | shuffle exchanges | of which single-partition | reused exchanges | "
+              "sort-merge joins | broadcasts | nested-loop / cartesian | Python nodes |")
+        print("| --- | --- | --- | --- | --- | --- | --- | --- |")
     for name in names:
         df = queries()[name](spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
         sh = shape(plan)
         if markdown:
-            print(f"| `{name}` | {sh['shuffles']} | {sh['single_partition_exchanges']} | {sh['smj']} | "
+            print(f"| `{name}` | {sh['shuffles']} | {sh['single_partition_exchanges']} | {sh['reused']} | "
+                  f"{sh['smj']} | "
                   f"{sh['bcast']} | {sh['nlj_or_cartesian']} | {sh['python']} |")
         else:
             print(f"{name:28s} {sh}")
