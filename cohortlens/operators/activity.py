@@ -34,7 +34,8 @@ def account_activity_bounds(t: Tables) -> DataFrame:
             .select("account_id", "signup_date", until.alias("active_until")))
 
 
-def monthly_active_users(t: Tables, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+def monthly_active_users(t: Tables, approx: bool = False, rsd: float = 0.01,
+                         ordered: bool = True) -> DataFrame:
     """active_month, mau.  ``approx=True`` counts accounts with
     HyperLogLog++ (relative error ``rsd``): one partial aggregate per month,
     no exchange keyed by account."""
@@ -45,9 +46,8 @@ def monthly_active_users(t: Tables, approx: bool = False, rsd: float = 0.01) ->
     active = (days.join(subs, "subscription_id")
               .where((d >= F.col("signup_date")) & (until.isNull() | (d <= until))))
     count = F.approx_count_distinct("account_id", rsd) if approx else F.count_distinct("account_id")
-    return (active.groupBy(month_of(d).alias("active_month"))
-            .agg(count.alias("mau"))
-            .orderBy(F.col("active_month").asc_nulls_last()))
+    out = active.groupBy(month_of(d).alias("active_month")).agg(count.alias("mau"))
+    return out.orderBy(F.col("active_month").asc_nulls_last()) if ordered else out
 
 
 def mau_summary(mau: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions import age_months, month_of, pct
 from cohortlens.operators.accounts import first_churn, max_usage_date
+from cohortlens.session import checkpoint_root
 from cohortlens.sources.tables import Tables
 
 ACTIVITY_RATE = "product_retention_rate_percentage"
@@ -156,10 +157,14 @@ def retention_matrix(retention: DataFrame, rate_col: str, months: list[int] | No
 
     Cells are unique per (cohort, month) by construction; missing cells are
     NULL.  ``months`` fixes the columns; by default they are the month
-    numbers present (a small distinct set, one per calendar month), which
-    Spark finds with one extra pass over ``retention`` - pass a persisted
-    retention table (``sinks.materialize``) when it is expensive to
-    recompute."""
+    numbers present (a small distinct set, one per calendar month).  Finding
+    them is a pass of its own over ``retention``, so the retention table - a
+    cohorts x months result - is checkpointed first (reliable checkpoint in
+    the cluster's checkpoint folder): both passes read it instead of
+    recomputing it from the raw tables."""
+    if months is None:
+        checkpoint_root(retention.sparkSession)
+        retention = retention.checkpoint(eager=True)
     labelled = retention.select(F.date_format("cohort_month", "yyyy-MM").alias("cohort_m_short"),
                                 "month_number", rate_col)
     return (labelled.groupBy("cohort_m_short").pivot("month_number", months)

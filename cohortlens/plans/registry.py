@@ -93,7 +93,8 @@ QUERIES: dict[str, Query] = {
     "worst_subsegment": lambda s, d: churn.worst_subsegment(_segments(s, d)),
     "usage_quality_split": lambda s, d: act.usage_quality_split(
         act.usage_quality(act.activation_base(_t(s, d)))),
-    "mau_summary": lambda s, d: activity.mau_summary(_mau(s, d)),
+    "mau_summary": lambda s, d: activity.mau_summary(
+        activity.monthly_active_users(_t(s, d), ordered=False)),
     "country_share": lambda s, d: churn.country_share(acc.account_outcomes(_t(s, d))),
 }
 

@@ -46,14 +46,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     survives executor loss).  Only when nothing is configured, as in local
     tests, a fresh folder is created and registered.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: the server owns the context
+        sc = None
+    if sc is not None and not configured:
+        configured = sc.getCheckpointDir()
     if configured:
-        if sc.getCheckpointDir() is None:
+        if sc is not None and sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     local = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
-    sc.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
