@@ -66,3 +66,31 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), "tables", name)
+
+
+def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000) -> dict:
+    """Settings for a run over ``input_bytes`` of Parquet on a cluster.
+
+    * initial shuffle partitions: about 256 MB of input each and at least
+      three waves of tasks; AQE then coalesces small partitions and splits
+      skewed ones at run time, so starting high is cheap;
+    * scan splits of 512 MB (row groups are never split further);
+    * more task attempts and decommissioning, so lost executors (spot
+      reclamation) re-run tasks instead of failing the job; shuffle files of
+      a decommissioned executor are migrated before it goes.
+    """
+    slots = executor_cores * executors
+    partitions = max(3 * slots, int(input_bytes // (256 << 20)))
+    return {
+        **BASE_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+        "spark.sql.files.maxPartitionBytes": "512m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.task.maxFailures": "8",
+        "spark.stage.maxConsecutiveAttempts": "8",
+        "spark.decommission.enabled": "true",
+        "spark.storage.decommission.enabled": "true",
+        "spark.storage.decommission.shuffleBlocks.enabled": "true",
+    }

@@ -48,6 +48,13 @@ class Tables:
     def with_(self, **kw) -> "Tables":
         return Tables(**{**self._src, **kw})
 
+    def register_views(self, prefix: str = "") -> None:
+        """Expose the five inputs as temporary views (``<prefix><table>``) so
+        SQL written against the source tables runs through ``spark.sql``;
+        the plans are the same as with the DataFrame API."""
+        for name in TABLE_NAMES:
+            self._get(name).createOrReplaceTempView(f"{prefix}{name}")
+
 
 # Fixed values of the mapping (FIXTURES.md section 3).
 DEFAULT_SIGNUP = dt.date(1995, 1, 1)
