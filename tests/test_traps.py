@@ -4,7 +4,6 @@ usage date is 2024-12-31 unless stated."""
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortlens.operators import accounts as acc
 from cohortlens.operators import activation as act
