@@ -47,33 +47,37 @@ def _finish(active: DataFrame, sizes: DataFrame, rate_col: str) -> DataFrame:
 
 
 def active_account_months(t: Tables) -> DataFrame:
-    """(account_id, active_month) pairs from usage, not yet de-duplicated per
-    account: usage is reduced to distinct (subscription, month) first, so a
-    hot subscription collapses map-side before the join to accounts."""
+    """Distinct (account_id, active_month) pairs from usage.
+
+    Usage is reduced to distinct (subscription, month) before the join to
+    subscriptions and to distinct (account, month) after it, both with
+    map-side partial aggregation: a hot subscription or an account holding a
+    third of all subscriptions shrinks to at most one row per calendar month
+    before it meets the accounts (where it would sit on the side of a left
+    join that adaptive skew handling cannot split)."""
     per_sub = (t.feature_usage.where(F.col("usage_date").isNotNull())
                .select("subscription_id", month_of(F.col("usage_date")).alias("active_month"))
                .distinct())
     return (per_sub.join(t.subscriptions.select("subscription_id", "account_id"), "subscription_id")
-            .select("account_id", "active_month"))
+            .select("account_id", "active_month").distinct())
 
 
 def retention_activity(t: Tables) -> DataFrame:
     """Unbroken-activity retention per signup cohort.
 
-    One pass over accounts: each account is left-joined to its active months
-    on/after its cohort month (the month condition sits in the join, so an
-    account without such months keeps one row and stays in its cohort's
-    size).  The distinct months and the per-account streak window run where
-    the join left the rows (partitioned by account_id, no exchange); the
-    streak length L per account then goes through the same tenure histogram
-    as payment retention (tenure = L - 1)."""
+    One pass over accounts: each account is left-joined to its distinct
+    active months on/after its cohort month (the month condition sits in the
+    join, so an account without such months keeps one row and stays in its
+    cohort's size).  The per-account streak window runs where the join left
+    the rows (partitioned by account_id, no exchange; at most one row per
+    calendar month per account); the streak length L per account then goes
+    through the same tenure histogram as payment retention (tenure = L - 1)."""
     cohorts = t.accounts.select("account_id", month_of(F.col("signup_date")).alias("cohort_month"))
     active = active_account_months(t)
     months = (cohorts.join(active, (cohorts["account_id"] == active["account_id"])
                            & (active["active_month"] >= cohorts["cohort_month"]), "left")
               .select(cohorts["account_id"], "cohort_month",
-                      age_months(F.col("cohort_month"), F.col("active_month")).alias("month_number"))
-              .distinct())
+                      age_months(F.col("cohort_month"), F.col("active_month")).alias("month_number")))
     rn = F.row_number().over(Window.partitionBy("account_id").orderBy("month_number"))
     streak = (months.withColumn("rn", rn)
               .groupBy("account_id", "cohort_month")

@@ -65,3 +65,36 @@ def test_skewed_join_is_split(spark, skewed):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _brute_activity(t):
+    """The source's formulation: distinct active months, row_number streak
+    test, distinct counts per cell."""
+    from pyspark.sql import Window
+    cohorts = t.accounts.select("account_id", F.trunc("signup_date", "MM").alias("cohort_month"))
+    active = (t.feature_usage.join(t.subscriptions, "subscription_id", "left")
+              .where(F.col("usage_date").isNotNull())
+              .select("account_id", F.trunc("usage_date", "MM").alias("active_month")).distinct())
+    m = (cohorts.join(active, "account_id").where(F.col("active_month") >= F.col("cohort_month"))
+         .withColumn("month_number", F.months_between("active_month", "cohort_month").cast("long")))
+    rn = F.row_number().over(Window.partitionBy("account_id").orderBy("month_number"))
+    base = (m.withColumn("rn", rn).where(F.col("month_number") == F.col("rn") - 1)
+            .groupBy("cohort_month", "month_number").agg(F.count_distinct("account_id").alias("a")))
+    size = cohorts.groupBy("cohort_month").agg(F.count_distinct("account_id").alias("s"))
+    return base.join(size, "cohort_month").select("cohort_month", "month_number", "a", "s")
+
+
+def test_hot_account_results_exact(spark):
+    """One account holds a third of all subscriptions (and so of all usage)."""
+    t = load_driver_tables(spark, SF_SMALL)
+    hot_account = t.accounts.agg(F.min("account_id")).collect()[0][0]
+    subs = t.subscriptions.withColumn(
+        "account_id",
+        F.when(F.col("subscription_id") % 3 == 1, F.lit(hot_account)).otherwise(F.col("account_id")))
+    t = t.with_(subscriptions=subs)
+    got = sorted((r.cohort_month, r.month_number, r.active_accounts, r.cohort_size)
+                 for r in ret.retention_activity(t).collect())
+    want = sorted(tuple(r) for r in _brute_activity(t).collect())
+    assert got == want and len(got) > 0
+    mau = sorted(tuple(r) for r in activity.monthly_active_users(t).collect())
+    assert mau == sorted(tuple(r) for r in _brute_mau(t).collect())
