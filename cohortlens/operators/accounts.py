@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.functions import age_months, round_div, round_float_as_numeric
+from cohortlens.operators.skew import lookup_join
 from cohortlens.sources.tables import Tables
 
 POST_CHURN_MODES = ("to_max_date", "exclude")
@@ -82,7 +83,7 @@ def _subscription_end_with(t: Tables, fc_df: DataFrame, post_churn: str, max_dat
     end_sub = (F.when(end.isNotNull() & (fc.isNull() | (end < fc)), end)
                .when(fc.isNotNull() & (start <= fc), fc)
                .otherwise(fallback))
-    return (t.subscriptions.join(fc_df, "account_id", "left")
+    return (lookup_join(t.subscriptions, fc_df, "account_id", "left")
             .select("subscription_id", "account_id",
                     start.alias("start_date_sub"), end_sub.alias("end_date_sub"),
                     "mrr_amount", "upgrade_flag", "downgrade_flag"))

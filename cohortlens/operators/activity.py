@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions import month_of, round_div
+from cohortlens.operators.skew import lookup_join
 from cohortlens.sources.tables import Tables
 
 
@@ -40,8 +41,8 @@ def monthly_active_users(t: Tables, approx: bool = False, rsd: float = 0.01,
     HyperLogLog++ (relative error ``rsd``): one partial aggregate per month,
     no exchange keyed by account."""
     days = t.feature_usage.select("subscription_id", "usage_date").distinct()
-    subs = (t.subscriptions.select("subscription_id", "account_id")
-            .join(account_activity_bounds(t), "account_id"))
+    subs = lookup_join(t.subscriptions.select("subscription_id", "account_id"),
+                       account_activity_bounds(t), "account_id", "inner")
     d, until = F.col("usage_date"), F.col("active_until")
     active = (days.join(subs, "subscription_id")
               .where((d >= F.col("signup_date")) & (until.isNull() | (d <= until))))

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions import pct, round_div
+from cohortlens.operators.skew import lookup_join
 from cohortlens.sources.tables import Tables
 
 # Band names and limits of the source, in output order.
@@ -43,8 +44,8 @@ def early_usage(t: Tables, window_days: int = DEFAULT_WINDOW_DAYS,
     if lower_bound == "signup":
         cond = cond & (F.col("usage_date") >= signup)
     signups = t.accounts if signups is None else signups
-    subs = (t.subscriptions.select("subscription_id", "account_id")
-            .join(signups.select("account_id", "signup_date"), "account_id"))
+    subs = lookup_join(t.subscriptions.select("subscription_id", "account_id"),
+                       signups.select("account_id", "signup_date"), "account_id", "inner")
     return (per_day.join(subs, "subscription_id").where(cond)
             .groupBy("account_id").agg(F.sum("uc").alias("total_usage")))
 

@@ -98,3 +98,20 @@ def test_hot_account_results_exact(spark):
     assert got == want and len(got) > 0
     mau = sorted(tuple(r) for r in activity.monthly_active_users(t).collect())
     assert mau == sorted(tuple(r) for r in _brute_mau(t).collect())
+
+
+def test_lookup_join_hot_path_equals_plain_join(spark):
+    from cohortlens.operators.skew import hot_keys, lookup_join
+    t = load_driver_tables(spark, SF_SMALL)
+    subs = t.subscriptions.withColumn(
+        "account_id", F.when(F.col("subscription_id") % 3 == 1, F.lit(7)).otherwise(F.col("account_id")))
+    lookup = t.churn_events.groupBy("account_id").agg(F.min("churn_date").alias("fc"))
+    hot = hot_keys(subs, "account_id", hot_share=0.05, min_hot_rows=10)
+    assert [r.account_id for r in hot.collect()] == [7]          # only the hot account
+    assert hot_keys(subs, "account_id", hot_share=0.001, min_hot_rows=1).count() <= 1000
+    for how in ("left", "inner"):
+        got = lookup_join(subs, lookup, "account_id", how, hot_share=0.05, min_hot_rows=10)
+        want = subs.join(lookup, "account_id", how)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Union" in plan
