@@ -171,8 +171,13 @@ def retention_matrix(retention: DataFrame, rate_col: str, months: list[int] | No
         retention = retention.checkpoint(eager=True)
     labelled = retention.select(F.date_format("cohort_month", "yyyy-MM").alias("cohort_m_short"),
                                 "month_number", rate_col)
+    # a matrix cell must come from exactly one row (a pandas pivot raises
+    # otherwise); checked inside the aggregation, no extra pass
+    cell = (F.when(F.count(F.lit(1)) > 1,
+                   F.raise_error(F.lit("retention_matrix: duplicate (cohort, month_number) cell")))
+            .otherwise(F.max(rate_col)).cast("double"))
     return (labelled.groupBy("cohort_m_short").pivot("month_number", months)
-            .agg(F.max(rate_col)).orderBy("cohort_m_short"))
+            .agg(cell).orderBy("cohort_m_short"))
 
 
 def retention_mean(retention: DataFrame, rate_col: str, months=(0, 12)) -> DataFrame:

@@ -263,3 +263,14 @@ def test_raw_csv_tables_are_typed_on_ingest(spark, tmp_path):
     s = acc.accounts_summary(t).collect()[0]
     assert (s.subscriptions, s.total_usage_count, s.support_tickets, s.churn_flag) == (1, 7, 1, 1)
     assert s.avg_satisfaction_score is None and s.lifetime_months_till_churn == 1
+
+
+def test_retention_matrix_rejects_duplicate_cells(spark):
+    long = spark.createDataFrame(
+        [(d("2024-01-01"), 0, 100.0), (d("2024-01-01"), 1, 50.0), (d("2024-02-01"), 0, 100.0)],
+        "cohort_month date, month_number long, r double")
+    m = ret.retention_matrix(long, "r", months=[0, 1]).collect()
+    assert [(x.cohort_m_short, x["0"], x["1"]) for x in m] == [("2024-01", 100.0, 50.0), ("2024-02", 100.0, None)]
+    dup = long.unionByName(long.limit(1))
+    with pytest.raises(Exception, match="duplicate"):
+        ret.retention_matrix(dup, "r", months=[0, 1]).collect()
