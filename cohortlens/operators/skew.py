@@ -4,15 +4,18 @@ Joining subscriptions (large, possibly skewed: one account may own a third of
 them) to a per-account table (one row per account) puts every row of a hot
 account into one task of a shuffle join.  Adaptive skew splitting cannot help
 where the lookup side arrives already partitioned by its own aggregation
-(which is what saves its exchange), so hot keys are split out explicitly:
+(which is what saves its exchange), so hot keys are handled explicitly, in a
+single pass over the large table:
 
 * a key is hot when it holds more than ``hot_share`` of the large table's
   rows (and at least ``min_hot_rows``), so there are at most
   ``1 / hot_share`` hot keys - a bound that does not grow with the data;
 * the lookup rows of hot keys are therefore a table of proven bounded size
-  and are broadcast; the large table's hot rows join them map-side, in
-  whatever task they are, so a hot key is spread over all scan tasks;
-* every other row takes the ordinary shuffle join, where no key is large.
+  and are broadcast: hot rows pick up their lookup values map-side, in
+  whatever scan task they are;
+* in the shuffle join that serves all other keys, hot rows carry a join key
+  that never matches plus a deterministic salt, so they spread over all
+  partitions instead of piling into the partition of their key.
 
 The extra cost is one partially aggregated count per key of the large table.
 """
@@ -23,27 +26,46 @@ from pyspark.sql import DataFrame, functions as F
 
 HOT_SHARE = 1e-4          # a key with > 0.01 % of all rows is hot: <= 10,000 hot keys
 MIN_HOT_ROWS = 1_000_000  # ... and with at least this many rows (a task handles fewer easily)
+SALT_BUCKETS = 4096       # spread of hot rows in the shuffle join
 
 
 def hot_keys(big: DataFrame, key: str, hot_share: float = HOT_SHARE,
              min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Keys of ``big`` holding more than ``hot_share`` of its rows and at
     least ``min_hot_rows``; at most ``1 / hot_share`` rows."""
-    total = big.agg(F.count(F.lit(1))).scalar()
+    per_key = big.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    total = per_key.agg(F.sum("_rows")).scalar()  # from the per-key counts: no second scan
     limit = F.greatest(total * F.lit(hot_share), F.lit(min_hot_rows))
-    return (big.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-            .where(F.col("_rows") >= limit).select(key))
+    return per_key.where(F.col("_rows") >= limit).select(key)
 
 
 def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left",
                 hot_share: float = HOT_SHARE, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """``big.join(lookup, key, how)`` for a ``lookup`` with one row per key
-    (``how`` is 'left' or 'inner'), safe for skew on ``key`` in ``big``."""
+    (``how`` is 'left' or 'inner'), safe for skew on ``key`` in ``big``.
+    Output columns: ``big``'s, then ``lookup``'s other columns."""
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
+    values = [c for c in lookup.columns if c != key]
     hot = hot_keys(big, key, hot_share, min_hot_rows)
-    marked = big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    cold = marked.where(F.col("_hot").isNull()).drop("_hot")
-    warm = marked.where(F.col("_hot")).drop("_hot")
-    hot_lookup = lookup.join(F.broadcast(hot), key, "left_semi")
-    return cold.join(lookup, key, how).unionByName(warm.join(F.broadcast(hot_lookup), key, how))
+    hot_side = (lookup.join(F.broadcast(hot), key, "left_semi")  # <= 1 / hot_share rows
+                .select(F.col(key), F.lit(True).alias("_hot"),
+                        *[F.col(c).alias(f"_h_{c}") for c in values]))
+    tagged = big.join(F.broadcast(hot_side), key, "left")
+    is_hot = F.col("_hot").isNotNull()
+    tagged = tagged.select(
+        "*",
+        F.when(is_hot, F.lit(None)).otherwise(F.col(key)).alias("_jk"),
+        F.when(is_hot, F.pmod(F.xxhash64(*big.columns), F.lit(SALT_BUCKETS)))
+        .otherwise(F.lit(0)).cast("int").alias("_js"))
+    # salt 0 for every lookup row, written so that the optimizer cannot fold
+    # it into a constant (it would then drop it from the shuffle keys and
+    # send every hot row to the partition of the NULL key)
+    zero = F.when(F.col(key).isNotNull(), F.lit(0))
+    cold_side = lookup.select(F.col(key).alias("_jk"), zero.alias("_js"), F.lit(True).alias("_cold"),
+                              *[F.col(c).alias(f"_c_{c}") for c in values])
+    joined = tagged.join(cold_side, ["_jk", "_js"], "left")
+    if how == "inner":
+        joined = joined.where(is_hot | F.col("_cold").isNotNull())
+    return joined.select(*[F.col(c) for c in big.columns],
+                         *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in values])

@@ -21,8 +21,18 @@ from cohortlens.sources.tables import load_driver_tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Mapped input plans per (session, folder).  Only the lazy plans are shared -
+# every query still scans and computes everything - so repeated queries skip
+# re-resolving the same files and re-analysing the same mapping expressions.
+_PLANS: dict[tuple[int, str], tuple[SparkSession, object]] = {}
+
+
 def _t(spark: SparkSession, sf_dir: str):
-    return load_driver_tables(spark, sf_dir)
+    key = (id(spark), sf_dir)
+    hit = _PLANS.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = _PLANS[key] = (spark, load_driver_tables(spark, sf_dir))
+    return hit[1]
 
 
 def _growth(spark, d):

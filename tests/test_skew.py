@@ -114,4 +114,6 @@ def test_lookup_join_hot_path_equals_plain_join(spark):
         want = subs.join(lookup, "account_id", how)
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
         plan = got._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan and "Union" in plan
+        assert "BroadcastHashJoin" in plan and "xxhash64" in plan and "Union" not in plan
+        # hot rows carry a salt that stays a shuffle key
+        assert "hashpartitioning(_jk" in plan and "_js" in plan.split("hashpartitioning(_jk")[1].split(")")[0]
