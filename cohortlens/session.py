@@ -43,8 +43,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for materialised tables and streaming state.
 
     On a cluster this is ``spark.checkpoint.dir`` (a shared file system that
-    survives executor loss).  Only when nothing is configured, as in local
-    tests, a fresh folder is created and registered.
+    survives executor loss).  Only when nothing is configured and the master
+    is local, as in tests, a fresh folder is created and registered; on a
+    cluster a missing setting is an error, never a machine-local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -57,6 +58,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         if sc is not None and sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
     local = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(local)
