@@ -23,11 +23,14 @@ def to_double(c: Column) -> Column:
     return c.cast("double")
 
 
-def round_div(num: Column, den: Column, scale: int = 2, times: int = 1) -> Column:
+def round_div(num: Column, den: Column, scale: int = 2, times: int = 1, num_scale: int = 0) -> Column:
     """round(num * times / den, scale) on decimals, half away from zero, as DOUBLE.
 
-    ``num`` and ``den`` are integral (counts, sums of integers)."""
-    n = _dec(num) if times == 1 else _dec(num) * F.lit(times).cast(f"decimal({len(str(times))},0)")
+    ``den`` is integral (a count); ``num`` is integral or a decimal with at
+    most ``num_scale`` fractional digits (money)."""
+    n = num.cast(f"decimal({19 + num_scale},{num_scale})") if num_scale else _dec(num)
+    if times != 1:
+        n = n * F.lit(times).cast(f"decimal({len(str(times))},0)")
     q = n / _dec(F.nullif(den, F.lit(0)))
     return to_double(F.round(q, scale))
 

@@ -121,7 +121,7 @@ def revenue_lifetime_summary(t: Tables, post_churn: str = "to_max_date") -> Data
     return (rev.join(life, "account_id")
             .agg(F.min(r).alias("min_aprox_revenue_till_churn"),
                  F.max(r).alias("max_approx_revenue_till_churn"),
-                 round_div(F.sum(r), F.count(r)).alias("avg_approx_revenue_till_churn"),
+                 round_div(F.sum(r), F.count(r), num_scale=2).alias("avg_approx_revenue_till_churn"),
                  F.min(l).alias("min_lifetime_till_churn"),
                  F.max(l).alias("max_lifetime_till_churn"),
                  round_div(F.sum(l), F.count(l)).alias("avg_lifetime_till_churn")))

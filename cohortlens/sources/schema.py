@@ -3,7 +3,9 @@
 The source system keeps every date as text and a missing subscription end as
 the empty string.  ``ingest`` converts once, at the edge: dates become
 ``DateType`` (so later predicates push down to Parquet as date filters) and
-blank text becomes NULL.  Keys are ``LongType``.
+blank text becomes NULL.  Keys are ``LongType``; money is ``DECIMAL(18,2)``
+(the driver mapping's whole-number amounts are BIGINT - every job accepts
+either).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ SUBSCRIPTIONS = T.StructType([
     T.StructField("start_date", T.DateType()),
     T.StructField("end_date", T.DateType()),
     T.StructField("plan_tier", T.StringType()),
-    T.StructField("mrr_amount", T.LongType()),
+    T.StructField("mrr_amount", T.DecimalType(18, 2)),
     T.StructField("upgrade_flag", T.BooleanType()),
     T.StructField("downgrade_flag", T.BooleanType()),
 ])
@@ -35,7 +37,7 @@ SUBSCRIPTIONS = T.StructType([
 # produce; they are audited when present (null_audit) and typed on ingest.
 SUBSCRIPTIONS_OPTIONAL = T.StructType([
     T.StructField("seats", T.LongType()),
-    T.StructField("arr_amount", T.LongType()),
+    T.StructField("arr_amount", T.DecimalType(18, 2)),
     T.StructField("is_trial", T.BooleanType()),
     T.StructField("churn_flag", T.BooleanType()),
     T.StructField("billing_frequency", T.StringType()),
@@ -64,7 +66,7 @@ CHURN_EVENTS = T.StructType([
     T.StructField("account_id", T.LongType()),
     T.StructField("churn_date", T.DateType()),
     T.StructField("reason_code", T.StringType()),
-    T.StructField("refund_amount_usd", T.LongType()),
+    T.StructField("refund_amount_usd", T.DecimalType(18, 2)),
 ])
 
 SCHEMAS = {

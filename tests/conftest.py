@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from decimal import Decimal
 import sys
 
 import pytest
@@ -35,6 +36,8 @@ def _df(spark, rows, schema):
             v = r.get(f.name) if isinstance(r, dict) else None
             if isinstance(v, str) and f.dataType.typeName() == "date":
                 v = d(v)
+            if v is not None and f.dataType.typeName() == "decimal":
+                v = Decimal(str(v))
             vals.append(v)
         fixed.append(tuple(vals))
     return spark.createDataFrame(fixed, schema)

@@ -2,6 +2,7 @@
 usage date is 2024-12-31 unless stated."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 
@@ -243,7 +244,7 @@ def test_raw_csv_tables_are_typed_on_ingest(spark, tmp_path):
         "subscriptions": "subscription_id,account_id,start_date,end_date,plan_tier,seats,mrr_amount,"
                          "arr_amount,is_trial,upgrade_flag,downgrade_flag,churn_flag,billing_frequency,"
                          "auto_renew_flag\n"
-                         "10,1,2024-01-15,,Pro,5,100,1200,False,True,False,False,monthly,True\n",
+                         "10,1,2024-01-15,,Pro,5,99.50,1194,False,True,False,False,monthly,True\n",
         "feature_usage": "usage_id,subscription_id,usage_date,feature_name,usage_count,usage_duration_secs,"
                          "error_count,is_beta_feature\n"
                          "u1,10,2024-02-01,reports,7,30,1,False\n",
@@ -263,6 +264,10 @@ def test_raw_csv_tables_are_typed_on_ingest(spark, tmp_path):
     s = acc.accounts_summary(t).collect()[0]
     assert (s.subscriptions, s.total_usage_count, s.support_tickets, s.churn_flag) == (1, 7, 1, 1)
     assert s.avg_satisfaction_score is None and s.lifetime_months_till_churn == 1
+    # money keeps its cents: 99.50 a month from 2024-01-15 to the churn on 2024-03-05
+    assert s.approx_revenue_till_churn == Decimal("99.50") and s.first_refund_usd == 0
+    summary = acc.revenue_lifetime_summary(t).collect()[0]
+    assert summary.avg_approx_revenue_till_churn == 99.5
 
 
 def test_retention_matrix_rejects_duplicate_cells(spark):
