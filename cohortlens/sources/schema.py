@@ -3,9 +3,9 @@
 The source system keeps every date as text and a missing subscription end as
 the empty string.  ``ingest`` converts once, at the edge: dates become
 ``DateType`` (so later predicates push down to Parquet as date filters) and
-blank text becomes NULL.  Keys are ``LongType``; money is ``DECIMAL(18,2)``
-(the driver mapping's whole-number amounts are BIGINT - every job accepts
-either).
+blank text becomes NULL.  Keys are text (source identifiers such as
+``A-2e4581``); money is ``DECIMAL(18,2)``.  The driver mapping produces
+BIGINT keys and whole-number amounts instead - every job accepts either.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ACCOUNTS = T.StructType([
-    T.StructField("account_id", T.LongType()),
+    T.StructField("account_id", T.StringType()),
     T.StructField("industry", T.StringType()),
     T.StructField("country", T.StringType()),
     T.StructField("signup_date", T.DateType()),
@@ -23,8 +23,8 @@ ACCOUNTS = T.StructType([
 ])
 
 SUBSCRIPTIONS = T.StructType([
-    T.StructField("subscription_id", T.LongType()),
-    T.StructField("account_id", T.LongType()),
+    T.StructField("subscription_id", T.StringType()),
+    T.StructField("account_id", T.StringType()),
     T.StructField("start_date", T.DateType()),
     T.StructField("end_date", T.DateType()),
     T.StructField("plan_tier", T.StringType()),
@@ -45,7 +45,7 @@ SUBSCRIPTIONS_OPTIONAL = T.StructType([
 ])
 
 FEATURE_USAGE = T.StructType([
-    T.StructField("subscription_id", T.LongType()),
+    T.StructField("subscription_id", T.StringType()),
     T.StructField("usage_date", T.DateType()),
     T.StructField("feature_name", T.StringType()),
     T.StructField("usage_count", T.LongType()),
@@ -54,21 +54,30 @@ FEATURE_USAGE = T.StructType([
 ])
 
 SUPPORT_TICKETS = T.StructType([
-    T.StructField("ticket_id", T.LongType()),
-    T.StructField("account_id", T.LongType()),
+    T.StructField("ticket_id", T.StringType()),
+    T.StructField("account_id", T.StringType()),
     T.StructField("resolution_time_hours", T.DoubleType()),
     T.StructField("satisfaction_score", T.DoubleType()),
     T.StructField("escalation_flag", T.BooleanType()),
 ])
 
 CHURN_EVENTS = T.StructType([
-    T.StructField("churn_event_id", T.LongType()),
-    T.StructField("account_id", T.LongType()),
+    T.StructField("churn_event_id", T.StringType()),
+    T.StructField("account_id", T.StringType()),
     T.StructField("churn_date", T.DateType()),
     T.StructField("reason_code", T.StringType()),
     T.StructField("refund_amount_usd", T.DecimalType(18, 2)),
 ])
 
+KEYS = ("account_id", "subscription_id", "ticket_id", "churn_event_id")
+
+
+def with_key_type(schema: T.StructType, dtype: T.DataType) -> T.StructType:
+    """The same schema with every key column of type ``dtype``."""
+    return T.StructType([T.StructField(f.name, dtype if f.name in KEYS else f.dataType, f.nullable)
+                         for f in schema.fields])
+
+
 SCHEMAS = {
     "accounts": ACCOUNTS,
     "subscriptions": SUBSCRIPTIONS,

@@ -9,6 +9,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from pyspark.sql import types as T  # noqa: E402
+
 from cohortlens.session import local_session  # noqa: E402
 from cohortlens.sources import schema as S  # noqa: E402
 from cohortlens.sources.tables import Tables  # noqa: E402
@@ -45,12 +47,13 @@ def _df(spark, rows, schema):
 
 def make_tables(spark, accounts=(), subscriptions=(), usage=(), tickets=(), churn=()) -> Tables:
     """Typed input tables from dicts; missing columns are NULL."""
+    long_keys = lambda s: S.with_key_type(s, T.LongType())
     return Tables(
-        accounts=_df(spark, accounts, S.ACCOUNTS),
-        subscriptions=_df(spark, subscriptions, S.SUBSCRIPTIONS),
-        feature_usage=_df(spark, usage, S.FEATURE_USAGE),
-        support_tickets=_df(spark, tickets, S.SUPPORT_TICKETS),
-        churn_events=_df(spark, churn, S.CHURN_EVENTS),
+        accounts=_df(spark, accounts, long_keys(S.ACCOUNTS)),
+        subscriptions=_df(spark, subscriptions, long_keys(S.SUBSCRIPTIONS)),
+        feature_usage=_df(spark, usage, long_keys(S.FEATURE_USAGE)),
+        support_tickets=_df(spark, tickets, long_keys(S.SUPPORT_TICKETS)),
+        churn_events=_df(spark, churn, long_keys(S.CHURN_EVENTS)),
     )
 
 

@@ -25,7 +25,7 @@ def test_t1_blanks_and_ingest(spark):
     assert audit["end_date_nulls"] == 1 and audit["end_date_blanks"] == 1
     typed = S.ingest(raw, "subscriptions")
     assert [r.end_date for r in typed.orderBy("subscription_id").collect()] == [None, None, d("2024-03-01")]
-    assert dict(typed.dtypes)["start_date"] == "date" and dict(typed.dtypes)["subscription_id"] == "bigint"
+    assert dict(typed.dtypes)["start_date"] == "date" and dict(typed.dtypes)["subscription_id"] == "string"
 
 
 def _t2_tables(spark, start, end, churn_date):
@@ -240,34 +240,36 @@ def test_raw_csv_tables_are_typed_on_ingest(spark, tmp_path):
     from cohortlens.sources.tables import load_raw_tables
     files = {
         "accounts": "account_id,industry,country,signup_date,referral_source,plan_tier,seats\n"
-                    "1,DevTools,UK,2024-01-10,partner,Pro,5\n",
+                    "A-1,DevTools,UK,2024-01-10,partner,Pro,5\n",
         "subscriptions": "subscription_id,account_id,start_date,end_date,plan_tier,seats,mrr_amount,"
                          "arr_amount,is_trial,upgrade_flag,downgrade_flag,churn_flag,billing_frequency,"
                          "auto_renew_flag\n"
-                         "10,1,2024-01-15,,Pro,5,99.50,1194,False,True,False,False,monthly,True\n",
+                         "S-10,A-1,2024-01-15,,Pro,5,99.50,1194,False,True,False,False,monthly,True\n",
         "feature_usage": "usage_id,subscription_id,usage_date,feature_name,usage_count,usage_duration_secs,"
                          "error_count,is_beta_feature\n"
-                         "u1,10,2024-02-01,reports,7,30,1,False\n",
+                         "U-1,S-10,2024-02-01,reports,7,30,1,False\n",
         "support_tickets": "ticket_id,account_id,submitted_at,resolution_time_hours,satisfaction_score,"
-                           "escalation_flag\nt1,1,2024-02-02,3.5,,True\n",
+                           "escalation_flag\nT-1,A-1,2024-02-02,3.5,,True\n",
         "churn_events": "churn_event_id,account_id,churn_date,reason_code,refund_amount_usd\n"
-                        "7,1,2024-03-05,pricing,0\n",
+                        "C-7,A-1,2024-03-05,pricing,0\n",
     }
     for name, text in files.items():
         (tmp_path / f"{name}.csv").write_text(text)
     t = load_raw_tables(spark, str(tmp_path))
     sub = t.subscriptions.collect()[0]
     assert sub.end_date is None and sub.upgrade_flag is True and sub.start_date == d("2024-01-15")
-    assert "billing_frequency" in t.subscriptions.columns
+    assert sub.account_id == "A-1" and "billing_frequency" in t.subscriptions.columns
     audit = quality.null_audit(t.subscriptions).collect()[0]
     assert audit["end_date_nulls"] == 1 and audit["arr_amount_nulls"] == 0
     s = acc.accounts_summary(t).collect()[0]
-    assert (s.subscriptions, s.total_usage_count, s.support_tickets, s.churn_flag) == (1, 7, 1, 1)
+    assert (s.account_id, s.subscriptions, s.total_usage_count, s.support_tickets, s.churn_flag) == \
+        ("A-1", 1, 7, 1, 1)
     assert s.avg_satisfaction_score is None and s.lifetime_months_till_churn == 1
     # money keeps its cents: 99.50 a month from 2024-01-15 to the churn on 2024-03-05
     assert s.approx_revenue_till_churn == Decimal("99.50") and s.first_refund_usd == 0
     summary = acc.revenue_lifetime_summary(t).collect()[0]
     assert summary.avg_approx_revenue_till_churn == 99.5
+    assert [r.mau for r in activity.monthly_active_users(t).collect()] == [1]
 
 
 def test_retention_matrix_rejects_duplicate_cells(spark):
