@@ -35,20 +35,40 @@ def _t(spark: SparkSession, sf_dir: str):
     return hit[1]
 
 
+# Shared derived plans (lazy, no data cached) per mapped-input object.
+_DERIVED: dict[tuple[int, str], tuple[object, DataFrame]] = {}
+
+
+def _derived(t, name: str, build) -> DataFrame:
+    key = (id(t), name)
+    hit = _DERIVED.get(key)
+    if hit is None or hit[0] is not t:
+        hit = _DERIVED[key] = (t, build(t))
+    return hit[1]
+
+
+def _outcomes(spark, d):
+    return _derived(_t(spark, d), "outcomes", acc.account_outcomes)
+
+
+def _base(spark, d):
+    return _derived(_t(spark, d), "activation_base", act.activation_base)
+
+
 def _growth(spark, d):
     return growth.customer_growth(_t(spark, d).subscriptions)
 
 
 def _segments(spark, d):
-    return churn.churn_by_segment(acc.account_outcomes(_t(spark, d)))
+    return churn.churn_by_segment(_outcomes(spark, d))
 
 
 def _mau(spark, d):
     return activity.monthly_active_users(_t(spark, d))
 
 
-def _usage_segments(t):
-    return seg.usage_segments(t, acc.account_outcomes(t))
+def _usage_segments(spark, d):
+    return seg.usage_segments(_t(spark, d), _outcomes(spark, d))
 
 
 def _retention_mean(spark, d):
@@ -82,30 +102,30 @@ QUERIES: dict[str, Query] = {
     "customer_growth": _growth,
     "subscription_growth": lambda s, d: growth.subscription_growth(_t(s, d).subscriptions),
     "monthly_active_users": _mau,
-    "activation_funnel": lambda s, d: act.activation_funnel(act.activation_base(_t(s, d))),
-    "activation_median": lambda s, d: act.activation_median(act.activation_base(_t(s, d))),
-    "usage_quality": lambda s, d: act.usage_quality(act.activation_base(_t(s, d))),
-    "churn_rate": lambda s, d: churn.churn_rate(acc.account_outcomes(_t(s, d))),
+    "activation_funnel": lambda s, d: act.activation_funnel(_base(s, d)),
+    "activation_median": lambda s, d: act.activation_median(_base(s, d)),
+    "usage_quality": lambda s, d: act.usage_quality(_base(s, d)),
+    "churn_rate": lambda s, d: churn.churn_rate(_outcomes(s, d)),
     "churn_by_segment": _segments,
     "retention_activity": lambda s, d: ret.retention_activity(_t(s, d)),
     "retention_payment_first": lambda s, d: ret.retention_payment_first(_t(s, d)),
     "retention_payment_last": lambda s, d: ret.retention_payment_last(_t(s, d)),
-    "usage_segments": lambda s, d: _usage_segments(_t(s, d)),
+    "usage_segments": _usage_segments,
     "month_labels": lambda s, d: growth.month_labels(_growth(s, d)),
     "mom_trend": lambda s, d: growth.mom_trend(_growth(s, d)),
     "retention_matrix": lambda s, d: ret.retention_matrix(
         ret.retention_payment_first(_t(s, d)), ret.FIRST_CHURN_RATE),
     "retention_mean": _retention_mean,
-    "country_accounts": lambda s, d: churn.country_accounts(acc.account_outcomes(_t(s, d))),
-    "country_churn": lambda s, d: churn.country_churn(acc.account_outcomes(_t(s, d))),
-    "country_lifetime": lambda s, d: churn.country_lifetime(acc.account_outcomes(_t(s, d))),
+    "country_accounts": lambda s, d: churn.country_accounts(_outcomes(s, d)),
+    "country_churn": lambda s, d: churn.country_churn(_outcomes(s, d)),
+    "country_lifetime": lambda s, d: churn.country_lifetime(_outcomes(s, d)),
     "segment_sizes": lambda s, d: churn.segment_sizes(_segments(s, d)),
     "worst_subsegment": lambda s, d: churn.worst_subsegment(_segments(s, d)),
     "usage_quality_split": lambda s, d: act.usage_quality_split(
-        act.usage_quality(act.activation_base(_t(s, d)))),
+        act.usage_quality(_base(s, d))),
     "mau_summary": lambda s, d: activity.mau_summary(
         activity.monthly_active_users(_t(s, d), ordered=False)),
-    "country_share": lambda s, d: churn.country_share(acc.account_outcomes(_t(s, d))),
+    "country_share": lambda s, d: churn.country_share(_outcomes(s, d)),
 }
 
 FLAGSHIP = "retention_payment_first"
