@@ -46,9 +46,15 @@ def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left",
                 hot_share: float = HOT_SHARE, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """``big.join(lookup, key, how)`` for a ``lookup`` with one row per key
     (``how`` is 'left' or 'inner'), safe for skew on ``key`` in ``big``.
-    Output columns: ``big``'s, then ``lookup``'s other columns."""
+    Output columns: ``big``'s, then ``lookup``'s other columns.
+
+    When ``big`` has fewer than ``min_hot_rows`` rows no key can be hot, and
+    the plain (co-partitioned) join is used; the row count that decides this
+    reads no column of a Parquet-backed ``big``."""
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
+    if big.count() < min_hot_rows:
+        return big.join(lookup, key, how)
     values = [c for c in lookup.columns if c != key]
     hot = hot_keys(big, key, hot_share, min_hot_rows)
     hot_side = (lookup.join(F.broadcast(hot), key, "left_semi")  # <= 1 / hot_share rows
