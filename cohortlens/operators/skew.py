@@ -31,10 +31,12 @@ MIN_HOT_ROWS = 1_000_000  # ... and with at least this many rows (a task handles
 SALT_BUCKETS = 4096       # spread of hot rows in the shuffle join
 
 
-def hot_keys(big: DataFrame, key: str, hot_share: float = HOT_SHARE,
-             min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def hot_keys(big: DataFrame, key: str, hot_share: float | None = None,
+             min_hot_rows: int | None = None) -> DataFrame:
     """Keys of ``big`` holding more than ``hot_share`` of its rows and at
     least ``min_hot_rows``; at most ``1 / hot_share`` rows."""
+    hot_share = HOT_SHARE if hot_share is None else hot_share
+    min_hot_rows = MIN_HOT_ROWS if min_hot_rows is None else min_hot_rows
     # a plain row count reads no column (Parquet row-group metadata only)
     total = big.agg(F.count(F.lit(1))).scalar()
     limit = F.greatest(total * F.lit(hot_share), F.lit(min_hot_rows))
@@ -43,7 +45,7 @@ def hot_keys(big: DataFrame, key: str, hot_share: float = HOT_SHARE,
 
 
 def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                hot_share: float = HOT_SHARE, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                hot_share: float | None = None, min_hot_rows: int | None = None) -> DataFrame:
     """``big.join(lookup, key, how)`` for a ``lookup`` with one row per key
     (``how`` is 'left' or 'inner'), safe for skew on ``key`` in ``big``.
     Output columns: ``big``'s, then ``lookup``'s other columns.
@@ -53,6 +55,8 @@ def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left",
     reads no column of a Parquet-backed ``big``."""
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
+    hot_share = HOT_SHARE if hot_share is None else hot_share
+    min_hot_rows = MIN_HOT_ROWS if min_hot_rows is None else min_hot_rows
     if big.count() < min_hot_rows:
         return big.join(lookup, key, how)
     values = [c for c in lookup.columns if c != key]
