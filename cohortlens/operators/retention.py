@@ -193,3 +193,15 @@ def retention_mean(retention: DataFrame, rate_col: str, months=(0, 12)) -> DataF
                      / F.nullif(F.count(F.when(hit, cents)) * 100, F.lit(0)).cast("double"))
                     .alias(f"mean_month_{m}"))
     return retention.where(F.col("month_number").isin(list(months))).agg(*aggs)
+
+
+def retention_means(activity: DataFrame, first: DataFrame, last: DataFrame, months=(0, 12)) -> DataFrame:
+    """J28 for the three retention kinds: one row per kind with the mean
+    rate at each of ``months``."""
+    out = None
+    for name, df, rate in (("activity", activity, ACTIVITY_RATE),
+                           ("payment_first_churn", first, FIRST_CHURN_RATE),
+                           ("payment_last_churn", last, LAST_CHURN_RATE)):
+        m = retention_mean(df, rate, months).select(F.lit(name).alias("retention"), "*")
+        out = m if out is None else out.unionByName(m)
+    return out

@@ -72,18 +72,9 @@ def _usage_segments(spark, d):
 
 
 def _retention_mean(spark, d):
-    from pyspark.sql import functions as F
     t = _t(spark, d)
-    parts = [
-        ("activity", ret.retention_activity(t), ret.ACTIVITY_RATE),
-        ("payment_first_churn", ret.retention_payment_first(t), ret.FIRST_CHURN_RATE),
-        ("payment_last_churn", ret.retention_payment_last(t), ret.LAST_CHURN_RATE),
-    ]
-    out = None
-    for name, df, rate in parts:
-        m = ret.retention_mean(df, rate).select(F.lit(name).alias("retention"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+    return ret.retention_means(ret.retention_activity(t), ret.retention_payment_first(t),
+                               ret.retention_payment_last(t))
 
 
 QUERIES: dict[str, Query] = {

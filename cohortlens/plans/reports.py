@@ -35,6 +35,8 @@ def build_reports(t: Tables, persist: bool = True) -> dict[str, DataFrame]:
     # small (cohorts x months) but read twice by the pivot: once to find the
     # month columns, once for the cells
     first = keep(ret.retention_payment_first(t), "retention_first_churn_based")
+    last = keep(ret.retention_payment_last(t), "retention_last_churn_based")
+    activity_ret = keep(ret.retention_activity(t), "retention_activity_based")
     return {
         "key_census": quality.key_census(t.subscriptions),
         "null_audit": quality.null_audit(t.subscriptions),
@@ -50,10 +52,13 @@ def build_reports(t: Tables, persist: bool = True) -> dict[str, DataFrame]:
         "churn_segments": segments,
         "segment_sizes": churn.segment_sizes(segments),
         "worst_subsegment": churn.worst_subsegment(segments),
-        "retention_activity_based": ret.retention_activity(t),
+        "retention_activity_based": activity_ret,
         "retention_first_churn_based": first,
-        "retention_last_churn_based": ret.retention_payment_last(t),
+        "retention_last_churn_based": last,
+        "retention_activity_matrix": ret.retention_matrix(activity_ret, ret.ACTIVITY_RATE),
         "retention_first_churn_matrix": ret.retention_matrix(first, ret.FIRST_CHURN_RATE),
+        "retention_last_churn_matrix": ret.retention_matrix(last, ret.LAST_CHURN_RATE),
+        "retention_means": ret.retention_means(activity_ret, first, last),
         "usage_segments": seg.usage_segments(t, summary),
         "country_accounts": churn.country_accounts(summary),
         "country_churn": churn.country_churn(summary),

@@ -11,7 +11,8 @@ def test_reports_equal_registered_queries(spark, tmp_path):
     reports = build_reports(t)
     pairs = {"churn_segments": "churn_by_segment", "usage_segments": "usage_segments",
              "retention_first_churn_based": "retention_payment_first", "country_share": "country_share",
-             "churn_rate": "churn_rate", "mau_summary": "mau_summary"}
+             "churn_rate": "churn_rate", "mau_summary": "mau_summary",
+             "retention_means": "retention_mean", "retention_first_churn_matrix": "retention_matrix"}
     for report, query in pairs.items():
         a = sorted(tuple(r) for r in reports[report].collect())
         b = sorted(tuple(r) for r in QUERIES[query](spark, SF_SMALL).collect())
