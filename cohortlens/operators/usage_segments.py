@@ -68,8 +68,7 @@ def usage_segments(t: Tables, outcomes: DataFrame, limits=DEFAULT_LIMITS,
                      F.sum("lifetime_months_till_churn").alias("life_sum"),
                      F.count("lifetime_months_till_churn").alias("life_n")))
     total = F.sum("accounts").over(Window.partitionBy())  # at most four rows
-    order = F.when(F.col("usage_segment") == NO_USAGE, 1).when(F.col("usage_segment") == LOW, 2) \
-        .when(F.col("usage_segment") == MEDIUM, 3).when(F.col("usage_segment") == HIGH, 4)
+    order = F.array_position(F.array(*[F.lit(b) for b in BAND_ORDER]), F.col("usage_segment"))
     return (per_band
             .select("usage_segment", "accounts",
                     pct(F.col("accounts"), total).alias("segment_share_percentage"),

@@ -116,13 +116,3 @@ def ingest(raw: DataFrame, table: str) -> DataFrame:
         src = F.col(f.name) if f.name in raw.columns else F.lit(None)
         cols.append(_typed(src, f.dataType).alias(f.name))
     return raw.select(*cols)
-
-
-def blank_counts(raw: DataFrame) -> list[Column]:
-    """Per text column: count of empty / whitespace-only values (trap: a
-    null-only audit misses blanks that stand for missing values)."""
-    out = []
-    for f in raw.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            out.append(F.count_if(F.trim(F.col(f.name)) == "").alias(f"{f.name}_blanks"))
-    return out
