@@ -4,18 +4,20 @@ Joining subscriptions (large, possibly skewed: one account may own a third of
 them) to a per-account table (one row per account) puts every row of a hot
 account into one task of a shuffle join.  Adaptive skew splitting cannot help
 where the lookup side arrives already partitioned by its own aggregation
-(which is what saves its exchange), so hot keys are handled explicitly, in a
-single pass over the large table:
+(which is what saves its exchange), so hot keys are salted explicitly, in a
+single pass over each side:
 
 * a key is hot when it holds more than ``hot_share`` of the large table's
   rows (and at least ``min_hot_rows``), so there are at most
   ``1 / hot_share`` hot keys - a bound that does not grow with the data;
-* the lookup rows of hot keys are therefore a table of proven bounded size
-  and are broadcast: hot rows pick up their lookup values map-side, in
-  whatever scan task they are;
-* in the shuffle join that serves all other keys, hot rows carry a join key
-  that never matches plus a deterministic salt, so they spread over all
-  partitions instead of piling into the partition of their key.
+  this small table (key, number of salts) is broadcast;
+* each hot key gets ``ceil(rows / rows_per_task)`` salts; its rows in the
+  large table take a deterministic salt in that range, and its one lookup
+  row is replicated once per salt - at most one extra lookup row per
+  ``rows_per_task`` rows of the large table plus one per hot key;
+* the join runs on (key, salt), so a hot key is spread over as many tasks
+  as its size needs, and the lookup is evaluated once.  Rows with a NULL key
+  (which never match) are spread the same way.
 
 The extra cost is a row count (metadata only for Parquet) and one partially
 aggregated count per key of the large table - the size of one per-account
@@ -26,26 +28,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_SHARE = 1e-4          # a key with > 0.01 % of all rows is hot: <= 10,000 hot keys
-MIN_HOT_ROWS = 1_000_000  # ... and with at least this many rows (a task handles fewer easily)
-SALT_BUCKETS = 4096       # spread of hot rows in the shuffle join
+HOT_SHARE = 1e-4             # a key with > 0.01 % of all rows is hot: <= 10,000 hot keys
+MIN_HOT_ROWS = 1_000_000     # ... and with at least this many rows (a task handles fewer easily)
+ROWS_PER_TASK = 2_000_000    # target rows of one hot key per join task
+NULL_KEY_SALTS = 1024        # spread of rows whose key is NULL
 
 
 def hot_keys(big: DataFrame, key: str, hot_share: float | None = None,
              min_hot_rows: int | None = None) -> DataFrame:
     """Keys of ``big`` holding more than ``hot_share`` of its rows and at
-    least ``min_hot_rows``; at most ``1 / hot_share`` rows."""
+    least ``min_hot_rows``, with their row counts (``_rows``); at most
+    ``1 / hot_share`` rows."""
     hot_share = HOT_SHARE if hot_share is None else hot_share
     min_hot_rows = MIN_HOT_ROWS if min_hot_rows is None else min_hot_rows
     # a plain row count reads no column (Parquet row-group metadata only)
     total = big.agg(F.count(F.lit(1))).scalar()
     limit = F.greatest(total * F.lit(hot_share), F.lit(min_hot_rows))
     return (big.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-            .where(F.col("_rows") >= limit).select(key))
+            .where(F.col("_rows") >= limit))
 
 
 def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                hot_share: float | None = None, min_hot_rows: int | None = None) -> DataFrame:
+                hot_share: float | None = None, min_hot_rows: int | None = None,
+                rows_per_task: int | None = None) -> DataFrame:
     """``big.join(lookup, key, how)`` for a ``lookup`` with one row per key
     (``how`` is 'left' or 'inner'), safe for skew on ``key`` in ``big``.
     Output columns: ``big``'s, then ``lookup``'s other columns.
@@ -55,30 +60,22 @@ def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left",
     reads no column of a Parquet-backed ``big``."""
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    hot_share = HOT_SHARE if hot_share is None else hot_share
     min_hot_rows = MIN_HOT_ROWS if min_hot_rows is None else min_hot_rows
+    rows_per_task = ROWS_PER_TASK if rows_per_task is None else rows_per_task
     if big.count() < min_hot_rows:
         return big.join(lookup, key, how)
     values = [c for c in lookup.columns if c != key]
-    hot = hot_keys(big, key, hot_share, min_hot_rows)
-    hot_side = (lookup.join(F.broadcast(hot), key, "left_semi")  # <= 1 / hot_share rows
-                .select(F.col(key), F.lit(True).alias("_hot"),
-                        *[F.col(c).alias(f"_h_{c}") for c in values]))
-    tagged = big.join(F.broadcast(hot_side), key, "left")
-    is_hot = F.col("_hot").isNotNull()
-    tagged = tagged.select(
-        "*",
-        F.when(is_hot, F.lit(None)).otherwise(F.col(key)).alias("_jk"),
-        F.when(is_hot, F.pmod(F.xxhash64(*big.columns), F.lit(SALT_BUCKETS)))
-        .otherwise(F.lit(0)).cast("int").alias("_js"))
-    # salt 0 for every lookup row, written so that the optimizer cannot fold
-    # it into a constant (it would then drop it from the shuffle keys and
-    # send every hot row to the partition of the NULL key)
-    zero = F.when(F.col(key).isNotNull(), F.lit(0))
-    cold_side = lookup.select(F.col(key).alias("_jk"), zero.alias("_js"), F.lit(True).alias("_cold"),
-                              *[F.col(c).alias(f"_c_{c}") for c in values])
-    joined = tagged.join(cold_side, ["_jk", "_js"], "left")
-    if how == "inner":
-        joined = joined.where(is_hot | F.col("_cold").isNotNull())
-    return joined.select(*[F.col(c) for c in big.columns],
-                         *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in values])
+    salts = F.broadcast(  # <= 1 / hot_share rows
+        hot_keys(big, key, hot_share, min_hot_rows)
+        .select(key, F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_salts")))
+    spread = F.pmod(F.xxhash64(*big.columns), F.coalesce(F.col("_salts"), F.lit(NULL_KEY_SALTS)))
+    tagged = (big.join(salts, key, "left")
+              .withColumn("_salt", F.when(F.col("_salts").isNotNull() | F.col(key).isNull(), spread)
+                          .otherwise(F.lit(0)).cast("int"))
+              .drop("_salts"))
+    replicated = (lookup.join(salts, key, "left")
+                  .withColumn("_salt", F.explode(F.sequence(
+                      F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+                  .drop("_salts"))
+    joined = tagged.join(replicated, [key, "_salt"], how)
+    return joined.select(*[F.col(c) for c in big.columns], *[F.col(c) for c in values])

@@ -112,7 +112,8 @@ def test_lookup_join_hot_path_equals_plain_join(spark):
     assert [r.account_id for r in hot.collect()] == [7]          # only the hot account
     assert hot_keys(subs, "account_id", hot_share=0.001, min_hot_rows=1).count() <= 1000
     for how in ("left", "inner"):
-        got = lookup_join(subs, lookup, "account_id", how, hot_share=0.05, min_hot_rows=10)
+        got = lookup_join(subs, lookup, "account_id", how, hot_share=0.05, min_hot_rows=10,
+                          rows_per_task=50)
         want = subs.join(lookup, "account_id", how)
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
         old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -122,5 +123,5 @@ def test_lookup_join_hot_path_equals_plain_join(spark):
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         assert "BroadcastHashJoin" in plan and "xxhash64" in plan and "Union" not in plan
-        # hot rows carry a salt that stays a shuffle key of the remaining join
-        assert re.search(r"hashpartitioning\(_jk#\d+L?, _js#\d+", plan)
+        # the join is keyed by (key, salt): a hot key is spread over its salts
+        assert re.search(r"hashpartitioning\(account_id#\d+L?, _salt#\d+", plan)
