@@ -125,3 +125,23 @@ def test_lookup_join_hot_path_equals_plain_join(spark):
         assert "BroadcastHashJoin" in plan and "xxhash64" in plan and "Union" not in plan
         # the join is keyed by (key, salt): a hot key is spread over its salts
         assert re.search(r"hashpartitioning\(account_id#\d+L?, _salt#\d+", plan)
+
+
+def test_salting_spreads_a_hot_key_and_bounds_replication(spark):
+    from cohortlens.operators import skew
+    t = load_driver_tables(spark, SF_SMALL)
+    subs = t.subscriptions.withColumn(
+        "account_id", F.when(F.col("subscription_id") % 3 == 1, F.lit(7)).otherwise(F.col("account_id")))
+    hot = skew.hot_keys(subs, "account_id", hot_share=0.05, min_hot_rows=10).collect()
+    assert [(r.account_id, r._rows) for r in hot] == [(7, subs.where("account_id = 7").count())]
+    rows_per_task = 40
+    salts = -(-hot[0]._rows // rows_per_task)
+    joined = skew.lookup_join(subs, t.accounts.select("account_id", "signup_date"), "account_id", "left",
+                              hot_share=0.05, min_hot_rows=10, rows_per_task=rows_per_task)
+    # the hot account's rows are spread over exactly ``salts`` join keys of ~rows_per_task rows
+    per_salt = (subs.where("account_id = 7")
+                .select(F.pmod(F.xxhash64(*subs.columns), F.lit(salts)).alias("s"))
+                .groupBy("s").count().collect())
+    assert len(per_salt) == salts and max(r["count"] for r in per_salt) <= 3 * rows_per_task
+    assert joined.count() == subs.count()
+    assert joined.where("account_id = 7 and signup_date is null").count() == 0
