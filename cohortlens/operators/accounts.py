@@ -217,7 +217,7 @@ def _churn_per_account(t: Tables, tie_breaker: str = "churn_event_id") -> DataFr
                  F.sum("refund_amount_usd").alias("total_refund_usd")))
 
 
-def accounts_summary(t: Tables, post_churn: str = "to_max_date") -> DataFrame:
+def accounts_summary(t: Tables, post_churn: str = "to_max_date", max_date: Column | None = None) -> DataFrame:
     """One row per account, 25 columns.
 
     Four left joins on account_id of per-account aggregates, all
@@ -227,7 +227,7 @@ def accounts_summary(t: Tables, post_churn: str = "to_max_date") -> DataFrame:
     summary only for accounts with subscriptions (0 otherwise), as in the
     source.  The first churn *date* of J11 equals the earliest non-NULL churn
     date, which is the date lifetimes use."""
-    max_date = max_usage_date(t.feature_usage)
+    max_date = max_usage_date(t.feature_usage) if max_date is None else max_date
     churn = _churn_per_account(t)
     ends = _subscription_end_with(t, churn.select("account_id", "first_churn_date"),
                                   post_churn, max_date)

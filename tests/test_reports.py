@@ -12,11 +12,16 @@ def test_reports_equal_registered_queries(spark, tmp_path):
     pairs = {"churn_segments": "churn_by_segment", "usage_segments": "usage_segments",
              "retention_first_churn_based": "retention_payment_first", "country_share": "country_share",
              "churn_rate": "churn_rate", "mau_summary": "mau_summary",
-             "retention_means": "retention_mean", "retention_first_churn_matrix": "retention_matrix"}
+             "retention_means": "retention_mean", "retention_first_churn_matrix": "retention_matrix",
+             "activation_funnel": "activation_funnel", "median_activation_time_days": "activation_median",
+             "usage_data_agg": "usage_quality", "retention_activity_based": "retention_activity",
+             "retention_last_churn_based": "retention_payment_last", "accounts_summary": "accounts_summary"}
     for report, query in pairs.items():
         a = sorted(tuple(r) for r in reports[report].collect())
         b = sorted(tuple(r) for r in QUERIES[query](spark, SF_SMALL).collect())
         assert a == b, report
+    mau = sorted((r.active_month, r.mau) for r in reports["monthly_active_users"].collect())
+    assert mau == sorted(tuple(r) for r in QUERIES["monthly_active_users"](spark, SF_SMALL).collect())
     # the summary comes from written Parquet, not from the raw lineage
     plan = reports["churn_segments"]._jdf.queryExecution().executedPlan().toString()
     assert "accounts_summary-" in plan and "orders.parquet" not in plan
