@@ -81,7 +81,11 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 100
     * scan splits of 512 MB (row groups are never split further);
     * more task attempts and decommissioning, so lost executors (spot
       reclamation) re-run tasks instead of failing the job; shuffle files of
-      a decommissioned executor are migrated before it goes.
+      a decommissioned executor are migrated before it goes;
+    * Parquet through the DataSource V2 reader with aggregate pushdown: on
+      stored, typed tables the last usage date (``max``) and the row counts
+      of the skew check are answered from Parquet footers, without reading
+      data pages.
     """
     slots = executor_cores * executors
     partitions = max(3 * slots, int(input_bytes // (256 << 20)))
@@ -97,4 +101,6 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 100
         "spark.decommission.enabled": "true",
         "spark.storage.decommission.enabled": "true",
         "spark.storage.decommission.shuffleBlocks.enabled": "true",
+        "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text",
+        "spark.sql.parquet.aggregatePushdown": "true",
     }
