@@ -67,6 +67,22 @@ def _mau(spark, d):
     return activity.monthly_active_users(_t(spark, d))
 
 
+def _mau_stream(spark, d):
+    """J15 through Structured Streaming: the driver's usage file is the
+    stream source; the run ends when all available data is processed
+    (``availableNow``) and the published MAU table is returned."""
+    import os
+    import uuid
+
+    from cohortlens.session import checkpoint_root
+    from cohortlens.streaming import mau as smau
+    root = os.path.join(checkpoint_root(spark), "streams", f"mau-{uuid.uuid4().hex[:12]}")
+    usage = smau.usage_stream_from_driver_files(spark, os.path.join(d, "lineitem*.parquet"))
+    smau.start(smau.monthly_active_users_stream(usage, _t(spark, d)), os.path.join(root, "out"),
+               checkpoint=os.path.join(root, "checkpoint")).awaitTermination()
+    return spark.read.parquet(os.path.join(root, "out"))
+
+
 def _usage_segments(spark, d):
     return seg.usage_segments(_t(spark, d), _outcomes(spark, d))
 
@@ -93,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "customer_growth": _growth,
     "subscription_growth": lambda s, d: growth.subscription_growth(_t(s, d).subscriptions),
     "monthly_active_users": _mau,
+    "monthly_active_users_stream": _mau_stream,
     "activation_funnel": lambda s, d: act.activation_funnel(_base(s, d)),
     "activation_median": lambda s, d: act.activation_median(_base(s, d)),
     "usage_quality": lambda s, d: act.usage_quality(_base(s, d)),
