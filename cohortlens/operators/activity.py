@@ -9,8 +9,10 @@ per account (last churn date, any NULL date) instead of a fan-out join.
 
 Plan: usage -> distinct (subscription, day) [map-side combine; a hot
 subscription collapses] -> join subscriptions enriched with signup and the
-churn bound [both on subscription_id] -> filter -> distinct (month, account)
--> count per month.  The distinct count is planned by Catalyst as two
+churn bound [on subscription_id; the enrichment itself is a skew-safe lookup
+join on account_id, so an account owning a third of all subscriptions is
+salted over many tasks] -> filter -> distinct (month, account) -> count per
+month.  The distinct count is planned by Catalyst as two
 partially aggregated exchanges keyed by (month, account), so one busy month
 is spread over all tasks.
 """
