@@ -1,25 +1,85 @@
-"""Operator 6: near-duplicates by BagMinHash over word-shingle multisets."""
+"""Operator 6: near-duplicates by BagMinHash over word-shingle multisets.
+
+Similarity is the weighted Jaccard similarity of the multisets of five-word
+shingles of whole texts; documents are near-duplicates at 0.8 or more, and a
+class is a connected component of that relation.
+
+1. Texts with the same multiset (by a 128-bit hash) are one *node*, so copies
+   cost one row each and nothing more.
+2. A node's BagMinHash signature (``signatures``) has 125 slots, banded 25 x 5:
+   two nodes of similarity 0.8 share no band with probability 5e-5.
+3. Nodes that share a band form a bucket.  Buckets are never expanded into all
+   pairs.  Three rounds propose pairs and verify them:
+   a. every node with the smallest node of its bucket;
+   b. every node with the best partner (by sketch: one byte per slot) of
+      another class, in each bucket that still holds several classes;
+   c. every remaining pair of different classes whose sketches agree in at
+      least ``FLOOR`` of the slots.
+   Sketches are compared inside tasks, in blocks of ``BLOCK`` nodes: a bucket
+   of any size is dealt out over as many tasks as it has pairs of blocks.
+   After (a) and (b) dense groups of copies are one class, so (c) proposes
+   few pairs: it makes sure that no link between classes is lost.
+4. Verification is exact set arithmetic on the multisets: the k-th occurrence
+   of a shingle is an element of its own, so size(A n B) / size(A u B) is the
+   weighted similarity.  Elements are 32-bit hashes; chance agreement moves a
+   similarity by less than 1e-5.
+
+A link at exactly 0.8 is missed with a probability of 0.3 % (its sketches
+agree in less than FLOOR), one at 0.85 with 1e-6; and only where no chain of
+other links joins the two classes.
+
+Defined results: texts without words (null and empty ones too) have no
+shingles; they are copies of each other only if the texts are equal, null
+being equal to empty.  Texts of fewer than five words have one shingle.
+Repeated rows and rows sharing an id are separate rows of the result.  The
+class id is the smallest doc_id of the class (null if all ids are).  Empty
+tables give empty results; only the named columns are read.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.shingles import U, mix
+from cohortlens.llm import common
+from cohortlens.llm.common import stored
+from cohortlens.llm.components import components
+from cohortlens.llm.shingles import U, mix, multisets
 
+SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
+FLOOR = 0.7
+BLOCK = 512
+ALL = (1 << 64) - 1
 GAP, PLACE, LEVEL = U(0xD1B54A32D192ED03), U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)
+SEED = (U(0x6C62272E07BB0142), U(0x62B821756295C58D))
+BAND_STEPS = np.array([3, 0x9E3779B1, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xC2B2AE3D27D4EB4F], U)
 
 
 def signatures(row: np.ndarray, value: np.ndarray, times: np.ndarray, n_rows: int,
                slots: int = SLOTS) -> np.ndarray:
     """[n_rows, slots] point ids; a row without shingles has zeros."""
+    """[n_rows, slots] point ids of the multisets given as (row, value, times);
+    a row without values has zeros.
+
+    Weight is discretised into the dyadic intervals [0,1), [1,2), [2,4), ...
+    Each (value, interval) has a Poisson process of its own in time, at a rate
+    of the interval's width; a point has a place inside the interval and counts
+    only if that lies below the value's weight.  A slot keeps the first point
+    that falls into it, so two multisets agree in a slot with the probability
+    of their weighted Jaccard similarity.  Points are drawn in order of time
+    and a process stops once it is later than every slot of its row.
+    """
     at, ident, rate, low, weight = [], [], [], [], []
     level, width, start = 0, 1, 0
     index = np.arange(len(row))
     while len(index):
         at.append(row[index])
-        ident.append(mix(value[index] + LEVEL * U(level + 1)))
+        ident.append(mix(value[index] + U(int(LEVEL) * (level + 1) & ALL)))
         rate.append(np.full(len(index), float(width)))
         low.append(np.full(len(index), float(start)))
         weight.append(times[index].astype(float))
@@ -36,7 +96,7 @@ def signatures(row: np.ndarray, value: np.ndarray, times: np.ndarray, n_rows: in
     step = 0
     while len(at):
         step += 1
-        point = mix(ident + GAP * U(step))
+        point = mix(ident + U(int(GAP) * step & ALL))
         time = time - np.log1p(-(point >> U(11)).astype(float) * 2.0 ** -53) / rate
         more = mix(point ^ PLACE)
         slot = at * slots + ((more >> U(32)) % U(slots)).astype(np.int64)
@@ -51,3 +111,220 @@ def signatures(row: np.ndarray, value: np.ndarray, times: np.ndarray, n_rows: in
         if not going.all():
             at, ident, rate, low, weight, time = (x[going] for x in (at, ident, rate, low, weight, time))
     return found.reshape(n_rows, slots)
+
+
+# --- per document ------------------------------------------------------------
+
+def _node_ids(texts: pa.Array, row, value, times) -> list[bytes]:
+    """128-bit hash of each multiset; of the text itself where it has no words."""
+    n = len(texts)
+    ids = np.zeros((n, 2), U)
+    for k, seed in enumerate(SEED):
+        np.add.at(ids[:, k], row, mix(mix(value ^ seed) + times.astype(U)))
+    has = np.bincount(row, minlength=n) > 0
+    raw = ids.tobytes()
+    return [raw[16 * i:16 * i + 16] if has[i]
+            else hashlib.md5(b"text:" + (texts[i].as_py() or "").encode()).digest() for i in range(n)]
+
+
+def _profile(batches):
+    """doc, text hash, text -> doc, text hash, multiset, bands, sketch."""
+    for batch in batches:
+        texts = batch.column(2)
+        row, value, times = multisets(texts, SHINGLE)
+        points = signatures(row, value, times, len(texts))
+        offset = mix(np.arange(BANDS, dtype=U))
+        bands = mix((points.reshape(-1, BANDS, ROWS) * BAND_STEPS).sum(axis=2, dtype=U) + offset)
+        has = np.bincount(row, minlength=len(texts)) > 0
+        ends = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
+        sketch = (points & U(255)).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(1), pa.array(_node_ids(texts, row, value, times), pa.binary()),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[has].ravel().view(np.int64))),
+            pa.array([sketch[SLOTS * i:SLOTS * (i + 1)] for i in range(len(texts))], pa.binary()),
+        ], names=["doc", "text_hash", "multiset", "bands", "sketch"])
+
+
+def _elements(batches):
+    """node, text -> node, elements of its multiset."""
+    for batch in batches:
+        row, value, times = multisets(batch.column(1), SHINGLE)
+        copies = np.repeat(np.arange(len(row)), times)
+        nth = np.arange(len(copies)) - np.repeat(np.cumsum(times) - times, times)
+        marks = (mix(value[copies] + mix(nth.astype(U))) >> U(32)).astype(np.uint32).view(np.int32)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[copies], minlength=batch.num_rows))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(marks))], names=["node", "elements"])
+
+
+# --- sketches of a bucket ----------------------------------------------------
+
+def _propose(best_only: bool, floor: float):
+    """For runs of rows with the same (bucket, i, j): pairs of nodes of
+    different classes whose sketches agree in ``floor`` of the slots; with
+    ``best_only`` each node's best one.  Rows come sorted, block i before j."""
+
+    def pairs(rows):
+        node, comp = rows["node"], rows["comp"]
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(node), SLOTS)
+        _, label = np.unique(np.array(comp), return_inverse=True)
+        if label.max(initial=0) == 0:
+            return
+        lead = rows["leader"][0]
+        block = np.array(rows["block"])
+        left = np.flatnonzero(block == rows["i"][0])
+        right = np.flatnonzero(block == rows["j"][0])
+        for at in range(0, len(left), 64):
+            some = left[at:at + 64]
+            agree = (sketch[some][:, None, :] == sketch[right][None, :, :]).sum(axis=2)
+            agree[label[some][:, None] == label[right][None, :]] = 0
+            if best_only:
+                top = agree.argmax(axis=1)
+                hits = [(x, top[x]) for x in np.flatnonzero(agree.max(axis=1) >= floor * SLOTS)]
+            else:
+                hits = zip(*np.nonzero(agree >= floor * SLOTS))
+            for x, y in hits:
+                a, b = node[some[x]], node[right[y]]
+                if lead not in (a, b):   # a node was already compared with its leader
+                    yield (a, b) if a < b else (b, a)
+
+    def run(batches):
+        names = ["bucket", "i", "j", "block", "node", "leader", "comp", "sketch"]
+        group, held = None, {c: [] for c in names}
+        found: set = set()
+        for batch in batches:
+            columns = {c: batch.column(k).to_pylist() for k, c in enumerate(names)}
+            keys = list(zip(columns["bucket"], columns["i"], columns["j"]))
+            edges = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+            for begin, end in zip(edges, edges[1:]):
+                if end > begin and keys[begin] != group:
+                    if held["node"]:
+                        found.update(pairs(held))
+                    group, held = keys[begin], {c: [] for c in names}
+                for c in names:
+                    held[c] += columns[c][begin:end]
+            if len(found) > 10_000:
+                yield _pair_batch(found)
+                found = set()
+        if held["node"]:
+            found.update(pairs(held))
+        yield _pair_batch(found)
+
+    return run
+
+
+def _pair_batch(found: set) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+# --- the operator ------------------------------------------------------------
+
+def profiles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc, text_hash, multiset (its 128-bit hash), bands, sketch."""
+    common.python_workers(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"),
+                       F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(
+        _profile, "doc bigint, text_hash bigint, multiset binary, bands array<bigint>, sketch binary")
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs whose sketches agree in FLOOR of the slots."""
+    s, t = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("_s")), \
+        sketches.select(F.col("node").alias("b"), F.col("sketch").alias("_t"))
+
+    def compare(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= FLOOR * SLOTS))
+
+    return pairs.join(s, "a").join(t, "b").select("a", "b", "_s", "_t").mapInArrow(compare, "a bigint, b bigint")
+
+
+def _verify(pairs: DataFrame, elements: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose multisets have SIMILARITY."""
+    x, y = elements.alias("x"), elements.alias("y")
+    both = F.size(F.array_intersect("x.elements", "y.elements"))
+    total = F.size("x.elements") + F.size("y.elements")
+    return (pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+            .where(both >= SIMILARITY * (total - both)).select("a", "b"))
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, leader, n) of every bucket of more than one node."""
+    banded = nodes.select(F.explode("bands").alias("bucket"), "node")
+    buckets = (banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
+               .where(F.col("n") > 1))
+    return banded.join(buckets, "bucket")
+
+
+def _round(members: DataFrame, sketches: DataFrame, comps: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs between classes that sketches propose, bucket by bucket."""
+    labelled = members.join(comps.withColumnRenamed("component", "_comp"), "node", "left") \
+        .withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
+    mixed = (labelled.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+             .where(F.col("_lo") != F.col("_hi")).select("bucket"))
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    rows = (labelled.join(mixed, "bucket").join(sketches, "node")
+            .withColumn("_blocks", blocks)
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+            .select("bucket", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"),
+                    "block", "node", "leader", "comp", "sketch"))
+    return (rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "node")
+            .mapInArrow(_propose(best_only, FLOOR), "a bigint, b bigint").distinct())
+
+
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc, text_hash and its class (a node's number)."""
+    rows = stored(profiles(docs, doc_id, text), "near-profiles")
+    first = rows.groupBy("multiset").agg(F.min_by(F.struct("doc", "text_hash", "bands", "sketch"), F.struct(
+        F.col("doc").isNull(), "doc", "text_hash")).alias("_one"))
+    nodes = stored(first.select("multiset", "_one.*", F.monotonically_increasing_id().alias("node")), "near-nodes")
+    members = stored(_members(nodes), "near-members")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    sketches = stored(wanted.select("node", "sketch"), "near-sketches")
+    common.python_workers(docs.sparkSession)
+    keyed = docs.select(F.col(doc_id).cast("long").alias("_d"), F.xxhash64(text).alias("_h"),
+                        F.col(text).cast("string").alias("_text"))
+    texts = (wanted.select("node", "doc", "text_hash")
+             .join(keyed, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
+             .select("node", "_text"))
+    elements = texts.mapInArrow(_elements, "node bigint, elements array<int>")
+    if _any_repeated(rows):
+        elements = elements.dropDuplicates(["node"])
+    elements = stored(elements, "near-elements")
+    star = _alike(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+                  .distinct(), sketches)
+    comps = stored(components(stored(_verify(star, elements), "near-links")), "near-classes")
+    for best_only in (True, False):
+        found = _verify(_round(members, sketches, comps, best_only), elements)
+        links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+        comps = stored(components(stored(links, "near-links")), "near-classes")
+    numbers = nodes.select("multiset", "node").join(comps, "node", "left") \
+        .select("multiset", F.coalesce("component", "node").alias("class"))
+    return rows.select("doc", "text_hash", "multiset").join(numbers, "multiset").drop("multiset")
+
+
+def _any_repeated(rows: DataFrame) -> bool:
+    return not rows.groupBy("doc", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, class_id (smallest id of its class) and
+    class_size (rows of the class)."""
+    rows = stored(near_classes(docs, doc_id, text), "near-rows")
+    sizes = rows.groupBy("class").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return rows.join(sizes, "class").select(F.col("doc").alias(doc_id), "class_id", "class_size")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class, the one of smallest id; columns unchanged."""
+    rows = stored(near_classes(docs, doc_id, text), "near-rows")
+    first = rows.groupBy("class").agg(F.min(F.struct(
+        F.col("doc").isNull().alias("no_id"), "doc", "text_hash")).alias("_first"))
+    keys = first.select(F.col("_first.doc").alias("_kept_doc"), F.col("_first.text_hash").alias("_kept_text"))
+    kept = docs.join(keys, F.col(doc_id).eqNullSafe(F.col("_kept_doc"))
+                     & (F.xxhash64(text) == F.col("_kept_text")), "left_semi")
+    return kept.dropDuplicates([doc_id, text]) if _any_repeated(rows) else kept

@@ -168,7 +168,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     """``docs`` without its ``text`` column and with the array<int> column
     ``ids`` in its place.  ``ranks_path`` must be readable on every executor
     (an installed vocabulary file)."""
-    common.bounded_batches(docs.sparkSession)
+    common.python_workers(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text, ids)]
     schema = T.StructType([docs.schema[c] for c in keep]
                           + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
@@ -190,7 +190,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 def decode(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
            data: str = "decoded") -> DataFrame:
     """``coded`` with the binary column ``data``: the bytes its ids stand for."""
-    common.bounded_batches(coded.sparkSession)
+    common.python_workers(coded.sparkSession)
     columns = [c for c in coded.columns if c not in (ids, data)] + [ids]
     schema = T.StructType([coded.schema[c] for c in columns]
                           + [T.StructField(data, T.BinaryType(), False)])

@@ -7,6 +7,7 @@ executors), so a lost executor costs only the running stage.
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,12 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows`` (never raise it)."""
+def python_workers(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Ready the session for Arrow-fed Python: batches of at most ``rows`` rows
+    (the setting is never raised), and this library's folder on the workers'
+    path, for sessions started without it (clusters get it by --py-files)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

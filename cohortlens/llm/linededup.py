@@ -44,7 +44,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.common import ascii_lower, stored
+from cohortlens.llm.common import ascii_lower, python_workers, stored
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -142,6 +142,7 @@ def _change_filters(chains: pd.DataFrame, changes: pd.DataFrame) -> list[list[in
 def _update_filters(filters: DataFrame | None, changes: DataFrame) -> DataFrame:
     """``changes``: (_shard, _h2, active), keys that became repeats or ceased to be."""
     schema = "_shard int, tables array<array<bigint>>"
+    python_workers(changes.sparkSession)
     if filters is None:
         return changes.groupBy("_shard").applyInPandas(
             lambda key, c: pd.DataFrame({"_shard": [key[0]], "tables": [_change_filters(c.iloc[:0], c)]}), schema)
