@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bagminhash, byte_bpe, decontam, linededup
+from cohortlens.llm import bagminhash, byte_bpe, decontam, linededup, nbsvm
 from cohortlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
@@ -37,6 +41,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_nbsvm": op4_nbsvm,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_bagminhash": op6_bagminhash,
     "op7_decontaminate": op7_decontaminate,

@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from cohortlens.llm.arrays import text_bytes
+
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
@@ -49,11 +51,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every word of the batch, in order."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    ends = offsets[1:] - offsets[0]
+    raw, ends = text_bytes(texts)
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, U)
     letters = LETTERS[raw]
@@ -70,7 +68,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(raw) + 1, U)
     np.cumsum(letters * up[:len(raw)], out=total[1:])
     value = (total[stop] - total[start]) * down[start]
-    return np.searchsorted(ends, start, side="right"), mix(value + BASE * (stop - start).astype(U))
+    return np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(start, ends), prepend=0)), mix(value + BASE * (stop - start).astype(U))
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,25 +2,61 @@
 
 Each stage calls one operator of ``cohortlens.llm``, takes (spark, docs,
 sf_dir) and returns a DataFrame; ``run`` writes what a stage returns as
-Parquet in the shared folder and hands the reread table to the next.
+Parquet in the shared folder and hands the reread table to the next.  All
+stages but the last return the columns of ``documents`` (and any others that
+came in).  A null text passes the filters as an empty one and stays null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import byte_bpe
+from cohortlens.llm import bagminhash, byte_bpe, decontam, linededup, nbsvm
 from cohortlens.llm.common import stored, table
 from cohortlens.llm.queries import BYTE_RANKS
-import public_tokenizers
+
+#: A document goes only where the classifier holds junk for likelier than not.
+REJECT_BELOW = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents the quality classifier rejects go."""
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
+    return nbsvm.score(docs, model, REJECT_BELOW).where(F.col("predicted") == 1).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: repeated lines go; n_chars follows the kept text."""
+    kept = linededup.keep_lines(linededup.build(docs), docs)
+    text = F.when(F.col("_n_dropped") > 0, F.col("_kept")).otherwise(F.col("text"))
+    changes = {"text": text}
+    if "n_chars" in docs.columns:
+        changes["n_chars"] = F.when(F.col("_n_dropped") > 0, F.char_length("_kept").cast("long")) \
+            .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.withColumns(changes).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: one document of each group of near-duplicates stays."""
+    return bagminhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents in which a window of a benchmark item occurs go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: ids of each kept text, and the digests of ids and decoded bytes."""
+    """Operator 5: token ids of each kept text, decoded again to check them."""
     return byte_bpe.digest(docs, BYTE_RANKS, public_tokenizers.PATTERN)
 
 
 STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
     ("byte-level BPE", encode),
 ]
 
