@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bagminhash, byte_bpe, decontam, linededup, nbsvm
+from cohortlens.llm import bagminhash, byte_bpe, decontam, langid, linededup, nbsvm, toxicity
 from cohortlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,15 +40,21 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_toxicity": op3_toxicity,
     "op4_nbsvm": op4_nbsvm,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_bagminhash": op6_bagminhash,
     "op7_decontaminate": op7_decontaminate,
+    "op8_langid": op8_langid,
     "op10_line_dedup": op10_line_dedup,
 }
 

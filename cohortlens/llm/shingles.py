@@ -49,11 +49,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every word of the batch, in order."""
+def word_spans(texts: pa.Array):
+    """(row, begin, size) of every word of the batch, in order, and a function
+    that hashes spans of its bytes, given as (begin, end)."""
     raw, ends = text_bytes(texts)
     if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        none = np.zeros(0, np.int64)
+        return none, none, none, lambda begin, end: np.zeros(len(begin), U)
     letters = LETTERS[raw]
     inside = np.zeros(len(raw) + 1, bool)
     inside[:-1] = letters > 0
@@ -67,8 +69,14 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, U)
     np.cumsum(letters * up[:len(raw)], out=total[1:])
-    value = (total[stop] - total[start]) * down[start]
-    return np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(start, ends), prepend=0)), mix(value + BASE * (stop - start).astype(U))
+    row = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(start, ends), prepend=0))
+    return row, start, stop - start, lambda begin, end: (total[end] - total[begin]) * down[begin]
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word of the batch, in order."""
+    row, begin, size, spans = word_spans(texts)
+    return row, mix(spans(begin, begin + size) + BASE * size.astype(U))
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
