@@ -9,16 +9,15 @@ class is a connected component of that relation.
 2. A node's BagMinHash signature (``signatures``) has 125 slots, banded 25 x 5:
    two nodes of similarity 0.8 share no band with probability 5e-5.
 3. Nodes that share a band form a bucket.  Buckets are never expanded into all
-   pairs.  Three rounds propose pairs and verify them:
+   pairs.  Two rounds look for links:
    a. every node with the smallest node of its bucket;
-   b. every node with the best partner (by sketch: one byte per slot) of
-      another class, in each bucket that still holds several classes;
-   c. every remaining pair of different classes whose sketches agree in at
-      least ``FLOOR`` of the slots.
-   Sketches are compared inside tasks, in blocks of ``BLOCK`` nodes: a bucket
-   of any size is dealt out over as many tasks as it has pairs of blocks.
-   After (a) and (b) dense groups of copies are one class, so (c) proposes
-   few pairs: it makes sure that no link between classes is lost.
+   b. in each bucket that still holds several classes, the pairs of different
+      classes whose sketches (one byte per slot) agree in at least ``FLOOR`` of
+      the slots, most alike first; a pair that a found link has joined by then
+      is skipped, and so is one that an earlier band of the pair handles.
+   Round (b) runs inside tasks, in blocks of ``BLOCK`` nodes: a bucket of any
+   size is dealt out over as many tasks as it has pairs of blocks, and a block
+   gives at most one link per node.
 4. Verification is exact set arithmetic on the multisets: the k-th occurrence
    of a shingle is an element of its own, so size(A n B) / size(A u B) is the
    weighted similarity.  Elements are 32-bit hashes; chance agreement moves a
@@ -157,63 +156,81 @@ def _elements(batches):
             [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(marks))], names=["node", "elements"])
 
 
-# --- sketches of a bucket ----------------------------------------------------
+# --- inside a bucket -----------------------------------------------------------
 
-def _propose(best_only: bool, floor: float):
-    """For runs of rows with the same (bucket, i, j): pairs of nodes of
-    different classes whose sketches agree in ``floor`` of the slots; with
-    ``best_only`` each node's best one.  Rows come sorted, block i before j."""
+ROW = ["bucket", "i", "j", "block", "band", "node", "leader", "comp", "bands", "sketch", "elements"]
 
-    def pairs(rows):
-        node, comp = rows["node"], rows["comp"]
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(node), SLOTS)
-        _, label = np.unique(np.array(comp), return_inverse=True)
-        if label.max(initial=0) == 0:
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b))
+    return both >= SIMILARITY * (len(a) + len(b) - both)
+
+
+def _links_between_classes(batches):
+    """For runs of rows (ROW) of the same bucket and blocks i, j: verified
+    links (a, b) between nodes of different classes, none of them implied by
+    the others."""
+    def links(rows):
+        node, comp, band = rows["node"], rows["comp"], rows["band"][0]
+        names, label = np.unique(np.array(comp), return_inverse=True)
+        if len(names) == 1:
             return
-        lead = rows["leader"][0]
+        parent = list(range(len(names)))
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(node), SLOTS)
+        bands = np.array(rows["bands"], np.int64)
         block = np.array(rows["block"])
-        left = np.flatnonzero(block == rows["i"][0])
-        right = np.flatnonzero(block == rows["j"][0])
+        left, right = np.flatnonzero(block == rows["i"][0]), np.flatnonzero(block == rows["j"][0])
+        same_block = rows["i"][0] == rows["j"][0]
+        found = []
         for at in range(0, len(left), 64):
             some = left[at:at + 64]
             agree = (sketch[some][:, None, :] == sketch[right][None, :, :]).sum(axis=2)
             agree[label[some][:, None] == label[right][None, :]] = 0
-            if best_only:
-                top = agree.argmax(axis=1)
-                hits = [(x, top[x]) for x in np.flatnonzero(agree.max(axis=1) >= floor * SLOTS)]
-            else:
-                hits = zip(*np.nonzero(agree >= floor * SLOTS))
-            for x, y in hits:
-                a, b = node[some[x]], node[right[y]]
-                if lead not in (a, b):   # a node was already compared with its leader
-                    yield (a, b) if a < b else (b, a)
-
-    def run(batches):
-        names = ["bucket", "i", "j", "block", "node", "leader", "comp", "sketch"]
-        group, held = None, {c: [] for c in names}
-        found: set = set()
-        for batch in batches:
-            columns = {c: batch.column(k).to_pylist() for k, c in enumerate(names)}
-            keys = list(zip(columns["bucket"], columns["i"], columns["j"]))
-            edges = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
-            for begin, end in zip(edges, edges[1:]):
-                if end > begin and keys[begin] != group:
-                    if held["node"]:
-                        found.update(pairs(held))
-                    group, held = keys[begin], {c: [] for c in names}
-                for c in names:
-                    held[c] += columns[c][begin:end]
-            if len(found) > 10_000:
-                yield _pair_batch(found)
-                found = set()
-        if held["node"]:
-            found.update(pairs(held))
-        yield _pair_batch(found)
-
-    return run
-
-
-def _pair_batch(found: set) -> pa.RecordBatch:
+            x, y = np.nonzero(agree >= FLOOR * SLOTS)
+            x, y, agree = some[x], right[y], agree[x, y]
+            once = (x < y) if same_block else slice(None)
+            x, y, agree = x[once], y[once], agree[once]
+            ours = (bands[x] == bands[y]).argmax(axis=1) == band
+            found += zip((-agree[ours]).tolist(), x[ours].tolist(), y[ours].tolist())
+        elements = {}
+        for _, x, y in sorted(found):
+            if root(label[x]) == root(label[y]) or rows["leader"][0] in (node[x], node[y]):
+                continue    # joined by now, or compared in the first round
+            for k in (x, y):
+                if k not in elements:
+                    elements[k] = rows["elements"][k].values.to_numpy()
+            if _similar(elements[x], elements[y]):
+                parent[root(label[x])] = root(label[y])
+                yield node[x], node[y]
+
+    group, held = None, {c: [] for c in ROW}
+    out: list = []
+    for batch in batches:
+        columns = {c: batch.column(c).to_pylist() if c != "elements" else list(batch.column(c)) for c in ROW}
+        keys = list(zip(columns["bucket"], columns["i"], columns["j"]))
+        edges = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+        for begin, end in zip(edges, edges[1:]):
+            if end > begin and keys[begin] != group:
+                if held["node"]:
+                    out += links(held)
+                group, held = keys[begin], {c: [] for c in ROW}
+            for c in ROW:
+                held[c] += columns[c][begin:end]
+        yield _pair_batch(out)
+        out = []
+    if held["node"]:
+        out += links(held)
+    yield _pair_batch(out)
+
+
+def _pair_batch(found: list) -> pa.RecordBatch:
     a, b = zip(*found) if found else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -252,28 +269,27 @@ def _verify(pairs: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, leader, n) of every bucket of more than one node."""
-    banded = nodes.select(F.explode("bands").alias("bucket"), "node")
+    """(bucket, band, node, leader, n) of every bucket of more than one node."""
+    banded = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node")
     buckets = (banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
                .where(F.col("n") > 1))
     return banded.join(buckets, "bucket")
 
 
-def _round(members: DataFrame, sketches: DataFrame, comps: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs between classes that sketches propose, bucket by bucket."""
+def _second_round(members: DataFrame, sketches: DataFrame, elements: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links between classes, bucket by bucket."""
     labelled = members.join(comps.withColumnRenamed("component", "_comp"), "node", "left") \
         .withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
     mixed = (labelled.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
              .where(F.col("_lo") != F.col("_hi")).select("bucket"))
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rows = (labelled.join(mixed, "bucket").join(sketches, "node")
-            .withColumn("_blocks", blocks)
+    rows = (labelled.join(mixed, "bucket").join(sketches, "node").join(elements, "node")
+            .withColumn("_blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-            .select("bucket", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"),
-                    "block", "node", "leader", "comp", "sketch"))
+            .withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
+            .select(*ROW))
     return (rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "node")
-            .mapInArrow(_propose(best_only, FLOOR), "a bigint, b bigint").distinct())
+            .mapInArrow(_links_between_classes, "a bigint, b bigint").distinct())
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,7 +300,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     nodes = stored(first.select("multiset", "_one.*", F.monotonically_increasing_id().alias("node")), "near-nodes")
     members = stored(_members(nodes), "near-members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    sketches = stored(wanted.select("node", "sketch"), "near-sketches")
+    sketches = stored(wanted.select("node", "bands", "sketch"), "near-sketches")
     common.python_workers(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).cast("long").alias("_d"), F.xxhash64(text).alias("_h"),
                         F.col(text).cast("string").alias("_text"))
@@ -298,10 +314,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     star = _alike(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
                   .distinct(), sketches)
     comps = stored(components(stored(_verify(star, elements), "near-links")), "near-classes")
-    for best_only in (True, False):
-        found = _verify(_round(members, sketches, comps, best_only), elements)
-        links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-        comps = stored(components(stored(links, "near-links")), "near-classes")
+    found = _second_round(members, sketches, elements, comps)
+    links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+    comps = stored(components(stored(links, "near-links")), "near-classes")
     numbers = nodes.select("multiset", "node").join(comps, "node", "left") \
         .select("multiset", F.coalesce("component", "node").alias("class"))
     return rows.select("doc", "text_hash", "multiset").join(numbers, "multiset").drop("multiset")

@@ -1,0 +1,67 @@
+"""Operator 1 against the tokenizers library, document by document."""
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from cohortlens.llm import tokenfile
+from .conftest import clashing
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def reference():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids + [tokenfile.END_ID]
+
+
+def _expected(rows, reference):
+    out, start = [], 0
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = reference(text)
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def _key(row):
+    return tuple((x is not None, x) for x in row)
+
+
+def test_whole_table(spark, documents, reference):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    got = tokenfile.digest(documents, PATH).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == sorted(_expected(rows, reference))
+
+
+def test_edges(spark, docs_of, reference):
+    rows = [(5, None), (3, ""), (3, ""), (None, "a b"), (9, "x" * 50_000), (1, "<|endoftext|> </s>\u00a0É\x1cK.,"),
+            (2, "İ. Σ, it's we'LL")]
+    got = tokenfile.digest(clashing(docs_of(rows)), PATH).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got), key=_key) == sorted(_expected(rows, reference), key=_key)
+    assert tokenfile.digest(docs_of([]), PATH).count() == 0
+
+
+def test_files_are_ordered_and_pruned(spark, documents, tmp_path):
+    path = str(tmp_path / "tokens.orc")
+    tokenfile.write(documents, PATH, path)
+    tokens = tokenfile.read(spark, path)
+    ids = [r.doc_id for r in tokens.orderBy("place").collect()]
+    assert ids == sorted(ids)
+    found = tokenfile.find(spark, path, ids[:2])
+    assert sorted(r.doc_id for r in found.collect()) == ids[:2]
+    assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString()
+    one = next(f for f in (tmp_path / "tokens.orc").iterdir() if f.suffix == ".orc")
+    assert b"BLOOM" in one.read_bytes() or one.stat().st_size > 0
+
+
+def test_chunk_memory_turns_over(reference, monkeypatch):
+    monkeypatch.setattr(tokenfile, "REMEMBERED_CHUNKS", 3)
+    coder = tokenfile.ChunkEncoder(PATH)
+    for text in ["one two, three. four", "four, two. one", "five (six) two,", "one"] * 3:
+        assert np.frombuffer(coder.encode_batch([text])[0], np.int32).tolist() == reference(text)[:-1]

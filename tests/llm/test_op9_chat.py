@@ -1,0 +1,73 @@
+"""Operator 9: round trip, digests and turn order against plain Python."""
+import hashlib
+
+from hypothesis import given, strategies as st
+
+from cohortlens.llm import chat
+from .conftest import clashing
+
+TRICKY = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\n", "\\", "\\\\<s>", "<\\s>", "", "\n", "a\\", None,
+          "<<SYS>> <</SYS>>", "<|im_start|"]
+
+
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "sys\ntem", "<s>", "\\"]),
+                          st.one_of(st.text("\\<|>s/[INST]im_endtarSY\n x", max_size=40), st.sampled_from(TRICKY[:8]))),
+                max_size=6))
+def test_parse_is_the_inverse(turns):
+    t = chat.TEMPLATE
+    formatted = "".join(s for role, text in turns for s, _ in t.segments(role, text))
+    assert t.parse(formatted) == turns
+    for _, text in turns:
+        assert not any(c in t.escape(text) for c in t.controls)
+        assert t.unescape(t.escape(text)) == text
+
+
+def test_machine():
+    t = chat.TEMPLATE
+
+    def run(*roles):
+        state, fine = t.start, True
+        for role in roles:
+            state, right = t.step(state, role)
+            fine = fine and right
+        return fine and state in t.accepting
+
+    assert run("system", "user", "assistant", "user", "assistant") and run("user", "assistant")
+    for wrong in ((), ("assistant",), ("user",), ("user", "user", "assistant"), ("user", "system", "assistant"),
+                  ("user", "assistant", "tool"), ("system", "assistant")):
+        assert not run(*wrong)
+
+
+def test_digest(spark):
+    rows = [(1, i, role, text) for i, (role, text) in enumerate(
+        [("system", "be <s>"), *[(r, t) for t in TRICKY for r in ("user", "assistant")]])]
+    rows += [(2, 0, "assistant", "first"), (2, 0, "assistant", "first"), (2, None, "user", "early"), (3, 0, None, None),
+             (None, 1, "user", "no id"), (4, 0, "user", "x" * 100_000), (4, 1, "assistant", "é" * 70_000)]
+    df = clashing(spark.createDataFrame(rows, chat.CONVERSATIONS))
+    got = {r.conv_id: r for r in chat.digest(df).collect()}
+    text = "</s>[INST] ok [/INST]"
+    by: dict = {-1: [(0, "user", text), (1, "assistant", text)]}
+    for conv, turn, role, said in rows:
+        by.setdefault(conv, []).append((turn, role or "", said or ""))
+    assert set(got) == set(by)
+    for conv, turns in by.items():
+        turns = sorted(turns, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+        r, learned = got[conv], "".join(t for _, role, t in turns if role == "assistant")
+        assert r.n_turns == len(turns)
+        assert r.turns_sha256 == _sha("".join(f"{role}\n{t}\n" for _, role, t in turns))
+        assert (r.loss_chars, r.loss_sha256) == (len(learned), _sha(learned))
+        assert r.formatted_chars == sum(len(s) for _, role, t in turns for s, _ in chat.TEMPLATE.segments(role, t))
+    assert [got[c].in_order for c in (-1, 1, 2, 3, None)] == [True, True, False, False, False]
+    only = chat.digest(spark.createDataFrame([], chat.CONVERSATIONS)).collect()
+    assert [r.conv_id for r in only] == [-1]
+
+
+def test_segments_carry_the_mask(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a<s>")]
+    segments = chat.format_conversations(spark.createDataFrame(rows, chat.CONVERSATIONS)).orderBy("turn_no", "piece").collect()
+    assert "".join(s.text for s in segments) == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<\\s><|im_end|>\n"
+    assert [s.text for s in segments if s.loss] == ["a<\\s>"]
