@@ -4,78 +4,57 @@ Joining subscriptions (large, possibly skewed: one account may own a third of
 them) to a per-account table (one row per account) puts every row of a hot
 account into one task of a shuffle join.  Adaptive skew splitting cannot help
 where the lookup side arrives already partitioned by its own aggregation
-(which is what saves its exchange), so hot keys are salted explicitly, in a
-single pass over each side:
+(which is what saves its exchange), so hot keys are salted explicitly.  The
+plan is the same at every size:
 
-* a key is hot when it holds more than ``hot_share`` of the large table's
-  rows (and at least ``min_hot_rows``), so there are at most
-  ``1 / hot_share`` hot keys - a bound that does not grow with the data;
-  this small table (key, number of salts) is broadcast;
+* a key is hot when it holds more than ``rows_per_task`` rows of the large
+  table, so there are at most rows / ``rows_per_task`` hot keys: half a
+  million for 10^12 rows.  This table (key, number of salts) is broadcast;
 * each hot key gets ``ceil(rows / rows_per_task)`` salts; its rows in the
   large table take a deterministic salt in that range, and its one lookup
   row is replicated once per salt - at most one extra lookup row per
   ``rows_per_task`` rows of the large table plus one per hot key;
 * the join runs on (key, salt), so a hot key is spread over as many tasks
-  as its size needs, and the lookup is evaluated once.  Rows with a NULL key
-  (which never match) are spread the same way.
+  as its size needs.  Rows with a NULL key, which never match, are spread by
+  a hash of the whole row, however many they are.
 
-The extra cost is a row count (metadata only for Parquet) and one partially
-aggregated count per key of the large table - the size of one per-account
-aggregate.
+The extra cost is one partially aggregated count per key of the large table -
+the size of one per-account aggregate.  Nothing runs while the plan is built.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_SHARE = 1e-4             # a key with > 0.01 % of all rows is hot: <= 10,000 hot keys
-MIN_HOT_ROWS = 1_000_000     # ... and with at least this many rows (a task handles fewer easily)
 ROWS_PER_TASK = 2_000_000    # target rows of one hot key per join task
-NULL_KEY_SALTS = 1024        # spread of rows whose key is NULL
 
 
-def hot_keys(big: DataFrame, key: str, hot_share: float | None = None,
-             min_hot_rows: int | None = None) -> DataFrame:
-    """Keys of ``big`` holding more than ``hot_share`` of its rows and at
-    least ``min_hot_rows``, with their row counts (``_rows``); at most
-    ``1 / hot_share`` rows."""
-    hot_share = HOT_SHARE if hot_share is None else hot_share
-    min_hot_rows = MIN_HOT_ROWS if min_hot_rows is None else min_hot_rows
-    # a plain row count reads no column (Parquet row-group metadata only)
-    total = big.agg(F.count(F.lit(1))).scalar()
-    limit = F.greatest(total * F.lit(hot_share), F.lit(min_hot_rows))
-    return (big.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-            .where(F.col("_rows") >= limit))
+def hot_keys(big: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys of ``big`` holding more than ``rows_per_task`` of its rows, with
+    their row counts (``_rows``)."""
+    return (big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+            .where(F.col("_rows") > rows_per_task))
 
 
 def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                hot_share: float | None = None, min_hot_rows: int | None = None,
-                rows_per_task: int | None = None) -> DataFrame:
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``big.join(lookup, key, how)`` for a ``lookup`` with one row per key
     (``how`` is 'left' or 'inner'), safe for skew on ``key`` in ``big``.
-    Output columns: ``big``'s, then ``lookup``'s other columns.
-
-    When ``big`` has fewer than ``min_hot_rows`` rows no key can be hot, and
-    the plain (co-partitioned) join is used; the row count that decides this
-    reads no column of a Parquet-backed ``big``."""
+    Output columns: ``big``'s, then ``lookup``'s other columns."""
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    min_hot_rows = MIN_HOT_ROWS if min_hot_rows is None else min_hot_rows
-    rows_per_task = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-    if big.count() < min_hot_rows:
-        return big.join(lookup, key, how)
     values = [c for c in lookup.columns if c != key]
-    salts = F.broadcast(  # <= 1 / hot_share rows
-        hot_keys(big, key, hot_share, min_hot_rows)
+    salts = F.broadcast(  # <= rows / rows_per_task rows
+        hot_keys(big, key, rows_per_task)
         .select(key, F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_salts")))
-    spread = F.pmod(F.xxhash64(*big.columns), F.coalesce(F.col("_salts"), F.lit(NULL_KEY_SALTS)))
+    whole = F.xxhash64(*big.columns)
     tagged = (big.join(salts, key, "left")
-              .withColumn("_salt", F.when(F.col("_salts").isNotNull() | F.col(key).isNull(), spread)
-                          .otherwise(F.lit(0)).cast("int"))
+              .withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(whole, F.col("_salts").cast("long")))
+                          .when(F.col(key).isNull(), whole).otherwise(F.lit(0).cast("long")))
               .drop("_salts"))
     replicated = (lookup.join(salts, key, "left")
                   .withColumn("_salt", F.explode(F.sequence(
-                      F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-                  .drop("_salts"))
+                  F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1)).cast("long") - 1)))
+              .drop("_salts"))
     joined = tagged.join(replicated, [key, "_salt"], how)
     return joined.select(*[F.col(c) for c in big.columns], *[F.col(c) for c in values])

@@ -1,5 +1,5 @@
-"""A hot key holding a third of all rows: results stay exact and the heavy
-joins are split by adaptive skew handling rather than run in one task."""
+"""A hot key holding a third of all rows: results stay exact, and its join is
+spread over as many salts as its size needs."""
 
 import re
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import accounts as acc
 from cohortlens.operators import activity, retention as ret
+from cohortlens.operators.skew import hot_keys, lookup_join
 from cohortlens.sources.tables import load_driver_tables
 from conftest import SF_SMALL
 
@@ -24,66 +25,52 @@ def skewed(spark):
     return t.with_(feature_usage=usage), hot_sub
 
 
+def _rows(df, *cols):
+    return [tuple(r) for r in df.select(*cols).collect()]
+
+
 def _brute_mau(t):
-    """The source's fan-out formulation, as a reference."""
-    u, s, a, c = t.feature_usage, t.subscriptions, t.accounts, t.churn_events
-    j = (s.join(u, "subscription_id").join(a.select("account_id", "signup_date"), "account_id")
-         .join(c.select("account_id", "churn_date"), "account_id", "left")
-         .where((F.col("usage_date") >= F.col("signup_date"))
-                & (F.col("churn_date").isNull() | (F.col("usage_date") <= F.col("churn_date")))))
-    return j.groupBy(F.trunc("usage_date", "MM").alias("active_month")) \
-        .agg(F.count_distinct("account_id").alias("mau"))
+    """Months and their active accounts, from collected rows with Python sets."""
+    owner = dict(_rows(t.subscriptions, "subscription_id", "account_id"))
+    signup = dict(_rows(t.accounts, "account_id", "signup_date"))
+    left = {}
+    for account, day in _rows(t.churn_events, "account_id", "churn_date"):
+        left.setdefault(account, []).append(day)
+    seen = {}
+    for sub, day in _rows(t.feature_usage, "subscription_id", "usage_date"):
+        account = owner.get(sub)
+        days = left.get(account)
+        if account in signup and day >= signup[account] and (not days or None in days or day <= max(days)):
+            seen.setdefault(day.replace(day=1), set()).add(account)
+    return sorted((m, len(a)) for m, a in seen.items())
 
 
 def test_hot_subscription_results_exact(skewed):
     t, hot = skewed
     assert t.feature_usage.where(F.col("subscription_id") == hot).count() >= 0.3 * t.feature_usage.count()
     got = sorted(tuple(r) for r in activity.monthly_active_users(t).collect())
-    want = sorted(tuple(r) for r in _brute_mau(t).collect())
-    assert got == want
+    assert got == _brute_mau(t)
     fm = {r.account_id: r.total_usage_count for r in acc.feature_metrics(t).collect()}
     assert sum(v for v in fm.values() if v) == t.feature_usage.agg(F.sum("usage_count")).collect()[0][0]
     assert ret.retention_activity(t).count() > 0
 
 
-def test_skewed_join_is_split(spark, skewed):
-    t, _ = skewed
-    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
-            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
-            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.autoBroadcastJoinThreshold": "-1"}
-    old = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        # many map tasks, as with many input splits at scale (skew splits
-        # follow map-output boundaries; one input file here is one task)
-        usage = t.feature_usage.repartition(8)
-        raw = usage.join(t.subscriptions.select("subscription_id", "account_id"), "subscription_id")
-        assert len(raw.collect()) == t.feature_usage.count()
-        plan = raw._jdf.queryExecution().executedPlan().toString()
-        assert "skew=true" in plan
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _brute_activity(t):
-    """The source's formulation: distinct active months, row_number streak
-    test, distinct counts per cell."""
-    from pyspark.sql import Window
-    cohorts = t.accounts.select("account_id", F.trunc("signup_date", "MM").alias("cohort_month"))
-    active = (t.feature_usage.join(t.subscriptions, "subscription_id", "left")
-              .where(F.col("usage_date").isNotNull())
-              .select("account_id", F.trunc("usage_date", "MM").alias("active_month")).distinct())
-    m = (cohorts.join(active, "account_id").where(F.col("active_month") >= F.col("cohort_month"))
-         .withColumn("month_number", F.months_between("active_month", "cohort_month").cast("long")))
-    rn = F.row_number().over(Window.partitionBy("account_id").orderBy("month_number"))
-    base = (m.withColumn("rn", rn).where(F.col("month_number") == F.col("rn") - 1)
-            .groupBy("cohort_month", "month_number").agg(F.count_distinct("account_id").alias("a")))
-    size = cohorts.groupBy("cohort_month").agg(F.count_distinct("account_id").alias("s"))
-    return base.join(size, "cohort_month").select("cohort_month", "month_number", "a", "s")
+    """Cohort cells from collected rows: an account counts in month k while
+    every month from its cohort's on has a use."""
+    owner = dict(_rows(t.subscriptions, "subscription_id", "account_id"))
+    number = lambda d: 12 * d.year + d.month
+    used = {}
+    for sub, day in _rows(t.feature_usage, "subscription_id", "usage_date"):
+        used.setdefault(owner.get(sub), set()).add(number(day))
+    sizes, cells = {}, {}
+    for account, signup in _rows(t.accounts, "account_id", "signup_date"):
+        cohort, k = signup.replace(day=1), 0
+        sizes[cohort] = sizes.get(cohort, 0) + 1
+        while number(signup) + k in used.get(account, ()):
+            cells[cohort, k] = cells.get((cohort, k), 0) + 1
+            k += 1
+    return sorted((c, k, n, sizes[c]) for (c, k), n in cells.items())
 
 
 def test_hot_account_results_exact(spark):
@@ -96,33 +83,35 @@ def test_hot_account_results_exact(spark):
     t = t.with_(subscriptions=subs)
     got = sorted((r.cohort_month, r.month_number, r.active_accounts, r.cohort_size)
                  for r in ret.retention_activity(t).collect())
-    want = sorted(tuple(r) for r in _brute_activity(t).collect())
-    assert got == want and len(got) > 0
+    assert got == _brute_activity(t) and len(got) > 0
     mau = sorted(tuple(r) for r in activity.monthly_active_users(t).collect())
-    assert mau == sorted(tuple(r) for r in _brute_mau(t).collect())
+    assert mau == _brute_mau(t)
+    # the same through salted joins: the hot account takes many salts
+    salted = lookup_join(t.subscriptions, activity.account_activity_bounds(t), "account_id", "inner", rows_per_task=20)
+    plain = t.subscriptions.join(activity.account_activity_bounds(t), "account_id")
+    assert sorted(map(str, salted.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
 
 
 def test_lookup_join_hot_path_equals_plain_join(spark):
-    from cohortlens.operators.skew import hot_keys, lookup_join
     t = load_driver_tables(spark, SF_SMALL)
     subs = t.subscriptions.withColumn(
         "account_id", F.when(F.col("subscription_id") % 3 == 1, F.lit(7)).otherwise(F.col("account_id")))
     lookup = t.churn_events.groupBy("account_id").agg(F.min("churn_date").alias("fc"))
-    hot = hot_keys(subs, "account_id", hot_share=0.05, min_hot_rows=10)
+    hot = hot_keys(subs, "account_id", rows_per_task=100)
     assert [r.account_id for r in hot.collect()] == [7]          # only the hot account
-    assert hot_keys(subs, "account_id", hot_share=0.001, min_hot_rows=1).count() <= 1000
+    assert hot_keys(subs, "account_id", rows_per_task=1).count() <= subs.count()
+    subs = subs.unionByName(subs.where("subscription_id < 40").withColumn("account_id", F.lit(None).cast("long")))
     for how in ("left", "inner"):
-        got = lookup_join(subs, lookup, "account_id", how, hot_share=0.05, min_hot_rows=10,
-                          rows_per_task=50)
+        got = lookup_join(subs, lookup, "account_id", how, rows_per_task=50)
         want = subs.join(lookup, "account_id", how)
-        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
         old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as at scale: only the hints
         try:
             plan = got._jdf.queryExecution().executedPlan().toString()
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-        assert "BroadcastHashJoin" in plan and "xxhash64" in plan and "Union" not in plan
+        assert "BroadcastHashJoin" in plan and "xxhash64" in plan
         # the join is keyed by (key, salt): a hot key is spread over its salts
         assert re.search(r"hashpartitioning\(account_id#\d+L?, _salt#\d+", plan)
 
@@ -132,12 +121,12 @@ def test_salting_spreads_a_hot_key_and_bounds_replication(spark):
     t = load_driver_tables(spark, SF_SMALL)
     subs = t.subscriptions.withColumn(
         "account_id", F.when(F.col("subscription_id") % 3 == 1, F.lit(7)).otherwise(F.col("account_id")))
-    hot = skew.hot_keys(subs, "account_id", hot_share=0.05, min_hot_rows=10).collect()
+    hot = skew.hot_keys(subs, "account_id", rows_per_task=100).collect()
     assert [(r.account_id, r._rows) for r in hot] == [(7, subs.where("account_id = 7").count())]
     rows_per_task = 40
     salts = -(-hot[0]._rows // rows_per_task)
     joined = skew.lookup_join(subs, t.accounts.select("account_id", "signup_date"), "account_id", "left",
-                              hot_share=0.05, min_hot_rows=10, rows_per_task=rows_per_task)
+                              rows_per_task=rows_per_task)
     # the hot account's rows are spread over exactly ``salts`` join keys of ~rows_per_task rows
     per_salt = (subs.where("account_id = 7")
                 .select(F.pmod(F.xxhash64(*subs.columns), F.lit(salts)).alias("s"))
