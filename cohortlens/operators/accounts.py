@@ -194,6 +194,7 @@ def churn_metrics(t: Tables, tie_breaker: str = "churn_event_id", ordered: bool
     return out.orderBy(F.col("account_id").asc_nulls_last()) if ordered else out
 
 
+# The summary's columns, in output order.
 SUMMARY_COLUMNS = [
     "account_id", "industry", "country", "signup_date", "referral_source",
     "initial_plan_tier", "seats", "subscriptions", "approx_revenue_till_churn",
@@ -207,14 +208,17 @@ SUMMARY_COLUMNS = [
 def _churn_per_account(t: Tables, tie_breaker: str = "churn_event_id") -> DataFrame:
     """One aggregate of churn events per account serving the whole summary:
     first churn date (for lifetimes and subscription ends) and the first
-    event's details (J11).  Used twice in one plan, it is computed once
-    (identical sub-plans share one exchange)."""
+    event's details (J11).  It is used twice in one plan.  The filter, true
+    for every account with an event, reads all its columns, so pruning leaves
+    both uses alike and they share one exchange."""
     d = F.col("churn_date")
     first = F.min_by(F.struct(F.col("reason_code").alias("r"), F.col("refund_amount_usd").alias("f")),
                      F.struct(d.isNull(), d, F.col(tie_breaker)))
     return (t.churn_events.groupBy("account_id")
             .agg(F.min(d).alias("first_churn_date"), first.alias("first"),
-                 F.sum("refund_amount_usd").alias("total_refund_usd")))
+                 F.sum("refund_amount_usd").alias("total_refund_usd"))
+            .where(F.col("first").isNotNull() | F.col("total_refund_usd").isNotNull()
+                   | F.col("first_churn_date").isNotNull()))
 
 
 def accounts_summary(t: Tables, post_churn: str = "to_max_date", max_date: Column | None = None) -> DataFrame:

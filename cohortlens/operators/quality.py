@@ -38,11 +38,13 @@ def key_census(subscriptions: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def null_audit(subscriptions: DataFrame, blanks: bool = True) -> DataFrame:
-    """NULL count per audited column present in the input, plus - for
-    text columns, i.e. raw input - the count of blank values, which also mean
-    "missing" in the source but are not NULL."""
-    cols = subscriptions.columns
-    aggs = [F.count_if(F.col(c).isNull()).alias(name) for c, name in NULL_AUDIT_NAMES if c in cols]
+    """NULL count of each of the fourteen audited columns, plus - for
+    text columns - the count of blank values, which also mean "missing" in the
+    source but are not NULL.  An absent column raises."""
+    absent = [c for c, _ in NULL_AUDIT_NAMES if c not in subscriptions.columns]
+    if absent:
+        raise ValueError(f"null_audit: subscriptions lacks {', '.join(absent)}")
+    aggs = [F.count_if(F.col(c).isNull()).alias(name) for c, name in NULL_AUDIT_NAMES]
     if blanks:
         text = {f.name for f in subscriptions.schema.fields if f.dataType.typeName() == "string"}
         aggs += [F.count_if(F.trim(F.col(c)) == "").alias(f"{c}_blanks")

@@ -17,8 +17,7 @@ account is one tenure T (months from cohort to last month); the counts per
 bounded by the calendar - are turned into "accounts with tenure >= k" by a
 reverse running sum per cohort, and each histogram row emits only the month
 numbers between the previous tenure and its own: work proportional to the
-result, one pass over accounts.  ``method='explode'`` keeps the literal
-month-series expansion for cross-checking.
+result, one pass over accounts.
 """
 
 from __future__ import annotations
@@ -27,24 +26,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions import age_months, month_of, pct
 from cohortlens.operators.accounts import first_churn, max_usage_date
-from cohortlens.session import checkpoint_root
 from cohortlens.sources.tables import Tables
 
 ACTIVITY_RATE = "product_retention_rate_percentage"
 FIRST_CHURN_RATE = "payment_retention_rate_till_first_churn_percentage"
 LAST_CHURN_RATE = "payment_retention_rate_till_last_churn_percentage"
 
-OUTPUT = ["cohort_month", "month_number", "active_accounts", "cohort_size"]
-
-
-def _finish(active: DataFrame, sizes: DataFrame, rate_col: str) -> DataFrame:
-    return (active.join(sizes, "cohort_month")
-            .select("cohort_month", F.col("month_number").cast("long").alias("month_number"),
-                    F.col("active_accounts").cast("long").alias("active_accounts"),
-                    "cohort_size",
-                    pct(F.col("active_accounts"), F.col("cohort_size")).alias(rate_col))
-            .orderBy("cohort_month", "month_number"))
-
 
 def active_account_months(t: Tables) -> DataFrame:
     """Distinct (account_id, active_month) pairs from usage.
@@ -62,28 +49,29 @@ def active_account_months(t: Tables) -> DataFrame:
             .select("account_id", "active_month").distinct())
 
 
+def _activity_tenure(cohorts: DataFrame, active: DataFrame) -> DataFrame:
+    """``cohorts`` (account_id, cohort_month, ...) with tenure: the length of
+    the unbroken run of active months from the cohort month on, less one.
+
+    The per-account streak window runs where the join left the rows
+    (partitioned by account_id, no exchange; at most one row per calendar
+    month per account).  The month condition sits in the join, so an account
+    without such months keeps one row and stays in its cohort's size."""
+    months = (cohorts.join(active.withColumnRenamed("account_id", "_active"),
+                           (F.col("account_id") == F.col("_active"))
+                           & (F.col("active_month") >= F.col("cohort_month")), "left")
+              .withColumn("month_number", age_months(F.col("cohort_month"), F.col("active_month"))))
+    rn = F.row_number().over(Window.partitionBy("account_id").orderBy("month_number"))
+    return (months.withColumn("rn", rn).groupBy(*cohorts.columns)
+            .agg((F.count_if(F.col("month_number") == F.col("rn") - 1) - 1).alias("tenure")))
+
+
 def retention_activity(t: Tables) -> DataFrame:
-    """Unbroken-activity retention per signup cohort.
-
-    One pass over accounts: each account is left-joined to its distinct
-    active months on/after its cohort month (the month condition sits in the
-    join, so an account without such months keeps one row and stays in its
-    cohort's size).  The per-account streak window runs where the join left
-    the rows (partitioned by account_id, no exchange; at most one row per
-    calendar month per account); the streak length L per account then goes
-    through the same tenure histogram as payment retention (tenure = L - 1)."""
+    """Unbroken-activity retention per signup cohort, in one pass over
+    accounts; the streak length per account goes through the same tenure
+    histogram as payment retention."""
     cohorts = t.accounts.select("account_id", month_of(F.col("signup_date")).alias("cohort_month"))
-    active = active_account_months(t)
-    months = (cohorts.join(active, (cohorts["account_id"] == active["account_id"])
-                           & (active["active_month"] >= cohorts["cohort_month"]), "left")
-              .select(cohorts["account_id"], "cohort_month",
-                      age_months(F.col("cohort_month"), F.col("active_month")).alias("month_number")))
-    rn = F.row_number().over(Window.partitionBy("account_id").orderBy("month_number"))
-    streak = (months.withColumn("rn", rn)
-              .groupBy("account_id", "cohort_month")
-              .agg(F.count_if(F.col("month_number") == F.col("rn") - 1).alias("streak")))
-    return _from_tenure(streak.select("account_id", "cohort_month",
-                                      (F.col("streak") - 1).alias("tenure")), ACTIVITY_RATE)
+    return _from_tenure(_activity_tenure(cohorts, active_account_months(t)), ACTIVITY_RATE)
 
 
 def _from_tenure(per_account: DataFrame, rate_col: str) -> DataFrame:
@@ -116,22 +104,11 @@ def _from_tenure(per_account: DataFrame, rate_col: str) -> DataFrame:
             .orderBy("cohort_month", "month_number"))
 
 
-def _payment_retention(span: DataFrame, rate_col: str, method: str) -> DataFrame:
+def _payment_retention(span: DataFrame, rate_col: str) -> DataFrame:
     """``span``: one row per account with account_id, cohort_month and
     last_month.  Cohort sizes come from the same rows, so accounts are read
     once."""
-    cohort, last = F.col("cohort_month"), F.col("last_month")
-    if method == "explode":
-        sizes = span.groupBy("cohort_month").agg(F.count("account_id").alias("cohort_size"))
-        months = span.where(last >= cohort).select(
-            "cohort_month", F.explode(F.sequence(cohort, last, F.expr("interval 1 month"))).alias("m"))
-        active = (months.groupBy("cohort_month",
-                                 age_months(cohort, F.col("m")).alias("month_number"))
-                  .agg(F.count(F.lit(1)).alias("active_accounts")))
-        return _finish(active, sizes, rate_col)
-    if method != "histogram":
-        raise ValueError("method must be 'histogram' or 'explode'")
-    tenure = age_months(cohort, last)
+    tenure = age_months(F.col("cohort_month"), F.col("last_month"))
     return _from_tenure(span.select("account_id", "cohort_month", tenure.alias("tenure")), rate_col)
 
 
@@ -142,42 +119,47 @@ def _span(accounts: DataFrame, last_churn: DataFrame, churn_col: str, max_date:
                     month_of(F.coalesce(F.col(churn_col), max_date)).alias("last_month")))
 
 
-def retention_payment_first(t: Tables, method: str = "histogram") -> DataFrame:
+def retention_payment_first(t: Tables) -> DataFrame:
     """Payment retention until the first churn."""
     span = _span(t.accounts, first_churn(t.churn_events), "first_churn_date",
                  max_usage_date(t.feature_usage))
-    return _payment_retention(span, FIRST_CHURN_RATE, method)
+    return _payment_retention(span, FIRST_CHURN_RATE)
 
 
-def retention_payment_last(t: Tables, method: str = "histogram") -> DataFrame:
+def retention_payment_last(t: Tables) -> DataFrame:
     """Payment retention until the last churn."""
     last = t.churn_events.groupBy("account_id").agg(F.max("churn_date").alias("last_churn_date"))
     span = _span(t.accounts, last, "last_churn_date", max_usage_date(t.feature_usage))
-    return _payment_retention(span, LAST_CHURN_RATE, method)
+    return _payment_retention(span, LAST_CHURN_RATE)
 
 
-def retention_matrix(retention: DataFrame, rate_col: str, months: list[int] | None = None) -> DataFrame:
+#: Month numbers of the matrix's columns: ten years.
+MATRIX_MONTHS = range(120)
+
+
+def retention_matrix(retention: DataFrame, rate_col: str, months=MATRIX_MONTHS) -> DataFrame:
     """Cohort (``yyyy-MM``) x month_number matrix of the rate.
 
-    Cells are unique per (cohort, month) by construction; missing cells are
-    NULL.  ``months`` fixes the columns; by default they are the month
-    numbers present (a small distinct set, one per calendar month).  Finding
-    them is a pass of its own over ``retention``, so the retention table - a
-    cohorts x months result - is checkpointed first (reliable checkpoint in
-    the cluster's checkpoint folder): both passes read it instead of
-    recomputing it from the raw tables."""
-    if months is None:
-        checkpoint_root(retention.sparkSession)
-        retention = retention.checkpoint(eager=True)
-    labelled = retention.select(F.date_format("cohort_month", "yyyy-MM").alias("cohort_m_short"),
-                                "month_number", rate_col)
-    # a matrix cell must come from exactly one row (a pandas pivot raises
-    # otherwise); checked inside the aggregation, no extra pass
-    cell = (F.when(F.count(F.lit(1)) > 1,
-                   F.raise_error(F.lit("retention_matrix: duplicate (cohort, month_number) cell")))
-            .otherwise(F.max(rate_col)).cast("double"))
-    return (labelled.groupBy("cohort_m_short").pivot("month_number", months)
-            .agg(cell).orderBy("cohort_m_short"))
+    The columns are the given ``months``, so the plan needs no look at the
+    data; missing cells are NULL.  A cell must come from exactly one row, and
+    no row may lie outside the columns: either raises (both are checked inside
+    the one aggregation)."""
+    months = list(months)
+    month = F.col("month_number")
+
+    def cell(m: int) -> Column:
+        hit = F.when(month == m, F.col(rate_col))
+        return (F.when(F.count(hit) > 1, F.raise_error(F.lit("retention_matrix: duplicate (cohort, month_number) cell")))
+                .otherwise(F.max(hit)).cast("double").alias(str(m)))
+
+    outside = F.count_if(~month.isin(months))
+    label = F.date_format("cohort_month", "yyyy-MM")
+    checked = F.when(F.col("_outside") > 0, F.raise_error(F.lit("retention_matrix: a month number has no column"))) \
+        .otherwise(F.col("cohort_m_short"))
+    return (retention.groupBy(label.alias("cohort_m_short"))
+            .agg(outside.alias("_outside"), *[cell(m) for m in months])
+            .select(checked.alias("cohort_m_short"), *[F.col(f"`{m}`") for m in months])
+            .orderBy("cohort_m_short"))
 
 
 def retention_mean(retention: DataFrame, rate_col: str, months=(0, 12)) -> DataFrame:
@@ -185,6 +167,10 @@ def retention_mean(retention: DataFrame, rate_col: str, months=(0, 12)) -> DataF
     numbers; cohorts without that month are not in the mean.  The mean is
     taken on exact hundredths, so the result does not depend on summation
     order."""
+    return retention.where(F.col("month_number").isin(list(months))).agg(*_means(rate_col, months))
+
+
+def _means(rate_col: str, months) -> list[Column]:
     cents = F.round(F.col(rate_col) * 100).cast("long")
     aggs = []
     for m in months:
@@ -192,11 +178,11 @@ def retention_mean(retention: DataFrame, rate_col: str, months=(0, 12)) -> DataF
         aggs.append((F.sum(F.when(hit, cents)).cast("double")
                      / F.nullif(F.count(F.when(hit, cents)) * 100, F.lit(0)).cast("double"))
                     .alias(f"mean_month_{m}"))
-    return retention.where(F.col("month_number").isin(list(months))).agg(*aggs)
+    return aggs
 
 
 def retention_means(activity: DataFrame, first: DataFrame, last: DataFrame, months=(0, 12)) -> DataFrame:
-    """J28 for the three retention kinds: one row per kind with the mean
+    """J28 for three stored retention tables: one row per kind with the mean
     rate at each of ``months``."""
     out = None
     for name, df, rate in (("activity", activity, ACTIVITY_RATE),
@@ -205,3 +191,31 @@ def retention_means(activity: DataFrame, first: DataFrame, last: DataFrame, mont
         m = retention_mean(df, rate, months).select(F.lit(name).alias("retention"), "*")
         out = m if out is None else out.unionByName(m)
     return out
+
+
+def retention_means_of(t: Tables, months=(0, 12)) -> DataFrame:
+    """J28 from the inputs, in one pass: an account's three tenures (streak,
+    until its first and its last churn) come from one join of accounts with
+    one churn aggregate, are stacked, and go through one histogram per kind
+    and cohort.  Only the asked month numbers are computed, so nothing is
+    expanded."""
+    churn = t.churn_events.groupBy("account_id").agg(
+        F.min("churn_date").alias("_first"), F.max("churn_date").alias("_last"))
+    max_date = max_usage_date(t.feature_usage)
+    cohort = month_of(F.col("signup_date"))
+    until = lambda c: age_months(cohort, month_of(F.coalesce(F.col(c), max_date)))
+    spans = (t.accounts.select("account_id", "signup_date").join(churn, "account_id", "left")
+             .select("account_id", cohort.alias("cohort_month"), until("_first").alias("_t1"), until("_last").alias("_t2")))
+    streaks = _activity_tenure(spans, active_account_months(t))
+    kinds = streaks.select("cohort_month", F.expr(
+        "stack(3, 'activity', tenure, 'payment_first_churn', cast(_t1 as bigint), "
+        "'payment_last_churn', cast(_t2 as bigint)) as (retention, tenure)"))
+    per_cohort = kinds.groupBy("retention", "cohort_month").agg(
+        F.count(F.lit(1)).alias("size"), *[F.count_if(F.col("tenure") >= m).alias(f"n{m}") for m in months])
+    per_cohort = per_cohort.where(F.col("cohort_month").isNotNull())
+    cells = []
+    for m in months:
+        rate = F.when(F.col(f"n{m}") > 0, F.round(pct(F.col(f"n{m}"), F.col("size")) * 100).cast("long"))
+        cells.append((F.sum(rate).cast("double") / F.nullif(F.count(rate) * 100, F.lit(0)).cast("double"))
+                     .alias(f"mean_month_{m}"))
+    return per_cohort.groupBy("retention").agg(*cells)

@@ -16,43 +16,22 @@ from cohortlens.operators import (
     accounts as acc, activation as act, activity, churn, growth, quality, retention as ret,
     usage_segments as seg,
 )
-from cohortlens.sources.tables import load_driver_tables
+from cohortlens.sources.tables import Tables, load_driver_tables
+from cohortlens.streaming import mau as smau
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-# Mapped input plans per (session, folder).  Only the lazy plans are shared -
-# every query still scans and computes everything - so repeated queries skip
-# re-resolving the same files and re-analysing the same mapping expressions.
-_PLANS: dict[tuple[int, str], tuple[SparkSession, object]] = {}
+def _t(spark: SparkSession, sf_dir: str) -> Tables:
+    return load_driver_tables(spark, sf_dir)
 
 
-def _t(spark: SparkSession, sf_dir: str):
-    key = (id(spark), sf_dir)
-    hit = _PLANS.get(key)
-    if hit is None or hit[0] is not spark:
-        hit = _PLANS[key] = (spark, load_driver_tables(spark, sf_dir))
-    return hit[1]
-
-
-# Shared derived plans (lazy, no data cached) per mapped-input object.
-_DERIVED: dict[tuple[int, str], tuple[object, DataFrame]] = {}
-
-
-def _derived(t, name: str, build) -> DataFrame:
-    key = (id(t), name)
-    hit = _DERIVED.get(key)
-    if hit is None or hit[0] is not t:
-        hit = _DERIVED[key] = (t, build(t))
-    return hit[1]
-
-
-def _outcomes(spark, d):
-    return _derived(_t(spark, d), "outcomes", acc.account_outcomes)
+def _outcomes(spark, d, t: Tables | None = None):
+    return acc.account_outcomes(t or _t(spark, d))
 
 
 def _base(spark, d):
-    return _derived(_t(spark, d), "activation_base", act.activation_base)
+    return act.activation_base(_t(spark, d))
 
 
 def _growth(spark, d):
@@ -68,29 +47,23 @@ def _mau(spark, d):
 
 
 def _mau_stream(spark, d):
-    """J15 through Structured Streaming: the driver's usage file is the
-    stream source; the run ends when all available data is processed
-    (``availableNow``) and the published MAU table is returned."""
-    import os
-    import uuid
-
-    from cohortlens.session import checkpoint_root
-    from cohortlens.streaming import mau as smau
-    root = os.path.join(checkpoint_root(spark), "streams", f"mau-{uuid.uuid4().hex[:12]}")
-    usage = smau.usage_stream_from_driver_files(spark, os.path.join(d, "lineitem*.parquet"))
-    smau.start(smau.monthly_active_users_stream(usage, _t(spark, d)), os.path.join(root, "out"),
-               checkpoint=os.path.join(root, "checkpoint")).awaitTermination()
-    return spark.read.parquet(os.path.join(root, "out"))
+    """J15 through the step the streaming job runs on every micro-batch, with
+    all usage files as one batch on an empty state: lazy like any query."""
+    t = _t(spark, d)
+    return smau.monthly_counts(smau.active_pairs(t.feature_usage, t))
 
 
 def _usage_segments(spark, d):
-    return seg.usage_segments(_t(spark, d), _outcomes(spark, d))
+    t = _t(spark, d)
+    return seg.usage_segments(t, _outcomes(spark, d, t))
 
 
 def _retention_mean(spark, d):
-    t = _t(spark, d)
-    return ret.retention_means(ret.retention_activity(t), ret.retention_payment_first(t),
-                               ret.retention_payment_last(t))
+    return ret.retention_means_of(_t(spark, d))
+
+
+def _matrix(job: Callable[[Tables], DataFrame], rate: str) -> Query:
+    return lambda s, d: ret.retention_matrix(job(_t(s, d)), rate)
 
 
 QUERIES: dict[str, Query] = {
@@ -121,8 +94,9 @@ QUERIES: dict[str, Query] = {
     "usage_segments": _usage_segments,
     "month_labels": lambda s, d: growth.month_labels(_growth(s, d)),
     "mom_trend": lambda s, d: growth.mom_trend(_growth(s, d)),
-    "retention_matrix": lambda s, d: ret.retention_matrix(
-        ret.retention_payment_first(_t(s, d)), ret.FIRST_CHURN_RATE),
+    "retention_matrix": _matrix(ret.retention_payment_first, ret.FIRST_CHURN_RATE),
+    "retention_matrix_activity": _matrix(ret.retention_activity, ret.ACTIVITY_RATE),
+    "retention_matrix_payment_last": _matrix(ret.retention_payment_last, ret.LAST_CHURN_RATE),
     "retention_mean": _retention_mean,
     "country_accounts": lambda s, d: churn.country_accounts(_outcomes(s, d)),
     "country_churn": lambda s, d: churn.country_churn(_outcomes(s, d)),

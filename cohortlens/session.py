@@ -7,7 +7,9 @@ is for tests and the bench only.  ``checkpoint_root`` reads the cluster's
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -62,6 +64,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
     local = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     if sc is not None:
         sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
@@ -72,12 +75,16 @@ def table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), "tables", name)
 
 
-def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000) -> dict:
+def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000,
+                 shuffle_bytes: int | None = None) -> dict:
     """Settings for a run over ``input_bytes`` of Parquet on a cluster.
 
-    * initial shuffle partitions: about 256 MB of input each and at least
-      three waves of tasks; AQE then coalesces small partitions and splits
-      skewed ones at run time, so starting high is cheap;
+    * initial shuffle partitions: about 256 MB of shuffled data each and at
+      least three waves of tasks.  ``shuffle_bytes`` is the largest shuffle's
+      size; unless given, a twentieth of the input, as jobs shuffle a few
+      pruned columns after map-side combination.  AQE coalesces and splits
+      from there; many more partitions than needed are not free, as the driver
+      tracks a block for each pair of map task and partition;
     * scan splits of 512 MB (row groups are never split further);
     * more task attempts and decommissioning, so lost executors (spot
       reclamation) re-run tasks instead of failing the job; shuffle files of
@@ -88,7 +95,8 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 100
       data pages.
     """
     slots = executor_cores * executors
-    partitions = max(3 * slots, int(input_bytes // (256 << 20)))
+    shuffle_bytes = input_bytes // 20 if shuffle_bytes is None else shuffle_bytes
+    partitions = max(3 * slots, int(shuffle_bytes // (256 << 20)))
     return {
         **BASE_CONF,
         "spark.sql.shuffle.partitions": str(partitions),

@@ -87,32 +87,43 @@ SCHEMAS = {
 }
 
 
+def _text(c: Column) -> Column:
+    """Trimmed text; blank is NULL."""
+    return F.nullif(F.trim(c.cast("string")), F.lit(""))
+
+
 def _typed(c: Column, dtype: T.DataType) -> Column:
-    """Text (or any type) to ``dtype``; blank or whitespace-only text is NULL."""
-    if isinstance(dtype, (T.DateType, T.TimestampType)):
-        text = F.nullif(F.trim(c.cast("string")), F.lit(""))
-        return F.to_date(text) if isinstance(dtype, T.DateType) else F.to_timestamp(text)
+    """Text (or any type) to ``dtype``; blank or whitespace-only text is NULL,
+    and so is a value that cannot be read as ``dtype``."""
     if isinstance(dtype, T.StringType):
         return c.cast("string")
     if isinstance(dtype, T.BooleanType):
-        text = F.lower(F.trim(c.cast("string")))
+        text = F.lower(_text(c))
         return (F.when(text.isin("true", "t", "1", "yes", "y"), F.lit(True))
                 .when(text.isin("false", "f", "0", "no", "n"), F.lit(False)))
-    return F.nullif(F.trim(c.cast("string")), F.lit("")).cast(dtype)
+    return _text(c).try_cast(dtype)
+
+
+def _fields(raw: DataFrame, table: str) -> list[T.StructField]:
+    absent = [f.name for f in SCHEMAS[table].fields if f.name not in raw.columns]
+    if absent:
+        raise ValueError(f"{table}: missing columns {', '.join(absent)}")
+    optional = SUBSCRIPTIONS_OPTIONAL.fields if table == "subscriptions" else []
+    return [*SCHEMAS[table].fields, *(f for f in optional if f.name in raw.columns)]
 
 
 def ingest(raw: DataFrame, table: str) -> DataFrame:
     """Type a raw (text) table: one projection, no shuffle.
 
-    Columns of the schema that are missing in ``raw`` become typed NULLs, extra
-    optional subscription columns are kept typed, other extras are dropped.
+    A missing column of the schema raises; optional subscription columns are
+    kept typed when present, other extras are dropped.  Malformed values
+    become NULL; ``rejects`` counts them.
     """
-    schema = SCHEMAS[table]
-    fields = list(schema.fields)
-    if table == "subscriptions":
-        fields += [f for f in SUBSCRIPTIONS_OPTIONAL.fields if f.name in raw.columns]
-    cols = []
-    for f in fields:
-        src = F.col(f.name) if f.name in raw.columns else F.lit(None)
-        cols.append(_typed(src, f.dataType).alias(f.name))
-    return raw.select(*cols)
+    return raw.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in _fields(raw, table)])
+
+
+def rejects(raw: DataFrame, table: str) -> DataFrame:
+    """One row: per column, how many values that are not blank ``ingest``
+    cannot read."""
+    return raw.agg(*[F.count_if(_text(F.col(f.name)).isNotNull() & _typed(F.col(f.name), f.dataType).isNull())
+                     .alias(f.name) for f in _fields(raw, table)])

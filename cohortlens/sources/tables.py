@@ -75,6 +75,10 @@ def _date(c: str) -> Column:
     return F.col(c).cast("date")
 
 
+def _unless(missing: Column, value: Column) -> Column:
+    return F.when(~missing, value)
+
+
 def map_accounts(customer: DataFrame, nation: DataFrame, orders: DataFrame) -> DataFrame:
     first_order = (orders.groupBy(F.col("o_custkey"))
                    .agg(F.min(_date("o_orderdate")).alias("first_order")))
@@ -98,6 +102,7 @@ def map_accounts(customer: DataFrame, nation: DataFrame, orders: DataFrame) -> D
 def map_subscriptions(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
     prio = F.col("o_orderpriority")
+    mrr = F.floor(F.col("o_totalprice") / 100).cast("long")
     return orders.select(
         key.alias("subscription_id"),
         F.col("o_custkey").alias("account_id"),
@@ -107,9 +112,16 @@ def map_subscriptions(orders: DataFrame) -> DataFrame:
                ).alias("end_date"),
         F.when(prio.isin("1-URGENT", "2-HIGH"), F.lit("Enterprise"))
         .when(prio == "3-MEDIUM", F.lit("Pro")).otherwise(F.lit("Basic")).alias("plan_tier"),
-        F.floor(F.col("o_totalprice") / 100).cast("long").alias("mrr_amount"),
+        _unless(key % 13 == 0, (F.lit(1) + key % 50).cast("long")).alias("seats"),
+        mrr.alias("mrr_amount"),
+        _unless(key % 17 == 0, mrr * 12).alias("arr_amount"),
+        _unless(key % 19 == 0, key % 9 == 0).alias("is_trial"),
         (key % 7 == 0).alias("upgrade_flag"),
         (key % 11 == 0).alias("downgrade_flag"),
+        _unless(key % 29 == 0, F.col("o_orderstatus") == "F").alias("churn_flag"),
+        _unless(key % 6 == 5, F.when(key % 6 == 4, F.lit("")).when(key % 2 == 0, F.lit("monthly"))
+                .otherwise(F.lit("annual"))).alias("billing_frequency"),
+        _unless(key % 23 == 0, key % 5 != 0).alias("auto_renew_flag"),
     )
 
 
@@ -191,7 +203,7 @@ def load_raw_tables(spark: SparkSession, root: str, pattern: str = "{table}.csv"
 
     Every column is read as text - the header names the columns, nothing is
     inferred - so a malformed value becomes NULL in ``ingest`` and shows up
-    in the null / blank audit instead of failing the read."""
+    in the null audit and in ``schema.rejects`` instead of failing the read."""
     from cohortlens.sources.schema import ingest
 
     opts = {"header": "true", "emptyValue": "", "nullValue": "\\N", **(options or {})}

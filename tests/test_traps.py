@@ -6,6 +6,8 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from cohortlens.operators import accounts as acc
 from cohortlens.operators import activation as act
 from cohortlens.operators import activity, churn, growth, quality, retention as ret
@@ -21,8 +23,16 @@ def test_t1_blanks_and_ingest(spark):
     raw = spark.createDataFrame([("1", "7", "2024-01-01", ""), ("2", "7", "2024-01-01", None),
                                  ("3", "7", "2024-01-01", "2024-03-01")],
                                 "subscription_id string, account_id string, start_date string, end_date string")
-    audit = quality.null_audit(raw).collect()[0]
+    for c in ("plan_tier", "mrr_amount", "upgrade_flag", "downgrade_flag"):
+        raw = raw.withColumn(c, F.lit(None).cast("string"))
+    with pytest.raises(ValueError, match="lacks seats, arr_amount"):
+        quality.null_audit(raw)
+    full = raw
+    for c in ("seats", "arr_amount", "is_trial", "churn_flag", "billing_frequency", "auto_renew_flag"):
+        full = full.withColumn(c, F.lit(" "))
+    audit = quality.null_audit(full).collect()[0]
     assert audit["end_date_nulls"] == 1 and audit["end_date_blanks"] == 1
+    assert audit["seats_nulls"] == 0 and audit["billing_frequency_blanks"] == 3
     typed = S.ingest(raw, "subscriptions")
     assert [r.end_date for r in typed.orderBy("subscription_id").collect()] == [None, None, d("2024-03-01")]
     assert dict(typed.dtypes)["start_date"] == "date" and dict(typed.dtypes)["subscription_id"] == "string"
@@ -157,15 +167,31 @@ def test_t7_streaks(spark):
     assert out == [(0, 1, 2, 50.0), (1, 1, 2, 50.0)]
 
 
-@pytest.mark.parametrize("method", ["histogram", "explode"])
-def test_t8_churn_relative_to_signup_month(spark, method):
+def test_malformed_values_become_null_and_are_counted(spark):
+    raw = spark.createDataFrame([("1", "7", "not-a-date", "12,5", "maybe"), ("2", "7", "2024-01-05", "12.5", "yes"),
+                                 ("3", "7", " ", "", None)],
+                                "subscription_id string, account_id string, start_date string, mrr_amount string, "
+                                "upgrade_flag string")
+    for c in ("end_date", "plan_tier", "downgrade_flag"):
+        raw = raw.withColumn(c, F.lit("" if c != "plan_tier" else "Pro"))
+    got = S.ingest(raw, "subscriptions").orderBy("subscription_id").collect()
+    assert [r.start_date for r in got] == [None, d("2024-01-05"), None]
+    assert [r.mrr_amount for r in got] == [None, Decimal("12.50"), None]
+    assert [r.upgrade_flag for r in got] == [None, True, None]
+    bad = S.rejects(raw, "subscriptions").first()
+    assert (bad.start_date, bad.mrr_amount, bad.upgrade_flag, bad.end_date, bad.plan_tier) == (1, 1, 1, 0, 0)
+    with pytest.raises(ValueError, match="subscriptions: missing columns end_date"):
+        S.ingest(raw.drop("end_date").withColumn("end_dat", F.lit("")), "subscriptions")
+
+
+def test_t8_churn_relative_to_signup_month(spark):
     t = make_tables(spark,
                     accounts=[{"account_id": 1, "signup_date": "2024-03-10"},
                               {"account_id": 2, "signup_date": "2024-03-15"}],
                     usage=[LAST],
                     churn=[{"churn_event_id": 1, "account_id": 1, "churn_date": "2024-02-20"},
                            {"churn_event_id": 2, "account_id": 2, "churn_date": "2024-03-20"}])
-    out = rows(ret.retention_payment_first(t, method), "month_number", "active_accounts", "cohort_size")
+    out = rows(ret.retention_payment_first(t), "month_number", "active_accounts", "cohort_size")
     assert out == [(0, 1, 2)]
 
 
@@ -281,3 +307,6 @@ def test_retention_matrix_rejects_duplicate_cells(spark):
     dup = long.unionByName(long.limit(1))
     with pytest.raises(Exception, match="duplicate"):
         ret.retention_matrix(dup, "r", months=[0, 1]).collect()
+    with pytest.raises(Exception, match="has no column"):
+        ret.retention_matrix(long, "r", months=[0]).collect()
+    assert len(ret.retention_matrix(long, "r").columns) == 1 + len(ret.MATRIX_MONTHS)

@@ -2,8 +2,7 @@
 scale: Spark's size-checked auto-broadcast is kept but with a threshold so
 low that only a fixed-size dimension (the 25-row nation table) qualifies -
 at 100 TB no account-, subscription- or usage-sized side is small - and AQE
-is off so the static plan is shown.  The skew-safe lookup joins are planned
-with their hot-key path (at scale no large table is below its threshold).
+is off so the static plan is shown.
 
 Per query: shuffle exchanges, sort-merge joins, broadcast exchanges,
 nested-loop / cartesian joins (must be 0), windows without partitioning
@@ -20,14 +19,9 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from __spark_entry__ import queries  # noqa: E402
-from cohortlens.operators import skew  # noqa: E402
+from cohortlens.plans.registry import QUERIES  # noqa: E402
 from cohortlens.session import local_session  # noqa: E402
 
-# At scale every large table is far above the hot-key threshold: plan the
-# skew-safe joins with their hot-key path, as they would run there.
-skew.MIN_HOT_ROWS = 1
-
 SCALE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "8KB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "8KB",
@@ -55,8 +49,7 @@ def main():
     args = [a for a in sys.argv[1:] if not a.startswith("--")]
     markdown = "--markdown" in sys.argv
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
-    # the streaming query runs its stream when called; its batch twin shows the plan
-    names = args[1:] or [n for n in queries() if not n.endswith("_stream")]
+    names = args[1:] or list(QUERIES)
     spark = local_session(8, 8, extra=SCALE_CONF)
     for k, v in SCALE_CONF.items():
         spark.conf.set(k, v)
@@ -65,7 +58,7 @@ def main():
               "sort-merge joins | broadcasts | nested-loop / cartesian | Python nodes |")
         print("| --- | --- | --- | --- | --- | --- | --- | --- |")
     for name in names:
-        df = queries()[name](spark, sf_dir)
+        df = QUERIES[name](spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
         sh = shape(plan)
         if markdown:
