@@ -48,9 +48,9 @@ def has_letter(text: str | None) -> bool:
 def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, times) of the hashed character n-grams of each text."""
     lowered = [(t or "").lower() for t in texts]
-    ends = np.cumsum([len(t) for t in lowered])
+    ends = np.cumsum([len(t) for t in lowered], dtype=np.int64)
     chars = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    row = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    row = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=np.int64(0)))
     counts = np.zeros(len(texts) * CELLS, np.int64)
     code = np.zeros(len(chars), np.uint64)
     for n in range(GRAMS):

@@ -126,7 +126,7 @@ class BlockMaxIndex:
         self.edges = np.searchsorted(place, np.arange(n_terms * max(1, self.blocks) + 1))
         self.bound = np.zeros(n_terms * max(1, self.blocks))
         np.maximum.at(self.bound, place, self.weight)
-        self.bound = self.bound.reshape(n_terms, -1)
+        self.bound = self.bound.reshape(n_terms, max(1, self.blocks))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k highest positive cosines, ties to the
