@@ -221,24 +221,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
     return fit_rows([np.frombuffer(r.features, np.int32) for r in got], np.array([r.y for r in got], int))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (all its columns) with score (double) and predicted (int)."""
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, score: str = "score",
+          predicted: str = "predicted") -> DataFrame:
+    """``docs`` (all its other columns) with the columns ``score`` (double)
+    and ``predicted`` (int)."""
     spark = docs.sparkSession
     python_workers(spark)
     shared = spark.sparkContext.broadcast(model)
-    columns = docs.columns
-    keep = [c for c in columns if c not in ("score", "predicted")]
+    keep = [c for c in docs.columns if c not in (score, predicted)]
     at = keep.index("text")
-    fields = [docs.schema[c] for c in keep]
+    schema = T.StructType([docs.schema[c] for c in keep]
+                          + [T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
 
     def run(batches):
         for batch in batches:
             p = shared.value.probabilities(shared.value.margins(batch.column(at)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())],
-                names=[*batch.schema.names, "score", "predicted"])
+                names=[*batch.schema.names, score, predicted])
 
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 

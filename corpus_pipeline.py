@@ -23,7 +23,8 @@ REJECT_BELOW = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents the quality classifier rejects go."""
     model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
-    return nbsvm.score(docs, model, REJECT_BELOW).where(F.col("predicted") == 1).select(*docs.columns)
+    scored = nbsvm.score(docs, model, REJECT_BELOW, "_quality_score", "_quality_kept")
+    return scored.where(F.col("_quality_kept") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,8 @@ def test_edges(spark, docs_of, labels_of, items_of, tmp_path):
     clashing(docs_of(rows)).write.parquet(str(tmp_path / "documents.parquet"))
     labels_of([(1, 1, 0), (2, 1, 0)]).write.parquet(str(tmp_path / "labels.parquet"))
     items_of([(1, "one two three four five six seven eight nine ten")]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    first = corpus_pipeline.quality(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r.score for r in first.collect()} == {"x"}      # the table's own columns stay what they were
     out = corpus_pipeline.run(spark, str(tmp_path))
     ids = sorted((r.doc_id for r in out.collect()), key=str)
     assert 5 not in ids and 1 in ids and 2 not in ids and ids.count(7) == 1 and None in ids
