@@ -142,24 +142,18 @@ def retention_matrix(retention: DataFrame, rate_col: str, months=MATRIX_MONTHS)
 
     The columns are the given ``months``, so the plan needs no look at the
     data; missing cells are NULL.  A cell must come from exactly one row, and
-    no row may lie outside the columns: either raises (both are checked inside
-    the one aggregation)."""
+    no row may lie outside the columns: either raises (both are checked on the
+    way, without a pass of their own)."""
     months = list(months)
-    month = F.col("month_number")
-
-    def cell(m: int) -> Column:
-        hit = F.when(month == m, F.col(rate_col))
-        return (F.when(F.count(hit) > 1, F.raise_error(F.lit("retention_matrix: duplicate (cohort, month_number) cell")))
-                .otherwise(F.max(hit)).cast("double").alias(str(m)))
-
-    outside = F.count_if(~month.isin(months))
-    label = F.date_format("cohort_month", "yyyy-MM")
-    checked = F.when(F.col("_outside") > 0, F.raise_error(F.lit("retention_matrix: a month number has no column"))) \
-        .otherwise(F.col("cohort_m_short"))
-    return (retention.groupBy(label.alias("cohort_m_short"))
-            .agg(outside.alias("_outside"), *[cell(m) for m in months])
-            .select(checked.alias("cohort_m_short"), *[F.col(f"`{m}`") for m in months])
-            .orderBy("cohort_m_short"))
+    number = F.col("month_number")
+    covered = (F.when(number.isin(months), number)
+               .otherwise(F.raise_error(F.lit("retention_matrix: a month number has no column")).cast("long")))
+    cell = (F.when(F.count(F.lit(1)) > 1,
+                   F.raise_error(F.lit("retention_matrix: duplicate (cohort, month_number) cell")))
+            .otherwise(F.max(rate_col)).cast("double"))
+    return (retention.select(F.date_format("cohort_month", "yyyy-MM").alias("cohort_m_short"),
+                             covered.alias("month_number"), rate_col)
+            .groupBy("cohort_m_short").pivot("month_number", months).agg(cell).orderBy("cohort_m_short"))
 
 
 def retention_mean(retention: DataFrame, rate_col: str, months=(0, 12)) -> DataFrame:
