@@ -55,3 +55,36 @@ USAGE_DATA_AGG = (500, 10, 490)  # total_count, valid_usage_data, invalid_usage_
 WORST = {"country": "UK", "industry": "DevTools", "initial_plan_tier": "Pro", "referral_source": "partner"}
 MEAN_MAU = 148.92
 PEAK = ("2024-07-01", 238)
+
+# Retention rates (%) at month 0 of the cohorts 2023-01 ... 2024-12 and at month
+# 12 of those that have it, and the published means over cohorts.
+RETENTION_RATES = {
+    "activity": {
+        0: [
+            94.12, 94.44, 85.00, 86.67, 92.31, 92.31, 100.00, 81.25, 82.61, 90.00, 84.00, 90.00,
+            93.75, 69.23, 85.19, 86.36, 86.36, 76.19, 73.08, 76.19, 84.00, 83.87, 90.63, 76.47,
+        ],
+        12: [
+            23.53, 22.22, 15.00, 26.67, 23.08, 23.08, 28.57, 18.75, 30.43, 35.00, 28.00, 5.00,
+        ],
+    },
+    "payment_first_churn": {
+        0: [
+            100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00,
+            100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00,
+        ],
+        12: [
+            41.18, 55.56, 20.00, 80.00, 65.38, 69.23, 57.14, 43.75, 30.43, 25.00, 28.00, 20.00,
+        ],
+    },
+    "payment_last_churn": {
+        0: [
+            100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00,
+            100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00, 100.00,
+        ],
+        12: [
+            64.71, 83.33, 55.00, 93.33, 84.62, 92.31, 71.43, 62.50, 56.52, 45.00, 40.00, 45.00,
+        ],
+    },
+}
+RETENTION_MEANS = {"activity": (85.58, 23.28), "payment_first_churn": (100.0, 44.64), "payment_last_churn": (100.0, 66.15)}
