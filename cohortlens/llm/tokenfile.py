@@ -21,18 +21,21 @@ first.  An empty table gives an empty one.  Only the named columns are read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from cohortlens.llm.arrays import text_bytes
 from cohortlens.llm.common import python_workers, scratch_path
 
 END_ID = 2
-REMEMBERED_CHUNKS = 300_000   # per Python worker, and as many older ones
+REMEMBERED_CHUNKS = 450_000   # per Python worker, and as many older ones
+JOINED_WORDS = 200
+ENCODE_ROWS = 1024            # of a batch: more rows share more chunks
 ROW_INDEX = 1000
 ORC = {
     "compression": "zstd",
@@ -51,53 +54,85 @@ class ChunkEncoder:
     The vocabulary's normaliser turns white space into blanks, which no token
     of its split pattern contains, so chunks are independent of each other.
     Texts of Latin-1 characters are lower-cased first, as the normaliser would
-    do: fewer different chunks are left."""
-
-    #: White space for Python that is none for the tokenizer.
-    ODD = re.compile("[\x1c-\x1f]")
-    SPACE = re.compile(r"[ \t\n\r\f\v]+")
+    do: fewer different chunks are left.  Lower-casing, splitting and finding
+    the different chunks of a batch are Arrow operations; Python sees each
+    different chunk of a batch once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark runs a task per core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._chunks: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
-    def chunks(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return [c for c in self.SPACE.split(text) if c]
-        text = text.lower()
-        return [c for c in self.SPACE.split(text) if c] if self.ODD.search(text) else text.split()
+    @staticmethod
+    def chunks(texts: pa.Array) -> pa.ListArray:
+        """White-space separated chunks (ASCII white space) of each text."""
+        raw, ends = text_bytes(texts)
+        begin = ends - np.diff(ends, prepend=0)
+        beyond = np.concatenate([[0], np.cumsum(raw > 0xC3)])   # first bytes of characters beyond Latin-1
+        latin = pa.array(beyond[ends] == beyond[begin])
+        texts = texts.cast(pa.string()).fill_null("")
+        # a mark alone after a word is a match of its own: apart, both are met more often
+        lowered = pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([.,])(\s|$)", r"\1 \2\3")
+        return pc.ascii_split_whitespace(pc.if_else(latin, lowered, texts))
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes()
                 for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        split = [self.chunks(t) for t in texts]
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin-1 letters: each is one match of the split
+        pattern, so its last token, and no other, ends a word."""
+        out: list[bytes] = []
+        groups = [words[i:i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        coded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, coded):
+            ids = np.array(found.ids, np.int32)
+            cuts = [0, *(4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()]
+            if len(cuts) != len(group) + 1:
+                raise ValueError("the tokenizer's words are not those of its split pattern")
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks."""
         if len(self._chunks) >= REMEMBERED_CHUNKS:
             self._chunks, self._older = {}, self._chunks
         known, older = self._chunks, self._older
-        missing = [c for c in set().union(*split) if c not in known]
-        new, joined = set(), []
-        for chunk in missing:
+        out = list(map(known.get, chunks))
+        words, others = [], []
+        for chunk in [c for c, ids in zip(chunks, out) if ids is None]:
             if (ids := older.get(chunk)) is not None:
                 known[chunk] = ids
-            elif chunk[-1] in ",." and chunk[:-1].lower().isalpha():   # the word and the mark are split anyway
-                joined.append(chunk)
-                new.update(c for c in (chunk[:-1], chunk[-1]) if c not in known)
+            elif chunk.isalpha() and chunk.islower() and max(chunk) < "\u0100":
+                words.append(chunk)
             else:
-                new.add(chunk)
-        new = list(new)
-        known.update(zip(new, self._ids(new)))
-        for chunk in joined:
-            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
-        return [b"".join(map(known.__getitem__, c)) for c in split]
+                others.append(chunk)
+        known.update(zip(words, self._word_ids(words)))
+        known.update(zip(others, self._ids(others)))
+        return [known[c] if ids is None else ids for c, ids in zip(chunks, out)]
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """Ids of each text, and the end id."""
+        split = self.chunks(texts)
+        edges = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        pieces = self._known(coded.dictionary.to_pylist()) + [np.array([end_id], np.int32).tobytes()]
+        which = np.insert(which, edges[1:] - edges[0], len(pieces) - 1)
+        size = np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4
+        pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+                                          pa.array(np.frombuffer(b"".join(pieces), np.int32)))
+        ids = pieces.take(pa.array(which)).flatten()
+        last = edges[1:] - edges[0] + np.arange(len(texts))   # where the end ids stand among the pieces
+        ends = np.concatenate([[0], np.cumsum(size[which])[last]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), ids)
 
 
 @lru_cache(maxsize=2)
@@ -108,18 +143,14 @@ def encoder(path: str) -> ChunkEncoder:
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, n_tokens, ids) of (doc_id, text), rows in the order they come."""
-    python_workers(docs.sparkSession)
-    end = np.array([end_id], np.int32).tobytes()
+    python_workers(docs.sparkSession, ENCODE_ROWS)
 
     def run(batches):
         coder = encoder(tokenizer_path)
         for batch in batches:
-            coded = coder.encode_batch([t or "" for t in batch.column(1).to_pylist()])
-            ends = np.cumsum([0, *(len(c) // 4 + 1 for c in coded)], dtype=np.int64)
-            ids = np.frombuffer(b"".join([c + end for c in coded]), np.int32)
+            ids = coder.encode(batch.column(1), end_id)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.diff(ends).astype(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))],
+                batch.column(0), pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), ids],
                 names=["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>")

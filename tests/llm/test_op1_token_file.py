@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -63,5 +64,8 @@ def test_files_are_ordered_and_pruned(spark, documents, tmp_path):
 def test_chunk_memory_turns_over(reference, monkeypatch):
     monkeypatch.setattr(tokenfile, "REMEMBERED_CHUNKS", 3)
     coder = tokenfile.ChunkEncoder(PATH)
-    for text in ["one two, three. four", "four, two. one", "five (six) two,", "one"] * 3:
-        assert np.frombuffer(coder.encode_batch([text])[0], np.int32).tolist() == reference(text)[:-1]
+    texts = ["one two, three. four", "four, two. one", None, "five (six) two,", "one", ""] * 3
+    for text in texts:
+        assert coder.encode(pa.array([text]), 2).to_pylist() == [reference(text)]
+    assert coder.encode(pa.array(texts).slice(1, 9), 2).to_pylist() == [reference(t) for t in texts[1:10]]
+    assert coder.encode(pa.array([], pa.string()), 2).to_pylist() == []
