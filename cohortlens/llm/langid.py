@@ -4,9 +4,10 @@ Features are TF-IDF weights of lower-cased character 1-, 2- and 3-grams of
 whole texts, hashed into 2^14 cells: (1 + log tf) * idf, scaled to unit
 length.  Document frequencies come from every training document.  The weights
 are trained with follow-the-regularised-leader (per-coordinate rates, an L1
-penalty that makes them sparse and an L2 penalty) on a sample of at most about
-``PER_LANGUAGE`` training documents a language, chosen by hash of the id; a
-fifth of the sample sets the temperature of the softmax.
+penalty that makes them sparse and an L2 penalty) on a sample of about
+``PER_LANGUAGE`` training documents a language, ``MOST_ROWS`` in all at most,
+chosen by hash of the id; a fifth of the sample sets the temperature of the
+softmax.
 
 Only text and non-null lang of documents whose crc32 remainder is not
 ``held_out`` are learned from; an id, a source or a language is never an
@@ -37,6 +38,7 @@ BITS = 14
 CELLS = 1 << BITS
 GRAMS = 3
 PER_LANGUAGE = 1500
+MOST_ROWS = 20_000
 SUB_BATCH = 32
 UNKNOWN = "und"
 
@@ -174,8 +176,11 @@ def fit(docs: DataFrame, modulus: int = 5, held_out: int = 0, per_language: int
     idf = np.log((1 + n) / (1 + frequency)) + 1
     sizes = training.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    sample = (training.join(sizes, "lang").where(place * F.col("_n") < per_language)
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(100 * per_language))
+    chosen = (training.select("doc_id", "lang").join(sizes, "lang").where(place * F.col("_n") < per_language)
+              .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+              .orderBy(F.xxhash64("_id"), "_id", "_lang").limit(MOST_ROWS))
+    sample = training.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))) \
+        .select("doc_id", "text", "lang").limit(MOST_ROWS)   # ids are at most MOST_ROWS
 
     def run(batches):
         for batch in batches:
