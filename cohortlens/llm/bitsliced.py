@@ -136,55 +136,58 @@ def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: int = SCALE)
             .select(F.col(vec_id).cast("long").alias("vec_id"), F.size(vector).alias("dim"), x.alias("values")))
 
 
-def _in_groups(rows: DataFrame, size: int, order: list[Column]) -> DataFrame:
-    """``rows`` numbered into groups of at most ``size`` rows of one length,
-    inside partitions: (grp, ...) with grp counting up from 0 over all."""
+def _in_blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
+    """(block, dim, ids, values): ``rows`` (about ``total``) dealt out evenly,
+    by their row numbers, to blocks of about ``size`` rows; the rows of one
+    length in a block are one record."""
+    names = ["block", "dim", "ids", "values"]
+
     def run(batches):
-        held: dict[int, tuple[list, list]] = {}
+        key, ids, values = None, [], []
 
-        def out(dim):
-            ids, values = held.pop(dim)
+        def record():
             return pa.RecordBatch.from_arrays([
-                pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
-                pa.array([np.array(values, np.int64).tobytes()], pa.binary())], names=["dim", "ids", "values"])
+                pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()),
+                pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
+                pa.array([np.array(values, np.int64).tobytes()], pa.binary())], names=names)
 
         for batch in batches:
-            for vec, dim, values in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "dim", "values"))):
-                if max(map(abs, values)) > LARGEST:
+            for block, dim, vec, x in zip(*(batch.column(c).to_pylist() for c in ("block", "dim", "vec_id", "values"))):
+                if max(map(abs, x)) > LARGEST:
                     raise ValueError(f"vector {vec} has components too large to quantise")
-                ids, rows = held.setdefault(dim, ([], []))
+                if (block, dim) != key:
+                    if ids:
+                        yield record()
+                    key, ids, values = (block, dim), [], []
                 ids.append(vec)
-                rows.append(values)
-                if len(ids) == size:
-                    yield out(dim)
-        for dim in list(held):
-            yield out(dim)
+                values.append(x)
+        if ids:
+            yield record()
 
-    return rows.sortWithinPartitions(*order).mapInArrow(run, "dim int, ids binary, values binary")
+    blocks = max(1, -(-total // size))
+    return (rows.select(F.pmod("_row", F.lit(blocks)).alias("block"), "dim", "vec_id", "values")
+            .repartition("block").sortWithinPartitions("block", "dim", "vec_id")
+            .mapInArrow(run, "block bigint, dim int, ids binary, values binary"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "vec_id", vector: str = "embedding",
           block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): per query row its k highest inner
-    products with all other rows, ties to the smaller id."""
-    spark = vectors.sparkSession
-    python_workers(spark)
-    kept = stored(quantised(vectors, vec_id, vector), "sliced-values")
+    products with all other rows, ties to the smaller id.  ``is_query`` is a
+    condition on vec_id."""
+    python_workers(vectors.sparkSession)
+    kept = stored(quantised(vectors, vec_id, vector).withColumn("_row", F.monotonically_increasing_id()),
+                  "sliced-values")
     total = kept.count()
-    # partitions that hold several whole blocks, so that few blocks stay part-filled
-    parts = max(1, -(-total // (4 * block)))
-    blocks = stored(_in_groups(kept.repartition(parts, "vec_id", F.xxhash64("values")), block, ["dim", "vec_id"])
-                    .withColumn("_mono", F.monotonically_increasing_id()), "sliced-index")
-    number = Window.orderBy("_mono")
-    numbers = blocks.select("_mono", (F.row_number().over(number) - 1).alias("block"))   # one row a block
-    blocks = blocks.join(numbers, "_mono").drop("_mono")
-    n_blocks = max(1, numbers.count())
-    asked = kept.where(is_query).groupBy("vec_id").agg(F.min_by(F.struct("dim", "values"), F.struct("dim", "values"))
-                                                      .alias("_q")).select("vec_id", "_q.*")
-    groups = _in_groups(asked.repartition(max(1, -(-total // (100 * queries * 4))), "vec_id"), queries, ["dim", "vec_id"])
-    meet = (groups.select("dim", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"),
-                          F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-            .join(blocks, ["block", "dim"]).select("dim", "q_ids", "q_values", "ids", "values"))
+    index = stored(_in_blocks(kept, block, total), "sliced-index")
+    asked = kept.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "values", "_row")).alias("_q")) \
+        .select("vec_id", "_q.*")
+    asked = stored(asked, "sliced-queries")
+    n_blocks = max(1, -(-total // block))
+    groups = _in_blocks(asked, queries, asked.count()).select(
+        "dim", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+    meet = groups.join(index, ["block", "dim"]).select("dim", "q_ids", "q_values", "ids", "values")
 
     def search(batches):
         for batch in batches:
