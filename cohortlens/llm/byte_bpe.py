@@ -39,8 +39,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortlens.llm import common
 
-REMEMBERED_MATCHES = 300_000   # per Python worker, and as many older ones
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_MATCHES = 120_000   # per Python worker, and as many older ones
+REMEMBERED_PAIRS = 250_000
 NO_RANK = 1 << 31
 
 
@@ -59,10 +59,14 @@ def latin_1(pattern: str) -> str:
     return re.sub(r"\[[^\]]*\\[ps][^\]]*\]|\\p\{[LN]\}|\\s", written_out, pattern)
 
 
+def vocabulary(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class BytePairEncoder:
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.ranks = vocabulary(path)
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern).findall
         self.latin_1_pattern = re.compile(latin_1(pattern)).findall
@@ -71,7 +75,7 @@ class BytePairEncoder:
             if self.merge_loop(token) == [rank]:  # only such tokens stand inside a longer match
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._matches: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
@@ -95,12 +99,13 @@ class BytePairEncoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' bytes gives back the two tokens."""
-        known = self._pairs.get((left, right))
+        pair = left << 32 | right
+        known = self._pairs.get(pair)
         if known is None:
             if len(self._pairs) >= REMEMBERED_PAIRS:
                 self._pairs.clear()
             known = self.merge_loop(self.tokens[left] + self.tokens[right]) == [left, right]
-            self._pairs[left, right] = known
+            self._pairs[pair] = known
         return known
 
     def encode_bytes(self, data: bytes) -> list[int]:
@@ -153,16 +158,19 @@ class BytePairEncoder:
         self._matches[match] = ids
         return ids
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> BytePairEncoder:
     """One encoder, with its memory, per Python worker."""
     return BytePairEncoder(path, pattern)
 
 
+@lru_cache(maxsize=1)
+def decoder(path: str) -> dict[int, bytes]:
+    """The bytes of each id: all that decoding needs."""
+    return {i: t for t, i in vocabulary(path).items()}
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
            ids: str = "ids") -> DataFrame:
     """``docs`` without its ``text`` column and with the array<int> column
@@ -187,8 +195,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(run, schema)
 
 
-def decode(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
-           data: str = "decoded") -> DataFrame:
+def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """``coded`` with the binary column ``data``: the bytes its ids stand for."""
     common.python_workers(coded.sparkSession)
     columns = [c for c in coded.columns if c not in (ids, data)] + [ids]
@@ -196,9 +203,9 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
                           + [T.StructField(data, T.BinaryType(), False)])
 
     def run(batches):
-        bpe = encoder(ranks_path, pattern)
+        token = decoder(ranks_path).__getitem__
         for batch in batches:
-            column = pa.array([bpe.decode(x or ()) for x in batch.column(len(columns) - 1).to_pylist()],
+            column = pa.array([b"".join(map(token, x or ())) for x in batch.column(len(columns) - 1).to_pylist()],
                               pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*columns, data])
 
@@ -207,7 +214,7 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Contract columns of the query, from the operator's ids and bytes."""
-    coded = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern), ranks_path, pattern)
+    coded = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern), ranks_path)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
