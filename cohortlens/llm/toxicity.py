@@ -1,27 +1,29 @@
 """Operator 3: toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over words and word beginnings (of 4, 5 and 6 bytes,
-so that unseen inflections meet known ones); two and three occurrences in a
-text are terms of their own.  The vocabulary is the terms
-whose presence goes with label 1 in the labelled sample (the label's share
-among texts with the term is over ``LIFT`` times its share among all, and
-chi-square is beyond ``CHI_SQUARE``; the best ``VOCABULARY``); inverse document frequencies count
-all documents.  The nearest ``NEIGHBOURS`` examples by exact cosine come from
-a block-max inverted index: postings lie in blocks of ``BLOCK`` examples with
-their largest weight, whose product with the query bounds every cosine of the
-block; blocks are scored from the highest bound on, until no bound can beat
-the nearest found.  Neighbours vote with weight 1 / (distance + 0.05), against
-a prior of the sample's label shares; a logistic fit on labelled rows outside
-the index turns votes into probabilities.  The neighbours are the evidence.
+Texts are TF-IDF vectors over all their words and word beginnings (of 4, 5 and
+6 bytes, so that unseen inflections meet known ones); two and three occurrences
+in a text are terms of their own.  No term is left out: inverse document
+frequencies count all documents, and a vector's length is that of the whole
+text.  A term's weight is its TF-IDF times ``BASE`` plus what its log-odds
+between the labels are beyond ``SURE`` standard errors (0 for most terms; the
+odds are taken within each label, so the balance of the labels doesn't count).
+The nearest ``NEIGHBOURS`` examples by exact cosine come from a block-max
+inverted index: examples lie in blocks of ``BLOCK``, and the largest weights of
+a block bound its cosines; blocks that cannot beat the nearest found aren't
+read.  Neighbours vote with weight 1 / (distance + 0.05), against a prior of
+the sample's label shares; a logistic fit on labelled rows outside the index
+turns votes into probabilities.  The neighbours are the evidence.
 
 The sample has at most ``TRAIN_ROWS`` labelled rows, the index at most
-``EXAMPLES`` of them (documented bounds, chosen by hash of the id), so index
-and vocabulary have a fixed largest size and are broadcast.  Document
-frequencies are one pass over all documents, scoring another; only counts of
-vocabulary terms are shuffled.
-
-Defined results: a text without vocabulary terms (null and empty ones too)
-has no neighbour and scores the calibrated prior.  Equal cosines: the smaller
+``EXAMPLES`` of them (documented bounds, chosen by hash of the id), so the
+index is broadcast, with the terms of the sample.  Document frequencies of
+these are one pass over all documents, scoring another.  Terms outside the
+sample meet no example and count in a text's length only: scoring writes them
+beside the neighbours, and a join with their document frequencies (over the
+scored documents) completes the length.  No text is shuffled.
+
+Defined results: a text without words (null and empty ones too), or without a
+term of any example, has no neighbour and scores the calibrated prior.  Equal cosines: the smaller
 example id is nearer.  Labels other than 0 and 1 are ignored; without both
 classes every score is the share of label 1 (0.5 without labels).  Repeated
 rows score alike; empty tables give empty results; only the named columns are
@@ -37,16 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortlens.llm.arrays import labelled_sample, parts
-from cohortlens.llm.common import id_remainder, python_workers
+from cohortlens.llm.common import id_remainder, python_workers, stored
 from cohortlens.llm.nbsvm import logistic_map
 from cohortlens.llm.shingles import U, mix, word_spans
 
 TRAIN_ROWS = 12_000
 EXAMPLES = 4096
-VOCABULARY = 4096
-CHI_SQUARE = 15.0
-LIFT = 3.0
+BASE = 0.1
+SURE = 3.0
 BLOCK = 64
+DENSE = 2048        # the most common terms of the index, kept as a matrix
+DENSE_LEAST = 24
 NEIGHBOURS = 16
 PREFIXES = (4, 5, 6)
 REPEATS = 3
@@ -54,46 +57,53 @@ NEAR = 0.05
 PRIOR = 2.0
 SUB_BATCH = 64
 THRESHOLD = 0.7
-_SIEVE_BITS = 20
+_LOW = U(255)       # bits of a hash that give way to a row or a repeat number
 
 
-def terms(texts: pa.Array, sieve: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every word and word beginning, in no order; with a
-    ``sieve`` only of hashes it may hold."""
+def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word and word beginning, in no order."""
     row, begin, size, spans = word_spans(texts)
     found = [(row, mix(spans(begin, begin + size) + size.astype(U)))]
     for k in PREFIXES:
         longer = size > k
         found.append((row[longer], mix(spans(begin[longer], begin[longer] + k) ^ U(0xA5A5 + k))))
-    if sieve is not None:
-        found = [(r[ok], h[ok]) for r, h in found for ok in [sieve[(h >> U(64 - _SIEVE_BITS)).astype(np.int64)]]]
     return np.concatenate([r for r, _ in found]), np.concatenate([h for _, h in found])
 
 
 class Vocabulary:
-    """Terms (hash, k): a hash that occurs at least k times in a text.  A sieve
-    lets few other hashes through to the search."""
+    """Terms (hash, k): a hash that occurs at least k times in a text."""
 
     def __init__(self, hashes: np.ndarray, least: np.ndarray):
         self.size = len(hashes)
-        self.hashes = np.unique(hashes.astype(U))
-        self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
-        self.sieve[(self.hashes >> U(64 - _SIEVE_BITS)).astype(np.int64)] = True
-        self.term = np.full((len(self.hashes), REPEATS), -1)   # number of (hash, k), or -1
-        order = np.lexsort((least, hashes))
-        self.term[np.searchsorted(self.hashes, hashes[order]), least[order] - 1] = np.arange(self.size)
+        hashes = hashes.astype(U) & ~_LOW
+        self.hashes = np.unique(hashes)
+        self.term = np.full((len(self.hashes), REPEATS), -1, np.int32)   # number of (hash, k), or -1
+        self.term[np.searchsorted(self.hashes, hashes), least - 1] = np.arange(self.size)
+
+    def split(self, texts: pa.Array):
+        """(row, term, times), ordered by row, and (row, hash and k, times) of
+        the terms outside the vocabulary; at most 256 texts."""
+        row, value = terms(texts)
+        both = np.sort((value & ~_LOW) | row.astype(U))
+        edges = np.flatnonzero(np.diff(both, prepend=~both[:1]) != 0)
+        times = np.diff(np.append(edges, len(both)))
+        row, value = (both[edges] & _LOW).astype(np.int64), both[edges] & ~_LOW
+        number = np.full((len(value), REPEATS), -1, np.int32)
+        if self.size and len(value):
+            at = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
+            known = self.hashes[at] == value
+            number[known] = self.term[at[known]]
+        reached = times[:, None] > np.arange(REPEATS)
+        which, k = np.nonzero(reached & (number >= 0))
+        out, out_k = np.nonzero(reached & (number < 0))
+        order = np.argsort(row[which], kind="stable")
+        which, k = which[order], k[order]
+        return ((row[which], number[which, k].astype(np.int64), times[which]),
+                (row[out], value[out] | (out_k + 1).astype(U), times[out]))
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, times), ordered by row."""
-        if not self.size:
-            return (np.zeros(0, np.int64),) * 3
-        row, value = terms(texts, self.sieve)
-        at = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
-        ok = self.hashes[at] == value
-        cells, times = np.unique(row[ok] * len(self.hashes) + at[ok], return_counts=True)
-        row, at = cells // len(self.hashes), cells % len(self.hashes)
-        which, k = np.nonzero((self.term[at] >= 0) & (times[:, None] > np.arange(REPEATS)))
-        return row[which], self.term[at[which], k], times[which]
+        return self.split(texts)[0]
 
 
 def repeated_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,74 +122,117 @@ def repeated_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 # --- block-max inverted index --------------------------------------------------
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, with each block's largest weight."""
+    """Unit vectors of examples in blocks: the weights of common terms as a
+    matrix with each block's largest weights, the others as postings."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.size = len(rows)
         self.blocks = -(-self.size // BLOCK)
         term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-        example = np.repeat(np.arange(self.size), [len(t) for t, _ in rows])
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        place = term[order] * max(1, self.blocks) + self.example // BLOCK
-        self.edges = np.searchsorted(place, np.arange(n_terms * max(1, self.blocks) + 1))
-        self.bound = np.zeros(n_terms * max(1, self.blocks))
-        np.maximum.at(self.bound, place, self.weight)
-        self.bound = self.bound.reshape(n_terms, max(1, self.blocks))
+        example = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in rows])
+        n = np.bincount(term, minlength=n_terms)
+        common = np.argsort(-n, kind="stable")[:DENSE]
+        self.column = np.full(n_terms, -1, np.int32)
+        common = common[n[common] >= DENSE_LEAST]
+        self.column[common] = np.arange(len(common))
+        dense = self.column[term] >= 0
+        self.cells = self.column[term[dense]], example[dense], weight[dense]
+        self.width = len(common)
+        order = np.lexsort((example[~dense], term[~dense]))
+        self.example, self.weight = example[~dense][order], weight[~dense][order]
+        self.edges = np.concatenate([[0], np.cumsum(np.where(self.column < 0, n, 0))])
+        self.matrix = self.bound = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"matrix": None, "bound": None}   # made again where it is used
+
+    def _fill(self) -> None:
+        self.matrix = np.zeros((self.blocks * BLOCK, self.width))
+        self.matrix[self.cells[1], self.cells[0]] = self.cells[2]
+        self.bound = self.matrix.reshape(self.blocks, BLOCK, self.width).max(axis=1) if self.blocks else self.matrix
+
+    def nearest_many(self, vectors, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per vector (term, weight): (example, cosine) of the k highest
+        positive cosines, ties to the smaller example: exact, though blocks
+        whose bound cannot reach the k-th are left out."""
+        n = len(vectors)
+        if not n or not self.size:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        if self.matrix is None:
+            self._fill()
+        row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int64)
+        weight = np.concatenate([w for _, w in vectors])
+        column = self.column[term]
+        dense = column >= 0
+        query = np.zeros((n, self.width))
+        query[row[dense], column[dense]] = weight[dense]
+        term, row, weight = term[~dense], row[~dense], weight[~dense]
+        begin, many = self.edges[term], self.edges[term + 1] - self.edges[term]
+        total = np.cumsum(many)
+        at = np.arange(total[-1] if len(total) else 0) + np.repeat(begin - total + many, many)
+        places = self.blocks * BLOCK
+        score = np.bincount(np.repeat(row * places, many) + self.example[at],
+                            np.repeat(weight, many) * self.weight[at], n * places).astype(float).reshape(n, self.blocks, BLOCK)
+        bounds = query @ self.bound.T + score.max(axis=2)
+        read = np.zeros((n, self.blocks), bool)
+        floor = np.zeros(n)
+        blocks = np.argsort(-bounds.sum(axis=0), kind="stable")
+        for j, b in enumerate(blocks):
+            if j in (8, 16, 32) and places > k:    # unread blocks' partial scores are lower bounds too
+                floor = np.partition(score.reshape(n, places), places - k, axis=1)[:, places - k]
+            some = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= floor - 1e-9))   # ties of smaller id may be there
+            if len(some):
+                score[some, b] += query[some] @ self.matrix[b * BLOCK:(b + 1) * BLOCK].T
+                read[some, b] = True
+        score = np.where(read[:, :, None], score, 0).reshape(n, places)
+        least = np.partition(score, places - k, axis=1)[:, places - k] if places > k else np.zeros(n)
+        out = []
+        for s, f in zip(score, least):
+            hit = np.flatnonzero((s > 0) & (s >= f - 1e-11))
+            cos = np.round(s[hit], 12)
+            order = np.lexsort((hit, -cos))[:k]
+            order = order[cos[order] > 0]
+            out.append((hit[order], cos[order]))
+        return out
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k highest positive cosines, ties to the
-        smaller example: exact, though most blocks are never read."""
-        bounds = weight @ self.bound[term] if len(term) else np.zeros(self.blocks)
-        best: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0))
-        width = self.bound.shape[1]
-        for b in np.argsort(-bounds, kind="stable"):
-            floor = best[1][-1] if len(best[1]) == k else 0.0
-            if bounds[b] <= 0 or bounds[b] < floor - 1e-9:   # equal bounds may hold ties of smaller id
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term, weight):
-                lo, hi = self.edges[t * width + b], self.edges[t * width + b + 1]
-                if hi > lo:
-                    score[self.example[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            ids = np.concatenate([best[0], hit + b * BLOCK])
-            cos = np.round(np.concatenate([best[1], score[hit]]), 12)
-            order = np.lexsort((ids, -cos))[:k]
-            best = ids[order], cos[order]
-        return best
+        return self.nearest_many([(term, weight)], k)[0]
 
 
 @dataclass
 class Model:
     vocabulary: Vocabulary
-    idf: np.ndarray
+    idf: np.ndarray          # times the term's emphasis
     index: BlockMaxIndex
     ids: np.ndarray          # of the examples
     labels: np.ndarray
     share: float             # of label 1 in the sample
+    documents: int = 0
     slope: float = 0.0
     offset: float = 0.0
+    shared: object = None    # the broadcast of index and vocabulary, once made
 
-    def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        row, term, times = self.vocabulary.counts(texts)
+    def parts_of(self, texts: pa.Array):
+        """Vectors over the vocabulary scaled to length 1, their lengths before,
+        and (row, hash and k, times) of the other terms."""
+        (row, term, times), others = self.vocabulary.split(texts)
         weight = (1 + np.log(np.maximum(times, 1))) * self.idf[term] if len(term) else np.zeros(0)
         length = np.sqrt(np.bincount(row, weight * weight, minlength=len(texts)))
         weight = weight / np.maximum(length, 1e-12)[row] if len(row) else weight
         cuts = np.searchsorted(row, np.arange(1, len(texts)))
-        return list(zip(np.split(term, cuts), np.split(weight, cuts)))
-
-    def votes(self, vectors) -> tuple[np.ndarray, list]:
-        out, evidence = np.zeros(len(vectors)), []
-        for i, (term, weight) in enumerate(vectors):
-            at, cos = self.index.nearest(term, weight, NEIGHBOURS) if len(term) else (self.ids[:0], np.zeros(0))
-            vote = 1 / (1 - np.minimum(cos, 1) + NEAR)
-            ones = vote[self.labels[at] == 1].sum() + PRIOR * self.share
-            zeros = vote[self.labels[at] == 0].sum() + PRIOR * (1 - self.share)
-            out[i] = np.log(max(ones, 1e-6) / max(zeros, 1e-6))
-            evidence.append((at, cos))
-        return out, evidence
+        return list(zip(np.split(term, cuts), np.split(weight, cuts))), length, others
+
+    def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
+        vote = 1 / (1 - np.minimum(cos, 1) + NEAR)
+        ones = vote[self.labels[at] == 1].sum() + PRIOR * self.share
+        zeros = vote[self.labels[at] == 0].sum() + PRIOR * (1 - self.share)
+        return float(np.log(max(ones, 1e-6) / max(zeros, 1e-6)))
+
+    def votes(self, vectors) -> np.ndarray:
+        return np.array([self.vote(*near) for i in range(0, len(vectors), SUB_BATCH)
+                         for near in self.index.nearest_many(vectors[i:i + SUB_BATCH], NEIGHBOURS)])
 
     def probabilities(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * votes + self.offset, -500, 500)))
@@ -187,32 +240,37 @@ class Model:
 
 # --- on Spark ------------------------------------------------------------------
 
-def _select_vocabulary(sample: DataFrame) -> Vocabulary:
-    """Terms that go with label 1 in the sample."""
+def emphasis(n: np.ndarray, ones: np.ndarray, size: int, size_ones: int) -> np.ndarray:
+    """Per term, held by n sample rows, ones of them of label 1: BASE plus its
+    absolute log-odds between the labels as far as they exceed SURE errors."""
+    if not 0 < size_ones < size:
+        return np.full(len(n), BASE)
+    a, b = ones + 0.5, n - ones + 0.5
+    odds = np.log(a / (size_ones + 1 - a)) - np.log(b / (size - size_ones + 1 - b))
+    error = np.sqrt(1 / a + 1 / b + 1 / (size_ones + 1 - a) + 1 / (size - size_ones + 1 - b))
+    return BASE + np.maximum(0, np.abs(odds) - SURE * error)
+
+
+def sample_terms(sample: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """All terms of the sample, whose rows are bounded, and their emphasis."""
     def run(batches):
         for batch in batches:
             y = np.array(batch.column("y").to_pylist(), np.int64)
             row, value, least = repeated_terms(batch.column("text"))
-            cells, which = np.unique(np.stack([value, least.astype(U)]), axis=1, return_inverse=True)
-            which = which.ravel()
-            n = cells.shape[1]
+            cells, which = np.unique((value & ~_LOW) | least.astype(U), return_inverse=True)
+            n = len(cells)
             yield pa.RecordBatch.from_arrays([
-                pa.array(cells[0].view(np.int64)), pa.array(cells[1].astype(np.int32)),
-                pa.array(np.bincount(which, minlength=n).astype(np.int64)),
-                pa.array(np.bincount(which, y[row], minlength=n).astype(np.int64))],
-                names=["hash", "least", "n", "ones"])
+                pa.array(cells.view(np.int64)), pa.array(np.bincount(which, minlength=n).astype(np.int64)),
+                pa.array(np.bincount(which, y[row], minlength=n).astype(np.int64))], names=["cell", "n", "ones"])
 
     size = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
-    a, b = F.col("ones").cast("double"), (F.col("n") - F.col("ones")).cast("double")
-    c, d = F.lit(float(size.ones)) - a, F.lit(float(size.n - size.ones)) - b
-    chi = F.lit(float(size.n)) * (a * d - b * c) * (a * d - b * c) / F.greatest(
-        (a + b) * (c + d) * (a + c) * (b + d), F.lit(1e-9))
-    best = (sample.select("text", "y").mapInArrow(run, "hash bigint, least int, n bigint, ones bigint")
-            .groupBy("hash", "least").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-            .select("hash", "least", chi.alias("chi"), (a / F.col("n")).alias("share"))
-            .where((F.col("chi") > CHI_SQUARE) & (F.col("share") * size.n > LIFT * size.ones))
-            .orderBy(F.desc("chi"), "hash", "least").limit(VOCABULARY).collect())
-    return Vocabulary(np.array([r.hash for r in best], np.int64).view(U), np.array([r.least for r in best], int))
+    got = (sample.select("text", "y").mapInArrow(run, "cell bigint, n bigint, ones bigint")
+           .groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow())
+    cell, n, ones = (got.column(c).to_numpy() for c in ("cell", "n", "ones"))
+    order = np.argsort(cell)
+    cell = cell[order].view(U)
+    return (Vocabulary(cell & ~_LOW, (cell & _LOW).astype(np.int64)),
+            emphasis(n[order], ones[order], size.n, size.ones))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
@@ -230,59 +288,118 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
     frequency = np.zeros(size + 1, np.int64)
-    for r in (docs.select("text").mapInArrow(run, "term bigint, n bigint")
-              .groupBy("term").agg(F.sum("n").alias("n")).collect()):   # at most VOCABULARY + 1 rows
-        frequency[r.term] = r.n
+    got = (docs.select("text").mapInArrow(run, "term bigint, n bigint")
+           .groupBy("term").agg(F.sum("n").alias("n")).toArrow())   # at most a row for each term, and one
+    frequency[got.column("term").to_numpy()] = got.column("n").to_numpy()
     return frequency[:size], int(frequency[size])
 
 
-def fit_rows(rows: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]], vocabulary: Vocabulary,
-             idf: np.ndarray, examples: int = EXAMPLES) -> Model:
-    """rows: (id, label, unit vector), in hash order.  Three of four go into
-    the index as far as it has room, rows of label 1 first; the others set the
-    map from votes to probabilities."""
+def places(rows: list[tuple[int, int, bool]], examples: int = EXAMPLES) -> tuple[list[int], list[int]]:
+    """rows: (number, label, has words), in hash order.  Numbers of the rows in
+    the index, three of four as far as it has room, rows of label 1 first, and
+    of the others, which set the map from votes to probabilities."""
     rows = sorted(rows, key=lambda r: -r[1])   # stable: keeps hash order within a label
-    kept = [r for i, r in enumerate(rows) if i % 4 and len(r[2][0])]
-    ones, zeros = [r for r in kept if r[1] == 1], [r for r in kept if r[1] == 0]
+    kept = [r for i, r in enumerate(rows) if i % 4 and r[2]]
+    ones, zeros = [r[0] for r in kept if r[1] == 1], [r[0] for r in kept if r[1] == 0]
     half = max(examples // 2, examples - len(zeros))
-    inside = sorted(ones[:half] + zeros[:examples - min(half, len(ones))], key=lambda r: r[0])
-    y = np.array([r[1] for r in rows], np.int64)
-    share = float(y.mean()) if len(y) else 0.5
-    model = Model(vocabulary, idf, BlockMaxIndex([r[2] for r in inside], vocabulary.size),
-                  np.array([r[0] for r in inside], np.int64), np.array([r[1] for r in inside], np.int64), share)
-    outside = [r for i, r in enumerate(rows) if i % 4 == 0]
-    y = np.array([r[1] for r in outside], np.int64)
-    if len(set(y.tolist())) == 2:
-        model.slope, model.offset = logistic_map(model.votes([r[2] for r in outside])[0], y)
-    else:
-        model.offset = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    return model
+    inside = ones[:half] + zeros[:examples - min(half, len(ones))]
+    return inside, [r[0] for i, r in enumerate(rows) if i % 4 == 0]
+
+
+def _only(batch: pa.RecordBatch, numbers: np.ndarray) -> pa.RecordBatch:
+    return batch.filter(pa.array(np.isin(batch.column("_row").to_numpy(), numbers)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1,
         rows: int = TRAIN_ROWS) -> Model:
     python_workers(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, rows, modulus, held_out)
-    vocabulary = _select_vocabulary(sample)
+    share_out = docs.sparkSession.sparkContext.broadcast
+    sample = stored(labelled_sample(docs, labels, label, rows, modulus, held_out)
+                    .withColumn("_row", F.monotonically_increasing_id()), "toxicity-sample")
+    vocabulary, emphases = sample_terms(sample)
     frequency, n = document_frequencies(docs, vocabulary)
-    idf = np.log((1 + n) / (1 + frequency)) + 1
-    blank = Model(vocabulary, idf, BlockMaxIndex([], vocabulary.size), np.zeros(0, np.int64),
-                  np.zeros(0, np.int64), 0.5)
-    shared = docs.sparkSession.sparkContext.broadcast(blank)
-
-    def run(batches):
+    idf = (np.log((1 + n) / (1 + frequency)) + 1) * emphases
+    has_words = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
+    keys = (sample.select("_row", "y", has_words.alias("words"), "doc_id", F.xxhash64("text").alias("_text"))
+            .orderBy(F.xxhash64("doc_id"), "doc_id", "y", "_text").limit(rows).collect())   # bounded by rows
+    inside, outside = (np.array(x, np.int64) for x in places([(r._row, r.y, r.words) for r in keys]))
+    share = float(np.mean([r.y for r in keys])) if keys else 0.5
+    none = np.zeros(0, np.int64)
+    model = Model(vocabulary, idf, BlockMaxIndex([], vocabulary.size), none, none, share, n)
+    blank = share_out(model)
+
+    def vectors(batches):
         for batch in batches:
-            made = shared.value.vectors(batch.column("text"))
+            batch = _only(batch, inside)
+            made = [v for some in parts(batch.column("text"), SUB_BATCH) for v in blank.value.parts_of(some)[0]]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("y"),
                 pa.array([t.astype(np.int32).tobytes() for t, _ in made], pa.binary()),
                 pa.array([w.astype(np.float64).tobytes() for _, w in made], pa.binary())],
                 names=["doc_id", "y", "term", "weight"])
 
-    got = (sample.mapInArrow(run, "doc_id bigint, y int, term binary, weight binary")
-           .orderBy(F.xxhash64("doc_id"), "doc_id", "y", "term").limit(rows).collect())   # bounded by rows
-    return fit_rows([(r.doc_id, r.y, (np.frombuffer(r.term, np.int32).astype(np.int64),
-                                      np.frombuffer(r.weight, np.float64))) for r in got], vocabulary, idf)
+    got = (sample.mapInArrow(vectors, "doc_id bigint, y int, term binary, weight binary")
+           .toArrow().sort_by([("doc_id", "ascending"), ("y", "descending"), ("term", "ascending")]))   # EXAMPLES rows
+    made = [(np.frombuffer(t.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float64))
+            for t, w in zip(got.column("term"), got.column("weight"))]
+    model = Model(vocabulary, idf, BlockMaxIndex(made, vocabulary.size), got.column("doc_id").to_numpy(),
+                  got.column("y").to_numpy().astype(np.int64), share, n)
+    del got, made
+    blank.unpersist()
+    model.shared = shared = share_out(model)
+
+    def votes(batches):
+        for batch in batches:
+            batch = _only(batch, outside)
+            made = [v for some in parts(batch.column("text"), SUB_BATCH) for v in shared.value.parts_of(some)[0]]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("y"),
+                                              pa.array(shared.value.votes(made), pa.float64())], names=["_row", "y", "vote"])
+
+    seen = sample.mapInArrow(votes, "_row bigint, y int, vote double").toArrow().sort_by("_row")
+    y = seen.column("y").to_numpy().astype(np.int64)
+    if len(set(y.tolist())) == 2:
+        model.slope, model.offset = logistic_map(seen.column("vote").to_numpy(), y)
+    else:
+        model.offset = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+    return model
+
+
+def _neighbours(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row: its number, the nearest examples with the cosines that the
+    vocabulary alone gives, that part's length, and the other terms."""
+    shared = model.shared or docs.sparkSession.sparkContext.broadcast(model)
+    pair = pa.list_(pa.struct([("term", pa.int64()), ("tf", pa.float64())]))
+
+    def run(batches):
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 33
+        m = shared.value
+        for batch in batches:
+            at, cos, lengths, others = [], [], [], []
+            for some in parts(batch.column(1), SUB_BATCH):
+                vectors, length, (row, term, times) = m.parts_of(some)
+                for a, c in m.index.nearest_many(vectors, NEIGHBOURS):
+                    at.append(a.astype(np.int32))
+                    cos.append(c)
+                lengths.append(length)
+                order = np.argsort(row, kind="stable")
+                tf = 1 + np.log(np.maximum(times, 1))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(some)))]).astype(np.int32)
+                others.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+                    [pa.array(term[order].view(np.int64)), pa.array(tf[order])], names=["term", "tf"])).cast(pair))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(number + np.arange(batch.num_rows)), pa.array(at, pa.list_(pa.int32())),
+                pa.array(cos, pa.list_(pa.float64())), pa.array(np.concatenate([np.zeros(0), *lengths])),
+                pa.concat_arrays(others) if others else pa.array([], pair)],
+                names=["doc_id", "_row", "_at", "_cos", "_length", "_others"])
+            number += batch.num_rows
+
+    schema = T.StructType([
+        docs.schema["doc_id"], T.StructField("_row", T.LongType()), T.StructField("_at", T.ArrayType(T.IntegerType())),
+        T.StructField("_cos", T.ArrayType(T.DoubleType())), T.StructField("_length", T.DoubleType()),
+        T.StructField("_others", T.ArrayType(T.StructType([
+            T.StructField("term", T.LongType()), T.StructField("tf", T.DoubleType())])))])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -290,7 +407,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     of the nearest labelled examples."""
     spark = docs.sparkSession
     python_workers(spark)
-    shared = spark.sparkContext.broadcast(model)
+    found = stored(_neighbours(docs, model), "toxicity-neighbours")
+    others = found.where(F.size("_at") > 0).select("_row", F.explode("_others").alias("_o")).select("_row", "_o.*")
+    every = found.select(F.explode("_others.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.col("tf") * BASE * (F.log((1.0 + F.greatest(F.lit(model.documents), F.col("n"))) / (1.0 + F.col("n"))) + 1)
+    lengths = (others.join(every, "term").groupBy("_row")
+               .agg(F.round(F.sum(weight * weight), 9).alias("_rest")))
+    whole = (found.drop("_others").join(lengths, "_row", "left")
+             .select("doc_id", "_at", "_cos", "_length", F.coalesce("_rest", F.lit(0.0)).alias("_rest")))
+    small = Model(Vocabulary(np.zeros(0, U), np.zeros(0, int)), np.zeros(0), BlockMaxIndex([], 0), model.ids,
+                  model.labels, model.share, model.documents, model.slope, model.offset)
+    shared = spark.sparkContext.broadcast(small)
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
         T.StructField("evidence", T.ArrayType(T.StructType([
@@ -301,15 +428,18 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches):
         m = shared.value
         for batch in batches:
-            votes, evidence = m.votes([v for some in parts(batch.column(1), SUB_BATCH) for v in m.vectors(some)])
-            p = m.probabilities(votes)
-            near = [[{"doc_id": int(m.ids[a]), "label": int(m.labels[a]), "cosine": float(c)}
-                     for a, c in zip(at, cos)] for at, cos in evidence]
+            length, rest = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            part = length / np.sqrt(np.maximum(length * length + rest, 1e-24))
+            near = [(np.array(a, np.int64), np.array(c) * p) for a, c, p in zip(
+                batch.column(1).to_pylist(), batch.column(2).to_pylist(), part)]
+            p = m.probabilities(np.array([m.vote(a, c) for a, c in near]))
+            evidence = [[{"doc_id": int(m.ids[i]), "label": int(m.labels[i]), "cosine": float(x)}
+                         for i, x in zip(a, c)] for a, c in near]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(near, kind)],
+                [batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(evidence, kind)],
                 names=["doc_id", "score", "predicted", "evidence"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return whole.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -92,3 +92,25 @@ def test_edges(spark, docs_of, labels_of, made):
     assert [round(r.score, 6) for r in none] == [0.5] * 5
     one = toxicity.digest(docs_of(rows[:5]), labels_of([(i, 1, 1) for i in range(5)])).collect()
     assert all(r.score > 0.99 for r in one)
+
+
+@pytest.fixture(scope="module")
+def half():
+    """500 documents, half of them toxic, and some with words of no example."""
+    rng = np.random.default_rng(8)
+    common = [f"word{i}" for i in range(200)]
+    rows = []
+    for i in range(500):
+        text = list(rng.choice(common, 30))
+        if i % 2:
+            text[3] = str(rng.choice(["moron", "scumbag", "idiot"]))
+        rows.append((i, " ".join(text)))
+    rows += [(1000, "word1 word2 elsewhere unheard"), (1001, "word1 word2"), (1002, "moron " + " ".join(common[:80]) + " unseen")]
+    return rows, [(i, 1, i % 2) for i in range(500)]
+
+
+def test_half_of_the_labels_toxic(docs_of, labels_of, half):
+    rows, labels = half
+    got = toxicity.digest(docs_of(rows), labels_of(labels)).collect()
+    held = [(r.predicted, r.doc_id % 2) for r in got if r.doc_id < 500 and r.held_out]
+    assert sum(p == t for p, t in held) / len(held) > 0.9
