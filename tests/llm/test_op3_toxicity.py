@@ -114,3 +114,36 @@ def test_half_of_the_labels_toxic(docs_of, labels_of, half):
     got = toxicity.digest(docs_of(rows), labels_of(labels)).collect()
     held = [(r.predicted, r.doc_id % 2) for r in got if r.doc_id < 500 and r.held_out]
     assert sum(p == t for p, t in held) / len(held) > 0.9
+
+
+def test_cosines_over_all_terms(docs_of, labels_of, half):
+    """Neighbours of every text, with cosines by the definition, also of texts
+    with words that no labelled row has."""
+    rows, labels = half
+    docs = docs_of(rows)
+    model = toxicity.fit(docs, labels_of(labels))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all(r.evidence for r in got.values())
+    assert all(e.cosine < 0.999 for e in got[1002].evidence)
+    numbers = {(int(h) >> 8, k + 1): int(t) for h, ts in zip(model.vocabulary.hashes, model.vocabulary.term)
+               for k, t in enumerate(ts) if t >= 0}
+    times, n = {}, {}
+    for i, text in rows:
+        all_of = (toxicity.terms(pa.array([text]))[1] >> np.uint64(8)).tolist()
+        _, value, least = toxicity.repeated_terms(pa.array([text]))
+        times[i] = {(int(v) >> 8, int(k)): all_of.count(int(v) >> 8) for v, k in zip(value, least)}
+        for t in times[i]:
+            n[t] = n.get(t, 0) + 1
+
+    def vector(i):
+        return {t: (1 + np.log(x)) * (model.idf[numbers[t]] if t in numbers else
+                                      toxicity.BASE * (np.log((1 + len(rows)) / (1 + n[t])) + 1))
+                for t, x in times[i].items()}
+
+    for i in (1000, 1001, 1002, 7):
+        q = vector(i)
+        for e in got[i].evidence[:4]:
+            x = vector(e.doc_id)
+            want = sum(w * x.get(t, 0) for t, w in q.items()) / np.sqrt(
+                sum(w * w for w in q.values()) * sum(w * w for w in x.values()))
+            assert abs(e.cosine - want) < 1e-9
