@@ -23,8 +23,8 @@ class is a connected component of that relation.
    weighted similarity.  Elements are 32-bit hashes; chance agreement moves a
    similarity by less than 1e-5.
 
-A link at exactly 0.8 is missed with a probability of 0.3 % (its sketches
-agree in less than FLOOR), one at 0.85 with 1e-6; and only where no chain of
+A link at exactly 0.8 is missed with a probability of 5e-5 (no common band; that
+its sketches agree in less than FLOOR has 8e-8), and only where no chain of
 other links joins the two classes.
 
 Defined results: texts without words (null and empty ones too) have no
@@ -51,7 +51,7 @@ from cohortlens.llm.shingles import U, mix, multisets
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-FLOOR = 0.7
+FLOOR = 0.6
 BLOCK = 512
 ALL = (1 << 64) - 1
 GAP, PLACE, LEVEL = U(0xD1B54A32D192ED03), U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)

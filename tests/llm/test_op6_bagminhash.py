@@ -127,3 +127,20 @@ def test_blocks_of_a_bucket_and_one_kept(spark, docs_of, rows, monkeypatch):
 def test_empty(docs_of):
     assert bagminhash.classes(docs_of([])).count() == 0
     assert bagminhash.keep_one(docs_of([])).count() == 0
+
+
+def test_links_whose_sketches_agree_least(docs_of):
+    """Pairs at similarity 0.8 that share a band, though their sketches agree in less than 70 % of the slots."""
+    rng = np.random.default_rng(21)
+    pairs = []
+    for i in range(3000):
+        w = [f"p{i}x{j}" for j in rng.integers(0, 10 ** 6, 54)]
+        pairs.append((" ".join(w[:49]), " ".join(w[:44] + w[49:])))
+    points = bagminhash.signatures(*multisets(pa.array([t for p in pairs for t in p]), 5), 6000).reshape(3000, 2, 125)
+    same = points[:, 0] == points[:, 1]
+    agree = ((points[:, 0] ^ points[:, 1]) & np.uint64(255) == 0).sum(axis=1)
+    hard = np.flatnonzero((agree < 0.7 * 125) & same.reshape(3000, 25, 5).all(axis=2).any(axis=1))
+    assert len(hard) >= 3 and all(_similarity(*map(_multiset, pairs[i])) == 0.8 for i in hard)
+    rows = [(int(2 * i + k), pairs[i][k]) for i in hard for k in (0, 1)]
+    got = bagminhash.classes(docs_of(rows)).select("doc_id", "class_id", "class_size").collect()
+    assert sorted(map(tuple, got), key=str) == _brute(rows)
