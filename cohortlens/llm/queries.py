@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm import (
-    bagminhash, bitsliced, byte_bpe, chat, decontam, langid, linededup, nbsvm, tokenfile, toxicity,
+    bagminhash, bitsliced, byte_bpe, chat, decontam, extendible, langid, linededup, merkle, nbsvm, periodic,
+    tokenfile, toxicity,
 )
 from cohortlens.llm.common import table
 
@@ -63,6 +64,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_file": op1_token_file,
     "op2_bitsliced": op2_bitsliced,
@@ -74,10 +87,15 @@ QUERIES: dict[str, Query] = {
     "op8_langid": op8_langid,
     "op9_chat": op9_chat,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle": op11_merkle,
+    "op12_periodic": op12_periodic,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_bitsliced": bitsliced.ORACLE,
     "op7_decontaminate": decontam.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
+    "op11_merkle": merkle.ORACLE,
+    "op13_exact_dedup": extendible.ORACLE,
 }
