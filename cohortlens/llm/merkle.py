@@ -224,7 +224,7 @@ def block_paths(rounds: list[DataFrame], above: DataFrame, bits: int) -> DataFra
         here = tops if paths is None else paths.unionByName(tops)
         if logs is rounds[0]:
             return here
-        paths = _spread(logs.join(here, ["tree", "block"]), carried, bits)
+        paths = _spread(logs.drop("root").join(here, ["tree", "block"]), carried, bits)
 
 
 # --- the manifest -----------------------------------------------------------------
