@@ -14,7 +14,7 @@ stays a plain codegen'd expression.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _forward_months(start: Column, end: Column) -> Column:
@@ -33,6 +33,15 @@ def month_of(d: Column) -> Column:
     return F.trunc(d, "MM")
 
 
+def month_spine(df: DataFrame, month: str) -> DataFrame:
+    """``month``: every month from the first to the last in column ``month`` of
+    ``df``, none left out (no row if it has none).  One aggregate, then at most a
+    row per calendar month."""
+    span = df.agg(F.min(month).alias("_first"), F.max(month).alias("_last"))
+    months = F.sequence("_first", "_last", F.expr("interval 1 month"))
+    return span.where(F.col("_first").isNotNull()).select(F.explode(months).alias(month))
+
+
 def days_between(start: Column, end: Column) -> Column:
     """``end - start`` in days, as the source's date subtraction."""
     return F.datediff(end, start)

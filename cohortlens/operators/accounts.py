@@ -35,22 +35,25 @@ def max_usage_date(feature_usage: DataFrame) -> Column:
     return feature_usage.agg(F.max("usage_date")).scalar()
 
 
-def first_churn(churn_events: DataFrame) -> DataFrame:
+def last_use(t: Tables) -> Column:
+    return max_usage_date(t.pick("feature_usage", "usage_date"))
+
+
+def first_churn(t: Tables) -> DataFrame:
     """account_id, first_churn_date (earliest non-NULL churn date) and a
     ``churned`` marker that is 1 for every account with an event, even when
     all its dates are NULL."""
-    return (churn_events.groupBy("account_id")
-            .agg(F.min("churn_date").alias("first_churn_date"),
-                 F.max(F.lit(1)).alias("churned")))
+    return t.pick("churn_events", "account_id", "churn_date").groupBy("account_id").agg(
+        F.expr("min(churn_date) as first_churn_date"), F.expr("max(1) as churned"))
 
 
 def account_lifetime(t: Tables, max_date: Column | None = None) -> DataFrame:
     """Whole months from signup to first churn, or to the last usage
     date for accounts that never churned; never below 0."""
-    max_date = max_usage_date(t.feature_usage) if max_date is None else max_date
+    max_date = last_use(t) if max_date is None else max_date
     end = F.coalesce(F.col("first_churn_date"), max_date)
-    return (t.accounts.select("account_id", "signup_date")
-            .join(first_churn(t.churn_events), "account_id", "left")
+    return (t.pick("accounts", "account_id", "signup_date")
+            .join(first_churn(t), "account_id", "left")
             .select("account_id",
                     F.greatest(age_months(F.col("signup_date"), end), F.lit(0))
                     .cast("long").alias("lifetime_months_till_churn")))
@@ -68,25 +71,28 @@ def subscription_end(t: Tables, post_churn: str = "to_max_date",
       revenue to the end of the data); ``post_churn='exclude'`` gives such a
       subscription zero length instead.
     """
-    max_date = max_usage_date(t.feature_usage) if max_date is None else max_date
-    fc = first_churn(t.churn_events).select("account_id", "first_churn_date")
+    max_date = last_use(t) if max_date is None else max_date
+    fc = first_churn(t).select("account_id", "first_churn_date")
     return _subscription_end_with(t, fc, post_churn, max_date)
 
 
-def _subscription_end_with(t: Tables, fc_df: DataFrame, post_churn: str, max_date: Column) -> DataFrame:
+def _subscription_end_with(t: Tables, fc_df: DataFrame, post_churn: str, max_date: Column,
+                           mark_horizon: bool = False) -> DataFrame:
     if post_churn not in POST_CHURN_MODES:
         raise ValueError(f"post_churn must be one of {POST_CHURN_MODES}")
     fc, start, end = F.col("first_churn_date"), F.col("start_date"), F.col("end_date")
     fallback = max_date
     if post_churn == "exclude":
         fallback = F.when(fc.isNotNull() & (start > fc), start).otherwise(max_date)
-    end_sub = (F.when(end.isNotNull() & (fc.isNull() | (end < fc)), end)
-               .when(fc.isNotNull() & (start <= fc), fc)
-               .otherwise(fallback))
-    return (lookup_join(t.subscriptions, fc_df, "account_id", "left")
+    own_end, at_churn = end.isNotNull() & (fc.isNull() | (end < fc)), fc.isNotNull() & (start <= fc)
+    end_sub = F.when(own_end, end).when(at_churn, fc).otherwise(fallback)
+    marks = [F.when(own_end | at_churn, False).otherwise(True).alias("to_horizon")] if mark_horizon else []
+    subs = t.pick("subscriptions", "subscription_id", "account_id", "start_date", "end_date",
+                  "mrr_amount", "upgrade_flag", "downgrade_flag")
+    return (lookup_join(subs, fc_df, "account_id", "left")
             .select("subscription_id", "account_id",
                     start.alias("start_date_sub"), end_sub.alias("end_date_sub"),
-                    "mrr_amount", "upgrade_flag", "downgrade_flag"))
+                    "mrr_amount", "upgrade_flag", "downgrade_flag", *marks))
 
 
 def subscription_duration(t: Tables, post_churn: str = "to_max_date",
@@ -113,7 +119,7 @@ def revenue_lifetime_summary(t: Tables, post_churn: str = "to_max_date") -> Data
     """Min / max / mean (2 decimals) of revenue and of lifetime over the
     accounts that have both.  One global aggregate: partial per task, one
     row per task to the final step."""
-    max_date = max_usage_date(t.feature_usage)
+    max_date = last_use(t)
     rev = subscription_duration(t, post_churn, max_date).groupBy("account_id") \
         .agg(_revenue().alias("r"))
     life = account_lifetime(t, max_date).withColumnRenamed("lifetime_months_till_churn", "l")
@@ -130,7 +136,7 @@ def revenue_lifetime_summary(t: Tables, post_churn: str = "to_max_date") -> Data
 def subscription_metrics(t: Tables, post_churn: str = "to_max_date") -> DataFrame:
     """Subscriptions, revenue until churn, lifetime and up/downgrade
     flags per account that has subscriptions."""
-    max_date = max_usage_date(t.feature_usage)
+    max_date = last_use(t)
     per_account = (subscription_duration(t, post_churn, max_date).groupBy("account_id")
                    .agg(F.count(F.lit(1)).alias("subscriptions"),
                         _revenue().alias("approx_revenue_till_churn"),
@@ -151,7 +157,7 @@ def feature_metrics(t: Tables) -> DataFrame:
                .agg(F.sum("usage_count").alias("u"), F.sum("error_count").alias("e"),
                     F.max(_flag("is_beta_feature")).alias("b")))
     per_feature = (per_sub
-                   .join(t.subscriptions.select("subscription_id", "account_id"),
+                   .join(t.pick("subscriptions", "subscription_id", "account_id"),
                          "subscription_id", "left")
                    .groupBy("account_id", "feature_name")
                    .agg(F.sum("u").alias("u"), F.sum("e").alias("e"), F.max("b").alias("b")))
@@ -221,8 +227,11 @@ def _churn_per_account(t: Tables, tie_breaker: str = "churn_event_id") -> DataFr
                    | F.col("first_churn_date").isNotNull()))
 
 
-def accounts_summary(t: Tables, post_churn: str = "to_max_date", max_date: Column | None = None) -> DataFrame:
-    """One row per account, 25 columns.
+def accounts_summary(t: Tables, post_churn: str = "to_max_date", max_date: Column | None = None,
+                     open_ended: bool = False) -> DataFrame:
+    """One row per account, 25 columns; with ``open_ended`` one more: does
+    a value depend on the last usage date (no churn date, or a subscription that
+    has no own end and starts after the first churn or without one)?
 
     Four left joins on account_id of per-account aggregates, all
     hash-partitioned on account_id, so the joins add no exchange.  The churn
@@ -231,18 +240,18 @@ def accounts_summary(t: Tables, post_churn: str = "to_max_date", max_date: Colum
     summary only for accounts with subscriptions (0 otherwise), as in the
     source.  The first churn *date* of J11 equals the earliest non-NULL churn
     date, which is the date lifetimes use."""
-    max_date = max_usage_date(t.feature_usage) if max_date is None else max_date
+    max_date = last_use(t) if max_date is None else max_date
     churn = _churn_per_account(t)
     ends = _subscription_end_with(t, churn.select("account_id", "first_churn_date"),
-                                  post_churn, max_date)
+                                  post_churn, max_date, open_ended)
     months = F.greatest(age_months(F.col("start_date_sub"), F.col("end_date_sub")), F.lit(0))
     subs = (ends.withColumn("duration_sub_months", months).groupBy("account_id")
             .agg(F.count(F.lit(1)).alias("subscriptions"), _revenue().alias("approx_revenue_till_churn"),
                  F.max(_flag("upgrade_flag")).alias("had_upgrade"),
-                 F.max(_flag("downgrade_flag")).alias("had_downgrade")))
-    acc = t.accounts.select("account_id", "industry", "country", "signup_date",
-                            "referral_source", F.col("plan_tier").alias("initial_plan_tier"),
-                            "seats")
+                 F.max(_flag("downgrade_flag")).alias("had_downgrade"),
+                 *([F.bool_or("to_horizon").alias("to_horizon")] if open_ended else [])))
+    acc = t.pick("accounts", "account_id", "industry", "country", "signup_date", "referral_source", "plan_tier",
+                 "seats").withColumnRenamed("plan_tier", "initial_plan_tier")
     joined = (acc
               .join(subs, "account_id", "left")
               .join(feature_metrics(t), "account_id", "left")
@@ -268,24 +277,39 @@ def accounts_summary(t: Tables, post_churn: str = "to_max_date", max_date: Colum
         F.when(churned, F.col("first_churn_date")).alias("first_churn_date"),
         F.col("first.r").alias("reason_code"),
         F.coalesce(F.col("first.f"), F.lit(0).cast("long")).alias("first_refund_usd"),
-        zero("total_refund_usd"))
+        zero("total_refund_usd"),
+        *([(F.col("first_churn_date").isNull() | F.coalesce(F.col("to_horizon"), F.lit(False))).alias("open_ended")]
+          if open_ended else []))
+
+
+#: Columns of ``account_outcomes``.
+OUTCOME_COLUMNS = ("account_id", "industry", "country", "signup_date", "referral_source", "initial_plan_tier",
+                   "churn_flag", "first_churn_date", "lifetime_months_till_churn")
+_OF_CHURN = ("churn_flag", "first_churn_date", "lifetime_months_till_churn")
 
 
-def account_outcomes(t: Tables) -> DataFrame:
+def account_outcomes(t: Tables, columns=OUTCOME_COLUMNS) -> DataFrame:
     """The summary columns the segment jobs read - dimensions, churn_flag and
     lifetime_months_till_churn - without the feature, ticket and revenue
-    aggregates they would never use.  Same values as ``accounts_summary``."""
-    max_date = max_usage_date(t.feature_usage)
-    fc = first_churn(t.churn_events)
-    with_subs = t.subscriptions.groupBy("account_id").agg(F.max(F.lit(1)).alias("has_sub"))
-    life = F.greatest(age_months(F.col("signup_date"),
-                                 F.coalesce(F.col("first_churn_date"), max_date)), F.lit(0))
-    return (t.accounts
-            .join(fc, "account_id", "left")
-            .join(with_subs, "account_id", "left")
-            .select("account_id", "industry", "country", "signup_date", "referral_source",
-                    F.col("plan_tier").alias("initial_plan_tier"),
-                    F.coalesce(F.col("churned"), F.lit(0)).alias("churn_flag"),
-                    "first_churn_date",
-                    F.when(F.col("has_sub").isNotNull(), life).otherwise(F.lit(0))
-                    .cast("long").alias("lifetime_months_till_churn")))
+    aggregates they would never use.  Same values as ``accounts_summary``.
+
+    A join with one row per account changes no other column but can't be
+    dropped by the optimiser, which doesn't know that; so only the joins that
+    the asked ``columns`` need are made."""
+    lifetime = "lifetime_months_till_churn" in columns
+    given = {"initial_plan_tier": "plan_tier"}
+    dims = [c for c in columns if c not in _OF_CHURN]
+    reads = dict.fromkeys(["account_id", *[given.get(c, c) for c in dims], *(["signup_date"] if lifetime else [])])
+    df = t.pick("accounts", *reads)
+    if any(c in columns for c in _OF_CHURN):
+        df = df.join(first_churn(t), "account_id", "left")
+    out = {c: F.col(given.get(c, c)).alias(c) for c in dims}
+    out["churn_flag"] = F.expr("coalesce(churned, 0) as churn_flag")
+    out["first_churn_date"] = F.col("first_churn_date")
+    if lifetime:
+        has_sub = t.pick("subscriptions", "account_id").groupBy("account_id").agg(F.expr("max(1) as has_sub"))
+        df = df.join(has_sub, "account_id", "left")
+        life = F.greatest(age_months(F.col("signup_date"), F.coalesce(F.col("first_churn_date"), last_use(t))), F.lit(0))
+        out["lifetime_months_till_churn"] = (F.when(F.col("has_sub").isNotNull(), life).otherwise(F.lit(0))
+                                             .cast("long").alias("lifetime_months_till_churn"))
+    return df.select(*[out[c] for c in columns])

@@ -21,12 +21,12 @@ STEPS = ("subscription", "usage", "usage_from_subscription")
 
 def activation_base(t: Tables) -> DataFrame:
     """account_id, signup_date, first_subscription, first_usage."""
-    first_sub = t.subscriptions.groupBy("account_id") \
+    first_sub = t.pick("subscriptions", "account_id", "start_date").groupBy("account_id") \
         .agg(F.min("start_date").alias("first_subscription"))
-    first_use = (t.feature_usage.groupBy("subscription_id").agg(F.min("usage_date").alias("u"))
-                 .join(t.subscriptions.select("subscription_id", "account_id"), "subscription_id")
+    first_use = (t.pick("feature_usage", "subscription_id", "usage_date").groupBy("subscription_id").agg(F.min("usage_date").alias("u"))
+                 .join(t.pick("subscriptions", "subscription_id", "account_id"), "subscription_id")
                  .groupBy("account_id").agg(F.min("u").alias("first_usage")))
-    return (t.accounts.select("account_id", "signup_date")
+    return (t.pick("accounts", "account_id", "signup_date")
             .join(first_sub, "account_id", "left")
             .join(first_use, "account_id", "left"))
 
@@ -68,6 +68,21 @@ def activation_median(base: DataFrame, approx: bool = False, accuracy: int = 100
                     med("first_usage").alias("median_usage_from_signup_time_days"))
 
 
+def activation_median_by_histogram(base: DataFrame) -> DataFrame:
+    """J17 with the histogram of days as a table instead of one buffer
+    (``exact_percentiles``): the same exact medians.  NULL where no account
+    has that step."""
+    from cohortlens.functions.quantiles import exact_percentiles
+    days = lambda end: F.when(F.col(end) >= F.col("signup_date"),
+                              days_between(F.col("signup_date"), F.col(end)))
+    long = base.select(F.stack(F.lit(2), F.lit("s"), days("first_subscription"), F.lit("u"), days("first_usage"))
+                       .alias("step", "days"))
+    medians = exact_percentiles(long, ["step"], "days", [0.5])
+    of = lambda step, name: F.max(F.when(F.col("step") == step, F.col("p0"))).alias(name)
+    return medians.agg(of("s", "median_subscription_from_signup_time_days"),
+                       of("u", "median_usage_from_signup_time_days"))
+
+
 def usage_quality(base: DataFrame) -> DataFrame:
     """Accounts, and accounts whose first use is on/after (valid) or
     before (invalid) the signup; accounts without use are in neither."""

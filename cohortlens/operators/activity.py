@@ -28,28 +28,33 @@ from cohortlens.sources.tables import Tables
 
 def account_activity_bounds(t: Tables) -> DataFrame:
     """account_id, signup_date and active_until (NULL = no upper bound)."""
-    churn = (t.churn_events.groupBy("account_id")
+    churn = (t.pick("churn_events", "account_id", "churn_date").groupBy("account_id")
              .agg(F.max("churn_date").alias("last_churn_date"),
                   F.max(F.col("churn_date").isNull()).alias("null_churn_date")))
     until = F.when(F.col("null_churn_date"), F.lit(None)).otherwise(F.col("last_churn_date"))
-    return (t.accounts.select("account_id", "signup_date")
+    return (t.pick("accounts", "account_id", "signup_date")
             .join(churn, "account_id", "left")
             .select("account_id", "signup_date", until.alias("active_until")))
 
 
+def active_days(t: Tables) -> DataFrame:
+    """account_id, usage_date of the uses that count, each (subscription, day) once."""
+    days = t.pick("feature_usage", "subscription_id", "usage_date").distinct()
+    subs = lookup_join(t.pick("subscriptions", "subscription_id", "account_id"),
+                       account_activity_bounds(t), "account_id", "inner")
+    d, until = F.col("usage_date"), F.col("active_until")
+    return (days.join(subs, "subscription_id")
+            .where((d >= F.col("signup_date")) & (until.isNull() | (d <= until)))
+            .select("account_id", "usage_date"))
+
+
 def monthly_active_users(t: Tables, approx: bool = False, rsd: float = 0.01,
                          ordered: bool = True) -> DataFrame:
     """active_month, mau.  ``approx=True`` counts accounts with
     HyperLogLog++ (relative error ``rsd``): one partial aggregate per month,
     no exchange keyed by account."""
-    days = t.feature_usage.select("subscription_id", "usage_date").distinct()
-    subs = lookup_join(t.subscriptions.select("subscription_id", "account_id"),
-                       account_activity_bounds(t), "account_id", "inner")
-    d, until = F.col("usage_date"), F.col("active_until")
-    active = (days.join(subs, "subscription_id")
-              .where((d >= F.col("signup_date")) & (until.isNull() | (d <= until))))
     count = F.approx_count_distinct("account_id", rsd) if approx else F.count_distinct("account_id")
-    out = active.groupBy(month_of(d).alias("active_month")).agg(count.alias("mau"))
+    out = active_days(t).groupBy(month_of(F.col("usage_date")).alias("active_month")).agg(count.alias("mau"))
     return out.orderBy(F.col("active_month").asc_nulls_last()) if ordered else out
 
 

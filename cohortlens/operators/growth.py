@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortlens.functions import month_of, pct
+from cohortlens.functions import month_of, month_spine, pct
 
 
 def _by_month():
@@ -27,16 +27,22 @@ def _running():
 PLANS = ("Basic", "Pro", "Enterprise")
 
 
-def customer_growth(subscriptions: DataFrame) -> DataFrame:
+def customer_growth(subscriptions: DataFrame, fill_gaps: bool = False) -> DataFrame:
     """New customers per month of their first subscription, running
     total, and month-over-month change in percent.
 
     Months without new customers have no row, so the change is measured
-    against the previous month that has one."""
+    against the previous month that has one.  With ``fill_gaps`` every month from
+    the first to the last has a row: no new customers count 0, a change is that
+    against the month before, and is NULL after a month of none."""
     first = (subscriptions.groupBy("account_id")
              .agg(F.min("start_date").alias("first_start_date")))
     per_month = (first.groupBy(month_of(F.col("first_start_date")).alias("month"))
                  .agg(F.count("account_id").alias("new_customers")))
+    if fill_gaps:
+        undated = per_month.where("month is null")
+        per_month = (month_spine(per_month, "month").join(per_month, "month", "left")
+                     .select("month", F.coalesce("new_customers", F.lit(0)).alias("new_customers")).unionByName(undated))
     prev = F.lag("new_customers").over(_by_month())
     return (per_month
             .select(

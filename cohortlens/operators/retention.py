@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions import age_months, month_of, pct
-from cohortlens.operators.accounts import first_churn, max_usage_date
+from cohortlens.operators.accounts import first_churn, last_use
 from cohortlens.sources.tables import Tables
 
 ACTIVITY_RATE = "product_retention_rate_percentage"
@@ -33,45 +33,40 @@ FIRST_CHURN_RATE = "payment_retention_rate_till_first_churn_percentage"
 LAST_CHURN_RATE = "payment_retention_rate_till_last_churn_percentage"
 
 
-def active_account_months(t: Tables) -> DataFrame:
-    """Distinct (account_id, active_month) pairs from usage.
+def active_months(t: Tables) -> DataFrame:
+    """account_id, active_months: the set of months with usage.
 
     Usage is reduced to distinct (subscription, month) before the join to
-    subscriptions and to distinct (account, month) after it, both with
-    map-side partial aggregation: a hot subscription or an account holding a
-    third of all subscriptions shrinks to at most one row per calendar month
-    before it meets the accounts (where it would sit on the side of a left
-    join that adaptive skew handling cannot split)."""
-    per_sub = (t.feature_usage.where(F.col("usage_date").isNotNull())
-               .select("subscription_id", month_of(F.col("usage_date")).alias("active_month"))
-               .distinct())
-    return (per_sub.join(t.subscriptions.select("subscription_id", "account_id"), "subscription_id")
-            .select("account_id", "active_month").distinct())
+    subscriptions - a hot subscription shrinks to at most one row per calendar
+    month - and to one set per account after it, by one exchange that carries
+    what each task has collected.  A set holds at most the calendar's months,
+    whatever the account's rows, and it meets the accounts where it lies."""
+    per_sub = (t.pick("feature_usage", "subscription_id", "usage_date").where("usage_date is not null")
+               .selectExpr("subscription_id", "trunc(usage_date, 'MM') as active_month").distinct())
+    return (per_sub.join(t.pick("subscriptions", "subscription_id", "account_id"), "subscription_id")
+            .groupBy("account_id").agg(F.collect_set("active_month").alias("active_months")))
 
 
 def _activity_tenure(cohorts: DataFrame, active: DataFrame) -> DataFrame:
     """``cohorts`` (account_id, cohort_month, ...) with tenure: the length of
-    the unbroken run of active months from the cohort month on, less one.
+    the unbroken run of active months from the cohort month on, less one (-1:
+    not active in its first month).
 
-    The per-account streak window runs where the join left the rows
-    (partitioned by account_id, no exchange; at most one row per calendar
-    month per account).  The month condition sits in the join, so an account
-    without such months keeps one row and stays in its cohort's size."""
-    months = (cohorts.join(active.withColumnRenamed("account_id", "_active"),
-                           (F.col("account_id") == F.col("_active"))
-                           & (F.col("active_month") >= F.col("cohort_month")), "left")
-              .withColumn("month_number", age_months(F.col("cohort_month"), F.col("active_month"))))
-    rn = F.row_number().over(Window.partitionBy("account_id").orderBy("month_number"))
-    return (months.withColumn("rn", rn).groupBy(*cohorts.columns)
-            .agg((F.count_if(F.col("month_number") == F.col("rn") - 1) - 1).alias("tenure")))
+    Sorted month numbers without repeats are 0, 1, 2, ... as long as no month
+    is missing, so the run is the numbers that equal their place."""
+    number = lambda m: age_months(F.col("cohort_month"), m)
+    numbers = F.array_sort(F.filter(F.transform("active_months", number), lambda n: n >= 0))
+    run = F.size(F.filter(numbers, lambda n, place: n == place))
+    return (cohorts.join(active, "account_id", "left")
+            .select(*cohorts.columns, (F.coalesce(F.when(F.col("active_months").isNotNull(), run), F.lit(0)) - 1).cast("long").alias("tenure")))
 
 
 def retention_activity(t: Tables) -> DataFrame:
     """Unbroken-activity retention per signup cohort, in one pass over
     accounts; the streak length per account goes through the same tenure
     histogram as payment retention."""
-    cohorts = t.accounts.select("account_id", month_of(F.col("signup_date")).alias("cohort_month"))
-    return _from_tenure(_activity_tenure(cohorts, active_account_months(t)), ACTIVITY_RATE)
+    cohorts = t.pick("accounts", "account_id", "signup_date").select("account_id", month_of(F.col("signup_date")).alias("cohort_month"))
+    return _from_tenure(_activity_tenure(cohorts, active_months(t)), ACTIVITY_RATE)
 
 
 def _from_tenure(per_account: DataFrame, rate_col: str) -> DataFrame:
@@ -112,8 +107,9 @@ def _payment_retention(span: DataFrame, rate_col: str) -> DataFrame:
     return _from_tenure(span.select("account_id", "cohort_month", tenure.alias("tenure")), rate_col)
 
 
-def _span(accounts: DataFrame, last_churn: DataFrame, churn_col: str, max_date: Column) -> DataFrame:
-    return (accounts.select("account_id", "signup_date")
+def _span(t: Tables, last_churn: DataFrame, churn_col: str) -> DataFrame:
+    max_date = last_use(t)
+    return (t.pick("accounts", "account_id", "signup_date")
             .join(last_churn, "account_id", "left")
             .select("account_id", month_of(F.col("signup_date")).alias("cohort_month"),
                     month_of(F.coalesce(F.col(churn_col), max_date)).alias("last_month")))
@@ -121,15 +117,14 @@ def _span(accounts: DataFrame, last_churn: DataFrame, churn_col: str, max_date:
 
 def retention_payment_first(t: Tables) -> DataFrame:
     """Payment retention until the first churn."""
-    span = _span(t.accounts, first_churn(t.churn_events), "first_churn_date",
-                 max_usage_date(t.feature_usage))
+    span = _span(t, first_churn(t), "first_churn_date")
     return _payment_retention(span, FIRST_CHURN_RATE)
 
 
 def retention_payment_last(t: Tables) -> DataFrame:
     """Payment retention until the last churn."""
-    last = t.churn_events.groupBy("account_id").agg(F.max("churn_date").alias("last_churn_date"))
-    span = _span(t.accounts, last, "last_churn_date", max_usage_date(t.feature_usage))
+    last = t.pick("churn_events", "account_id", "churn_date").groupBy("account_id").agg(F.max("churn_date").alias("last_churn_date"))
+    span = _span(t, last, "last_churn_date")
     return _payment_retention(span, LAST_CHURN_RATE)
 
 
@@ -193,14 +188,14 @@ def retention_means_of(t: Tables, months=(0, 12)) -> DataFrame:
     one churn aggregate, are stacked, and go through one histogram per kind
     and cohort.  Only the asked month numbers are computed, so nothing is
     expanded."""
-    churn = t.churn_events.groupBy("account_id").agg(
+    churn = t.pick("churn_events", "account_id", "churn_date").groupBy("account_id").agg(
         F.min("churn_date").alias("_first"), F.max("churn_date").alias("_last"))
-    max_date = max_usage_date(t.feature_usage)
+    max_date = last_use(t)
     cohort = month_of(F.col("signup_date"))
     until = lambda c: age_months(cohort, month_of(F.coalesce(F.col(c), max_date)))
-    spans = (t.accounts.select("account_id", "signup_date").join(churn, "account_id", "left")
+    spans = (t.pick("accounts", "account_id", "signup_date").join(churn, "account_id", "left")
              .select("account_id", cohort.alias("cohort_month"), until("_first").alias("_t1"), until("_last").alias("_t2")))
-    streaks = _activity_tenure(spans, active_account_months(t))
+    streaks = _activity_tenure(spans, active_months(t))
     kinds = streaks.select("cohort_month", F.expr(
         "stack(3, 'activity', tenure, 'payment_first_churn', cast(_t1 as bigint), "
         "'payment_last_churn', cast(_t2 as bigint)) as (retention, tenure)"))

@@ -37,14 +37,14 @@ def early_usage(t: Tables, window_days: int = DEFAULT_WINDOW_DAYS,
     partitioned by account_id, so accounts are not mapped a second time."""
     if lower_bound not in LOWER_BOUNDS:
         raise ValueError(f"lower_bound must be one of {LOWER_BOUNDS}")
-    per_day = (t.feature_usage.groupBy("subscription_id", "usage_date")
+    per_day = (t.pick("feature_usage", "subscription_id", "usage_date", "usage_count").groupBy("subscription_id", "usage_date")
                .agg(F.sum("usage_count").alias("uc")))
     signup = F.col("signup_date")
     cond = F.col("usage_date") <= F.date_add(signup, window_days)
     if lower_bound == "signup":
         cond = cond & (F.col("usage_date") >= signup)
-    signups = t.accounts if signups is None else signups
-    subs = lookup_join(t.subscriptions.select("subscription_id", "account_id"),
+    signups = t.pick("accounts", "account_id", "signup_date") if signups is None else signups
+    subs = lookup_join(t.pick("subscriptions", "subscription_id", "account_id"),
                        signups.select("account_id", "signup_date"), "account_id", "inner")
     return (per_day.join(subs, "subscription_id").where(cond)
             .groupBy("account_id").agg(F.sum("uc").alias("total_usage")))

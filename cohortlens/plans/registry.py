@@ -26,8 +26,8 @@ def _t(spark: SparkSession, sf_dir: str) -> Tables:
     return load_driver_tables(spark, sf_dir)
 
 
-def _outcomes(spark, d, t: Tables | None = None):
-    return acc.account_outcomes(t or _t(spark, d))
+def _outcomes(spark, d, *columns):
+    return acc.account_outcomes(_t(spark, d), columns)
 
 
 def _base(spark, d):
@@ -35,11 +35,11 @@ def _base(spark, d):
 
 
 def _growth(spark, d):
-    return growth.customer_growth(_t(spark, d).subscriptions)
+    return growth.customer_growth(_t(spark, d).pick("subscriptions", "account_id", "start_date"))
 
 
 def _segments(spark, d):
-    return churn.churn_by_segment(_outcomes(spark, d))
+    return churn.churn_by_segment(_outcomes(spark, d, *[c for _, c in churn.SEGMENTS], "churn_flag"))
 
 
 def _mau(spark, d):
@@ -55,7 +55,8 @@ def _mau_stream(spark, d):
 
 def _usage_segments(spark, d):
     t = _t(spark, d)
-    return seg.usage_segments(t, _outcomes(spark, d, t))
+    return seg.usage_segments(t, acc.account_outcomes(
+        t, ("account_id", "signup_date", "churn_flag", "lifetime_months_till_churn")))
 
 
 def _retention_mean(spark, d):
@@ -67,7 +68,7 @@ def _matrix(job: Callable[[Tables], DataFrame], rate: str) -> Query:
 
 
 QUERIES: dict[str, Query] = {
-    "key_census": lambda s, d: quality.key_census(_t(s, d).subscriptions),
+    "key_census": lambda s, d: quality.key_census(_t(s, d).pick("subscriptions", "subscription_id", "account_id")),
     "null_audit": lambda s, d: quality.null_audit(_t(s, d).subscriptions),
     "account_lifetime": lambda s, d: acc.account_lifetime(_t(s, d)),
     "subscription_end": lambda s, d: acc.subscription_end(_t(s, d)),
@@ -80,13 +81,14 @@ QUERIES: dict[str, Query] = {
     "churn_metrics": lambda s, d: acc.churn_metrics(_t(s, d)),
     "accounts_summary": lambda s, d: acc.accounts_summary(_t(s, d)),
     "customer_growth": _growth,
-    "subscription_growth": lambda s, d: growth.subscription_growth(_t(s, d).subscriptions),
+    "subscription_growth": lambda s, d: growth.subscription_growth(
+        _t(s, d).pick("subscriptions", "subscription_id", "start_date", "plan_tier")),
     "monthly_active_users": _mau,
     "monthly_active_users_stream": _mau_stream,
     "activation_funnel": lambda s, d: act.activation_funnel(_base(s, d)),
     "activation_median": lambda s, d: act.activation_median(_base(s, d)),
     "usage_quality": lambda s, d: act.usage_quality(_base(s, d)),
-    "churn_rate": lambda s, d: churn.churn_rate(_outcomes(s, d)),
+    "churn_rate": lambda s, d: churn.churn_rate(_outcomes(s, d, "churn_flag")),
     "churn_by_segment": _segments,
     "retention_activity": lambda s, d: ret.retention_activity(_t(s, d)),
     "retention_payment_first": lambda s, d: ret.retention_payment_first(_t(s, d)),
@@ -98,16 +100,16 @@ QUERIES: dict[str, Query] = {
     "retention_matrix_activity": _matrix(ret.retention_activity, ret.ACTIVITY_RATE),
     "retention_matrix_payment_last": _matrix(ret.retention_payment_last, ret.LAST_CHURN_RATE),
     "retention_mean": _retention_mean,
-    "country_accounts": lambda s, d: churn.country_accounts(_outcomes(s, d)),
-    "country_churn": lambda s, d: churn.country_churn(_outcomes(s, d)),
-    "country_lifetime": lambda s, d: churn.country_lifetime(_outcomes(s, d)),
+    "country_accounts": lambda s, d: churn.country_accounts(_outcomes(s, d, "account_id", "country")),
+    "country_churn": lambda s, d: churn.country_churn(_outcomes(s, d, "country", "churn_flag")),
+    "country_lifetime": lambda s, d: churn.country_lifetime(_outcomes(s, d, "country", "lifetime_months_till_churn")),
     "segment_sizes": lambda s, d: churn.segment_sizes(_segments(s, d)),
     "worst_subsegment": lambda s, d: churn.worst_subsegment(_segments(s, d)),
     "usage_quality_split": lambda s, d: act.usage_quality_split(
         act.usage_quality(_base(s, d))),
     "mau_summary": lambda s, d: activity.mau_summary(
         activity.monthly_active_users(_t(s, d), ordered=False)),
-    "country_share": lambda s, d: churn.country_share(_outcomes(s, d)),
+    "country_share": lambda s, d: churn.country_share(_outcomes(s, d, "account_id", "country")),
 }
 
 FLAGSHIP = "retention_payment_first"

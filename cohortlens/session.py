@@ -24,6 +24,9 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # without it, every Column call looks up the session, its settings and the
+    # Python stack over the gateway: most of the time a plan takes to build
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -122,6 +122,31 @@ def ingest(raw: DataFrame, table: str) -> DataFrame:
     return raw.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in _fields(raw, table)])
 
 
+REASONS = "reject_reasons"
+
+
+def _reasons(raw: DataFrame, table: str) -> Column:
+    """Array of (column, text) of the values that are not blank and can't be read."""
+    bad = [F.when(_text(F.col(f.name)).isNotNull() & _typed(F.col(f.name), f.dataType).isNull(),
+                  F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("text")))
+           for f in _fields(raw, table)]
+    return F.filter(F.array(*bad), lambda r: r.isNotNull())
+
+
+def checked(raw: DataFrame, table: str) -> DataFrame:
+    """``ingest`` with a last column ``reject_reasons``, empty for a good row."""
+    return raw.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in _fields(raw, table)],
+                      _reasons(raw, table).alias(REASONS))
+
+
+def quarantine(raw: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows, typed; bad rows as they came, with ``reject_reasons``): a row is
+    bad if any value can't be read.  Nothing is lost, so a load can be repaired
+    and its bad rows ingested again."""
+    marked = raw.withColumn(REASONS, _reasons(raw, table))
+    return ingest(marked.where(F.size(REASONS) == 0), table), marked.where(F.size(REASONS) > 0)
+
+
 def rejects(raw: DataFrame, table: str) -> DataFrame:
     """One row: per column, how many values that are not blank ``ingest``
     cannot read."""

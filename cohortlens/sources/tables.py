@@ -11,11 +11,10 @@ untouched inside simple casts.
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLE_NAMES = ("accounts", "subscriptions", "feature_usage", "support_tickets", "churn_events")
 
@@ -23,21 +22,32 @@ TABLE_NAMES = ("accounts", "subscriptions", "feature_usage", "support_tickets",
 class Tables:
     """The five inputs of every job, already typed (see ``schema.py``).
 
-    Each input is a DataFrame or a zero-argument function returning one; a
-    function is called on first use only, so a job that reads two tables
-    never plans the other three."""
+    Each input is a DataFrame or a function that gives one for the columns it
+    is asked for (None: all).  ``pick`` asks for the columns a job needs, so
+    the others - and what only they need, like a joined dimension - are never
+    planned; ``t.accounts`` and the like are whole tables.  A function is
+    called on first use only: a job that reads two tables never plans the
+    other three."""
 
     def __init__(self, accounts, subscriptions, feature_usage, support_tickets, churn_events):
-        self._src: dict[str, DataFrame | Callable[[], DataFrame]] = dict(
+        self._src: dict[str, DataFrame | Callable[[tuple[str, ...] | None], DataFrame]] = dict(
             accounts=accounts, subscriptions=subscriptions, feature_usage=feature_usage,
             support_tickets=support_tickets, churn_events=churn_events)
-        self._built: dict[str, DataFrame] = {}
+        self._built: dict[tuple, DataFrame] = {}
 
-    def _get(self, name: str) -> DataFrame:
-        if name not in self._built:
+    def _get(self, name: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+        if (name, columns) not in self._built:
             src = self._src[name]
-            self._built[name] = src if isinstance(src, DataFrame) else src()
-        return self._built[name]
+            if not isinstance(src, DataFrame):
+                src = src(columns)
+            elif columns:
+                src = src.select(*columns)
+            self._built[name, columns] = src
+        return self._built[name, columns]
+
+    def pick(self, name: str, *columns: str) -> DataFrame:
+        """The named columns of one input, in that order."""
+        return self._get(name, columns)
 
     accounts = property(lambda self: self._get("accounts"))
     subscriptions = property(lambda self: self._get("subscriptions"))
@@ -56,112 +66,97 @@ class Tables:
             self._get(name).createOrReplaceTempView(f"{prefix}{name}")
 
 
-# Fixed values of the mapping (FIXTURES.md section 3).
-DEFAULT_SIGNUP = dt.date(1995, 1, 1)
-REFERRAL_BY_MOD5 = ["ads", "event", "organic", "other", "partner"]
-PLAN_BY_MOD3 = ["Basic", "Pro", "Enterprise"]
-FEATURE_MODULUS = 40
-
-
-def _case_mod(key: Column, modulus: int, labels: list[str]) -> Column:
-    m = key % modulus
-    expr = F.when(m == 0, F.lit(labels[0]))
-    for i, label in enumerate(labels[1:-1], start=1):
-        expr = expr.when(m == i, F.lit(label))
-    return expr.otherwise(F.lit(labels[-1]))
-
-
-def _date(c: str) -> Column:
-    return F.col(c).cast("date")
-
-
-def _unless(missing: Column, value: Column) -> Column:
-    return F.when(~missing, value)
-
-
-def map_accounts(customer: DataFrame, nation: DataFrame, orders: DataFrame) -> DataFrame:
-    first_order = (orders.groupBy(F.col("o_custkey"))
-                   .agg(F.min(_date("o_orderdate")).alias("first_order")))
-    key = F.col("c_custkey")
-    return (customer.select("c_custkey", "c_nationkey", "c_mktsegment")
-            .join(nation.select("n_nationkey", "n_name"),
-                  F.col("c_nationkey") == F.col("n_nationkey"), "left")
-            .join(first_order, key == F.col("o_custkey"), "left")
-            .select(
-                key.alias("account_id"),
-                F.col("c_mktsegment").alias("industry"),
-                F.col("n_name").alias("country"),
-                F.date_sub(F.coalesce(F.col("first_order"), F.lit(DEFAULT_SIGNUP)),
-                           (key % 30).cast("int")).alias("signup_date"),
-                _case_mod(key, 5, REFERRAL_BY_MOD5).alias("referral_source"),
-                _case_mod(key, 3, PLAN_BY_MOD3).alias("plan_tier"),
-                (F.lit(1) + key % 50).cast("long").alias("seats"),
-            ))
-
-
-def map_subscriptions(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    prio = F.col("o_orderpriority")
-    mrr = F.floor(F.col("o_totalprice") / 100).cast("long")
-    return orders.select(
-        key.alias("subscription_id"),
-        F.col("o_custkey").alias("account_id"),
-        _date("o_orderdate").alias("start_date"),
-        F.when(F.col("o_orderstatus") == "F",
-               F.date_add(_date("o_orderdate"), (F.lit(30) + key % 365).cast("int"))
-               ).alias("end_date"),
-        F.when(prio.isin("1-URGENT", "2-HIGH"), F.lit("Enterprise"))
-        .when(prio == "3-MEDIUM", F.lit("Pro")).otherwise(F.lit("Basic")).alias("plan_tier"),
-        _unless(key % 13 == 0, (F.lit(1) + key % 50).cast("long")).alias("seats"),
-        mrr.alias("mrr_amount"),
-        _unless(key % 17 == 0, mrr * 12).alias("arr_amount"),
-        _unless(key % 19 == 0, key % 9 == 0).alias("is_trial"),
-        (key % 7 == 0).alias("upgrade_flag"),
-        (key % 11 == 0).alias("downgrade_flag"),
-        _unless(key % 29 == 0, F.col("o_orderstatus") == "F").alias("churn_flag"),
-        _unless(key % 6 == 5, F.when(key % 6 == 4, F.lit("")).when(key % 2 == 0, F.lit("monthly"))
-                .otherwise(F.lit("annual"))).alias("billing_frequency"),
-        _unless(key % 23 == 0, key % 5 != 0).alias("auto_renew_flag"),
-    )
+# The mapping (FIXTURES.md section 3): each input column as SQL over a driver
+# table.  A job's columns are one projection, parsed at once.
+DATE = "cast({} as date)"
+MRR = "cast(floor(o_totalprice / 100) as bigint)"
+ACCOUNT_COLUMNS = {
+    "account_id": "c_custkey",
+    "industry": "c_mktsegment",
+    "country": "n_name",
+    "signup_date": "date_sub(coalesce(first_order, date'1995-01-01'), cast(c_custkey % 30 as int))",
+    "referral_source": ("case c_custkey % 5 when 0 then 'ads' when 1 then 'event' when 2 then 'organic' "
+                        "when 3 then 'other' else 'partner' end"),
+    "plan_tier": "case c_custkey % 3 when 0 then 'Basic' when 1 then 'Pro' else 'Enterprise' end",
+    "seats": "cast(1 + c_custkey % 50 as bigint)",
+}
+SUBSCRIPTION_COLUMNS = {
+    "subscription_id": "o_orderkey",
+    "account_id": "o_custkey",
+    "start_date": DATE.format("o_orderdate"),
+    "end_date": ("case when o_orderstatus = 'F' then date_add(cast(o_orderdate as date), "
+                 "cast(30 + o_orderkey % 365 as int)) end"),
+    "plan_tier": ("case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'Enterprise' "
+                  "when o_orderpriority = '3-MEDIUM' then 'Pro' else 'Basic' end"),
+    "seats": "case when o_orderkey % 13 <> 0 then cast(1 + o_orderkey % 50 as bigint) end",
+    "mrr_amount": MRR,
+    "arr_amount": f"case when o_orderkey % 17 <> 0 then {MRR} * 12 end",
+    "is_trial": "case when o_orderkey % 19 <> 0 then o_orderkey % 9 = 0 end",
+    "upgrade_flag": "o_orderkey % 7 = 0",
+    "downgrade_flag": "o_orderkey % 11 = 0",
+    "churn_flag": "case when o_orderkey % 29 <> 0 then o_orderstatus = 'F' end",
+    "billing_frequency": ("case o_orderkey % 6 when 5 then null when 4 then '' when 0 then 'monthly' "
+                          "when 2 then 'monthly' else 'annual' end"),
+    "auto_renew_flag": "case when o_orderkey % 23 <> 0 then o_orderkey % 5 <> 0 end",
+}
+USAGE_COLUMNS = {
+    "subscription_id": "l_orderkey",
+    "usage_date": DATE.format("l_shipdate"),
+    "feature_name": "concat('feature_', cast(l_partkey % 40 as string))",
+    "usage_count": "cast(l_quantity as bigint)",
+    "error_count": "cast(l_linenumber % 3 as bigint)",
+    "is_beta_feature": "l_partkey % 10 = 0",
+}
+CHURN_COLUMNS = {
+    "churn_event_id": "o_orderkey",
+    "account_id": "o_custkey",
+    "churn_date": "date_add(cast(o_orderdate as date), 30)",
+    "reason_code": "case o_orderkey % 4 when 0 then 'pricing' when 1 then 'support' when 2 then 'features' else 'unknown' end",
+    "refund_amount_usd": "case when o_orderkey % 3 = 0 then cast(floor(o_totalprice / 1000) as bigint) else 0L end",
+}
+TICKET_COLUMNS = {
+    "ticket_id": "event_id",
+    "account_id": "user_id",
+    "resolution_time_hours": "cast(value as double)",
+    "satisfaction_score": "cast(case when event_id % 3 = 0 then null else 1 + event_id % 5 end as double)",
+    "escalation_flag": "event_id % 10 = 0",
+}
 
+Columns = tuple[str, ...] | None
 
-def map_feature_usage(lineitem: DataFrame) -> DataFrame:
-    part = F.col("l_partkey")
-    return lineitem.select(
-        F.col("l_orderkey").alias("subscription_id"),
-        _date("l_shipdate").alias("usage_date"),
-        F.concat(F.lit("feature_"), (part % FEATURE_MODULUS).cast("string")).alias("feature_name"),
-        F.col("l_quantity").cast("long").alias("usage_count"),
-        (F.col("l_linenumber") % 3).cast("long").alias("error_count"),
-        (part % 10 == 0).alias("is_beta_feature"),
-    )
+
+def _mapped(df: DataFrame, exprs: dict[str, str], columns: Columns = None) -> DataFrame:
+    return df.selectExpr(*[f"{exprs[c]} as {c}" for c in columns or exprs])
+
+
+def map_accounts(customer: DataFrame, nation: Callable[[], DataFrame], orders: Callable[[], DataFrame],
+                 columns: Columns = None) -> DataFrame:
+    """The country joins nations, the signup date the first orders: only where
+    asked for."""
+    wanted = columns or tuple(ACCOUNT_COLUMNS)
+    df = customer
+    if "country" in wanted:
+        df = df.join(nation(), F.expr("c_nationkey = n_nationkey"), "left")
+    if "signup_date" in wanted:
+        first = orders().groupBy("o_custkey").agg(F.expr("min(cast(o_orderdate as date)) as first_order"))
+        df = df.join(first, F.expr("c_custkey = o_custkey"), "left")
+    return _mapped(df, ACCOUNT_COLUMNS, columns)
+
+
+def map_subscriptions(orders: DataFrame, columns: Columns = None) -> DataFrame:
+    return _mapped(orders, SUBSCRIPTION_COLUMNS, columns)
+
+
+def map_feature_usage(lineitem: DataFrame, columns: Columns = None) -> DataFrame:
+    return _mapped(lineitem, USAGE_COLUMNS, columns)
+
+
+def map_churn_events(orders: DataFrame, columns: Columns = None) -> DataFrame:
+    return _mapped(orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'"), CHURN_COLUMNS, columns)
 
 
-def map_churn_events(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    return (orders
-            .where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))
-            .select(
-                key.alias("churn_event_id"),
-                F.col("o_custkey").alias("account_id"),
-                F.date_add(_date("o_orderdate"), 30).alias("churn_date"),
-                _case_mod(key, 4, ["pricing", "support", "features", "unknown"]).alias("reason_code"),
-                F.when(key % 3 == 0, F.floor(F.col("o_totalprice") / 1000).cast("long"))
-                .otherwise(F.lit(0).cast("long")).alias("refund_amount_usd"),
-            ))
-
-
-def map_support_tickets(events: DataFrame) -> DataFrame:
-    key = F.col("event_id")
-    return (events.where(F.col("event_type") == "error")
-            .select(
-                key.alias("ticket_id"),
-                F.col("user_id").alias("account_id"),
-                F.col("value").cast("double").alias("resolution_time_hours"),
-                F.when(key % 3 == 0, F.lit(None)).otherwise(F.lit(1) + key % 5)
-                .cast("double").alias("satisfaction_score"),
-                (key % 10 == 0).alias("escalation_flag"),
-            ))
+def map_support_tickets(events: DataFrame, columns: Columns = None) -> DataFrame:
+    return _mapped(events.where("event_type = 'error'"), TICKET_COLUMNS, columns)
 
 
 # Schemas of the driver columns the mapping reads.  Declared, never inferred:
@@ -188,11 +183,11 @@ def load_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Lazy plans over the driver Parquet files; nothing runs here."""
     read = lambda n: read_driver_table(spark, sf_dir, n)
     return Tables(
-        accounts=lambda: map_accounts(read("customer"), read("nation"), read("orders")),
-        subscriptions=lambda: map_subscriptions(read("orders")),
-        feature_usage=lambda: map_feature_usage(read("lineitem")),
-        support_tickets=lambda: map_support_tickets(read("events")),
-        churn_events=lambda: map_churn_events(read("orders")),
+        accounts=lambda columns: map_accounts(read("customer"), lambda: read("nation"), lambda: read("orders"), columns),
+        subscriptions=lambda columns: map_subscriptions(read("orders"), columns),
+        feature_usage=lambda columns: map_feature_usage(read("lineitem"), columns),
+        support_tickets=lambda columns: map_support_tickets(read("events"), columns),
+        churn_events=lambda columns: map_churn_events(read("orders"), columns),
     )
 
 
@@ -208,13 +203,14 @@ def load_raw_tables(spark: SparkSession, root: str, pattern: str = "{table}.csv"
 
     opts = {"header": "true", "emptyValue": "", "nullValue": "\\N", **(options or {})}
 
-    def read(table: str) -> DataFrame:
+    def read(table: str, columns: Columns) -> DataFrame:
         path = os.path.join(root, pattern.format(table=table))
         header = spark.read.options(**opts).format(fmt).load(path).columns
         text = ", ".join(f"`{c}` STRING" for c in header)
-        return ingest(spark.read.options(**opts).schema(text).format(fmt).load(path), table)
+        typed = ingest(spark.read.options(**opts).schema(text).format(fmt).load(path), table)
+        return typed.select(*columns) if columns else typed
 
-    return Tables(**{n: (lambda n=n: read(n)) for n in TABLE_NAMES})
+    return Tables(**{n: (lambda columns, n=n: read(n, columns)) for n in TABLE_NAMES})
 
 
 def load_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:

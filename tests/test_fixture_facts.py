@@ -31,7 +31,7 @@ def test_first_use_before_signup(t):
 
 
 def test_subscriptions_starting_after_first_churn(t):
-    fc = acc.first_churn(t.churn_events)
+    fc = acc.first_churn(t)
     n = (t.subscriptions.join(fc, "account_id")
          .where(F.col("start_date") > F.col("first_churn_date")).count())
     assert n == 3812
