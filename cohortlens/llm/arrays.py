@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -22,6 +23,19 @@ def parts(texts: pa.Array, rows: int):
         yield texts.slice(at, rows)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int):
+    """``batch`` in parts of at most ``most`` bytes of the text ``column``, a longer
+    text alone."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(size.astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def first_occurrences(cells: np.ndarray, size: int, stamp: np.ndarray | None = None) -> np.ndarray:
     """Mask of one occurrence of each distinct value of ``cells`` (all < size)."""
     stamp = np.empty(size, np.int32) if stamp is None else stamp

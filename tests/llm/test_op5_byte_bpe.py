@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -34,7 +35,8 @@ def _ids(coder, text):
 def test_any_text(coder, reference, text):
     ids = _ids(coder, text)
     assert ids == reference(text)
-    assert b"".join(byte_bpe.decoder(PATH)[i] for i in ids).decode() == text
+    assert coder.encode_texts(pa.array([text, None, "", text])).to_pylist() == [ids, [], [], ids]
+    assert b"".join(byte_bpe.decoder(PATH)[i].as_py() for i in ids).decode() == text
 
 
 def test_matches_by_the_merge_loop(coder):
@@ -58,6 +60,21 @@ def test_unreachable_tokens_and_backtracking(tmp_path):
                 assert coder.encode_bytes(text.encode()) == coder.merge_loop(text.encode())
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abst1.,\"- \n\t\x1c\x85\xa0\u2003\u3000é日'×", max_size=30), max_size=6))
+def test_chunks_are_independent(coder, reference, texts):
+    """White space of all kinds around the cuts; a slice of an array."""
+    got = coder.encode_texts(pa.array(["x", *texts], pa.string()).slice(1))
+    assert got.to_pylist() == [reference(t) for t in texts]
+
+
+def test_chunk_memory_turns_over(coder, reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_CHUNKS", 4)
+    texts = ["one two three", "two  three four, five", "six seven eight nine", "one two"] * 3
+    for text in texts:
+        assert coder.encode_texts(pa.array([text])).to_pylist() == [reference(text)]
+
+
 def test_long_match_is_linear(coder, reference):
     text = "ab" * 100_000
     assert len(_ids(coder, text)) > 0
