@@ -11,7 +11,8 @@ and row groups by these (``find``).
 before it) needs only the sum of each partition and a running sum inside it.
 
 The encoder remembers the ids of white-space separated chunks, which the
-tokenizer treats one by one; the tokenizers library encodes what is new.
+tokenizer treats one by one; the tokenizers library encodes what is new.  As
+the library does by default, a special token's string in a text is that token.
 
 Defined results: a null or empty text has the end id alone.  Equal ids are
 ordered by their text; repeated rows lie beside each other.  Null ids come
@@ -21,6 +22,7 @@ first.  An empty table gives an empty one.  Only the named columns are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -61,17 +63,18 @@ class ChunkEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark runs a task per core
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
+        self.tokenizer = Tokenizer.from_file(path)       # strings of special tokens are these tokens, as the library has it
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "(?i)" + "|".join(re.escape(t) for t in special) if special else None
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._chunks: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
-    @staticmethod
-    def chunks(texts: pa.Array) -> pa.ListArray:
-        """White-space separated chunks (ASCII white space) of each text."""
+    def chunks(self, texts: pa.Array) -> pa.ListArray:
+        """White-space separated chunks (ASCII white space) of each text; one that
+        holds a special token's string, in any case, is not lower-cased."""
         raw, ends = text_bytes(texts)
         begin = ends - np.diff(ends, prepend=0)
         beyond = np.concatenate([[0], np.cumsum(raw > 0xC3)])   # first bytes of characters beyond Latin-1
@@ -79,6 +82,8 @@ class ChunkEncoder:
         texts = texts.cast(pa.string()).fill_null("")
         # a mark alone after a word is a match of its own: apart, both are met more often
         lowered = pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([.,])(\s|$)", r"\1 \2\3")
+        if self.special:
+            latin = pc.and_(latin, pc.invert(pc.match_substring_regex(texts, self.special)))
         return pc.ascii_split_whitespace(pc.if_else(latin, lowered, texts))
 
     def _ids(self, chunks: list[str]) -> list[bytes]:

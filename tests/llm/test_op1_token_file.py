@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -14,10 +15,14 @@ from .conftest import clashing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+@pytest.fixture(scope="module")
+def coder():
+    return tokenfile.ChunkEncoder(PATH)
+
+
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [tokenfile.END_ID]
 
 
@@ -48,6 +53,14 @@ def test_edges(spark, docs_of, reference):
     assert tokenfile.digest(docs_of([]), PATH).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=20), st.sampled_from(
+    ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", " ", "\n", "Word", "it's", ".", "É", "\u2003", "K"])), max_size=9))
+def test_any_text(coder, reference, parts):
+    text = "".join(parts)
+    assert coder.encode(pa.array([text]), 2).to_pylist() == [reference(text)]
+
+
 def test_files_are_ordered_and_pruned(spark, documents, tmp_path):
     path = str(tmp_path / "tokens.orc")
     tokenfile.write(documents, PATH, path)
