@@ -1,8 +1,8 @@
 """Operator 2: exact top-k by inner product over a bit-sliced index.
 
-Vectors are quantised to integers, floor(scale * x).  The index keeps them in
-blocks of ``BLOCK`` rows: per component one bitmap for every bit of its value
-above the block's minimum.  For a query the slices are added with bitmap
+Vectors are quantised to integers, floor(scale * x).  The index is a stored table
+of blocks of ``BLOCK`` rows: per component one bitmap for every bit of its value
+above the block's minimum, made once.  For a query the slices are added with bitmap
 arithmetic - each set bit of a weight adds a component's slices, shifted, into
 a carry-save sum, negative weights add complements - which gives the slices of
 every row's score at once, for ``QUERIES`` queries at a time.
@@ -10,7 +10,8 @@ every row's score at once, for ``QUERIES`` queries at a time.
 The top rows are then selected from the most significant slice downward: rows
 surely in, and rows still equal to the k-th; when the slices are used up, the
 latter are the boundary rows, all of equal score, resolved exactly by smaller
-id.  Their scores are computed again from the values.
+id.  Their scores are computed again from the values.  Sums of slices have as
+many slices as they need, so they are right for integers of any size.
 
 Blocks meet blocks of queries by an equi-join on the block number; each pair
 gives at most k rows a query, of which a window keeps the best k.  Nothing is
@@ -21,8 +22,9 @@ components take no part, nor do rows with a null id.  Only vectors of equal
 length are compared.  A query row is never its own candidate, nor is any row
 of the same id; several query rows of one id count as one (the smallest
 vector).  Repeated candidate rows are candidates each.  Fewer candidates than
-k give fewer rows; empty tables none.  Values beyond 2^31 raise.  Only the
-named columns are read.
+k give fewer rows; empty tables none.  A quantised component outside the long
+range raises, and so does a score among the k that lies outside it; sums on the
+way may.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ BLOCK = 4096
 QUERIES = 64
 TOP = 10
 WORD = np.uint64
-LARGEST = float(1 << 31)
+LONG = 1 << 63
 
 
 # --- slices --------------------------------------------------------------------
@@ -51,17 +53,42 @@ def bitmap(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=-1, bitorder="little").view(WORD)
 
 
+def magnitude(values: np.ndarray) -> np.ndarray:
+    """Absolute values of 64-bit integers, unsigned."""
+    bits = values.astype(np.int64).view(WORD)
+    return np.where(values < 0, ~bits + WORD(1), bits)
+
+
+def products(values: np.ndarray, weights: np.ndarray) -> list[int]:
+    """Inner products of the rows of ``values`` with ``weights``, exactly."""
+    most = np.abs(values.astype(float)) @ np.abs(weights.astype(float)) if len(values) else np.zeros(0)
+    if not (most >= 2.0 ** 62).any():
+        return (values @ weights).tolist()
+    exact = [sum(a * b for a, b in zip(row, weights.tolist())) for row in values.tolist()]
+    if any(not -LONG <= x < LONG for x in exact):
+        raise ValueError("a score lies outside the long range")
+    return exact
+
+
 class SlicedBlock:
-    """Slices of up to BLOCK rows of one length, rows in ascending id order."""
+    """Slices of up to BLOCK rows of one length, rows in ascending id order.
+    ``bits``: slices of each component; ``slices``: their words, one after another."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], values[order].astype(np.int64)
-        self.low = self.values.min(axis=0)
-        above = self.values - self.low
-        self.bits = [int(x).bit_length() for x in above.max(axis=0)]
-        self.slices = [[bitmap((above[:, j] >> b) & 1) for b in range(n)] for j, n in enumerate(self.bits)]
+    def __init__(self, ids: np.ndarray, values: np.ndarray, bits: list[int], slices: np.ndarray):
+        self.ids, self.values, self.bits = ids, values, bits
         self.rows = bitmap(np.ones(len(ids), np.uint8))
+        words = slices.reshape(-1, len(self.rows))
+        ends = np.cumsum(bits).tolist()
+        self.slices = [words[end - n:end] for end, n in zip(ends, bits)]
+
+    @classmethod
+    def of(cls, ids: np.ndarray, values: np.ndarray) -> SlicedBlock:
+        order = np.argsort(ids, kind="stable")
+        ids, values = ids[order].astype(np.int64), np.ascontiguousarray(values[order].astype(np.int64))
+        above = values.view(WORD) - values.min(axis=0).view(WORD)     # unsigned: right for any two longs
+        bits = [int(x).bit_length() for x in above.max(axis=0)]
+        made = [bitmap((above[:, j] >> WORD(b)) & WORD(1)) for j, n in enumerate(bits) for b in range(n)]
+        return cls(ids, values, bits, np.concatenate(made) if made else np.zeros(0, WORD))
 
     def score_slices(self, weights: np.ndarray) -> list[np.ndarray]:
         """Slices [queries, words], lowest first, of sum_j |w_j| * u_j, where u
@@ -83,11 +110,11 @@ class SlicedBlock:
                 columns[place] = [half ^ c]
                 place, bits = place + 1, (a & b) | (c & half)   # the carry goes on
 
-        size = np.abs(weights)
+        size = magnitude(weights)
         for j, slices in enumerate(self.slices):
             negative = np.where(weights[:, j] < 0, ~WORD(0), WORD(0))[:, None]
             for t in range(int(size[:, j].max(initial=0)).bit_length()):
-                has = np.where((size[:, j] >> t) & 1, ~WORD(0), WORD(0))[:, None]
+                has = np.where((size[:, j] >> WORD(t)) & WORD(1), ~WORD(0), WORD(0))[:, None]
                 if has.any():
                     for b, bits in enumerate(slices):
                         add(t + b, (bits ^ negative) & has)
@@ -119,9 +146,9 @@ class SlicedBlock:
             inside = np.flatnonzero(np.unpackbits(sure[q].view(np.uint8), bitorder="little"))
             boundary = np.flatnonzero(np.unpackbits(equal[q].view(np.uint8), bitorder="little"))[:need[q]]
             rows = np.concatenate([inside, boundary])
-            score = self.values[rows] @ weights[q]
-            best = np.lexsort((self.ids[rows], -score))
-            out.append((self.ids[rows][best], score[best]))
+            score = products(self.values[rows], weights[q])
+            best = sorted(range(len(rows)), key=lambda r: (-score[r], self.ids[rows[r]]))
+            out.append((self.ids[rows][best], np.array([score[r] for r in best], np.int64)))
         return out
 
 
@@ -129,13 +156,22 @@ class SlicedBlock:
 
 def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> DataFrame:
     """(vec_id, dim, values): floor(scale * x) of the vectors that take part."""
-    x = F.transform(F.col(vector), lambda v: F.floor(v.cast("double") * float(scale)))
+    def whole(v: Column) -> Column:
+        y = v.cast("double") * float(scale)
+        inside = (y >= -float(LONG)) & (y < float(LONG))
+        return F.when(inside, F.floor(F.when(inside, y).otherwise(0.0))).otherwise(
+            F.raise_error(F.lit("a component is too large to quantise")).cast("long"))
+
+    x = F.transform(F.col(vector), whole)
     fine = F.forall(F.col(vector), lambda v: v.isNotNull() & ~F.isnan(v.cast("double"))
                     & (F.abs(v.cast("double")) < float("inf")))
     return (vectors.where(F.col(vec_id).isNotNull() & (F.size(vector) > 0) & fine)
             .select(F.col(vec_id).cast("long").alias("vec_id"), F.size(vector).alias("dim"), x.alias("values")))
 
 
+BLOCK_ROW = "block bigint, dim int, ids binary, values binary"
+
+
 def _in_blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
     """(block, dim, ids, values): ``rows`` (about ``total``) dealt out evenly,
     by their row numbers, to blocks of about ``size`` rows; the rows of one
@@ -153,8 +189,6 @@ def _in_blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
 
         for batch in batches:
             for block, dim, vec, x in zip(*(batch.column(c).to_pylist() for c in ("block", "dim", "vec_id", "values"))):
-                if max(map(abs, x)) > LARGEST:
-                    raise ValueError(f"vector {vec} has components too large to quantise")
                 if (block, dim) != key:
                     if ids:
                         yield record()
@@ -167,7 +201,22 @@ def _in_blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
     blocks = max(1, -(-total // size))
     return (rows.select(F.pmod("_row", F.lit(blocks)).alias("block"), "dim", "vec_id", "values")
             .repartition("block").sortWithinPartitions("block", "dim", "vec_id")
-            .mapInArrow(run, "block bigint, dim int, ids binary, values binary"))
+            .mapInArrow(run, BLOCK_ROW))
+
+
+def _sliced(blocks: DataFrame) -> DataFrame:
+    """The index: blocks with the bitmaps of their slices."""
+    def run(batches):
+        for batch in batches:
+            for block, dim, ids, values in zip(*(c.to_pylist() for c in batch.columns)):
+                made = SlicedBlock.of(np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, dim))
+                words = b"".join(part.tobytes() for part in made.slices)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block]), pa.array([dim], pa.int32()), pa.array([made.ids.tobytes()], pa.binary()),
+                    pa.array([made.values.tobytes()], pa.binary()), pa.array([made.bits], pa.list_(pa.int32())),
+                    pa.array([words], pa.binary())], names=["block", "dim", "ids", "values", "bits", "slices"])
+
+    return blocks.mapInArrow(run, f"{BLOCK_ROW}, bits array<int>, slices binary")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "vec_id", vector: str = "embedding",
@@ -179,7 +228,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "vec
     kept = stored(quantised(vectors, vec_id, vector).withColumn("_row", F.monotonically_increasing_id()),
                   "sliced-values")
     total = kept.count()
-    index = stored(_in_blocks(kept, block, total), "sliced-index")
+    index = stored(_sliced(_in_blocks(kept, block, total)), "sliced-index")
     asked = kept.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "values", "_row")).alias("_q")) \
         .select("vec_id", "_q.*")
     asked = stored(asked, "sliced-queries")
@@ -187,12 +236,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "vec
     groups = _in_blocks(asked, queries, asked.count()).select(
         "dim", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
-    meet = groups.join(index, ["block", "dim"]).select("dim", "q_ids", "q_values", "ids", "values")
+    meet = groups.join(index, ["block", "dim"]).select("dim", "q_ids", "q_values", "ids", "values", "bits", "slices")
 
     def search(batches):
         for batch in batches:
-            for dim, q_ids, q_values, ids, values in zip(*(c.to_pylist() for c in batch.columns)):
-                index = SlicedBlock(np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, dim))
+            for dim, q_ids, q_values, ids, values, bits, slices in zip(*(c.to_pylist() for c in batch.columns)):
+                index = SlicedBlock(np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, dim),
+                                    bits, np.frombuffer(slices, WORD))
                 asking = np.frombuffer(q_ids, np.int64)
                 found = index.top(np.frombuffer(q_values, np.int64).reshape(-1, dim), asking, k)
                 yield pa.RecordBatch.from_arrays([

@@ -24,14 +24,14 @@ def _expected(rows, modulus, k):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(1, 150), st.integers(1, 5), st.integers(1, 12), st.sampled_from([1, 3, 40, 100_000]), st.integers(0, 99))
+@given(st.integers(1, 150), st.integers(1, 5), st.integers(1, 12), st.sampled_from([1, 3, 40, 100_000, 2**30]), st.integers(0, 99))
 def test_block(n, dim, k, spread, seed):
     rng = np.random.default_rng(seed)
     values = rng.integers(-spread, spread + 1, (n, dim))
     ids = rng.permutation(n) * 3
     queries = rng.integers(-spread, spread + 1, (4, dim))
     own = np.array([0, 3, 999, 6])
-    got = bitsliced.SlicedBlock(ids, values).top(queries, own, k)
+    got = bitsliced.SlicedBlock.of(ids, values).top(queries, own, k)
     for q, o, (g_ids, g_scores) in zip(queries, own, got):
         want = sorted((-int(v @ q), int(i)) for i, v in zip(ids, values) if i != o)[:k]
         assert [(-s, i) for i, s in zip(g_ids.tolist(), g_scores.tolist())] == want
@@ -52,7 +52,45 @@ def test_edges(spark):
     assert sorted(map(tuple, few.select("query_id", "rank", "vec_id", "score").collect())) == _expected(rows[:4], 100, 10)
 
 
-def test_too_large_raises(spark):
-    df = spark.createDataFrame([(0, [1e30]), (1, [1.0])], VECTORS)
+def test_large_values_are_exact(spark):
+    """Finite components far beyond 32 bits; sums on the way beyond 64."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 4e5, 4)]) for i in range(0, 130)]
+    rows = rows + [(500, [2.5e6, 1e-3, 0.0, 1.0]), (501, [2.5e6, 2e-3, 0.0, -1.0])]
+    got = bitsliced.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 100 == 0, k=5, block=32, queries=2)
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    want = _expected(rows, 100, 5)
+    assert all(abs(s) < 2**63 for *_, s in want) and any(abs(s) > 2**55 for *_, s in want)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_block_with_extreme_longs():
+    top, low = 2**63 - 1, -2**63
+    values = np.array([[top, 1], [low, 2], [0, 3], [5, 4]])
+    block = bitsliced.SlicedBlock.of(np.arange(4), values)
+    for weights in ([1, 0], [-1, 1], [0, low], [0, 1]):
+        try:
+            (ids, scores), = block.top(np.array([weights]), np.array([99]), 2)
+        except ValueError as error:
+            assert "long range" in str(error)
+            exact = sorted((-(int(v[0]) * weights[0] + int(v[1]) * weights[1]) for v in values))[:2]
+            assert any(not -2**63 <= -x < 2**63 for x in exact)
+            continue
+        want = sorted((-(int(v[0]) * weights[0] + int(v[1]) * weights[1]), i) for i, v in enumerate(values))[:2]
+        assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist())] == want
+
+
+def test_outside_the_long_range_raises(spark):
     with pytest.raises(Exception, match="too large"):
-        bitsliced.digest(df).collect()
+        bitsliced.digest(spark.createDataFrame([(0, [1e30]), (1, [1.0])], VECTORS)).collect()
+    with pytest.raises(Exception, match="outside the long range"):
+        bitsliced.digest(spark.createDataFrame([(0, [2e6] * 4), (1, [2e6] * 4), (2, [1.0] * 4)], VECTORS)).collect()
+
+
+def test_the_index_holds_bitmaps(spark):
+    rows = [(i, [i / 7, -i / 3]) for i in range(100)]
+    kept = bitsliced.quantised(spark.createDataFrame(rows, VECTORS), "vec_id", "embedding")
+    blocks = bitsliced._in_blocks(kept.withColumn("_row", F.monotonically_increasing_id()), 40, 100)
+    for r in bitsliced._sliced(blocks).collect():
+        words = -(-(len(r.ids) // 8) // 64)
+        assert len(r.slices) == 8 * words * sum(r.bits) and len(r.bits) == 2
