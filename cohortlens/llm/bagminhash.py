@@ -339,7 +339,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows = stored(near_classes(docs, doc_id, text), "near-rows")
     first = rows.groupBy("class").agg(F.min(F.struct(
         F.col("doc").isNull().alias("no_id"), "doc", "text_hash")).alias("_first"))
-    keys = first.select(F.col("_first.doc").alias("_kept_doc"), F.col("_first.text_hash").alias("_kept_text"))
-    kept = docs.join(keys, F.col(doc_id).eqNullSafe(F.col("_kept_doc"))
-                     & (F.xxhash64(text) == F.col("_kept_text")), "left_semi")
+    doc, hashed = common.unused(docs.columns, "_kept_doc"), common.unused(docs.columns, "_kept_text")
+    keys = first.select(F.col("_first.doc").alias(doc), F.col("_first.text_hash").alias(hashed))
+    kept = docs.join(keys, docs[doc_id].eqNullSafe(keys[doc]) & (F.xxhash64(docs[text]) == keys[hashed]), "left_semi")
     return kept.dropDuplicates([doc_id, text]) if _any_repeated(rows) else kept

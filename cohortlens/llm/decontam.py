@@ -32,7 +32,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.llm.common import ascii_lower, stored
+from cohortlens.llm.common import ascii_lower, stored, unused
 
 SIZE = 10
 BLOCK_ROWS = 200_000
@@ -142,10 +142,10 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no window occurs, columns unchanged."""
+    doc, text = unused(docs.columns, "_dirty_doc"), unused(docs.columns, "_dirty_text")
     dirty = (decontaminate(docs, benchmark, **options).where(F.col("n_hit") > 0)
-             .select(F.col("doc_id").alias("_dirty_doc"), F.col("_text").alias("_dirty_text")).distinct())
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_dirty_doc"))
-                     & (F.xxhash64(docs["text"]) == F.col("_dirty_text")), "left_anti")
+             .select(F.col("doc_id").alias(doc), F.col("_text").alias(text)).distinct())
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty[doc]) & (F.xxhash64(docs["text"]) == dirty[text]), "left_anti")
 
 
 ORACLE = r"""

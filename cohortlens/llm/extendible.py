@@ -62,7 +62,7 @@ def normalised(text: Column) -> Column:
 
 def key_of(text: Column, key_bits: int = 64) -> Column:
     """The first ``key_bits`` bits of the hash (fewer make collisions, for tests)."""
-    mask = -1 if key_bits >= 64 else -(1 << (64 - key_bits))
+    mask = -1 if key_bits >= 64 else -(1 << (64 - key_bits)) if key_bits else 0
     return F.xxhash64(text).bitwiseAND(F.lit(mask).cast("long"))
 
 

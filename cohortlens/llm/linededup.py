@@ -24,8 +24,9 @@ Scale: per-document references are shuffled by (key, document), so no key is
 hot; counts are pre-aggregated before their shuffle; the join of surviving
 lines with counts is a plain equi-join that adaptive execution may split.
 Filters are broadcast only while their stored size is at most
-``BROADCAST_BYTES``; beyond it all references meet the counts directly, with
-the same result.
+``BROADCAST_BYTES``; beyond it lines and filters meet by shard and salt, so that
+the lines of a frequent key don't land in one task.  Either way every line
+passes its shard's filters, with the same result.
 
 Keys are represented by two 64-bit hashes with different seeds (128 bits).
 
@@ -44,13 +45,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.common import ascii_lower, python_workers, stored
+from cohortlens.llm.common import ascii_lower, python_workers, stored, unused
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCS = 3
 KEYS_PER_SHARD = 1 << 15
 BROADCAST_BYTES = 64 << 20
+SALTS = 16
 LANES, LANE_BITS, LANE_MASK = 4, 16, 0xFFFF
 MAX_KICKS = 500
 MIX = 0x5BD1E995
@@ -123,11 +125,17 @@ class CuckooFilter:
         return cls(np.array(longs, "<i8").view(np.uint16).reshape(-1, LANES).copy())
 
 
+GONE, COME, KEPT = 0, 1, 2
+
+
 def _change_filters(chains: pd.DataFrame, changes: pd.DataFrame) -> list[list[int]]:
-    """A shard's chain after taking out and putting in the changed keys."""
+    """A shard's chain after taking out and putting in the changed keys.  In a
+    chain of several filters an equal mark may be another key's, so taking keys
+    out builds the chain anew from all keys that are left (kind KEPT)."""
     chain = [CuckooFilter.unpacked(t) for t in chains["tables"].iloc[0]] if len(chains) else []
-    gone = changes["_h2"][~changes["active"]].tolist()
-    come = changes["_h2"][changes["active"]].tolist()
+    gone, come, kept = (changes["_h2"][changes["kind"] == kind].tolist() for kind in (GONE, COME, KEPT))
+    if gone and len(chain) > 1:
+        chain, gone, come = [CuckooFilter.sized(len(kept))], [], kept
     for h2 in gone:
         any(f.remove(h2) for f in chain)
     if not chain:
@@ -140,7 +148,8 @@ def _change_filters(chains: pd.DataFrame, changes: pd.DataFrame) -> list[list[in
 
 
 def _update_filters(filters: DataFrame | None, changes: DataFrame) -> DataFrame:
-    """``changes``: (_shard, _h2, active), keys that became repeats or ceased to be."""
+    """``changes``: (_shard, _h2, kind), keys that became repeats or ceased to be,
+    and, of shards that lose one, all keys that are repeats then."""
     schema = "_shard int, tables array<array<bigint>>"
     python_workers(changes.sparkSession)
     if filters is None:
@@ -216,7 +225,7 @@ def build(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     counts = stored(_count(references), "line-counts")
     repeats = counts.where(F.col("n_docs") >= min_docs)
     n_shards = max(1, -(-repeats.count() // keys_per_shard))
-    changes = _sharded(repeats, n_shards).select("_shard", "_h2", F.lit(True).alias("active"))
+    changes = _sharded(repeats, n_shards).select("_shard", "_h2", F.lit(COME).alias("kind"))
     filters = stored(_update_filters(None, changes), "line-filters")
     return LineIndex(references, counts, filters, n_shards, min_chars, min_docs)
 
@@ -228,7 +237,7 @@ def _changed(index: LineIndex, before: DataFrame, after: DataFrame) -> DataFrame
             .join(after.select(*KEY, F.col("n_docs").alias("now")), KEY, "full_outer"))
     return (_sharded(both, index.n_shards)
             .where((was >= index.min_docs) != (now >= index.min_docs))
-            .select("_shard", "_h2", (now >= index.min_docs).alias("active")))
+            .select("_shard", "_h2", F.when(now >= index.min_docs, COME).otherwise(GONE).alias("kind")))
 
 
 def _recount(index: LineIndex, references: DataFrame, touched: DataFrame) -> LineIndex:
@@ -236,7 +245,11 @@ def _recount(index: LineIndex, references: DataFrame, touched: DataFrame) -> Lin
     before = index.counts.join(touched, KEY, "left_semi")
     after = stored(_count(references.join(touched, KEY, "left_semi")), "line-recount")
     counts = stored(index.counts.join(touched, KEY, "left_anti").unionByName(after), "line-counts")
-    filters = stored(_update_filters(index.filters, _changed(index, before, after)), "line-filters")
+    changes = stored(_changed(index, before, after), "line-changes")
+    losing = changes.where(F.col("kind") == GONE).select("_shard").distinct()
+    kept = (_sharded(counts.where(F.col("n_docs") >= index.min_docs), index.n_shards)
+            .join(losing, "_shard", "left_semi").select("_shard", "_h2", F.lit(KEPT).alias("kind")))
+    filters = stored(_update_filters(index.filters, changes.unionByName(kept)), "line-filters")
     return replace(index, references=references, counts=counts, filters=filters)
 
 
@@ -258,8 +271,12 @@ def dropped_lines(index: LineIndex) -> DataFrame:
     """(_doc, _text, dropped): line numbers that go, per document row."""
     lines = _sharded(index.references, index.n_shards)
     if _filter_bytes(index) <= BROADCAST_BYTES:
-        lines = (lines.join(F.broadcast(index.filters), "_shard")
-                 .where(_maybe_known(F.col("tables"), F.col("_h2"))))
+        lines = lines.join(F.broadcast(index.filters), "_shard")
+    else:   # the filters come to the lines' shards; a key's lines are spread over salts
+        salted = index.filters.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        lines = lines.withColumn("_salt", F.pmod(F.xxhash64(*ROW, "_line"), F.lit(SALTS)).cast("int")) \
+            .join(salted, ["_shard", "_salt"])
+    lines = lines.where(_maybe_known(F.col("tables"), F.col("_h2")))
     repeats = index.counts.where(F.col("n_docs") >= index.min_docs).select(*KEY, "last_doc")
     return (lines.select(*KEY, *ROW, "_line").join(repeats, KEY)
             .where(F.col("_doc") != F.col("last_doc"))
@@ -271,19 +288,25 @@ def _filter_bytes(index: LineIndex) -> int:
     return 8 * (index.filters.agg(F.sum(longs).alias("n")).first()["n"] or 0)
 
 
-def keep_lines(index: LineIndex, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the columns _n_lines, _n_dropped and _kept (the text
-    without its dropped lines).  ``docs`` are documents the index holds."""
-    lines = _lines(F.col(text))
+def keep_lines(index: LineIndex, docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+               names: tuple[str, str, str] = ("_n_lines", "_n_dropped", "_kept")) -> DataFrame:
+    """``docs`` with three more columns, ``names``, which it must not have: the
+    number of lines, of dropped ones, and the text without these.  ``docs`` are
+    documents the index holds.  Its own columns travel as one struct, so none of
+    them meets an inner name."""
+    whole = unused([*docs.columns, *names], "_whole")
+    body = F.col(whole).getField(text)
+    lines = _lines(body)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    kept = F.when(F.col("dropped").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
+    kept = F.when(F.col("dropped").isNull(), F.coalesce(body, F.lit(""))).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return (docs.select("*", *_named(docs, doc_id, text))
+    n_lines, n_dropped, left = names
+    return (docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), *_named(docs, doc_id, text))
             .join(dropped_lines(index), ROW, "left")
-            .select(*[F.col(f"`{c}`") for c in docs.columns],
-                    F.size(lines).cast("long").alias("_n_lines"),
-                    F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("_n_dropped"),
-                    kept.alias("_kept")))
+            .select(whole, F.size(lines).cast("long").alias(n_lines),
+                    F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias(n_dropped),
+                    kept.alias(left))
+            .select(f"{whole}.*", *names))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -319,7 +319,7 @@ parts AS (
            || coalesce(strlen(lang) || ':' || lang, '-') AS head,
          coalesce(strlen(c) || ':' || c, '-') AS own, coalesce(strlen(c1) || ':' || c1, '-') AS more,
          coalesce(strlen(t) || ':' || t, '-') AS tail,
-         xor(4294967295, list_reduce(
+         i IS NOT NULL AND xor(4294967295, list_reduce(
            list_prepend(CAST(4294967295 AS BIGINT),
              list_transform(range(1, length(i) + 1), lambda p: CAST(ascii(substr(i, CAST(p AS INT), 1)) AS BIGINT))),
            lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),

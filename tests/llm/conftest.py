@@ -41,8 +41,28 @@ def documents(spark, sf):
 
 
 def clashing(df):
-    """``df`` with extra columns named like results and inner columns."""
+    """``df`` with extra columns named like results and inner columns: all names
+    that the operators' modules give columns by ``alias`` or the like."""
     from pyspark.sql import functions as F
-    for name in ("score", "rank", "ids", "node", "class", "key", "predicted", "n_hit", "start", "bucket", "value"):
-        df = df.withColumn(name, F.lit("x"))
-    return df
+    taken = {c.lower() for c in df.columns}
+    return df.select("*", *[F.lit("x").alias(name) for name in inner_names() if name.lower() not in taken])
+
+
+def inner_names():
+    import pathlib
+    import re
+
+    import cohortlens.llm
+    found = {"score", "rank", "ids", "node", "class", "key", "predicted", "n_hit", "start", "bucket", "value", "dropped",
+             "_doc", "_text", "_kept", "_n_dropped", "_n_lines", "_dirty_doc", "_dirty_text", "_kept_doc", "_kept_text",
+             "_quality_score", "_quality_kept", "_whole"}
+    for module in pathlib.Path(cohortlens.llm.__file__).parent.glob("*.py"):
+        text = module.read_text()
+        found |= set(re.findall(r'(?:alias|withColumn|withColumnRenamed)\("(\w+)"', text))
+        found |= set(re.findall(r'"(_\w+)"', text))
+    small, out = set(), []
+    for name in sorted(found):
+        if name.lower() not in small:
+            small.add(name.lower())
+            out.append(name)
+    return out

@@ -33,8 +33,8 @@ def _brute(docs):
 
 
 def _got(index, docs):
-    rows = linededup.keep_lines(index, docs).collect()
-    return sorted(((r.doc_id, r._n_lines, r._n_dropped, hashlib.sha256(r._kept.encode()).hexdigest()) for r in rows), key=str)
+    rows = linededup.keep_lines(index, docs, names=("n1", "n2", "left")).collect()
+    return sorted(((r.doc_id, r.n1, r.n2, hashlib.sha256(r.left.encode()).hexdigest()) for r in rows), key=str)
 
 
 DOCS = [(1, f"{LONG}\nx\n  {LONG.upper()}\t"), (2, f"y\n{LONG}"), (3, LONG), (4, None), (5, ""), (6, "\n\n"),
