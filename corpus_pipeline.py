@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm import bagminhash, byte_bpe, decontam, linededup, nbsvm
-from cohortlens.llm.common import stored, table
+from cohortlens.llm.common import stored, table, unused
 from cohortlens.llm.queries import BYTE_RANKS
 
 #: A document goes only where the classifier holds junk for likelier than not.
@@ -23,19 +23,21 @@ REJECT_BELOW = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents the quality classifier rejects go."""
     model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
-    scored = nbsvm.score(docs, model, REJECT_BELOW, "_quality_score", "_quality_kept")
-    return scored.where(F.col("_quality_kept") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score, kept = unused(docs.columns, "_quality_score"), unused(docs.columns, "_quality_kept")
+    scored = nbsvm.score(docs, model, REJECT_BELOW, score, kept)
+    return scored.where(F.col(kept) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: repeated lines go; n_chars follows the kept text."""
-    kept = linededup.keep_lines(linededup.build(docs), docs)
-    text = F.when(F.col("_n_dropped") > 0, F.col("_kept")).otherwise(F.col("text"))
-    changes = {"text": text}
+    names = tuple(unused(docs.columns, c) for c in ("_n_lines", "_n_dropped", "_kept"))
+    found = linededup.keep_lines(linededup.build(docs), docs, names=names)
+    hit, kept = F.col(names[1]) > 0, F.col(names[2])
+    changes = {"text": F.when(hit, kept).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col("_n_dropped") > 0, F.char_length("_kept").cast("long")) \
+        changes["n_chars"] = F.when(hit, F.char_length(kept).cast("long")) \
             .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return kept.withColumns(changes).select(*docs.columns)
+    return found.select(*[changes[c].alias(c) if c in changes else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
