@@ -8,9 +8,9 @@ text.  A term's weight is its TF-IDF times ``BASE`` plus what its log-odds
 between the labels are beyond ``SURE`` standard errors (0 for most terms; the
 odds are taken within each label, so the balance of the labels doesn't count).
 The nearest ``NEIGHBOURS`` examples by exact cosine come from a block-max
-inverted index: examples lie in blocks of ``BLOCK``, and the largest weights of
-a block bound its cosines; blocks that cannot beat the nearest found aren't
-read.  Neighbours vote with weight 1 / (distance + 0.05), against a prior of
+inverted index: examples lie in blocks of ``BLOCK``, alike ones together, and the
+largest weights of a block bound its cosines; blocks that cannot beat the nearest
+found aren't read.  Neighbours vote with weight 1 / (distance + 0.05), against a prior of
 the sample's label shares; a logistic fit on labelled rows outside the index
 turns votes into probabilities.  The neighbours are the evidence.
 
@@ -48,8 +48,11 @@ EXAMPLES = 4096
 BASE = 0.1
 SURE = 3.0
 BLOCK = 64
-DENSE = 2048        # the most common terms of the index, kept as a matrix
+GROUP = 16          # blocks that have their common terms in common
+DENSE = 2048        # the most common terms of a group, kept as a matrix
 DENSE_LEAST = 24
+AXIS_TERMS, AXIS_STEPS = 2048, 6
+FLOORS = (4, 8, 16, 32, 48)
 NEIGHBOURS = 16
 PREFIXES = (4, 5, 6)
 REPEATS = 3
@@ -121,16 +124,47 @@ def repeated_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 # --- block-max inverted index --------------------------------------------------
 
-class BlockMaxIndex:
-    """Unit vectors of examples in blocks: the weights of common terms as a
-    matrix with each block's largest weights, the others as postings."""
+def alike_together(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
+    """An order of the examples (term, weight) in which alike ones are neighbours:
+    they are halved again and again along their main axis, down to blocks.  It
+    decides how many blocks a search can leave out, never what it finds."""
+    size = len(rows)
+    if size <= BLOCK:
+        return np.arange(size)
+    term = np.concatenate([t for t, _ in rows])
+    example = np.repeat(np.arange(size), [len(t) for t, _ in rows])
+    common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:AXIS_TERMS]
+    column = np.full(n_terms, -1)
+    column[common] = np.arange(len(common))
+    seen = column[term] >= 0
+    matrix = np.zeros((size, len(common)), np.float32)
+    matrix[example[seen], column[term[seen]]] = np.concatenate([w for _, w in rows])[seen]
+    out, todo = [], [np.arange(size)]
+    while todo:
+        part = todo.pop()
+        if len(part) <= BLOCK:
+            out.append(part)
+            continue
+        centred = matrix[part] - matrix[part].mean(axis=0)
+        axis = np.cos(np.arange(len(common), dtype=np.float32))
+        for _ in range(AXIS_STEPS):
+            axis = (centred @ axis) @ centred
+            axis /= max(float(np.linalg.norm(axis)), 1e-20)
+        part = part[np.argsort(centred @ axis, kind="stable")]
+        half = -(-len(part) // (2 * BLOCK)) * BLOCK
+        todo += [part[half:], part[:half]]
+    return np.concatenate(out)
+
+
+class BlockGroup:
+    """Blocks of examples alike: the weights of their common terms as a matrix
+    with each block's largest weights, the others as postings."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.size = len(rows)
-        self.blocks = -(-self.size // BLOCK)
-        term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-        example = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in rows])
+        self.blocks = -(-len(rows) // BLOCK)
+        term = np.concatenate([t for t, _ in rows])
+        weight = np.concatenate([w for _, w in rows])
+        example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in rows])
         n = np.bincount(term, minlength=n_terms)
         common = np.argsort(-n, kind="stable")[:DENSE]
         self.column = np.full(n_terms, -1, np.int32)
@@ -141,16 +175,47 @@ class BlockMaxIndex:
         self.width = len(common)
         order = np.lexsort((example[~dense], term[~dense]))
         self.example, self.weight = example[~dense][order], weight[~dense][order]
-        self.edges = np.concatenate([[0], np.cumsum(np.where(self.column < 0, n, 0))])
+        self.edges = np.concatenate([[0], np.cumsum(np.where(self.column < 0, n, 0))]).astype(np.int32)
         self.matrix = self.bound = None
 
     def __getstate__(self):
         return self.__dict__ | {"matrix": None, "bound": None}   # made again where it is used
 
-    def _fill(self) -> None:
-        self.matrix = np.zeros((self.blocks * BLOCK, self.width))
-        self.matrix[self.cells[1], self.cells[0]] = self.cells[2]
-        self.bound = self.matrix.reshape(self.blocks, BLOCK, self.width).max(axis=1) if self.blocks else self.matrix
+    def fill(self) -> None:
+        if self.matrix is None:
+            self.matrix = np.zeros((self.blocks * BLOCK, self.width))
+            self.matrix[self.cells[1], self.cells[0]] = self.cells[2]
+            self.bound = self.matrix.reshape(self.blocks, BLOCK, self.width).max(axis=1)
+
+    def begin(self, n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        """(queries over the common terms, cosines by the other terms alone, and
+        what each block's cosines are at most) of n vectors."""
+        self.fill()
+        column = self.column[term]
+        dense = np.flatnonzero(column >= 0)
+        query = np.zeros((n, self.width))
+        query[row[dense], column[dense]] = weight[dense]
+        begin = self.edges[term]
+        many = self.edges[term + 1] - begin
+        held = np.flatnonzero(many)
+        begin, many, row, weight = begin[held], many[held], row[held], weight[held]
+        total = np.cumsum(many)
+        at = np.arange(total[-1] if len(total) else 0) + np.repeat(begin - total + many, many)
+        places = self.blocks * BLOCK
+        score = np.bincount(np.repeat(row * places, many) + self.example[at],
+                            np.repeat(weight, many) * self.weight[at], n * places).astype(float).reshape(n, self.blocks, BLOCK)
+        return query, score, query @ self.bound.T + score.max(axis=2)
+
+
+class BlockMaxIndex:
+    """Unit vectors of examples, alike ones in a block, blocks in groups."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        self.size = len(rows)
+        self.blocks = -(-self.size // BLOCK)
+        self.number = alike_together(rows, n_terms)     # the example at each place
+        at = [self.number[i:i + GROUP * BLOCK] for i in range(0, self.size, GROUP * BLOCK)]
+        self.groups = [BlockGroup([rows[i] for i in part], n_terms) for part in at]
 
     def nearest_many(self, vectors, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per vector (term, weight): (example, cosine) of the k highest
@@ -159,39 +224,29 @@ class BlockMaxIndex:
         n = len(vectors)
         if not n or not self.size:
             return [(np.zeros(0, np.int64), np.zeros(0))] * n
-        if self.matrix is None:
-            self._fill()
         row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors])
-        column = self.column[term]
-        dense = column >= 0
-        query = np.zeros((n, self.width))
-        query[row[dense], column[dense]] = weight[dense]
-        term, row, weight = term[~dense], row[~dense], weight[~dense]
-        begin, many = self.edges[term], self.edges[term + 1] - self.edges[term]
-        total = np.cumsum(many)
-        at = np.arange(total[-1] if len(total) else 0) + np.repeat(begin - total + many, many)
+        begun = [group.begin(n, row, term, weight) for group in self.groups]
+        score = np.concatenate([s for _, s, _ in begun], axis=1)
+        bounds = np.concatenate([b for *_, b in begun], axis=1)
         places = self.blocks * BLOCK
-        score = np.bincount(np.repeat(row * places, many) + self.example[at],
-                            np.repeat(weight, many) * self.weight[at], n * places).astype(float).reshape(n, self.blocks, BLOCK)
-        bounds = query @ self.bound.T + score.max(axis=2)
         read = np.zeros((n, self.blocks), bool)
         floor = np.zeros(n)
-        blocks = np.argsort(-bounds.sum(axis=0), kind="stable")
-        for j, b in enumerate(blocks):
-            if j in (8, 16, 32) and places > k:    # unread blocks' partial scores are lower bounds too
+        for j, b in enumerate(np.argsort(-bounds.sum(axis=0), kind="stable")):
+            if j in FLOORS and places > k:    # unread blocks' partial scores are lower bounds too
                 floor = np.partition(score.reshape(n, places), places - k, axis=1)[:, places - k]
             some = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= floor - 1e-9))   # ties of smaller id may be there
             if len(some):
-                score[some, b] += query[some] @ self.matrix[b * BLOCK:(b + 1) * BLOCK].T
+                g, at = divmod(int(b), GROUP)
+                score[some, b] += begun[g][0][some] @ self.groups[g].matrix[at * BLOCK:(at + 1) * BLOCK].T
                 read[some, b] = True
         score = np.where(read[:, :, None], score, 0).reshape(n, places)
         least = np.partition(score, places - k, axis=1)[:, places - k] if places > k else np.zeros(n)
         out = []
         for s, f in zip(score, least):
             hit = np.flatnonzero((s > 0) & (s >= f - 1e-11))
-            cos = np.round(s[hit], 12)
+            cos, hit = np.round(s[hit], 12), self.number[hit]
             order = np.lexsort((hit, -cos))[:k]
             order = order[cos[order] > 0]
             out.append((hit[order], cos[order]))
