@@ -343,3 +343,28 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     keys = first.select(F.col("_first.doc").alias(doc), F.col("_first.text_hash").alias(hashed))
     kept = docs.join(keys, docs[doc_id].eqNullSafe(keys[doc]) & (F.xxhash64(docs[text]) == keys[hashed]), "left_semi")
     return kept.dropDuplicates([doc_id, text]) if _any_repeated(rows) else kept
+
+
+#: DuckDB SQL for ``classes``' rows, for tables small enough to compare every
+#: two texts that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+cut AS (
+  SELECT r, unnest(CASE WHEN len(ws) = 0 THEN [chr(1) || t]
+                        WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM d),
+sets AS (SELECT r, s, count(*) AS n FROM cut GROUP BY r, s),
+sizes AS (SELECT r, sum(n) AS n FROM sets GROUP BY r),
+shared AS (
+  SELECT a.r AS x, b.r AS y, sum(least(a.n, b.n)) AS alike FROM sets a JOIN sets b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y WHERE alike >= 0.8 * (a.n + b.n - alike)),
+either AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r, r AS q FROM d UNION SELECT reach.r, y FROM reach JOIN either ON x = q),
+classes AS (SELECT r, min(q) AS class FROM reach GROUP BY r),
+sized AS (SELECT class, min(doc_id) AS class_id, count(*) AS class_size FROM classes JOIN d USING (r) GROUP BY class)
+SELECT d.doc_id, class_id, class_size FROM d JOIN classes USING (r) JOIN sized USING (class)
+"""

@@ -177,3 +177,28 @@ def digest(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                                 "role", "text").unionByName(added)
     return read_back(stored(format_conversations(rows), "chat-segments"))
+
+
+#: DuckDB SQL for ``digest``'s rows: lengths by counting what is escaped, the
+#: machine as a pattern over the roles' first letters.
+ORACLE = r"""
+WITH said AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS r, coalesce(text, '') AS t
+  FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (
+  SELECT *,
+    length(t) + len(regexp_extract_all(t, '\\'))
+      + len(regexp_extract_all(t, '<\|im_start\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) AS text_chars,
+    length(r) + len(regexp_extract_all(r, '\\|\n'))
+      + len(regexp_extract_all(r, '<\|im_start\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) AS role_chars,
+    CASE r WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS letter
+  FROM said)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(12 + role_chars + 1 + text_chars + 11) AS BIGINT) AS formatted_chars,
+       regexp_full_match(string_agg(letter, '' ORDER BY turn NULLS FIRST, r, t), 's?(ua)+') AS in_order
+FROM sized GROUP BY conv_id
+"""

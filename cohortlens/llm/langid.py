@@ -7,7 +7,8 @@ are trained with follow-the-regularised-leader (per-coordinate rates, an L1
 penalty that makes them sparse and an L2 penalty) on a sample of about
 ``PER_LANGUAGE`` training documents a language, ``MOST_ROWS`` in all at most,
 chosen by hash of the id; a fifth of the sample sets the temperature of the
-softmax.
+softmax.  The sample is balanced: every language has the same quota, so a rare
+one is not crowded out.
 
 Only text and non-null lang of documents whose crc32 remainder is not
 ``held_out`` are learned from; an id, a source or a language is never an
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cohortlens.llm.common import id_remainder, python_workers
+from cohortlens.llm.common import id_remainder, python_workers, stored
 from cohortlens.llm.shingles import U
 
 BITS = 14
@@ -39,6 +40,7 @@ CELLS = 1 << BITS
 GRAMS = 3
 PER_LANGUAGE = 1500
 MOST_ROWS = 20_000
+MOST_LANGUAGES = 1000    # the most frequent ones are learned: a weight for each cell and language
 SUB_BATCH = 32
 UNKNOWN = "und"
 
@@ -169,18 +171,29 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return frequency[:CELLS], int(frequency[CELLS])
 
 
+def balanced_sample(training: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(doc_id, lang, text): about as many documents of every language - the
+    quota, at most ``per_language`` and at most its share of ``most_rows`` - by
+    hash of the id, each id once (of its texts the smallest).  Rows meet their
+    language's size by broadcast: no shuffle by language."""
+    sizes = (training.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+             .orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES))
+    sizes = stored(sizes, "langid-sizes")
+    quota = min(per_language, 0.9 * most_rows / max(1, sizes.count()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    chosen = (training.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(place * F.col("_n") < quota)
+              .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+              .orderBy(F.xxhash64("_id"), "_id", "_lang").limit(most_rows))
+    return (training.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+            .groupBy("doc_id", "lang").agg(F.min("text").alias("text")))     # at most most_rows groups
+
+
 def fit(docs: DataFrame, modulus: int = 5, held_out: int = 0, per_language: int = PER_LANGUAGE) -> Model:
     python_workers(docs.sparkSession)
     training = _training(docs, modulus, held_out)
     frequency, n = document_frequencies(training)
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    sizes = training.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    chosen = (training.select("doc_id", "lang").join(sizes, "lang").where(place * F.col("_n") < per_language)
-              .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-              .orderBy(F.xxhash64("_id"), "_id", "_lang").limit(MOST_ROWS))
-    sample = training.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))) \
-        .select("doc_id", "text", "lang").limit(MOST_ROWS)   # ids are at most MOST_ROWS
+    sample = balanced_sample(training, per_language)
 
     def run(batches):
         for batch in batches:

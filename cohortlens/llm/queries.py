@@ -94,7 +94,9 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_bitsliced": bitsliced.ORACLE,
+    "op6_bagminhash": bagminhash.ORACLE,
     "op7_decontaminate": decontam.ORACLE,
+    "op9_chat": chat.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
     "op11_merkle": merkle.ORACLE,
     "op13_exact_dedup": extendible.ORACLE,

@@ -52,7 +52,6 @@ GROUP = 16          # blocks that have their common terms in common
 DENSE = 2048        # the most common terms of a group, kept as a matrix
 DENSE_LEAST = 24
 AXIS_TERMS, AXIS_STEPS = 2048, 6
-FLOORS = (4, 8, 16, 32, 48)
 NEIGHBOURS = 16
 PREFIXES = (4, 5, 6)
 REPEATS = 3
@@ -167,15 +166,17 @@ class BlockGroup:
         example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in rows])
         n = np.bincount(term, minlength=n_terms)
         common = np.argsort(-n, kind="stable")[:DENSE]
-        self.column = np.full(n_terms, -1, np.int32)
+        column = np.full(n_terms, -1, np.int32)
         common = common[n[common] >= DENSE_LEAST]
-        self.column[common] = np.arange(len(common))
-        dense = self.column[term] >= 0
-        self.cells = self.column[term[dense]], example[dense], weight[dense]
+        column[common] = np.arange(len(common))
+        dense = column[term] >= 0
+        self.cells = column[term[dense]], example[dense], weight[dense]
         self.width = len(common)
         order = np.lexsort((example[~dense], term[~dense]))
-        self.example, self.weight = example[~dense][order], weight[~dense][order]
-        self.edges = np.concatenate([[0], np.cumsum(np.where(self.column < 0, n, 0))]).astype(np.int32)
+        self.example, self.weight = example[~dense][order].astype(np.int16), weight[~dense][order]
+        many = np.where(column < 0, n, 0)
+        # where a term is: column of the matrix or -1, begin and number of its postings
+        self.places = np.stack([column, np.cumsum(many) - many, many], axis=1).astype(np.int32)
         self.matrix = self.bound = None
 
     def __getstate__(self):
@@ -187,19 +188,18 @@ class BlockGroup:
             self.matrix[self.cells[1], self.cells[0]] = self.cells[2]
             self.bound = self.matrix.reshape(self.blocks, BLOCK, self.width).max(axis=1)
 
-    def begin(self, n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray):
+    def begin(self, n: int, row: np.ndarray, place: np.ndarray, weight: np.ndarray):
         """(queries over the common terms, cosines by the other terms alone, and
-        what each block's cosines are at most) of n vectors."""
+        what each block's cosines are at most) of n vectors, whose terms' places
+        are given."""
         self.fill()
-        column = self.column[term]
+        column = place[:, 0]
         dense = np.flatnonzero(column >= 0)
         query = np.zeros((n, self.width))
         query[row[dense], column[dense]] = weight[dense]
-        begin = self.edges[term]
-        many = self.edges[term + 1] - begin
-        held = np.flatnonzero(many)
-        begin, many, row, weight = begin[held], many[held], row[held], weight[held]
-        total = np.cumsum(many)
+        held = np.flatnonzero(place[:, 2])
+        begin, many, row, weight = place[held, 1], place[held, 2], row[held], weight[held]
+        total = np.cumsum(many, dtype=np.int64)
         at = np.arange(total[-1] if len(total) else 0) + np.repeat(begin - total + many, many)
         places = self.blocks * BLOCK
         score = np.bincount(np.repeat(row * places, many) + self.example[at],
@@ -216,6 +216,9 @@ class BlockMaxIndex:
         self.number = alike_together(rows, n_terms)     # the example at each place
         at = [self.number[i:i + GROUP * BLOCK] for i in range(0, self.size, GROUP * BLOCK)]
         self.groups = [BlockGroup([rows[i] for i in part], n_terms) for part in at]
+        self.places = np.stack([g.places for g in self.groups], axis=1) if at else None   # of a term, all groups'
+        for g in self.groups:
+            g.places = None
 
     def nearest_many(self, vectors, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per vector (term, weight): (example, cosine) of the k highest
@@ -227,26 +230,27 @@ class BlockMaxIndex:
         row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors])
-        begun = [group.begin(n, row, term, weight) for group in self.groups]
+        place = self.places[term]
+        begun = [group.begin(n, row, place[:, g], weight) for g, group in enumerate(self.groups)]
         score = np.concatenate([s for _, s, _ in begun], axis=1)
         bounds = np.concatenate([b for *_, b in begun], axis=1)
-        places = self.blocks * BLOCK
         read = np.zeros((n, self.blocks), bool)
-        floor = np.zeros(n)
-        for j, b in enumerate(np.argsort(-bounds.sum(axis=0), kind="stable")):
-            if j in FLOORS and places > k:    # unread blocks' partial scores are lower bounds too
-                floor = np.partition(score.reshape(n, places), places - k, axis=1)[:, places - k]
-            some = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= floor - 1e-9))   # ties of smaller id may be there
+        best = np.zeros((n, k))               # the k highest so far, the k-th first
+        for b in np.argsort(-bounds.sum(axis=0), kind="stable"):
+            some = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= best[:, 0] - 1e-9))   # ties may be of smaller id
             if len(some):
                 g, at = divmod(int(b), GROUP)
-                score[some, b] += begun[g][0][some] @ self.groups[g].matrix[at * BLOCK:(at + 1) * BLOCK].T
+                found = begun[g][0][some] @ self.groups[g].matrix[at * BLOCK:(at + 1) * BLOCK].T
+                found += score[some, b]
+                score[some, b] = found
                 read[some, b] = True
-        score = np.where(read[:, :, None], score, 0).reshape(n, places)
-        least = np.partition(score, places - k, axis=1)[:, places - k] if places > k else np.zeros(n)
+                best[some] = np.partition(np.concatenate([best[some], found], axis=1), BLOCK, axis=1)[:, BLOCK:]
         out = []
-        for s, f in zip(score, least):
+        for s, f, seen in zip(score, best[:, 0], read):
+            blocks = np.flatnonzero(seen)
+            s = s[blocks]
             hit = np.flatnonzero((s > 0) & (s >= f - 1e-11))
-            cos, hit = np.round(s[hit], 12), self.number[hit]
+            cos, hit = np.round(s.ravel()[hit], 12), self.number[blocks[hit // BLOCK] * BLOCK + hit % BLOCK]
             order = np.lexsort((hit, -cos))[:k]
             order = order[cos[order] > 0]
             out.append((hit[order], cos[order]))

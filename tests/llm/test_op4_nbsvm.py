@@ -75,3 +75,39 @@ def test_score_keeps_columns(spark, docs_of, made):
     model = nbsvm.fit_rows([], np.zeros(0, int))
     out = nbsvm.score(docs_of(made[0][:2]), model)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "predicted"]
+
+
+def test_query_scores_by_the_definition(spark, docs_of, labels_of, made):
+    """Log-count ratios, scaled indicators, margins and the logistic map of the
+    whole query, recomputed text by text with sets and sums."""
+    from math import exp, log, sqrt
+
+    rows, labels = made[0][:200], made[1][:200]
+    got = {r.doc_id: r.score for r in nbsvm.digest(docs_of(rows), labels_of(labels)).collect()}
+    model = nbsvm.fit(docs_of(rows), labels_of(labels))
+    indicators = {i: set(nbsvm.features(pa.array([t]))[1].tolist()) for i, t in rows}
+    for i, _ in rows:
+        held = indicators[i]
+        margin = sum(float(model.weights[f]) for f in held) / sqrt(max(1, len(held))) + model.bias
+        assert abs(got[i] - 1 / (1 + exp(-(model.slope * margin + model.offset)))) < 1e-9
+    truth = {i: q for i, q, _ in labels}
+    learned = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    count = {c: {} for c in (0, 1)}
+    for i in learned:
+        for f in indicators[i]:
+            count[truth[i]][f] = count[truth[i]].get(f, 0) + 1
+    ratio = nbsvm.log_count_ratios([np.array(sorted(indicators[i])) for i in learned], np.array([truth[i] for i in learned]))
+    total = {c: sum(count[c].values()) + (1 << nbsvm.BITS) for c in (0, 1)}
+    for f in {f for i in learned for f in indicators[i]}:
+        want = log((1 + count[1].get(f, 0)) / total[1]) - log((1 + count[0].get(f, 0)) / total[0])
+        assert abs(ratio[f] - want) < 1e-12
+
+
+def test_indicators_are_words_pairs_and_shapes():
+    """A text's indicators: each different word, pair of words, shape, pair and triple of shapes."""
+    count = lambda t: len(nbsvm.features(pa.array([t]))[1])
+    assert count("") == 0 and count("word") == 2                       # the word and its shape
+    assert count("ab cd") == 2 + 1 + 1 + 1                             # words, one shape, their pair, the shapes' pair
+    assert count("ab ab ab") < count("ab cd ef")
+    same = lambda a, b: set(nbsvm.features(pa.array([a]))[1]) == set(nbsvm.features(pa.array([b]))[1])
+    assert same("ab   cd\n", "ab cd") and not same("ab cd", "cd ab") and not same("Ab cd", "ab cd")

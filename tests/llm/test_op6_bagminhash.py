@@ -144,3 +144,14 @@ def test_links_whose_sketches_agree_least(docs_of):
     rows = [(int(2 * i + k), pairs[i][k]) for i in hard for k in (0, 1)]
     got = bagminhash.classes(docs_of(rows)).select("doc_id", "class_id", "class_size").collect()
     assert sorted(map(tuple, got), key=str) == _brute(rows)
+
+
+def test_oracle(spark, documents, docs_of):
+    import duckdb
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    odd = [(1, base), (2, base + " fifteen"), (3, None), (4, ""), (5, "!!"), (6, "!!"), (7, "two words"), (8, "Two, words"), (9, "é é")]
+    for df in (documents, docs_of(odd)):
+        con = duckdb.connect()
+        con.register("documents", df.select("doc_id", "text").toPandas())
+        want = con.execute(f"SELECT doc_id, class_id, class_size FROM ({bagminhash.ORACLE})").fetchall()
+        assert sorted(map(tuple, bagminhash.classes(df).collect())) == sorted(want)

@@ -71,3 +71,17 @@ def test_segments_carry_the_mask(spark):
     segments = chat.format_conversations(spark.createDataFrame(rows, chat.CONVERSATIONS)).orderBy("turn_no", "piece").collect()
     assert "".join(s.text for s in segments) == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<\\s><|im_end|>\n"
     assert [s.text for s in segments if s.loss] == ["a<\\s>"]
+
+
+def test_oracle(spark, sf):
+    import duckdb
+    odd = [(1, i, role, text) for i, (role, text) in enumerate((r, t) for t in TRICKY for r in ("user", "assistant"))]
+    odd += [(2, 0, "assistant", "first"), (2, None, "<s>\n\\", "early"), (3, 0, None, None), (None, 1, "user", "no id"),
+            (4, 0, "system", "x"), (4, 1, "user", "é日"), (4, 2, "assistant", "<<s>></s>")]
+    for df in (spark.read.parquet(f"{sf}/conversations.parquet"), spark.createDataFrame(odd, chat.CONVERSATIONS)):
+        con = duckdb.connect()
+        con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+        res = con.execute(chat.ORACLE)
+        names = [c[0] for c in res.description]
+        want = sorted((tuple(r) for r in res.fetchall()), key=str)
+        assert sorted((tuple(r[c] for c in names) for r in chat.digest(df).collect()), key=str) == want
