@@ -89,7 +89,7 @@ def _subscription_end_with(t: Tables, fc_df: DataFrame, post_churn: str, max_dat
     marks = [F.when(own_end | at_churn, False).otherwise(True).alias("to_horizon")] if mark_horizon else []
     subs = t.pick("subscriptions", "subscription_id", "account_id", "start_date", "end_date",
                   "mrr_amount", "upgrade_flag", "downgrade_flag")
-    return (lookup_join(subs, fc_df, "account_id", "left")
+    return (lookup_join(subs, fc_df, "account_id", "left", hot=t.hot_accounts)
             .select("subscription_id", "account_id",
                     start.alias("start_date_sub"), end_sub.alias("end_date_sub"),
                     "mrr_amount", "upgrade_flag", "downgrade_flag", *marks))

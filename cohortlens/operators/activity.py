@@ -41,7 +41,7 @@ def active_days(t: Tables) -> DataFrame:
     """account_id, usage_date of the uses that count, each (subscription, day) once."""
     days = t.pick("feature_usage", "subscription_id", "usage_date").distinct()
     subs = lookup_join(t.pick("subscriptions", "subscription_id", "account_id"),
-                       account_activity_bounds(t), "account_id", "inner")
+                       account_activity_bounds(t), "account_id", "inner", hot=t.hot_accounts)
     d, until = F.col("usage_date"), F.col("active_until")
     return (days.join(subs, "subscription_id")
             .where((d >= F.col("signup_date")) & (until.isNull() | (d <= until)))

@@ -128,7 +128,7 @@ def retention_payment_last(t: Tables) -> DataFrame:
     return _payment_retention(span, LAST_CHURN_RATE)
 
 
-#: Month numbers of the matrix's columns: ten years.
+#: Month numbers of the matrix's columns unless others are given: ten years.
 MATRIX_MONTHS = range(120)
 
 

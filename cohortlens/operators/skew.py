@@ -19,7 +19,9 @@ plan is the same at every size:
   a hash of the whole row, however many they are.
 
 The extra cost is one partially aggregated count per key of the large table -
-the size of one per-account aggregate.  Nothing runs while the plan is built.
+the size of one per-account aggregate.  A run of many jobs counts once and
+hands the hot keys in (``Tables.hot_accounts``).  Nothing runs while the plan is
+built.
 """
 
 from __future__ import annotations
@@ -37,15 +39,16 @@ def hot_keys(big: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> Da
 
 
 def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                rows_per_task: int = ROWS_PER_TASK, hot: DataFrame | None = None) -> DataFrame:
     """``big.join(lookup, key, how)`` for a ``lookup`` with one row per key
     (``how`` is 'left' or 'inner'), safe for skew on ``key`` in ``big``.
-    Output columns: ``big``'s, then ``lookup``'s other columns."""
+    Output columns: ``big``'s, then ``lookup``'s other columns.  ``hot``: the
+    result of ``hot_keys``, where a run has stored it; else it is counted here."""
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     values = [c for c in lookup.columns if c != key]
     salts = F.broadcast(  # <= rows / rows_per_task rows
-        hot_keys(big, key, rows_per_task)
+        (hot_keys(big, key, rows_per_task) if hot is None else hot)
         .select(key, F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_salts")))
     whole = F.xxhash64(*big.columns)
     tagged = (big.join(salts, key, "left")

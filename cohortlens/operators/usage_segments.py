@@ -45,7 +45,7 @@ def early_usage(t: Tables, window_days: int = DEFAULT_WINDOW_DAYS,
         cond = cond & (F.col("usage_date") >= signup)
     signups = t.pick("accounts", "account_id", "signup_date") if signups is None else signups
     subs = lookup_join(t.pick("subscriptions", "subscription_id", "account_id"),
-                       signups.select("account_id", "signup_date"), "account_id", "inner")
+                       signups.select("account_id", "signup_date"), "account_id", "inner", hot=t.hot_accounts)
     return (per_day.join(subs, "subscription_id").where(cond)
             .groupBy("account_id").agg(F.sum("uc").alias("total_usage")))
 

@@ -63,8 +63,15 @@ def _retention_mean(spark, d):
     return ret.retention_means_of(_t(spark, d))
 
 
+#: Setting: how many month numbers the matrices have as columns.
+MATRIX_SETTING = "spark.cohortlens.matrix.months"
+
+
 def _matrix(job: Callable[[Tables], DataFrame], rate: str) -> Query:
-    return lambda s, d: ret.retention_matrix(job(_t(s, d)), rate)
+    def query(spark, d):
+        months = int(spark.conf.get(MATRIX_SETTING, str(len(ret.MATRIX_MONTHS))))
+        return ret.retention_matrix(job(_t(spark, d)), rate, range(months))
+    return query
 
 
 QUERIES: dict[str, Query] = {

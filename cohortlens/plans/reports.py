@@ -18,6 +18,7 @@ from cohortlens.operators import accounts as acc
 from cohortlens.operators import activation as act
 from cohortlens.operators import activity, churn, growth, quality, retention as ret
 from cohortlens.operators import usage_segments as seg
+from cohortlens.operators.skew import hot_keys
 from cohortlens.sources.sinks import materialize, write_result
 from cohortlens.sources.tables import Tables
 
@@ -35,9 +36,11 @@ def build_reports(t: Tables, persist: bool = True) -> dict[str, DataFrame]:
     """Every published report as a DataFrame; the shared intermediates are
     materialised once when ``persist`` is true.
 
-    Raw usage is read twice in the whole run: once for the daily table and
+    The hot accounts of the skew-safe joins are counted once.  Raw usage is read
+    twice in the whole run: once for the daily table and
     once for the per-feature metrics of the summary."""
     keep = (lambda df, name: materialize(df, name)) if persist else (lambda df, name: df)
+    t = t.with_(hot_accounts=keep(hot_keys(t.pick("subscriptions", "account_id"), "account_id"), "hot_accounts"))
     daily = t.with_(feature_usage=keep(daily_usage(t.feature_usage), "usage_daily"))
     summary = keep(acc.accounts_summary(t, max_date=acc.max_usage_date(daily.feature_usage)),
                    "accounts_summary")

@@ -27,9 +27,15 @@ class Tables:
     the others - and what only they need, like a joined dimension - are never
     planned; ``t.accounts`` and the like are whole tables.  A function is
     called on first use only: a job that reads two tables never plans the
-    other three."""
+    other three.
 
-    def __init__(self, accounts, subscriptions, feature_usage, support_tickets, churn_events):
+    ``hot_accounts``: the accounts with very many subscriptions
+    (``skew.hot_keys``), stored once by a run of many jobs; without it, each
+    skew-safe join counts them itself."""
+
+    def __init__(self, accounts, subscriptions, feature_usage, support_tickets, churn_events,
+                 hot_accounts: DataFrame | None = None):
+        self.hot_accounts = hot_accounts
         self._src: dict[str, DataFrame | Callable[[tuple[str, ...] | None], DataFrame]] = dict(
             accounts=accounts, subscriptions=subscriptions, feature_usage=feature_usage,
             support_tickets=support_tickets, churn_events=churn_events)
@@ -56,7 +62,9 @@ class Tables:
     churn_events = property(lambda self: self._get("churn_events"))
 
     def with_(self, **kw) -> "Tables":
-        return Tables(**{**self._src, **kw})
+        """Other inputs or hot accounts; these don't outlive their subscriptions."""
+        kept = {} if "subscriptions" in kw else {"hot_accounts": self.hot_accounts}
+        return Tables(**{**self._src, **kept, **kw})
 
     def register_views(self, prefix: str = "") -> None:
         """Expose the five inputs as temporary views (``<prefix><table>``) so

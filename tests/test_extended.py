@@ -345,3 +345,28 @@ def test_growth_with_filled_months(spark):
                    (d("2024-04-01"), 1, 3, None), (d("2024-05-01"), 2, 5, 100.0), (None, 1, 6, -50.0)]
     empty = make_tables(spark)
     assert rows(growth.customer_growth(empty.subscriptions, fill_gaps=True)) == []
+
+
+def test_matrix_months_are_a_setting(spark):
+    from cohortlens.plans.registry import MATRIX_SETTING, QUERIES
+    spark.conf.set(MATRIX_SETTING, "200")
+    try:
+        wide = QUERIES["retention_matrix"](spark, SF_SMALL)
+        assert wide.columns == ["cohort_m_short", *map(str, range(200))]
+        narrow_cols = ["cohort_m_short", *map(str, range(120))]
+        got = _sorted(wide.collect(), narrow_cols)
+    finally:
+        spark.conf.unset(MATRIX_SETTING)
+    narrow = QUERIES["retention_matrix"](spark, SF_SMALL)
+    assert narrow.columns == narrow_cols and _sorted(narrow.collect(), narrow_cols) == got
+
+
+def test_entry_survives_a_missing_library():
+    """Without a library that only the training-data operators use, the others stay."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.modules['ahocorasick'] = None\n"
+            "import warnings; warnings.simplefilter('ignore')\n"
+            "import __spark_entry__ as e; q = e.queries(); assert len(q) == 53 and set(q) == set(e.oracle_sql()), len(q)")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

@@ -134,3 +134,22 @@ def test_salting_spreads_a_hot_key_and_bounds_replication(spark):
     assert len(per_salt) == salts and max(r["count"] for r in per_salt) <= 3 * rows_per_task
     assert joined.count() == subs.count()
     assert joined.where("account_id = 7 and signup_date is null").count() == 0
+
+
+def test_hot_keys_are_counted_once_per_run(spark):
+    """Handed-in hot keys give the same result without another count of the large table."""
+    from cohortlens.sources.sinks import materialize
+    t = load_driver_tables(spark, SF_SMALL)
+    subs = t.subscriptions.withColumn(
+        "account_id", F.when(F.col("subscription_id") % 3 == 1, F.lit(7)).otherwise(F.col("account_id")))
+    hot = materialize(hot_keys(subs, "account_id", rows_per_task=100), "hot")
+    lookup = t.churn_events.groupBy("account_id").agg(F.min("churn_date").alias("fc"))
+    got = lookup_join(subs, lookup, "account_id", "left", rows_per_task=50, hot=hot)
+    want = subs.join(lookup, "account_id", "left").select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    given, counted = (x._jdf.queryExecution().optimizedPlan().toString().count("count(1)")
+                      for x in (got, lookup_join(subs, lookup, "account_id", "left", rows_per_task=50)))
+    assert given == 0 < counted
+    kept = t.with_(hot_accounts=hot)
+    assert kept.with_(feature_usage=t.feature_usage).hot_accounts is hot
+    assert kept.with_(subscriptions=subs).hot_accounts is None
