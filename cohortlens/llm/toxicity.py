@@ -174,14 +174,23 @@ class BlockGroup:
         self.width = len(common)
         order = np.lexsort((example[~dense], term[~dense]))
         self.example, self.weight = example[~dense][order].astype(np.int16), weight[~dense][order]
-        many = np.where(column < 0, n, 0)
-        # where a term is: column of the matrix or -1, begin and number of its postings
-        self.places = np.stack([column, np.cumsum(many) - many, many], axis=1).astype(np.int32)
+        self.common = common.astype(np.int32)                       # the terms of the columns
+        self.terms = np.flatnonzero((column < 0) & (n > 0)).astype(np.int32)   # those with postings,
+        self.counts = n[self.terms].astype(np.int16)                # and how many
         self.matrix = self.bound = None
 
     def __getstate__(self):
         return self.__dict__ | {"matrix": None, "bound": None}   # made again where it is used
 
+    def places(self, n_terms: int) -> np.ndarray:
+        """Where each term is: column of the matrix or -1, begin and number of its postings."""
+        out = np.zeros((n_terms, 3), np.int32)
+        out[:, 0] = -1
+        out[self.common, 0] = np.arange(self.width)
+        out[self.terms, 1] = np.cumsum(self.counts, dtype=np.int64) - self.counts
+        out[self.terms, 2] = self.counts
+        return out
+
     def fill(self) -> None:
         if self.matrix is None:
             self.matrix = np.zeros((self.blocks * BLOCK, self.width))
@@ -216,9 +225,10 @@ class BlockMaxIndex:
         self.number = alike_together(rows, n_terms)     # the example at each place
         at = [self.number[i:i + GROUP * BLOCK] for i in range(0, self.size, GROUP * BLOCK)]
         self.groups = [BlockGroup([rows[i] for i in part], n_terms) for part in at]
-        self.places = np.stack([g.places for g in self.groups], axis=1) if at else None   # of a term, all groups'
-        for g in self.groups:
-            g.places = None
+        self.n_terms, self.places = n_terms, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"places": None}   # made again where it is used
 
     def nearest_many(self, vectors, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per vector (term, weight): (example, cosine) of the k highest
@@ -230,6 +240,8 @@ class BlockMaxIndex:
         row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors])
+        if self.places is None:    # of a term, those of all groups beside each other
+            self.places = np.stack([g.places(self.n_terms) for g in self.groups], axis=1)
         place = self.places[term]
         begun = [group.begin(n, row, place[:, g], weight) for g, group in enumerate(self.groups)]
         score = np.concatenate([s for _, s, _ in begun], axis=1)
