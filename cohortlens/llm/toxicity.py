@@ -82,26 +82,44 @@ class Vocabulary:
         self.term = np.full((len(self.hashes), REPEATS), -1, np.int32)   # number of (hash, k), or -1
         self.term[np.searchsorted(self.hashes, hashes), least - 1] = np.arange(self.size)
 
-    def split(self, texts: pa.Array):
-        """(row, term, times), ordered by row, and (row, hash and k, times) of
-        the terms outside the vocabulary; at most 256 texts."""
+    def _found(self, texts: pa.Array):
+        """Of the different (row, hash) of at most 256 texts: row, hash, times, and
+        for each k that times reaches which of them they are (None: all) and their terms, or -1."""
         row, value = terms(texts)
         both = np.sort((value & ~_LOW) | row.astype(U))
         edges = np.flatnonzero(np.diff(both, prepend=~both[:1]) != 0)
         times = np.diff(np.append(edges, len(both)))
-        row, value = (both[edges] & _LOW).astype(np.int64), both[edges] & ~_LOW
-        number = np.full((len(value), REPEATS), -1, np.int32)
+        both = both[edges]
+        row, value = (both & _LOW).astype(np.uint8), both & ~_LOW
+        at, known = np.zeros(len(value), np.int64), np.zeros(len(value), bool)
         if self.size and len(value):
             at = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
             known = self.hashes[at] == value
-            number[known] = self.term[at[known]]
-        reached = times[:, None] > np.arange(REPEATS)
-        which, k = np.nonzero(reached & (number >= 0))
-        out, out_k = np.nonzero(reached & (number < 0))
-        order = np.argsort(row[which], kind="stable")
-        which, k = which[order], k[order]
-        return ((row[which], number[which, k].astype(np.int64), times[which]),
-                (row[out], value[out] | (out_k + 1).astype(U), times[out]))
+        reach = []
+        for k in range(REPEATS):
+            which = None if k == 0 else np.flatnonzero(times > k)
+            some = slice(None) if which is None else which
+            number = np.where(known[some], self.term[at[some], k], -1) if self.size else np.full(len(at[some]), -1)
+            reach.append((which, number))
+        return row, value, times, reach
+
+    def split(self, texts: pa.Array):
+        """(row, term, times), ordered by row, and (row, hash and k, times) of
+        the terms outside the vocabulary; at most 256 texts."""
+        row, value, times, reach = self._found(texts)
+        inside, outside = [], []
+        for k, (which, number) in enumerate(reach):
+            for here, keep in ((inside, number >= 0), (outside, number < 0)):
+                at = np.flatnonzero(keep)
+                origin = at if which is None else which[at]
+                here.append((row[origin], number[at].astype(np.int64) if here is inside else value[origin] | U(k + 1), times[origin]))
+        known, others = (tuple(np.concatenate(c) for c in zip(*parts)) for parts in (inside, outside))
+        order = np.argsort(known[0], kind="stable")          # of bytes: counted, not compared
+        return (known[0][order].astype(np.int64), known[1][order], known[2][order]), others
+
+    def held(self, texts: pa.Array) -> list[np.ndarray]:
+        """The terms that texts hold, each once per text."""
+        return [number[number >= 0] for _, number in self._found(texts)[3]]
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, times), ordered by row."""
@@ -353,8 +371,9 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
         total = np.zeros(size + 1, np.int64)
         for batch in batches:
             total[size] += batch.num_rows
-            for some in parts(batch.column(0), SUB_BATCH):
-                total[:size] += np.bincount(shared.value.counts(some)[1], minlength=size)
+            held = [n for some in parts(batch.column(0), SUB_BATCH) for n in shared.value.held(some)]
+            if held:
+                total[:size] += np.bincount(np.concatenate(held), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
@@ -453,7 +472,7 @@ def _neighbours(docs: DataFrame, model: Model) -> DataFrame:
                     at.append(a.astype(np.int32))
                     cos.append(c)
                 lengths.append(length)
-                order = np.argsort(row, kind="stable")
+                order = np.argsort(row, kind="stable")    # of bytes, like the rows of split
                 tf = 1 + np.log(np.maximum(times, 1))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(some)))]).astype(np.int32)
                 others.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
