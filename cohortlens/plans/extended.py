@@ -78,7 +78,8 @@ def mau_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All usage files through the stream with keyed state, then the counts it published."""
     root = _folder(spark, "mau-keyed")
     usage = usage_stream_from_driver_files(spark, os.path.join(sf_dir, "lineitem*.parquet"))
-    keyed.start(usage, load_driver_tables(spark, sf_dir), root).awaitTermination()
+    t = load_driver_tables(spark, sf_dir)
+    keyed.start(usage, t, root, state_partitions=layout.default_buckets(t)).awaitTermination()
     return keyed.current(spark, root)
 
 

@@ -74,6 +74,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return local
 
 
+def python_path(spark: SparkSession) -> None:
+    """This library's folder on the path of Python workers, for sessions started
+    without it (a cluster gets it by --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), "tables", name)
 

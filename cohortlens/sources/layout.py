@@ -35,6 +35,8 @@ from cohortlens.session import checkpoint_root
 from cohortlens.sources.tables import Tables
 
 MONTH = "usage_month"
+BUCKET_ROWS = 20_000_000
+LEAST_BUCKETS = 8
 USAGE_GRAIN = ("subscription_id", "usage_date", "feature_name")
 
 
@@ -46,10 +48,11 @@ def usage_cube(t: Tables) -> DataFrame:
                  F.bool_or("is_beta_feature").alias("is_beta_feature")))
 
 
-def default_buckets(spark: SparkSession) -> int:
-    """As many buckets as shuffles have partitions: fewer would make Spark
-    exchange the bucketed side to reach that parallelism."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def default_buckets(t: Tables) -> int:
+    """Buckets of about ``BUCKET_ROWS`` usage rows, ``LEAST_BUCKETS`` at least: a
+    month has a file in each, so their number follows the data."""
+    rows = t.pick("feature_usage", "subscription_id").count()     # from the files' footers
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
 @dataclass
@@ -84,7 +87,7 @@ class Layout:
 
 
 def store(spark: SparkSession, t: Tables, buckets: int | None = None, root: str | None = None) -> Layout:
-    buckets = buckets or default_buckets(spark)
+    buckets = buckets or default_buckets(t)
     base = root or os.path.join(checkpoint_root(spark), "layout")
     tag = uuid.uuid4().hex[:12]
 

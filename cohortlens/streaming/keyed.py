@@ -38,10 +38,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from cohortlens.functions import month_of
 from cohortlens.operators.activity import account_activity_bounds
 from cohortlens.operators.skew import lookup_join
+from cohortlens.session import python_path
 from cohortlens.sources.tables import Tables
 
 KEPT_VERSIONS = 3
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTITIONS = "spark.sql.shuffle.partitions"
 COUNTS = "active_month date, mau bigint"
 
 
@@ -126,13 +128,26 @@ def publish(pairs: DataFrame, batch_id: int, root: str) -> None:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, str(version)), True)
 
 
-def start(usage: DataFrame, t: Tables, root: str, available_now: bool = True) -> StreamingQuery:
+def start(usage: DataFrame, t: Tables, root: str, available_now: bool = True,
+          state_partitions: int | None = None) -> StreamingQuery:
     """Run the stream over streaming ``usage``; ``root``, on the shared file
-    system, holds the checkpoint with its state and the published counts."""
+    system, holds the checkpoint with its state and the published counts.
+    ``state_partitions`` (the session's shuffle partitions unless given) is fixed
+    by the first start below ``root``."""
     spark = usage.sparkSession
+    python_path(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    before = spark.conf.get(PARTITIONS)
+    if state_partitions:
+        spark.conf.set(PARTITIONS, str(state_partitions))     # the query keeps the settings it starts with
+    try:
+        return _writer(usage, t, root, available_now).start()
+    finally:
+        spark.conf.set(PARTITIONS, before)
+
+
+def _writer(usage: DataFrame, t: Tables, root: str, available_now: bool):
     writer = (new_pairs(usage, t).writeStream.outputMode("append")
               .foreachBatch(lambda pairs, batch_id: publish(pairs, batch_id, root))
               .option("checkpointLocation", os.path.join(root, "checkpoint")))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
