@@ -286,7 +286,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 
 def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """``coded`` with the binary column ``data``: the bytes its ids stand for."""
-    common.python_workers(coded.sparkSession)
+    common.python_workers(coded.sparkSession, ENCODE_ROWS)
     columns = [c for c in coded.columns if c not in (ids, data)] + [ids]
     schema = T.StructType([coded.schema[c] for c in columns]
                           + [T.StructField(data, T.BinaryType(), False)])

@@ -153,7 +153,7 @@ def grow(leaves: DataFrame, bits: int, name: str) -> list[DataFrame]:
     """The logs over ``leaves`` (tree, rank, n, hash), a stored table per round:
     tree, block, n (leaves of the round in the tree), leaves (of the block), log, root."""
     size = 1 << bits
-    python_workers(leaves.sparkSession, size)
+    python_workers(leaves.sparkSession)
 
     def builder(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("rank").to_numpy())
@@ -197,12 +197,13 @@ def _spread(logs: DataFrame, carried: list[str], bits: int) -> DataFrame:
     blocks of the round below."""
     given = ["tree", "block", "n", "leaves", "log", "path", *carried]
     types = dict(logs.dtypes)
-    python_workers(logs.sparkSession, 8)
+    python_workers(logs.sparkSession)
     schema = ", ".join(["tree string, block bigint, path string", *[f"{c} {types[c]}" for c in carried]])
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):      # a log is large: one at a time
+                row = batch.slice(at, 1).to_pylist()[0]
                 count, levels = row["leaves"], _levels(row["n"], row["leaves"], bits)
                 paths = [(siblings(row["log"], r, count, levels).decode() + row["path"]) for r in range(count)]
                 first = row["block"] << bits
@@ -287,7 +288,7 @@ def proofs(manifest: Manifest) -> DataFrame:
             out |= {c: pa.array([], pa.string()) for c in ("subroot", "root")}
         return pa.table(out | {"proof": pa.array(found, pa.string()), "folded_root": pa.array(folded, pa.string())})
 
-    python_workers(rows.sparkSession, 1 << bits)
+    python_workers(rows.sparkSession)
     return (rows.select("tree", "block", "rank", "n", "doc_id", "leaf", "claimed").groupBy("tree", "block")
             .cogroup(logs.groupBy("tree", "block"))
             .applyInArrow(prove, "doc_id bigint, leaf string, subroot string, root string, proof string, folded_root string"))
