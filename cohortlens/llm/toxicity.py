@@ -51,7 +51,7 @@ BLOCK = 64
 GROUP = 16          # blocks that have their common terms in common
 DENSE = 2048        # the most common terms of a group, kept as a matrix
 DENSE_LEAST = 24
-AXIS_TERMS, AXIS_STEPS = 2048, 6
+AXIS_TERMS, AXIS_STEPS = 1024, 6
 NEIGHBOURS = 16
 PREFIXES = (4, 5, 6)
 REPEATS = 3
@@ -162,12 +162,14 @@ def alike_together(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> n
         if len(part) <= BLOCK:
             out.append(part)
             continue
-        centred = matrix[part] - matrix[part].mean(axis=0)
+        centred = matrix[part]
+        centred -= centred.mean(axis=0)
         axis = np.cos(np.arange(len(common), dtype=np.float32))
         for _ in range(AXIS_STEPS):
             axis = (centred @ axis) @ centred
             axis /= max(float(np.linalg.norm(axis)), 1e-20)
         part = part[np.argsort(centred @ axis, kind="stable")]
+        del centred
         half = -(-len(part) // (2 * BLOCK)) * BLOCK
         todo += [part[half:], part[:half]]
     return np.concatenate(out)
