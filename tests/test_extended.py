@@ -244,6 +244,62 @@ def test_keyed_stream_resumes(spark, tables, tmp_path):
     assert sorted(rows(keyed.current(spark, root), "active_month", "mau")) == sorted(before)
 
 
+class _State:
+    """A state store of one value per account that counts the calls to it."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+
+def test_an_account_costs_one_read_and_one_write():
+    from pyspark.sql import Row
+    state, processor = _State(), keyed.NewMonths()
+    processor.init(state)
+
+    def batch(*parts):
+        state.calls.clear()
+        return [r.asDict() for r in processor.handleInputRows((7,), iter([Row(active_months=list(p)) for p in parts]), None)]
+
+    assert batch([24001, 24000], [24001, 24050]) == [dict(account_id=7, active_months=[24000, 24001, 24050])]
+    assert state.calls == ["get", "update"]
+    assert batch([24000], [24050]) == [] and state.calls == ["get"]
+    assert batch([24000, 23999]) == [dict(account_id=7, active_months=[23999])]
+    assert state.calls == ["get", "update"] and state.value == ([23999, 24000, 24001, 24050],)
+
+
+def test_months_reach_the_state_as_one_row_per_account(spark):
+    pairs = spark.createDataFrame([(i % 3, d(f"19{90 + i % 5}-0{1 + i % 7}-01")) for i in range(500)],
+                                  "account_id long, active_month date").repartition(1)
+    got = keyed._months_per_account(pairs).collect()
+    assert sorted(r.account_id for r in got) == [0, 1, 2]
+    want = {(r.account_id, 12 * r.active_month.year + r.active_month.month - 1) for r in pairs.collect()}
+    assert sorted((r.account_id, m) for r in got for m in r.active_months) == sorted(want)
+    assert keyed._months_per_account(pairs.limit(0)).collect() == []
+
+
+def test_counts_are_published_without_one_task_for_all_partitions(spark, tmp_path):
+    pairs = spark.createDataFrame([(i, d("1997-01-01")) for i in range(40)], "account_id long, active_month date")
+    narrowed = []
+    coalesce = type(pairs).coalesce
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(pairs), "coalesce", lambda df, n: narrowed.append(n) or coalesce(df, n))
+        keyed.publish(pairs, 0, str(tmp_path))
+    assert not narrowed
+    assert rows(keyed.current(spark, str(tmp_path))) == [(d("1997-01-01"), 40)]
+    assert len([f for f in os.listdir(tmp_path / "mau" / "0") if f.endswith(".parquet")]) == 1
+
+
 # --- sketches ------------------------------------------------------------------------
 
 def test_sketches_are_merged_without_usage(spark, tables):
