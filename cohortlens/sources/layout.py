@@ -16,7 +16,10 @@ and the join of usage to subscriptions need no exchange, as Spark knows the
 buckets; ``in_months`` reads the partitions of the months asked for only.
 
 The rows are reduced in tasks, shuffled once by the reduction and once by
-subscription, so that a month has one file per bucket.  Tables are registered in the session's catalog
+subscription, so that a month has one file per bucket.  What a task holds doesn't
+grow with the tables: scans that reduce rows take ``SPLIT_BYTES`` of a file, and
+jobs over the layout, which aggregate and sort a bucket in one task, have buckets
+of ``BUCKET_ROWS``.  Tables are registered in the session's catalog
 under new names, with their files below the shared folder; nothing refers to
 them once dropped (``drop``).
 """
@@ -26,6 +29,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,8 +39,10 @@ from cohortlens.session import checkpoint_root
 from cohortlens.sources.tables import Tables
 
 MONTH = "usage_month"
-BUCKET_ROWS = 20_000_000
+BUCKET_ROWS = 1_000_000     # a bucket is one task's: sums per subscription, day and feature of these in memory
 LEAST_BUCKETS = 8
+SPLITS = "spark.sql.files.maxPartitionBytes"
+SPLIT_BYTES = 16 << 20      # of the files that a task of the reduction reads; row groups stay whole
 USAGE_GRAIN = ("subscription_id", "usage_date", "feature_name")
 
 
@@ -86,6 +92,17 @@ class Layout:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def _small_splits(spark: SparkSession):
+    """Inside, files are read in splits of ``SPLIT_BYTES``."""
+    before = spark.conf.get(SPLITS)
+    spark.conf.set(SPLITS, str(SPLIT_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(SPLITS, before)
+
+
 def store(spark: SparkSession, t: Tables, buckets: int | None = None, root: str | None = None) -> Layout:
     buckets = buckets or default_buckets(t)
     base = root or os.path.join(checkpoint_root(spark), "layout")
@@ -101,5 +118,6 @@ def store(spark: SparkSession, t: Tables, buckets: int | None = None, root: str
         return table
 
     usage = usage_cube(t).withColumn(MONTH, month_of(F.col("usage_date"))).repartition(buckets, "subscription_id")
-    return Layout(spark, write(usage, "usage", [MONTH]),
-                  write(t.subscriptions.repartition(buckets, "subscription_id"), "subscriptions", []), t, buckets)
+    with _small_splits(spark):
+        return Layout(spark, write(usage, "usage", [MONTH]),
+                      write(t.subscriptions.repartition(buckets, "subscription_id"), "subscriptions", []), t, buckets)

@@ -135,6 +135,28 @@ def test_layout_keeps_nulls_and_orphans(spark):
     made.drop()
 
 
+@pytest.mark.parametrize("rows_held", [0, 3_600_000, 36_000_000, 216_000_000])
+def test_a_bucket_stays_small_as_usage_grows(spark, rows_held):
+    """Jobs hold a bucket's groups in one task: more usage gives more buckets, not larger ones."""
+    t = make_tables(spark).with_(feature_usage=spark.range(rows_held).withColumnRenamed("id", "subscription_id"))
+    buckets = layout.default_buckets(t)
+    assert buckets >= layout.LEAST_BUCKETS and rows_held / buckets <= 1_000_000
+    assert buckets <= max(layout.LEAST_BUCKETS, rows_held / 500_000)     # a month has a file in each
+
+
+def test_the_reduction_reads_small_splits(spark, tables, monkeypatch):
+    """While the layout is written, a task reads little of a file whatever the session's setting."""
+    before, seen = spark.conf.get(layout.SPLITS), []
+    save = type(tables.subscriptions.write).saveAsTable
+    monkeypatch.setattr(type(tables.subscriptions.write), "saveAsTable",
+                        lambda self, *a, **kw: seen.append(spark.conf.get(layout.SPLITS)) or save(self, *a, **kw))
+    layout.store(spark, tables, buckets=2).drop()
+    assert seen == [str(16 << 20)] * 2 and spark.conf.get(layout.SPLITS) == before
+    with pytest.raises(RuntimeError), layout._small_splits(spark):
+        raise RuntimeError("lost")
+    assert spark.conf.get(layout.SPLITS) == before
+
+
 # --- incremental summary -----------------------------------------------------------
 
 def _orders(spark):
