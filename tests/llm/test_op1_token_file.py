@@ -82,3 +82,49 @@ def test_chunk_memory_turns_over(reference, monkeypatch):
         assert coder.encode(pa.array([text]), 2).to_pylist() == [reference(text)]
     assert coder.encode(pa.array(texts).slice(1, 9), 2).to_pylist() == [reference(t) for t in texts[1:10]]
     assert coder.encode(pa.array([], pa.string()), 2).to_pylist() == []
+
+
+class CountedTokenizer:
+    """Counts the texts that reach the tokenizers library."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+WORDS = [a + b + c for a in "bdfgklmnpt" for b in "aeiouäé" for c in ("sk", "nth", "ß", "ring")]
+
+
+def test_words_with_marks_share_their_pieces(reference):
+    coder = tokenfile.ChunkEncoder(PATH)
+    coder.tokenizer = counted = CountedTokenizer(coder.tokenizer)
+    texts = [" ".join(w + mark for w in WORDS) for mark in ("***", ",&&&", "%", "")]
+    assert coder.encode(pa.array(texts), 2).to_pylist() == [reference(t) for t in texts]
+    assert len(counted.texts) <= -(-len(WORDS) // tokenfile.JOINED_WORDS) + 3
+    counted.texts.clear()
+    assert coder.encode(pa.array(texts[::-1]), 2).to_pylist() == [reference(t) for t in texts[::-1]]
+    assert counted.texts == []
+
+
+def test_known_and_new_chunks_mixed(reference, monkeypatch):
+    monkeypatch.setattr(tokenfile, "REMEMBERED_CHUNKS", 50)
+    monkeypatch.setattr(tokenfile, "REMEMBERED_BYTES", 12)
+    coder = tokenfile.ChunkEncoder(PATH)
+    odd = ["it's$$", "a'.", "x.'ll", "É\u00a0..", "ª.", "µ,,", "a\x0b.", "12.5%", "x" * 40 + "...", "中文.", "<|endoftext|>."]
+    parts = [x for pair in zip(WORDS, odd * 30) for x in pair]
+    texts = [" ".join(parts[i:i + 1 + i % 9]) for i in range(0, 240, 3)] + [None, "", "...", "a.\tb ,.\n"]
+    for rows in (texts, texts[20:60], texts[::-1]):
+        assert coder.encode(pa.array(rows, pa.string()), 2).to_pylist() == [reference(t) for t in rows]
+        assert 0 < len(coder._known) == len(coder._known_ids) <= 50
+        assert max(len(c.encode()) for c in coder._known.to_pylist()) <= 12
+
+
+def test_batches_are_encoded_together():
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i, None], "text": ["x" * 100, None]}) for i in range(10)]
+    together = list(tokenfile.gathered(iter(batches), 400))
+    assert 1 < len(together) < 10
+    assert [r for b in together for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+    assert list(tokenfile.gathered(iter([]), 400)) == []
