@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm import common
-from cohortlens.llm.common import stored
+from cohortlens.llm.common import DOCS_PER_TASK, fitted, stored
 from cohortlens.llm.components import components
 from cohortlens.llm.shingles import U, mix, multisets
 
@@ -295,12 +295,17 @@ def _second_round(members: DataFrame, sketches: DataFrame, elements: DataFrame,
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc, text_hash and its class (a node's number)."""
     rows = stored(profiles(docs, doc_id, text), "near-profiles")
+    n_rows = rows.count()
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return stored(fitted(df, n_rows, DOCS_PER_TASK), name)
+
     first = rows.groupBy("multiset").agg(F.min_by(F.struct("doc", "text_hash", "bands", "sketch"), F.struct(
         F.col("doc").isNull(), "doc", "text_hash")).alias("_one"))
-    nodes = stored(first.select("multiset", "_one.*", F.monotonically_increasing_id().alias("node")), "near-nodes")
-    members = stored(_members(nodes), "near-members")
+    nodes = kept(first.select("multiset", "_one.*", F.monotonically_increasing_id().alias("node")), "near-nodes")
+    members = kept(_members(nodes), "near-members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    sketches = stored(wanted.select("node", "bands", "sketch"), "near-sketches")
+    sketches = kept(wanted.select("node", "bands", "sketch"), "near-sketches")
     common.python_workers(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).cast("long").alias("_d"), F.xxhash64(text).alias("_h"),
                         F.col(text).cast("string").alias("_text"))
@@ -310,16 +315,17 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     elements = texts.mapInArrow(_elements, "node bigint, elements array<int>")
     if _any_repeated(rows):
         elements = elements.dropDuplicates(["node"])
-    elements = stored(elements, "near-elements")
+    elements = kept(elements, "near-elements")
     star = _alike(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
                   .distinct(), sketches)
-    comps = stored(components(stored(_verify(star, elements), "near-links")), "near-classes")
+    comps = kept(components(kept(_verify(star, elements), "near-links")), "near-classes")
     found = _second_round(members, sketches, elements, comps)
     links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-    comps = stored(components(stored(links, "near-links")), "near-classes")
+    comps = kept(components(kept(links, "near-links")), "near-classes")
     numbers = nodes.select("multiset", "node").join(comps, "node", "left") \
         .select("multiset", F.coalesce("component", "node").alias("class"))
-    return rows.select("doc", "text_hash", "multiset").join(numbers, "multiset").drop("multiset")
+    return fitted(rows.select("doc", "text_hash", "multiset").join(numbers, "multiset").drop("multiset"),
+                  n_rows, DOCS_PER_TASK)
 
 
 def _any_repeated(rows: DataFrame) -> bool:
@@ -342,7 +348,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     doc, hashed = common.unused(docs.columns, "_kept_doc"), common.unused(docs.columns, "_kept_text")
     keys = first.select(F.col("_first.doc").alias(doc), F.col("_first.text_hash").alias(hashed))
     kept = docs.join(keys, docs[doc_id].eqNullSafe(keys[doc]) & (F.xxhash64(docs[text]) == keys[hashed]), "left_semi")
-    return kept.dropDuplicates([doc_id, text]) if _any_repeated(rows) else kept
+    kept = kept.dropDuplicates([doc_id, text]) if _any_repeated(rows) else kept
+    return fitted(kept, rows.count(), DOCS_PER_TASK)
 
 
 #: DuckDB SQL for ``classes``' rows, for tables small enough to compare every

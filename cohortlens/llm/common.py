@@ -19,6 +19,11 @@ from cohortlens.session import checkpoint_root
 #: memory; 256 rows are.
 BATCH_ROWS = 256
 
+#: What a task writes of tables with a row for each document, and of tables of
+#: a few numbers in each row: some 16 MB and 8 MB.
+DOCS_PER_TASK = 8192
+LINKS_PER_TASK = 1 << 18
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,6 +64,14 @@ def stored(df: DataFrame, name: str, fmt: str = "parquet", partition_by: list[st
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
+def fitted(df: DataFrame, rows: int, rows_per_task: int) -> DataFrame:
+    """``df``, which has about ``rows`` rows at most, in as many partitions as
+    they ask for, two for each core at least, and never in more than it has.
+    What is written then has files by its size, not by the session's shuffles."""
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(least, -(-rows // rows_per_task)))
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files behind a table ``stored`` made, once nothing reads it."""
     spark = df.sparkSession

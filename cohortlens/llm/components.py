@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating star steps.
 
 Each step is an aggregate and a join over the links, so nothing is collected;
-a step's links are written to the shared folder before the next reads them,
-and dropped when the one after is written.  The number of steps grows with
+a step's links are written to the shared folder before the next reads them, in
+files by their number, and dropped when the one after is written.  The number of steps grows with
 the logarithm of the longest chain.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.common import drop_stored, stored
+from cohortlens.llm.common import LINKS_PER_TASK, drop_stored, fitted, stored
 
 
 def _to_smallest_neighbour(links: DataFrame) -> DataFrame:
@@ -36,12 +36,14 @@ def _state(links: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); the component is
-    its smallest node.  Loops and repeated links are allowed."""
-    down = stored(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                  .distinct(), "links")
+    its smallest node.  Loops and repeated links are allowed.  ``links`` are read
+    twice: stored ones are best."""
+    down = stored(fitted(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                         .distinct(), links.count(), LINKS_PER_TASK), "links")
     state = _state(down)
     while True:
-        again = stored(_to_smallest_below(_to_smallest_neighbour(down).distinct()).distinct(), "links")
+        again = stored(fitted(_to_smallest_below(_to_smallest_neighbour(down).distinct()).distinct(),
+                              state[0], LINKS_PER_TASK), "links")
         new = _state(again)
         drop_stored(down)
         down = again

@@ -32,10 +32,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.llm.common import ascii_lower, stored, unused
+from cohortlens.llm.common import ascii_lower, fitted, stored, unused
 
 SIZE = 10
 BLOCK_ROWS = 200_000
+ITEMS_PER_TASK, WINDOWS_PER_TASK = 1024, 1 << 16     # of stored windows and anchors
 #: What stands between words, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -95,7 +96,8 @@ def occurrences(docs: DataFrame, windows: DataFrame, block_rows: int = BLOCK_ROW
     """(_doc, _text, _start, _length, _window): where windows occur."""
     rows = _rows(docs, doc_id, text)
     vocabulary = windows.select(F.explode("_tokens").alias("_token")).distinct()
-    first = stored(anchors(windows, token_counts(rows, vocabulary, block_rows)), "decontam-anchors")
+    first = stored(fitted(anchors(windows, token_counts(rows, vocabulary, block_rows)),
+                          windows.count(), WINDOWS_PER_TASK), "decontam-anchors")
     at = rows.select("*", F.posexplode("_all").alias("_pos", "_token"))
     length = F.size("_tokens")
     start = F.col("_pos") - F.col("_offset")
@@ -112,7 +114,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block
                   item_text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, _text (hash), n_words, n_hit and the
     sorted array of the items that occur in it."""
-    windows = stored(item_windows(benchmark, size, item_id, item_text), "decontam-windows")
+    windows = stored(fitted(item_windows(benchmark, size, item_id, item_text),
+                            benchmark.count(), ITEMS_PER_TASK), "decontam-windows")
     hits = stored(occurrences(docs, windows, block_rows, doc_id, text), "decontam-hits")
     row = ["_doc", "_text"]
     before = Window.partitionBy(*row).orderBy("_start", "_length").rowsBetween(Window.unboundedPreceding, -1)

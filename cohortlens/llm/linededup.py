@@ -45,7 +45,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.common import ascii_lower, python_workers, stored, unused
+from cohortlens.llm.common import LINKS_PER_TASK, ascii_lower, fitted, python_workers, stored, unused
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -222,7 +222,7 @@ def _sharded(keys: DataFrame, n_shards: int) -> DataFrame:
 def build(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
           keys_per_shard: int = KEYS_PER_SHARD, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
     references = stored(line_references(docs, min_chars, doc_id, text), "line-references")
-    counts = stored(_count(references), "line-counts")
+    counts = stored(fitted(_count(references), references.count(), LINKS_PER_TASK), "line-counts")
     repeats = counts.where(F.col("n_docs") >= min_docs)
     n_shards = max(1, -(-repeats.count() // keys_per_shard))
     changes = _sharded(repeats, n_shards).select("_shard", "_h2", F.lit(COME).alias("kind"))

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm import bagminhash, byte_bpe, decontam, linededup, nbsvm
-from cohortlens.llm.common import stored, table, unused
+from cohortlens.llm.common import DOCS_PER_TASK, fitted, stored, table, unused
 from cohortlens.llm.queries import BYTE_RANKS
 
 #: A document goes only where the classifier holds junk for likelier than not.
@@ -37,7 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         changes["n_chars"] = F.when(hit, F.char_length(kept).cast("long")) \
             .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.select(*[changes[c].alias(c) if c in changes else F.col(f"`{c}`") for c in docs.columns])
+    found = found.select(*[changes[c].alias(c) if c in changes else F.col(f"`{c}`") for c in docs.columns])
+    return fitted(found, docs.count(), DOCS_PER_TASK)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents in which a window of a benchmark item occurs go."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    return fitted(decontam.clean(docs, table(spark, sf_dir, "benchmark")), docs.count(), DOCS_PER_TASK)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline: order of stages, what each keeps, edges, and independence of the rest."""
 import hashlib
+import pathlib
 
 import pytest
 
@@ -62,6 +63,34 @@ def test_empty_tables(spark, docs_of, labels_of, items_of, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_files_follow_the_rows_not_the_shuffles(spark, docs_of, items_of, tmp_path):
+    """A session with many shuffle partitions doesn't make every small table many files."""
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "cohortlens-llm"
+    most = 2 * spark.sparkContext.defaultParallelism
+    tail = " ".join(f"word{k}" for k in range(60))
+    rows = [(i, f"line number {i // 3} of them all\nstart {i // 2} here {tail if i % 2 else tail + ' more'}")
+            for i in range(40 * most)]
+    docs_of(rows).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    items_of([(i, f"item {i} has these ten words and {i} ends here now") for i in range(20 * most)]) \
+        .write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    wanted = {"spark.sql.shuffle.partitions": str(5 * most), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in wanted}
+    before = set(shared.glob("*")) if shared.exists() else set()
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        for name, stage in corpus_pipeline.STAGES[1:4]:
+            docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), "test-" + name.replace(" ", "-"))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    files = {p.name: len(list(p.glob("part-*"))) for p in set(shared.glob("*")) - before}
+    assert {"near-nodes", "near-classes", "line-counts", "links", "decontam-windows"} <= {n.rsplit("-", 1)[0] for n in files}
+    assert max(files.values()) <= most, files
+    assert 0 < docs.count() <= len(rows)
+
+
 def test_entry_registers_them():
     import __spark_entry__ as entry
     names = set(entry.queries())
