@@ -275,15 +275,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                           + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
-        bpe = encoder(ranks_path, pattern)
-        for batch in batches:
-            for part in slices(batch, len(keep), PART_BYTES):
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], bpe.encode_texts(part.column(len(keep)))],
-                                                 names=[*keep, ids])
+        return _encoded(batches, encoder(ranks_path, pattern), [*keep, ids])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(run, schema)
 
 
+def _encoded(batches, bpe: BytePairEncoder, names: list[str]):
+    """Batches with the ids, named last, of their last column's texts in its place."""
+    for batch in batches:
+        for part in slices(batch, len(names) - 1, PART_BYTES):
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], bpe.encode_texts(part.columns[-1])], names=names)
+
+
 def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """``coded`` with the binary column ``data``: the bytes its ids stand for."""
     common.python_workers(coded.sparkSession, ENCODE_ROWS)
@@ -292,22 +295,44 @@ def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", data: str = "dec
                           + [T.StructField(data, T.BinaryType(), False)])
 
     def run(batches):
-        tokens = decoder(ranks_path)
-        for batch in batches:
-            lists = batch.column(len(columns) - 1).fill_null([])
-            found = tokens.take(lists.flatten())
-            if found.null_count:
-                raise KeyError("an id outside the vocabulary")
-            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int32)
-            column = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), found), b"")
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*columns, data])
+        return _decoded(batches, decoder(ranks_path), [*columns, data])
 
     return coded.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
+def _decoded(batches, tokens: pa.Array, names: list[str]):
+    """Batches with one more column, named last: the bytes of their last column's ids."""
+    for batch in batches:
+        lists = batch.columns[-1].fill_null([])
+        found = tokens.take(lists.flatten())
+        if found.null_count:
+            raise KeyError("an id outside the vocabulary")
+        ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int32)
+        column = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), found), b"")
+        yield pa.RecordBatch.from_arrays([*batch.columns, column], names=names)
+
+
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids",
+                  data: str = "decoded") -> DataFrame:
+    """What ``decode`` gives of what ``encode`` gives, with both in one Python
+    worker of a task: two in a row would take a worker each, and executors keep
+    idle workers with all that they remember."""
+    common.python_workers(docs.sparkSession, ENCODE_ROWS)
+    keep = [c for c in docs.columns if c not in (text, ids, data)]
+    schema = T.StructType([docs.schema[c] for c in keep]
+                          + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False),
+                             T.StructField(data, T.BinaryType(), False)])
+
+    def run(batches):
+        coded = _encoded(batches, encoder(ranks_path, pattern), [*keep, ids])
+        return _decoded(coded, decoder(ranks_path), [*keep, ids, data])
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text)).mapInArrow(run, schema)
+
+
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Contract columns of the query, from the operator's ids and bytes."""
-    coded = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern), ranks_path)
+    coded = encode_decode(docs.select("doc_id", "text"), ranks_path, pattern)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -102,3 +102,14 @@ def test_operator_keeps_columns_and_unknown_ids_raise(spark, docs_of):
     bad = spark.sql("select array(99999999) as ids")
     with pytest.raises(Exception, match="KeyError|99999999"):
         byte_bpe.decode(bad, PATH).collect()
+
+
+def test_one_python_worker_encodes_and_decodes(spark, docs_of, capsys):
+    docs = clashing(docs_of([(1, "hello there"), (2, None), (3, ""), (None, "ein Wort, zwei\nWörter"), (1, "hello there")]))
+    both = byte_bpe.encode_decode(docs, PATH, PATTERN)
+    apart = byte_bpe.decode(byte_bpe.encode(docs, PATH, PATTERN), PATH)
+    rows = lambda df: sorted((r.doc_id or 0, r.ids or [], bytes(r.decoded), r.lang, r.score) for r in df.collect())
+    assert rows(both) == rows(apart) and set(both.columns) == set(apart.columns)
+    capsys.readouterr()
+    byte_bpe.digest(docs, PATH, PATTERN).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1     # an executor keeps a worker for each
