@@ -20,8 +20,8 @@ from cohortlens.session import checkpoint_root
 BATCH_ROWS = 256
 
 #: What a task writes of tables with a row for each document, and of tables of
-#: a few numbers in each row: some 8 MB.
-DOCS_PER_TASK = 4096
+#: a few numbers in each row: some 4 MB and 8 MB.
+DOCS_PER_TASK = 2048
 LINKS_PER_TASK = 1 << 18
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
