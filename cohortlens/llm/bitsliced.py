@@ -13,9 +13,11 @@ latter are the boundary rows, all of equal score, resolved exactly by smaller
 id.  Their scores are computed again from the values.  Sums of slices have as
 many slices as they need, so they are right for integers of any size.
 
-Blocks meet blocks of queries by an equi-join on the block number; each pair
-gives at most k rows a query, of which a window keeps the best k.  Nothing is
-skipped: every query meets every block.
+Blocks and blocks of queries are dealt to stripes and columns; where a stripe
+crosses a column they meet in one task, which reads the blocks first and then one
+block of queries after another.  Nothing is joined, broadcast or sent to the
+driver.  Each crossing gives at most k rows a query, of which a window keeps the
+best k.  Nothing is skipped: every query meets every block.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows with a null id.  Only vectors of equal
@@ -29,6 +31,8 @@ way may.  Only the named columns are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -39,6 +43,11 @@ SCALE = 1024
 BLOCK = 4096
 QUERIES = 64
 TOP = 10
+#: Pairs of a block and a query block in a cell at least; cells at least, where
+#: the pairs are enough; blocks that a task holds at once at most.
+PAIRS = 16
+CELLS = 256
+HELD = 8
 WORD = np.uint64
 LONG = 1 << 63
 
@@ -169,9 +178,24 @@ def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: int = SCALE)
             .select(F.col(vec_id).cast("long").alias("vec_id"), F.size(vector).alias("dim"), x.alias("values")))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """64-bit integers in the fewest of 2, 4 or 8 bytes each that hold them all."""
+    low, high = values.min(initial=0), values.max(initial=0)
+    fits = (kind for kind in ("<i2", "<i4", "<i8") if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max)
+    return values.astype(next(fits)).tobytes()
+
+
+def unpacked(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{len(data) // (rows * dim)}").reshape(rows, dim).astype(np.int64)
+
+
 BLOCK_ROW = "block bigint, dim int, ids binary, values binary"
 
 
+def _n_blocks(size: int, total: int) -> int:
+    return max(1, -(-total // size))
+
+
 def _in_blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
     """(block, dim, ids, values): ``rows`` (about ``total``) dealt out evenly,
     by their row numbers, to blocks of about ``size`` rows; the rows of one
@@ -185,7 +209,7 @@ def _in_blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([
                 pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()),
                 pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
-                pa.array([np.array(values, np.int64).tobytes()], pa.binary())], names=names)
+                pa.array([packed(np.array(values, np.int64))], pa.binary())], names=names)
 
         for batch in batches:
             for block, dim, vec, x in zip(*(batch.column(c).to_pylist() for c in ("block", "dim", "vec_id", "values"))):
@@ -198,8 +222,7 @@ def _in_blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
         if ids:
             yield record()
 
-    blocks = max(1, -(-total // size))
-    return (rows.select(F.pmod("_row", F.lit(blocks)).alias("block"), "dim", "vec_id", "values")
+    return (rows.select(F.pmod("_row", F.lit(_n_blocks(size, total))).alias("block"), "dim", "vec_id", "values")
             .repartition("block").sortWithinPartitions("block", "dim", "vec_id")
             .mapInArrow(run, BLOCK_ROW))
 
@@ -209,22 +232,52 @@ def _sliced(blocks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block, dim, ids, values in zip(*(c.to_pylist() for c in batch.columns)):
-                made = SlicedBlock.of(np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, dim))
+                ids = np.frombuffer(ids, np.int64)
+                made = SlicedBlock.of(ids, unpacked(values, len(ids), dim))
                 words = b"".join(part.tobytes() for part in made.slices)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block]), pa.array([dim], pa.int32()), pa.array([made.ids.tobytes()], pa.binary()),
-                    pa.array([made.values.tobytes()], pa.binary()), pa.array([made.bits], pa.list_(pa.int32())),
+                    pa.array([packed(made.values)], pa.binary()), pa.array([made.bits], pa.list_(pa.int32())),
                     pa.array([words], pa.binary())], names=["block", "dim", "ids", "values", "bits", "slices"])
 
     return blocks.mapInArrow(run, f"{BLOCK_ROW}, bits array<int>, slices binary")
 
 
+def _cells(blocks: int, groups: int, block: int, queries: int, cores: int) -> tuple[int, int, int]:
+    """(stripes, columns, tasks): the crossings, cells, have about as many pairs
+    each, more of them the more there are in all, so that copies of blocks and of
+    query blocks grow with the root of the pairs; a block is longer than a query
+    block, so a cell has fewer of them."""
+    cells = max(CELLS, 4 * cores)
+    pairs = max(PAIRS, -(-blocks * groups // cells))
+    held = min(HELD, blocks, max(1, math.isqrt(pairs * queries // block), pairs // groups))
+    stripes, columns = -(-blocks // held), -(-groups // -(-pairs // held))
+    return stripes, columns, min(stripes * columns, 2 * cells)
+
+
+def _dealt(index: DataFrame, groups: DataFrame, stripes: int, columns: int, tasks: int) -> DataFrame:
+    """(cell, dim, asks, ids, values, bits, slices): the blocks and the query
+    blocks of each cell in one task, the blocks of a length before its queries."""
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    held = index.select("*", F.pmod("block", F.lit(stripes)).alias("stripe"), each(columns).alias("column"),
+                        F.lit(False).alias("asks"))
+    asking = groups.select("*", F.lit(None).cast("array<int>").alias("bits"), F.lit(None).cast("binary").alias("slices"),
+                           each(stripes).alias("stripe"), F.pmod("block", F.lit(columns)).alias("column"),
+                           F.lit(True).alias("asks"))
+    return (held.unionByName(asking)
+            .select((F.col("stripe") * columns + F.col("column")).alias("cell"), "dim", "asks", "ids", "values", "bits", "slices")
+            .repartition(tasks, "cell").sortWithinPartitions("cell", "dim", "asks"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "vec_id", vector: str = "embedding",
           block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): per query row its k highest inner
     products with all other rows, ties to the smaller id.  ``is_query`` is a
     condition on vec_id."""
-    python_workers(vectors.sparkSession)
+    spark = vectors.sparkSession
+    python_workers(spark)
     kept = stored(quantised(vectors, vec_id, vector).withColumn("_row", F.monotonically_increasing_id()),
                   "sliced-values")
     total = kept.count()
@@ -232,23 +285,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "vec
     asked = kept.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "values", "_row")).alias("_q")) \
         .select("vec_id", "_q.*")
     asked = stored(asked, "sliced-queries")
-    n_blocks = max(1, -(-total // block))
-    groups = _in_blocks(asked, queries, asked.count()).select(
-        "dim", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
-    meet = groups.join(index, ["block", "dim"]).select("dim", "q_ids", "q_values", "ids", "values", "bits", "slices")
+    n_asked = asked.count()
+    cells = _cells(_n_blocks(block, total), _n_blocks(queries, n_asked), block, queries,
+                   spark.sparkContext.defaultParallelism)
+    meet = _dealt(index, _in_blocks(asked, queries, n_asked), *cells)
 
     def search(batches):
+        key, held = None, []
         for batch in batches:
-            for dim, q_ids, q_values, ids, values, bits, slices in zip(*(c.to_pylist() for c in batch.columns)):
-                index = SlicedBlock(np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, dim),
-                                    bits, np.frombuffer(slices, WORD))
-                asking = np.frombuffer(q_ids, np.int64)
-                found = index.top(np.frombuffer(q_values, np.int64).reshape(-1, dim), asking, k)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(asking, [len(f[0]) for f in found])),
-                    pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
-                    names=["query_id", "vec_id", "score"])
+            for cell, dim, asks, ids, values, bits, slices in zip(*(c.to_pylist() for c in batch.columns)):
+                if (cell, dim) != key:
+                    key, held = (cell, dim), []
+                ids = np.frombuffer(ids, np.int64)
+                values = unpacked(values, len(ids), dim)
+                if not asks:
+                    held.append(SlicedBlock(ids, values, bits, np.frombuffer(slices, WORD)))
+                    continue
+                asking = []
+                for found in zip(*(index.top(values, ids, k) for index in held)):
+                    vec, score = (np.concatenate(part) for part in zip(*found))
+                    best = np.lexsort((vec, ~score))[:k]    # ~ turns the order of all longs
+                    asking.append((vec[best], score[best]))
+                if asking:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.repeat(ids, [len(f[0]) for f in asking])),
+                        pa.array(np.concatenate([f[0] for f in asking])), pa.array(np.concatenate([f[1] for f in asking]))],
+                        names=["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (meet.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")

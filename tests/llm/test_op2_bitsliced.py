@@ -94,3 +94,54 @@ def test_the_index_holds_bitmaps(spark):
     for r in bitsliced._sliced(blocks).collect():
         words = -(-(len(r.ids) // 8) // 64)
         assert len(r.slices) == 8 * words * sum(r.bits) and len(r.bits) == 2
+
+
+def test_nothing_is_broadcast(spark):
+    """Queries met blocks by a join that small estimates made a broadcast of every
+    query's values once for each block: over 1500 MB in the driver for 615,384 rows."""
+    rows = [(i, [i / 7, -i / 3]) for i in range(1, 301)]
+    got = bitsliced.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0, k=3, block=4, queries=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan and "Cartesian" not in plan
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert sorted(map(tuple, got.collect())) == _expected(rows, 10, 3)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 10**5), st.integers(1, 10**5), st.sampled_from([(4096, 64), (4, 2), (1, 1), (64, 4096)]), st.integers(1, 2000))
+def test_cells_grow_with_the_pairs(blocks, groups, sizes, cores):
+    stripes, columns, tasks = bitsliced._cells(blocks, groups, *sizes, cores)
+    assert 1 <= stripes <= blocks and 1 <= columns <= groups
+    assert 1 <= tasks <= min(stripes * columns, 2 * max(bitsliced.CELLS, 4 * cores))
+    assert -(-blocks // stripes) <= bitsliced.HELD                          # what a task holds at once
+    assert columns <= 2 * max(bitsliced.CELLS, 4 * cores)                   # copies of a block
+
+
+def test_every_block_meets_every_query_block_once(spark):
+    row = "block bigint, dim int, ids binary, values binary, bits array<int>, slices binary"
+    index = spark.createDataFrame([(b, d, bytes([b]), b"", [], b"") for b in range(7) for d in (2, 3)], row)
+    groups = spark.createDataFrame([(g, d, bytes([g]), b"") for g in range(5) for d in (2, 4)],
+                                   "block bigint, dim int, ids binary, values binary")
+    for stripes, columns, tasks in ((1, 1, 1), (3, 2, 4), (7, 5, 35)):
+        met, part = [], []
+        for rows in bitsliced._dealt(index, groups, stripes, columns, tasks).rdd.glom().collect():
+            key, held = None, []
+            for r in rows:
+                if (r.cell, r.dim) != key:
+                    assert (r.cell, r.dim) not in part
+                    key, held = (r.cell, r.dim), []
+                    part.append(key)
+                if r.asks:
+                    assert r.bits is None and r.slices is None
+                    met += [(r.dim, b, r.ids[0]) for b in held]
+                else:
+                    held.append(r.ids[0])
+        assert sorted(met) == [(2, b, g) for b in range(7) for g in range(5)]
+
+
+@pytest.mark.parametrize("most", [1, 2**15 - 1, 2**15, 2**31 - 1, 2**31, 2**63 - 1])
+def test_packed(most):
+    values = np.array([[most, -1, 0], [-most - 1, 1, most]])
+    data = bitsliced.packed(values)
+    assert bitsliced.unpacked(data, 2, 3).tolist() == values.tolist()
+    assert len(data) == 6 * (2 if most < 2**15 else 4 if most < 2**31 else 8)
