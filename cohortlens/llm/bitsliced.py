@@ -3,8 +3,9 @@
 Vectors are quantised to integers, floor(scale * x).  The index is a stored table
 of blocks of ``BLOCK`` rows: per component one bitmap for every bit of its value
 above the block's minimum, made once.  For a query the slices are added with bitmap
-arithmetic - each set bit of a weight adds a component's slices, shifted, into
-a carry-save sum, negative weights add complements - which gives the slices of
+arithmetic - each bit of the weights of a few components picks the sum of a subset
+of these, made from their slices once, and adds its slices, shifted, into a
+carry-save sum; the sign bit adds complements - which gives the slices of
 every row's score at once, for ``QUERIES`` queries at a time.
 
 The top rows are then selected from the most significant slice downward: rows
@@ -44,10 +45,15 @@ BLOCK = 4096
 QUERIES = 64
 TOP = 10
 #: Pairs of a block and a query block in a cell at least; cells at least, where
-#: the pairs are enough; blocks that a task holds at once at most.
+#: the pairs are enough; blocks that a task holds at once at most; query blocks
+#: that it searches them for at once.
 PAIRS = 16
 CELLS = 256
 HELD = 8
+ASKED = 4
+#: Components whose subsets are summed beforehand; groups of them at a time.
+TOGETHER = 6
+TABLES = 16
 WORD = np.uint64
 LONG = 1 << 63
 
@@ -62,12 +68,6 @@ def bitmap(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=-1, bitorder="little").view(WORD)
 
 
-def magnitude(values: np.ndarray) -> np.ndarray:
-    """Absolute values of 64-bit integers, unsigned."""
-    bits = values.astype(np.int64).view(WORD)
-    return np.where(values < 0, ~bits + WORD(1), bits)
-
-
 def products(values: np.ndarray, weights: np.ndarray) -> list[int]:
     """Inner products of the rows of ``values`` with ``weights``, exactly."""
     most = np.abs(values.astype(float)) @ np.abs(weights.astype(float)) if len(values) else np.zeros(0)
@@ -79,6 +79,30 @@ def products(values: np.ndarray, weights: np.ndarray) -> list[int]:
     return exact
 
 
+def subset_sums(groups: list[list[np.ndarray]]) -> np.ndarray:
+    """Slices [place, group, subset, words] of the sum of every subset of a
+    group's numbers, given by their slices; bit i of a subset stands for number i."""
+    count, bits = max(map(len, groups)), max(len(x) for group in groups for x in group)
+    words = groups[0][0].shape[-1]
+    given = np.zeros((count, bits, len(groups), 1, words), WORD)
+    for g, group in enumerate(groups):
+        for i, slices in enumerate(group):
+            given[i, :len(slices), g, 0] = slices
+    out = np.zeros((bits + count.bit_length(), len(groups), 1 << count, words), WORD)
+    for i in range(count):
+        carry = WORD(0)
+        for b, place in enumerate(out):
+            old, new = place[:, :1 << i], place[:, 1 << i:2 << i]
+            if b < bits:
+                half = old ^ given[i, b]
+                np.bitwise_xor(half, carry, out=new)
+                carry = (old & given[i, b]) | (half & carry)
+            else:
+                np.bitwise_xor(old, carry, out=new)
+                carry = old & carry
+    return out
+
+
 class SlicedBlock:
     """Slices of up to BLOCK rows of one length, rows in ascending id order.
     ``bits``: slices of each component; ``slices``: their words, one after another."""
@@ -100,9 +124,11 @@ class SlicedBlock:
         return cls(ids, values, bits, np.concatenate(made) if made else np.zeros(0, WORD))
 
     def score_slices(self, weights: np.ndarray) -> list[np.ndarray]:
-        """Slices [queries, words], lowest first, of sum_j |w_j| * u_j, where u
-        is the value above the minimum or, for negative w, its complement: the
-        score up to a constant of the query."""
+        """Slices [queries, words], lowest first, of sum_j w_j * u_j up to a
+        constant of the query, where u is the value above the minimum.  Weights
+        are taken bit by bit as two's complement: each bit picks, for each query,
+        the sum of a subset of ``TOGETHER`` components, and the sign bit its
+        complement."""
         shape = (len(weights), len(self.rows))
         columns: list[list[np.ndarray]] = []   # per weight of a bit: at most two summands
 
@@ -114,19 +140,30 @@ class SlicedBlock:
                 column.append(bits)
                 if len(column) < 3:
                     return
-                a, b, c = column
+                a, b, c = column                                # their memory is used again
                 half = a ^ b
-                columns[place] = [half ^ c]
-                place, bits = place + 1, (a & b) | (c & half)   # the carry goes on
-
-        size = magnitude(weights)
-        for j, slices in enumerate(self.slices):
-            negative = np.where(weights[:, j] < 0, ~WORD(0), WORD(0))[:, None]
-            for t in range(int(size[:, j].max(initial=0)).bit_length()):
-                has = np.where((size[:, j] >> WORD(t)) & WORD(1), ~WORD(0), WORD(0))[:, None]
-                if has.any():
-                    for b, bits in enumerate(slices):
-                        add(t + b, (bits ^ negative) & has)
+                np.bitwise_and(a, b, out=a)
+                np.bitwise_and(half, c, out=b)
+                columns[place] = [np.bitwise_xor(half, c, out=c)]
+                place, bits = place + 1, np.bitwise_or(a, b, out=a)     # the carry goes on
+
+        order = np.argsort(self.bits, kind="stable")    # components of like width meet
+        groups = [part for at in range(0, len(order), TOGETHER) if self.bits[(part := order[at:at + TOGETHER])[-1]]]
+        for at in range(0, len(groups), TABLES):
+            some = groups[at:at + TABLES]
+            sums = subset_sums([[self.slices[j] for j in part] for part in some])
+            for g, part in enumerate(some):
+                picked = weights[:, part]
+                signed = bool((picked < 0).any())
+                width = int(np.where(picked < 0, ~picked, picked).max(initial=0)).bit_length()
+                if not (width or signed):
+                    continue
+                most = sum((1 << self.bits[j]) - 1 for j in part).bit_length()
+                for t in range(width + signed):
+                    code = ((picked >> t) & 1) @ (1 << np.arange(len(part)))
+                    for b in range(most):
+                        bits = sums[b, g].take(code, axis=0)
+                        add(t + b, np.invert(bits, out=bits) if t == width else bits)
         out, carry = [], np.zeros(shape, WORD)
         place = 0
         while place < len(columns) or carry.any():
@@ -208,17 +245,20 @@ def _in_blocks(rows: DataFrame, size: int, total: int) -> DataFrame:
         def record():
             return pa.RecordBatch.from_arrays([
                 pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()),
-                pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
-                pa.array([packed(np.array(values, np.int64))], pa.binary())], names=names)
+                pa.array([np.concatenate(ids).tobytes()], pa.binary()),
+                pa.array([packed(np.concatenate(values))], pa.binary())], names=names)
 
         for batch in batches:
-            for block, dim, vec, x in zip(*(batch.column(c).to_pylist() for c in ("block", "dim", "vec_id", "values"))):
-                if (block, dim) != key:
+            block, dim, vec = (batch.column(c).to_numpy() for c in ("block", "dim", "vec_id"))
+            flat, ends = batch.column("values").flatten().to_numpy(), np.cumsum(dim, dtype=np.int64)
+            new = np.flatnonzero((block[1:] != block[:-1]) | (dim[1:] != dim[:-1])) + 1
+            for start, end in zip([0, *new], [*new, len(block)]) if len(block) else ():
+                if (block[start], dim[start]) != key:
                     if ids:
                         yield record()
-                    key, ids, values = (block, dim), [], []
-                ids.append(vec)
-                values.append(x)
+                    key, ids, values = (block[start], dim[start]), [], []
+                ids.append(vec[start:end])
+                values.append(flat[ends[start] - dim[start]:ends[end - 1]])
         if ids:
             yield record()
 
@@ -290,27 +330,34 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, vec_id: str = "vec
                    spark.sparkContext.defaultParallelism)
     meet = _dealt(index, _in_blocks(asked, queries, n_asked), *cells)
 
+    def answers(held, waiting):
+        ids, values = map(np.concatenate, zip(*waiting))
+        best = []
+        for found in zip(*(index.top(values, ids, k) for index in held)):
+            vec, score = map(np.concatenate, zip(*found))
+            first = np.lexsort((vec, ~score))[:k]       # ~ turns the order of all longs
+            best.append((vec[first], score[first]))
+        vec, score = map(np.concatenate, zip(*best))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x[0]) for x in best])), pa.array(vec), pa.array(score)],
+                                          names=["query_id", "vec_id", "score"])
+
     def search(batches):
-        key, held = None, []
+        key, held, waiting = None, [], []
         for batch in batches:
             for cell, dim, asks, ids, values, bits, slices in zip(*(c.to_pylist() for c in batch.columns)):
+                if waiting and ((cell, dim) != key or len(waiting) == ASKED):
+                    yield answers(held, waiting)
+                    waiting = []
                 if (cell, dim) != key:
                     key, held = (cell, dim), []
                 ids = np.frombuffer(ids, np.int64)
                 values = unpacked(values, len(ids), dim)
                 if not asks:
                     held.append(SlicedBlock(ids, values, bits, np.frombuffer(slices, WORD)))
-                    continue
-                asking = []
-                for found in zip(*(index.top(values, ids, k) for index in held)):
-                    vec, score = (np.concatenate(part) for part in zip(*found))
-                    best = np.lexsort((vec, ~score))[:k]    # ~ turns the order of all longs
-                    asking.append((vec[best], score[best]))
-                if asking:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(ids, [len(f[0]) for f in asking])),
-                        pa.array(np.concatenate([f[0] for f in asking])), pa.array(np.concatenate([f[1] for f in asking]))],
-                        names=["query_id", "vec_id", "score"])
+                elif held:
+                    waiting.append((ids, values))
+        if waiting:
+            yield answers(held, waiting)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (meet.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")

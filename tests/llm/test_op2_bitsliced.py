@@ -145,3 +145,41 @@ def test_packed(most):
     data = bitsliced.packed(values)
     assert bitsliced.unpacked(data, 2, 3).tolist() == values.tolist()
     assert len(data) == 6 * (2 if most < 2**15 else 4 if most < 2**31 else 8)
+
+
+def test_subset_sums():
+    rng = np.random.default_rng(2)
+    numbers = [[rng.integers(0, 2**bits, 70) for bits in group] for group in ((3, 0, 9), (62, 62), (1,))]
+    slices = [[np.array([bitsliced.bitmap((x >> b) & 1) for b in range(int(x.max()).bit_length())], np.uint64).reshape(-1, 2)
+               for x in group] for group in numbers]
+    got = bitsliced.subset_sums(slices)
+    for g, group in enumerate(numbers):
+        for subset in range(1 << len(group)):
+            bits = np.unpackbits(got[:, g, subset].view(np.uint8), axis=-1, bitorder="little")[:, :70]
+            want = [sum(int(x[row]) for i, x in enumerate(group) if subset >> i & 1) for row in range(70)]
+            assert [sum(int(bit) << place for place, bit in enumerate(column)) for column in bits.T] == want
+
+
+def test_slices_sum_to_the_scores_up_to_a_constant():
+    """Single query, several groups of components, some of them constant."""
+    rng = np.random.default_rng(3)
+    for dim, spread in ((1, 5), (13, 2**20), (200, 300), (7, 2**62)):
+        values = rng.integers(-spread, spread, (70, dim))
+        values[:, ::3] = 4
+        block = bitsliced.SlicedBlock.of(np.arange(70), values)
+        for weights in (rng.integers(-spread, spread, (1, dim)), -np.ones((1, dim), int), np.zeros((1, dim), int),
+                        np.full((2, dim), 2**63 - 1), np.full((2, dim), -2**63)):
+            slices = block.score_slices(weights)
+            for q, w in enumerate(weights.tolist()):
+                bits = [np.unpackbits(s[q].view(np.uint8), bitorder="little")[:70].tolist() for s in slices]
+                got = [sum(bit[r] << place for place, bit in enumerate(bits)) for r in range(70)]
+                want = [sum(a * b for a, b in zip(v, w)) for v in values.tolist()]
+                assert len({a - b for a, b in zip(got, want)}) == 1
+
+
+def test_rows_of_several_lengths_in_many_batches(spark):
+    """Blocks of more rows than a batch, of lengths in turn, some of one row."""
+    rows = [(i, [float(x + 1) / (i + 1) for x in range(1 + i % 3)]) for i in range(700)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows] + [(900, [1.0] * 5), (901, [2.0] * 6)]
+    got = bitsliced.top_k(spark.createDataFrame(rows, VECTORS).coalesce(1), F.col("vec_id") % 100 == 0, k=4, block=1000, queries=2)
+    assert sorted(map(tuple, got.collect())) == _expected(rows, 100, 4)
